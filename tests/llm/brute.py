@@ -54,6 +54,7 @@ def window_dedup(rows, width=20):
         for i in range(len(words) - width + 1):
             at = first.setdefault(tuple(words[i : i + width]), (key, i))
             first[tuple(words[i : i + width])] = min(at, (key, i))
+    docs = [(key, d, WORD.findall(t) if t is not None else []) for d, t in rows for key in [-math.inf if d is None else d]]
     for key, d, words in docs:
         gone = [False] * len(words)
         for i in range(len(words) - width + 1):

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import bpe, mixing, resharding, secrets, token_files, vectors
+from tessera.llm import bpe, mixing, resharding, secrets, substrings, token_files, vectors
 from tessera.llm.common import materialize, scratch_path
 
 from . import brute
@@ -213,10 +213,30 @@ def test_vector_queries_on_table(spark):
     assert hits / len(out) >= 0.9
 
 
-@pytest.mark.parametrize("query", [secrets.op1_secret_scan, vectors.op2_top_k, token_files.op5_token_files, bpe.op6_bpe, resharding.op7_resharding, mixing.op8_mixing, vectors.op9_nearest])
+@pytest.mark.parametrize("query", [secrets.op1_secret_scan, vectors.op2_top_k, substrings.op3_substring_dedup, token_files.op5_token_files, bpe.op6_bpe, resharding.op7_resharding, mixing.op8_mixing, vectors.op9_nearest])
 def test_empty_tables(spark, empty_dir, query):
     assert query(spark, empty_dir).count() == 0
 
 
 def test_materialize_cuts_lineage(spark, docs):
     assert materialize(docs, "test").count() == docs.count()
+
+
+def test_window_dedup(spark, sf_dir):
+    for path in (SF, sf_dir):
+        rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+        got = Counter(map(tuple, substrings.op3_substring_dedup(spark, path).collect()))
+        assert got == Counter(brute.window_dedup(rows))
+        assert sum(r[2] for r in got) > 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_window_dedup_in_blocks_and_with_frequent_prefixes(spark, seed, monkeypatch):
+    """Random texts over few words: repeats everywhere; groups of a few KB, so that prefixes are extended."""
+    rng = np.random.default_rng(seed)
+    passages = [" ".join(rng.choice(list("abc"), 40)) for _ in range(3)]
+    rows = [(int(i), " ".join([*rng.choice(list("abcdefgh"), rng.integers(0, 60)), passages[rng.integers(3)], *rng.choice(list("ab"), rng.integers(0, 30))])) for i in rng.permutation(120)]
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 1000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.remove_repeats(docs).collect()}
+    assert got == {d: tuple(r) for d, *r in brute.window_dedup(rows)}
