@@ -5,9 +5,12 @@ from __future__ import annotations
 import importlib
 
 NAMES = {
-    "op1_secret_scan": "secrets", "op2_top_k": "vectors", "op3_substring_dedup": "substrings", "op5_token_files": "token_files", "op6_bpe": "bpe", "op7_resharding": "resharding", "op8_mixing": "mixing", "op9_nearest": "vectors", "op10_near_dedup": "minhash",
+    "op1_secret_scan": "secrets", "op2_top_k": "vectors", "op3_substring_dedup": "substrings", "op4_quality": "quality", "op5_token_files": "token_files", "op6_bpe": "bpe", "op7_resharding": "resharding", "op8_mixing": "mixing", "op9_nearest": "vectors", "op10_near_dedup": "minhash",
 }
 
 
 def queries():
-    return {name: getattr(importlib.import_module(f"tessera.llm.{module}"), name) for name, module in NAMES.items()}
+    import corpus_pipeline
+
+    out = {name: getattr(importlib.import_module(f"tessera.llm.{module}"), name) for name, module in NAMES.items()}
+    return {**out, "pipeline": corpus_pipeline.run}

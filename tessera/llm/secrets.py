@@ -61,7 +61,8 @@ def scan_blobs(versions: DataFrame, ledger_dir: str, text: str = "text", rule_ve
     spark = versions.sparkSession
     ledger = read_ledger(spark, ledger_dir).filter(F.col("rule_version") == rule_version)
     blobs = versions.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    unseen = blobs.join(ledger.select("blob"), "blob", "left_anti").groupBy("blob").agg(F.first("_text").alias("_text"))
+    # one copy of each text leaves a task, then what the ledger knows goes
+    unseen = blobs.groupBy("blob").agg(F.first("_text").alias("_text")).join(ledger.select("blob"), "blob", "left_anti")
     scanned = unseen.select("blob", F.lit(rule_version).alias("rule_version"), findings(F.col("_text")).alias("findings"))
     scanned.write.mode("append").option("compression", "zstd").parquet(ledger_dir)
     return read_ledger(spark, ledger_dir).filter(F.col("rule_version") == rule_version)

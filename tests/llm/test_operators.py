@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import bpe, mixing, resharding, secrets, substrings, token_files, vectors
+from tessera.llm import bpe, mixing, quality, resharding, secrets, substrings, token_files, vectors
 from tessera.llm.common import materialize, scratch_path
 
 from . import brute
@@ -213,7 +213,7 @@ def test_vector_queries_on_table(spark):
     assert hits / len(out) >= 0.9
 
 
-@pytest.mark.parametrize("query", [secrets.op1_secret_scan, vectors.op2_top_k, substrings.op3_substring_dedup, token_files.op5_token_files, bpe.op6_bpe, resharding.op7_resharding, mixing.op8_mixing, vectors.op9_nearest])
+@pytest.mark.parametrize("query", [secrets.op1_secret_scan, vectors.op2_top_k, substrings.op3_substring_dedup, quality.op4_quality, token_files.op5_token_files, bpe.op6_bpe, resharding.op7_resharding, mixing.op8_mixing, vectors.op9_nearest])
 def test_empty_tables(spark, empty_dir, query):
     assert query(spark, empty_dir).count() == 0
 
@@ -240,3 +240,49 @@ def test_window_dedup_in_blocks_and_with_frequent_prefixes(spark, seed, monkeypa
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.remove_repeats(docs).collect()}
     assert got == {d: tuple(r) for d, *r in brute.window_dedup(rows)}
+
+
+def test_quality_held_out(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    rows = quality.op4_quality(spark, sf).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    held = [r for r in rows if r.held_out and labels.get(r.doc_id) is not None]
+    assert len(held) > 50 and np.mean([r.predicted == labels[r.doc_id] for r in held]) >= 0.97
+
+
+def test_quality_hard_cases(spark, sf_dir):
+    rows = quality.op4_quality(spark, sf_dir).collect()
+    assert len(rows) == len(brute.documents()) and all(0 <= r.score <= 1 for r in rows)
+    none = quality.score(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string"), None).collect()
+    assert [r.score for r in none] == [0.5, 0.5]
+
+
+def test_messages_match_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    counts = np.array([3, 1, 5])
+    e, trans = rng.normal(size=9), rng.normal(size=4)
+    forward, backward = quality.Chains(counts).messages(e, trans)
+    at = 0
+    for n in counts:
+        total = np.zeros((n, 2))
+        for labels in product((0, 1), repeat=int(n)):
+            p = np.exp(sum(e[at + i] for i in range(n) if labels[i]) + sum(trans[2 * a + b] for a, b in zip(labels, labels[1:])))
+            for i, x in enumerate(labels):
+                total[i, x] += p
+        assert np.allclose(forward[at : at + n] + backward[at : at + n], np.log(total[:, 1] / total[:, 0]))
+        at += n
+
+
+def test_line_features_of_odd_blocks():
+    import pyarrow as pa
+
+    from tessera.llm.common import text_blocks
+
+    texts = ["", "\n", "a\n\nb", "x", None, "\n\n", "A!! b||\nA!! b||"]
+    (_, data, offsets), = text_blocks(pa.array(texts))
+    x, size, counts = quality.line_features(data, offsets)
+    assert counts.tolist() == [len((t or "").split("\n")) for t in texts]
+    assert size.tolist() == [len(line) for t in texts for line in (t or "").split("\n")] and np.isfinite(x).all() and (x >= 0).all()
