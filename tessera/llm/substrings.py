@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import Words, binary_array, gather, materialize, pair_hash, table, text_blocks
 
 WIDTH, PREFIX = 20, 5
-GROUP_BYTES = 16 << 20  # text whose suffixes make one group
+GROUP_BYTES = 8 << 20  # text whose suffixes make one group
+BLOCK = 2 << 20  # text of a block on the map side
 MAX_GROUPS = 1 << 20
 MAX_FREQUENT = 1 << 16  # frequent prefixes: no more can have such a share each
 _SPAN = WIDTH - PREFIX + 1  # places for an anchor in a window
@@ -115,7 +116,7 @@ def prefix_counts(share: float):
 
     def run(batches):
         for batch in batches:
-            for _, data, offsets in text_blocks(batch.column(0)):
+            for _, data, offsets in text_blocks(batch.column(0), BLOCK):
                 found = block_windows(data, offsets)
                 if found is None:
                     continue
@@ -198,40 +199,41 @@ def suffixes(bits: int, frequent: np.ndarray):
         for batch in batches:
             ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, data, offsets in text_blocks(batch.column(2)):
+            for at, data, offsets in text_blocks(batch.column(2), BLOCK):
                 yield from block_rows(ids[at : at + len(offsets) - 1], keys[at : at + len(offsets) - 1], data, offsets)
 
     return run
 
 
 def subtrees(batches):
-    """For mapInArrow over whole groups: repeats pass, and each group's deep nodes give further ones."""
-    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    """For mapInArrow over rows sorted by group: repeats pass, and each group's deep nodes give further ones. One group is held at a time."""
+    at, parts = None, []
     for batch in batches:
         group = batch.column(0).to_numpy(zero_copy_only=False)
         ready = group < 0
         if ready.any():
             yield batch.filter(pa.array(ready)).select(["doc_id", "key", "repeats"])
-        columns = [batch.column(i).to_pylist() for i in (4, 5, 6, 7)]
-        for i in np.flatnonzero(~ready):
-            h, docs, where, low = (c[i] for c in columns)
-            held.setdefault(int(group[i]), []).append((np.frombuffer(h, "<u8"), np.frombuffer(docs, "<i8").reshape(-1, 2), np.frombuffer(where, "<i4").reshape(-1, 3), np.frombuffer(low, np.uint8).reshape(-1, 5)))
-    for group in list(held):
-        parts = held.pop(group)
-        h, docs, where, low = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        out = _subtree(h, docs, where.astype(np.int64), low)
-        if out is not None:
-            yield out
-
-
-def _subtree(h, docs, where, low):
+        for i in np.flatnonzero(~ready).tolist():
+            if group[i] != at:
+                yield from _subtree(parts)
+                at, parts = group[i], []
+            h, docs, where, low = (batch.column(c)[i].as_py() for c in (4, 5, 6, 7))
+            parts.append((np.frombuffer(h, "<u8"), np.frombuffer(docs, "<i8").reshape(-1, 2), np.frombuffer(where, "<i4").reshape(-1, 3), np.frombuffer(low, np.uint8).reshape(-1, 5)))
+    yield from _subtree(parts)
+
+
+def _subtree(parts: list[tuple[np.ndarray, ...]]):
+    if not parts:
+        return
+    h, docs, where, low = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    where = where.astype(np.int64)
     # prefixes that only one suffix has lead to a leaf
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     shared = np.zeros(len(h), bool)
     shared[order] = np.r_[False, same] | np.r_[same, False]
     if not shared.any():
-        return None
+        return
     rank = np.zeros(len(h), np.int64)
     rank[order] = np.cumsum(np.r_[0, ~same])
     begins = np.cumsum(where[:, 2]) - where[:, 2]
@@ -251,9 +253,9 @@ def _subtree(h, docs, where, low):
     lead = np.maximum.accumulate(np.where(fresh, np.arange(len(p)), 0))
     again = order[(d != d[lead]) | (a != a[lead])]
     if not len(again):
-        return None
+        return
     by, key, runs = _repeat_rows(ids[again], docs[suffix[again], 1], place[again])
-    return pa.RecordBatch.from_arrays([pa.array(by), pa.array(key), runs], names=["doc_id", "key", "repeats"])
+    yield pa.RecordBatch.from_arrays([pa.array(by), pa.array(key), runs], names=["doc_id", "key", "repeats"])
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -266,7 +268,8 @@ def repeated_windows(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     groups = min(MAX_GROUPS, max(1, -(-int(size) // GROUP_BYTES)))
     bits = max(0, (groups - 1).bit_length())
     leaves = slim.mapInArrow(suffixes(bits, frequent_prefixes(slim, 1 << bits)), LEAF_SCHEMA)
-    dealt = leaves.repartition(max(1 << bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "grp")
+    parts = max(-(-(1 << bits) // 4), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = leaves.repartition(parts, "grp").sortWithinPartitions("grp")
     return dealt.mapInArrow(subtrees, "doc_id long, key long, repeats binary")
 
 
