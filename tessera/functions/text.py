@@ -6,13 +6,13 @@ separates words. Unicode composition (NFC) needs Python; all else is column expr
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 #: Ranges of code points that the forms name.
 MARKS_LOOSE = "ً-ٰٖۖ-ۭ"  # vowel marks and annotation signs
@@ -31,7 +31,7 @@ FOLD_FROM, FOLD_TO = "أإآٱىةؤئ", "اااايهوي"
 FOLD6_FROM, FOLD6_TO = FOLD_FROM[:6], FOLD_TO[:6]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
@@ -152,14 +152,14 @@ def _locate(text: str | None, find: str | None, nth: int, whole: bool) -> tuple[
     return None
 
 
-@F.pandas_udf("start int, end int")
+@F.pandas_udf(StructType().add("start", IntegerType()).add("end", IntegerType()))
 def locate_span(text: pd.Series, find: pd.Series, nth: pd.Series, whole: pd.Series) -> pd.DataFrame:
     """Half-open place, in the original, of the nth folded occurrence, marks behind it included; nulls if there is none."""
     got = [_locate(*row) or (None, None) for row in zip(text, find, nth, whole, strict=True)]
     return pd.DataFrame(got, columns=["start", "end"]).astype("Int32")
 
 
-@F.pandas_udf("length int, run string")
+@F.pandas_udf(StructType().add("length", IntegerType()).add("run", StringType()))
 def longest_shared_run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Longest run of words that both texts have, and the first such run of ``a``: an exact DP for pairs that a join has picked."""
 
@@ -179,11 +179,6 @@ def longest_shared_run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x, y) for x, y in zip(a, b, strict=True)], columns=["length", "run"]).astype({"length": "int32"})
 
 
-@F.pandas_udf("string")
-def _sha(c: pd.Series) -> pd.Series:
-    return c.map(lambda s: hashlib.sha256((s or "").encode()).hexdigest())
-
-
 def word_shingles(df: DataFrame, words: Column, keep: list[str], n: int = 4) -> DataFrame:
     """One row for each distinct n-word shingle of each row (as a 64-bit hash and its words)."""
     w = df.select(*keep, words.alias("_w")).filter(F.size("_w") >= n)
@@ -265,13 +260,13 @@ def tokenize_words(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-@F.pandas_udf("array<struct<word:string,start:int,end:int>>")
+@F.pandas_udf(ArrayType(StructType().add("word", StringType()).add("start", IntegerType()).add("end", IntegerType())))
 def words_with_places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda s: None if s is None else [dict(zip(("word", "start", "end"), w, strict=True)) for w in tokenize_words(s)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stage_vowelled(texts: pd.Series) -> pd.Series:
     """The text without marks, then with one more mark each, up to the whole."""
 
