@@ -47,7 +47,7 @@ def test_longest_run(spark):
 
 def test_directive_scanner():
     assert [d[2:] for d in P.scan_directives('x [[widget: {"a": "}]]"}}]] y [[beat]] [[widget: {"a" ]]')] == [("widget", '{"a": "}]]"}'), ("beat", "")]
-    assert P.balanced_end('{"a": "\\"}"}', 0) == 11
+    assert P.balanced_end('{"a": "\\"}"}', 0) == 12
     assert P.cut_tail("hello [[lo:a") == "hello " and P.cut_tail("hello [") == "hello "
 
 
