@@ -16,6 +16,7 @@ decode to U+FFFD; very long texts and words take more rounds, no other path; ext
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_array, gather, table
+from .common import binary_array, gather, span_hashes, table, text_blocks
 
-#: Fixed value: the public byte-level pre-tokenizer's pattern; \s is spelled as Unicode's White_Space.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE_WORDS = 400_000
+#: Fixed value: the public byte-level pre-tokenizer splits text as this pattern does; ``Pieces`` finds the same places in arrays.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CACHE_WORDS = 1_000_000  # about 40 bytes each
 CACHE_LETTERS = 64  # longer pieces are not kept
-BLOCK_CHARS = 2 << 20
+BLOCK_BYTES = 1 << 20
 MERGE_WORDS = 8192  # words in one flat array
 
 
@@ -46,6 +47,72 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(rest)) for b in range(256)]
 
 
+class Pieces:
+    """Places where the pieces of UTF-8 texts begin, by array rules over classes of code points."""
+
+    OTHER, LETTER, NUMBER, SPACE, ADDED = range(5)
+
+    def __init__(self, added: list[str]):
+        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        self.classes = np.zeros(0x110000, np.uint8)
+        for kind, pattern in ((self.LETTER, r"\p{L}+"), (self.NUMBER, r"\p{N}+"), (self.SPACE, r"\p{White_Space}+")):
+            self.classes[np.frombuffer("".join(regex.findall(pattern, everything)).encode("utf-32-le"), "<u4")] = kind
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in sorted(added, key=len, reverse=True))) if added else None
+
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Byte places of the first bytes of all pieces; no piece goes over a document's end."""
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        code = data[at].astype(np.int64)
+        wide = np.flatnonzero(code >= 0xC0)
+        if len(wide):
+            lead, place = code[wide], at[wide]
+            size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+            value = lead & np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07))
+            for k in (1, 2, 3):
+                more = size > k
+                value[more] = value[more] << 6 | (data[place[more] + k] & 0x3F)
+            code[wide] = value
+        n = len(at)
+        if not n:
+            return at
+        kind = self.classes[code]
+        fresh = np.zeros(n + 1, bool)  # a text begins here, as far as the rules see
+        fresh[np.searchsorted(at, offsets)] = True
+        if self.added and b"<" in (raw := data.tobytes()):
+            bounds = set(offsets.tolist())
+            for m in self.added.finditer(raw):
+                if not any(m.start() < x < m.end() for x in bounds) if len(bounds) < 64 else np.searchsorted(offsets, m.start(), side="right") == np.searchsorted(offsets, m.end(), side="left"):
+                    lo, hi = np.searchsorted(at, (m.start(), m.end()))
+                    kind[lo:hi] = self.ADDED
+                    fresh[lo] = fresh[hi] = True
+        first = fresh[:n].copy()
+        first[0] = True
+        first[1:] |= kind[1:] != kind[:-1]
+        run = np.flatnonzero(first)
+        end = np.r_[run[1:], n]
+        # the last white space before other text: a blank joins what follows, anything else stands alone
+        space = (kind[run] == self.SPACE) & ~fresh[end]
+        last, follows = end[space] - 1, end[space]
+        first[last] = True
+        first[follows[code[last] == 0x20]] = False
+        # contractions: an apostrophe that begins a piece, alone, before letters
+        quote = np.flatnonzero((code == 0x27) & first)
+        quote = quote[quote + 1 < n]
+        quote = quote[(kind[quote + 1] == self.LETTER) & ~fresh[quote + 1]]
+        if len(quote):
+            one = code[quote + 1]
+            next_ = np.minimum(quote + 2, n - 1)
+            two = np.where((quote + 2 < n) & ~fresh[next_], code[next_], 0)
+            short = np.isin(one, [ord(c) for c in "stmd"])
+            long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+            hit = short | long
+            first[quote[hit] + 1] = False
+            rest = quote[hit] + 2 + long[hit]
+            rest = rest[rest < n]
+            first[rest[kind[rest] == self.LETTER]] = True
+        return at[first]
+
+
 class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -66,36 +133,31 @@ class ByteBPE:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for token, i in self.added.items():
             self.bytes[i] = token.encode()
-        self.added_split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.pieces = regex.compile(PIECES).findall
+        self.pieces = Pieces(list(self.added))
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        """Known pieces: sorted hashes, and where the ids of each lie in ``flat``."""
+        self.known, self.place, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         for token, i in self.added.items():
-            self._learn([token], [np.array([i], np.int32)])
+            raw = np.frombuffer(token.encode(), np.uint8)
+            self._learn(span_hashes(raw, np.array([0]), np.array([len(raw)])), np.array([i], np.int32), np.array([1]))
 
-    def _learn(self, words: list[str], ids: list[np.ndarray]) -> None:
-        self._learn_flat(words, np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
-
-    def _learn_flat(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
-        n, k = len(self.known), len(words)
-        while self.used + len(flat) > len(self.flat):
+    def _learn(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add pieces; ``hashes`` are sorted and new."""
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + k > len(self.start):
-            self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.start[n : n + k] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + k] = lengths
-        self.used += len(flat)
-        self.known.update(zip(words, range(n, n + k), strict=True))
-
-    def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in one array, and how many each has."""
-        parts = [self._merge(words[a : a + MERGE_WORDS]) for a in range(0, len(words), MERGE_WORDS)]
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.place = np.insert(self.place, at, self.used + np.cumsum(lengths) - lengths)
+        self.length = np.insert(self.length, at, lengths)
+        self.used += len(ids)
+
+    def merge_words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given spans in one array, and how many each has."""
+        parts = [self._merge(self.first[data[gather(starts[a : a + MERGE_WORDS], lengths[a : a + MERGE_WORDS])]], lengths[a : a + MERGE_WORDS]) for a in range(0, len(starts), MERGE_WORDS)]
         if not parts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -111,9 +173,9 @@ class ByteBPE:
         out[inner[found]] = self.ranks[place[found]]
         return out
 
-    def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    def _merge(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = len(lengths)
+        owner = np.repeat(np.arange(words), lengths)
         never = len(self.ranks)
         rank = self._pair_ranks(symbols, owner, np.arange(len(symbols)))
         done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -143,43 +205,32 @@ class ByteBPE:
             changed = np.flatnonzero(beside)
             rank[changed] = self._pair_ranks(symbols, owner, changed)
         if not done:
-            return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+            return np.zeros(0, np.int32), np.zeros(words, np.int64)
         owner, symbols = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
         order = np.argsort(owner, kind="stable")
-        return symbols[order].astype(np.int32), np.bincount(owner, minlength=len(words))
-
-    def split(self, text: str) -> list[str]:
-        if self.added_split is None or not any(t in text for t in self.added):
-            return self.pieces(text)
-        out: list[str] = []
-        for part in self.added_split.split(text):
-            out += [part] if part in self.added else self.pieces(part)
-        return out
+        return symbols[order].astype(np.int32), np.bincount(owner, minlength=words)
 
-    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and how many each has."""
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            got = self.split(text)
-            counts[i] = len(got)
-            words += got
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a block (UTF-8 bytes and text bounds) in one array, and how many each has."""
+        starts = self.pieces.starts(data, offsets)
+        lengths = np.diff(np.r_[starts, len(data)])
+        names, some, piece = np.unique(span_hashes(data, starts, starts + lengths), return_index=True, return_inverse=True)
         if len(self.known) > CACHE_WORDS:
             self.forget()
-        new = [w for w in set(words).difference(self.known)]
-        if new:
-            self._learn_flat(new, *self.encode_pieces(new))
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        lengths = self.length[at]
-        ids = self.flat[gather(self.start[at], lengths)]
-        ends = np.r_[0, np.cumsum(lengths)]
-        bounds = ends[np.r_[0, np.cumsum(counts)]]
-        if any(len(w) > CACHE_LETTERS for w in new):
+        at = np.minimum(np.searchsorted(self.known, names), len(self.known) - 1)
+        new = some[self.known[at] != names] if len(self.known) else some
+        if len(new):
+            self._learn(names if not len(self.known) else names[self.known[at] != names], *self.encode_pieces(data, starts[new], lengths[new]))
+        at = np.searchsorted(self.known, names)[piece]
+        counts = self.length[at]
+        ids = self.flat[gather(self.place[at], counts)]
+        bounds = np.r_[0, np.cumsum(counts)][np.searchsorted(starts, offsets)]
+        if len(new) and lengths[new].max() > CACHE_LETTERS and self.used > 4 * CACHE_WORDS:
             self.forget()
         return ids, np.diff(bounds)
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.merge_words([w.encode() for w in pieces])
+    def encode_pieces(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.merge_words(data, starts, lengths)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
@@ -194,36 +245,24 @@ def loaded(path: str, kind: type[ByteBPE] = ByteBPE) -> ByteBPE:
     return _LOADED[kind, path]
 
 
-def char_blocks(texts: list[str | None], most: int = BLOCK_CHARS):
-    """Slices (from, to) of about ``most`` characters each."""
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "") + 16
-        if held >= most:
-            yield at, i + 1
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def with_end(ids: np.ndarray, counts: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and bounds of the texts, with an end id behind each text if one is given."""
+    bounds = np.r_[0, np.cumsum(counts)]
+    if end is None:
+        return ids, bounds
+    return np.insert(ids, bounds[1:], end), bounds + np.arange(len(bounds))
 
 
-def encoder(path: str, text: str, out: str, kind: type[ByteBPE] = ByteBPE, end: int | None = None):
+def encoder(path: str, text: str, out: str, kind: type[ByteBPE] = ByteBPE):
     """A function for mapInArrow: appends a binary column of little-endian unsigned 32-bit ids."""
 
     def run(batches):
         bpe = loaded(path, kind)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            for a in range(0, max(batch.num_rows, 1), 2048):
-                part = batch.slice(a, 2048)
-                strings = texts.slice(a, 2048).to_pylist()
-                for lo, hi in char_blocks(strings):
-                    ids, counts = bpe.encode_block([t or "" for t in strings[lo:hi]])
-                    bounds = np.r_[0, np.cumsum(counts)]
-                    if end is not None:
-                        ids = np.insert(ids, bounds[1:], end)
-                        bounds = bounds + np.arange(len(bounds))
-                    rows = part.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([*rows.columns, binary_array(ids.astype("<u4"), bounds * 4)], names=[*rows.schema.names, out])
+            for at, data, offsets in text_blocks(batch.column(batch.schema.get_field_index(text)), BLOCK_BYTES):
+                ids, bounds = with_end(*bpe.encode_block(data, offsets), None)
+                rows = batch.slice(at, len(offsets) - 1)
+                yield pa.RecordBatch.from_arrays([*rows.columns, binary_array(ids.astype("<u4"), bounds * 4)], names=[*rows.schema.names, out])
 
     return run
 

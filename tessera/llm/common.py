@@ -82,6 +82,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["r"], _POWERS["inv"]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    r, inv = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * r[: len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inv[starts]
+    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Words:
     """Words of a block of documents, as arrays: where each starts and ends in ``data``, and its document."""
 
@@ -102,13 +113,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes: differences of a running polynomial sum, moved to power 0."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        r, inv = _powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * r[: len(self.data)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * inv[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return span_hashes(self.data, self.starts, self.ends)
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:

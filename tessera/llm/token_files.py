@@ -13,7 +13,9 @@ empty table writes an empty file; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import ByteBPE, char_blocks, default_tokenizer, loaded
-from .common import scratch_path, table
+from .bpe import BLOCK_BYTES, ByteBPE, default_tokenizer, loaded, with_end
+from .common import scratch_path, table, text_blocks
 
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 #: Bytes of text for one part of the range-partitioned write.
 PART_BYTES = 32 << 20
+BATCH_ROWS = 1000  # documents of one Arrow batch on the way back from the files
 
 
 class LibraryBPE(ByteBPE):
@@ -41,31 +44,24 @@ class LibraryBPE(ByteBPE):
         self.library.no_padding()
         super().__init__(path)
 
-    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in got], np.int64)
-        return np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum())), lengths
+    def encode_pieces(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        got = [e.ids for e in self.library.encode_batch([raw[a : a + n].decode() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], add_special_tokens=False)]
+        counts = np.array([len(x) for x in got], np.int64)
+        return np.fromiter(chain.from_iterable(got), np.int32, int(counts.sum())), counts
 
 
 def _rows(path: str, end: int | None):
     def run(batches):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         bpe, at, part = loaded(path, LibraryBPE), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                rows = batch.slice(a, 1024)
-                strings = rows.column(1).to_pylist()
-                for lo, hi in char_blocks(strings):
-                    ids, counts = bpe.encode_block([t or "" for t in strings[lo:hi]])
-                    bounds = np.r_[0, np.cumsum(counts)]
-                    if end is not None:
-                        ids = np.insert(ids, bounds[1:], end)
-                        bounds = bounds + np.arange(len(bounds))
-                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([rows.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(at + bounds[:-1]), pa.array(np.diff(bounds)), lists], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
-                    at += int(bounds[-1])
+            for lo, data, offsets in text_blocks(batch.column(1), BLOCK_BYTES):
+                ids, bounds = with_end(*bpe.encode_block(data, offsets), end)
+                n = len(offsets) - 1
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(np.full(n, part, np.int32)), pa.array(at + bounds[:-1]), pa.array(np.diff(bounds)), lists], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
+                at += int(bounds[-1])
 
     return run
 
@@ -109,6 +105,7 @@ def _checksums(batches):
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, end=2)
     tokens = spark.read.schema(SCHEMA).parquet(path)
