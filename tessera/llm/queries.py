@@ -14,3 +14,38 @@ def queries():
 
     out = {name: getattr(importlib.import_module(f"tessera.llm.{module}"), name) for name, module in NAMES.items()}
     return {**out, "pipeline": corpus_pipeline.run}
+
+
+def _spans(kind: int, pattern: str, group: int, least: int) -> str:
+    at = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, {kind} AS kind, CAST({at} AS BIGINT) AS start, CAST({at} + length(m[i]) AS BIGINT) AS "end" FROM (
+      SELECT doc_id, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS g FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))
+      WHERE length(v[i]) >= {least}"""
+
+
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)"""
+
+OP1 = f"""WITH s AS ({_spans(0, _ASSIGN, 2, 6)} UNION ALL {_spans(1, "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_spans(2, "[0-9a-f]+", 0, 24)}),
+a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || start || ':' || "end", ',' ORDER BY start, kind) AS spans FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN a USING (doc_id)"""
+
+OP2 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20"""
+
+OP3 = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(l[i:i + 19], ' ')) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 18)) AS i FROM w WHERE len(l) >= 20)),
+rep AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM rep, range(20) r(k)),
+word AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM w),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) AS t, count(*) AS n FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i WHERE gone.i IS NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(len(l) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for the queries that it can express; the others are tested against plain versions of their contracts."""
+    return {"op1_secret_scan": OP1, "op2_top_k": OP2, "op3_substring_dedup": OP3}
