@@ -1,8 +1,8 @@
 """Reachability, layers, cycles, lineage and adjacency over edge tables (src_id, dst_id, edge_type).
 
-Iterative operators run a driver loop over DataFrames. Only row counts come to the driver; every
-``every`` rounds the frontier is checkpointed to ``spark.checkpoint.dir`` (if one is set), so lineage
-stays short and survives lost executors. Loops end on cyclic data, since known pairs are never added.
+Iterative operators run a driver loop over DataFrames. Only row counts come to the driver; each
+round is checkpointed to ``spark.checkpoint.dir`` (if one is set), so lineage stays short and
+survives lost executors. Loops end on cyclic data, since known pairs are never added.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def reachable(edges: DataFrame, roots: DataFrame, forward: bool = True, max_roun
     ``edges`` is (src_id, dst_id); ``roots`` is (root). Semi-naive: each round follows the new pairs only.
     """
     a, b = ("src_id", "dst_id") if forward else ("dst_id", "src_id")
-    step = edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct()
+    step = cut(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct())
     seen = new = cut(roots.select("root", F.col("root").alias("id")).distinct())
     for _ in range(max_rounds):
         new = cut(new.join(step, "id").select("root", F.col("next").alias("id")).distinct().join(seen, ["root", "id"], "left_anti"))
@@ -43,6 +43,7 @@ def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) ->
 
     At most as many rounds as nodes, so cyclic data ends too (its layers then depend on the bound).
     """
+    edges = cut(edges.select("src_id", "dst_id").distinct())
     known = nodes.select("id").union(edges.select("src_id")).union(edges.select("dst_id")).distinct()
     state = cut(known.select("id", F.lit(0).alias("layer")))
     limit = state.count() if max_rounds is None else max_rounds
@@ -69,7 +70,7 @@ def cycle_members(edges: DataFrame) -> DataFrame:
 
 def prerequisite_chain(edges: DataFrame, roots: DataFrame, max_depth: int = 100, min_depth_only: bool = False) -> DataFrame:
     """(root, id, depth): every depth at which a node occurs below a root, or the least one only."""
-    step = edges.select(F.col("dst_id").alias("id"), F.col("src_id").alias("next")).distinct()
+    step = cut(edges.select(F.col("dst_id").alias("id"), F.col("src_id").alias("next")).distinct())
     level = cut(roots.select("root", F.col("root").alias("id")).distinct())
     out = level.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
@@ -170,7 +171,8 @@ def barycentric_order(nodes: DataFrame, edges: DataFrame, layered: DataFrame, ma
 
     Layer after layer, since each depends on the one above; rows stay in tables.
     """
-    info = nodes.join(layered, "id").select("id", "layer", "order_in_parent")
+    edges = cut(edges.select("src_id", "dst_id"))
+    info = cut(nodes.join(layered, "id").select("id", "layer", "order_in_parent"))
     sizes = cut(info.groupBy("layer").agg(F.count(F.lit(1)).alias("_n")))
     placed = None
     for layer in range(min(max_layers, (layered.agg(F.max("layer")).first()[0] or 0) + 1)):
