@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Fixed value: the ASCII white space bytes that separate words (0x20 and 0x09 to 0x0D).
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCK_BYTES = 4 << 20  # text handled by one round of numpy work
+BATCH_BYTES = 8 << 20  # of one Arrow batch
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -56,6 +57,11 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on Arrow batches to Python workers hold ``most`` bytes (and one row) at most: the session's default of 64 MB is held several times by each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finalizer."""
     x = x ^ (x >> np.uint64(30))

@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, binary_array, gather, materialize, pair_hash, table, text_blocks
+from .common import Words, binary_array, gather, materialize, pair_hash, small_batches, table, text_blocks
 
 WIDTH, PREFIX = 20, 5
-GROUP_BYTES = 8 << 20  # text whose suffixes make one group
+GROUP_BYTES = 4 << 20  # text whose suffixes make one group
 BLOCK = 2 << 20  # text of a block on the map side
 MAX_GROUPS = 1 << 20
 MAX_FREQUENT = 1 << 16  # frequent prefixes: no more can have such a share each
@@ -263,6 +263,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
 
     ``key`` is a hash of the text that keeps rows with equal ids apart; null ids are NULL_ID.
     """
+    small_batches(docs.sparkSession)  # a row holds a block's suffixes of a group
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = min(MAX_GROUPS, max(1, -(-int(size) // GROUP_BYTES)))
