@@ -242,8 +242,8 @@ def earliest_longest(c: Column, options: list[str]) -> Column:
 
 
 def bare_word(c: Column) -> Column:
-    """A word without one leading conjunction or preposition letter and article."""
-    return F.regexp_replace(F.regexp_replace(c, "^[وفبكل](?=\\p{L}{3,})", ""), "^ال(?=\\p{L}{2,})", "")
+    """A word without a leading conjunction, a preposition letter before the article, and the article."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^و", ""), "^[بلك](?=ال)", ""), "^ال", "")
 
 
 def truncate(c: Column, n: int) -> Column:
@@ -277,3 +277,65 @@ def stage_vowelled(texts: pd.Series) -> pd.Series:
         return ["".join(ch for i, ch in enumerate(s) if i not in set(places[k:])) for k in range(len(places) + 1)]
 
     return texts.map(stages)
+
+
+@F.pandas_udf(StructType().add("folded", StringType()).add("places", ArrayType(IntegerType())))
+def fold_for_match(texts: pd.Series) -> pd.DataFrame:
+    """The folded text, and for each of its characters the place in the original."""
+    got = [(None, None) if s is None else _folded_with_places(s) for s in texts]
+    return pd.DataFrame(got, columns=["folded", "places"])
+
+
+def strip_marks(c: Column) -> Column:
+    return F.regexp_replace(c, f"[{MARKS_WIDE}]", "")
+
+
+#: Names of the vowel marks.
+MARK_NAMES = {"fatha": "َ", "damma": "ُ", "kasra": "ِ", "sukun": "ْ", "shadda": "ّ", "fathatan": "ً", "dammatan": "ٌ", "kasratan": "ٍ"}
+
+
+def _is_mark(ch: str) -> bool:
+    return 0x64B <= ord(ch) <= 0x65F or ord(ch) == 0x670
+
+
+@F.pandas_udf(StructType().add("start", IntegerType()).add("end", IntegerType()).add("letter", IntegerType()))
+def locate_mark(text: pd.Series, find: pd.Series, on: pd.Series, expect: pd.Series) -> pd.DataFrame:
+    """Marks on one letter (by its place in the word, -1 for the last) of a found word; nulls if it has none, or not the expected one."""
+
+    def one(s, word, at, name):
+        span = _locate(s, word, 1, False)
+        letters = [i for i in range(*span) if not _is_mark(s[i])] if span else []
+        if not letters:
+            return None, None, None
+        letter = letters[-1] if at < 0 else letters[min(at, len(letters) - 1)]
+        end = next((i for i in range(letter + 1, len(s)) if not _is_mark(s[i])), len(s))
+        missing = name in MARK_NAMES and MARK_NAMES[name] not in s[letter + 1 : end]
+        return (None, None, None) if end == letter + 1 or missing else (letter + 1, end, letter)
+
+    return pd.DataFrame([one(*row) for row in zip(text, find, on, expect, strict=True)], columns=["start", "end", "letter"]).astype("Int32")
+
+
+def find_span(quote: Column, units: Column) -> Column:
+    """On composed texts (``nfc``), struct (unit, words): the first unit, from 1, with a run of words that equal the quote's under the loose fold, as it is written there; null if there is none."""
+    wanted = F.filter(F.split(fold_loose(quote), " "), lambda w: w != "")
+
+    def run(unit: Column, n: Column) -> Column:
+        words = F.filter(F.split(unit, r"\s+"), lambda w: w != "")
+        folded = F.transform(words, fold_loose)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - F.size(wanted) + 1, F.lit(1))), lambda p: F.slice(folded, p, F.size(wanted)) == wanted)
+        return F.when(F.size(starts) > 0, F.struct((n + 1).alias("unit"), F.array_join(F.slice(words, F.get(starts, F.lit(0)), F.size(wanted)), " ").alias("words")))
+
+    return F.when(F.size(wanted) > 0, F.get(F.array_compact(F.transform(units, run)), F.lit(0)))
+
+
+def match_run(text: Column, quote: Column) -> Column:
+    """Struct (start, end): places (from 0) of the first run of words of a text that equal the quote's words; words of punctuation alone are seen through."""
+    bare = lambda w: F.array_join(fold_words(w), "")
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    solid = F.filter(F.transform(words, lambda w, i: F.struct(bare(w).alias("w"), i.alias("i"))), lambda x: x["w"] != "")
+    wanted = F.filter(F.transform(F.split(quote, r"\s+"), bare), lambda w: w != "")
+    names = F.transform(solid, lambda x: x["w"])
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(names) - F.size(wanted) + 1, F.lit(1))), lambda p: F.slice(names, p, F.size(wanted)) == wanted)
+    first = F.get(starts, F.lit(0))
+    begin = F.when(first == 1, F.lit(0)).otherwise(F.get(solid, first - 2)["i"] + 1)
+    return F.when((F.size(wanted) > 0) & first.isNotNull(), F.struct(begin.alias("start"), F.get(solid, first + F.size(wanted) - 2)["i"].alias("end")))

@@ -188,10 +188,10 @@ def _(t):
     return r.select("id", "r.score", "r.verdict", F.when(F.col("r").isNotNull(), F.size("r.strengths")).alias("strengths"))
 
 
-@query("c9_json_strings", "SELECT event_id, '$.t' AS path, event_type AS text FROM events WHERE event_id < 500 UNION ALL SELECT event_id, '$.l[1]', 'x' FROM events WHERE event_id < 500", prelude=False)
+@query("c9_json_strings", "SELECT event_id, '$.t' AS path, event_type AS text FROM events UNION ALL SELECT event_id, '$.l[1]', 'x' FROM events", prelude=False)
 def _(t):
     t.spark.udtf.register("json_strings", P.JsonStrings)
-    e = t.raw("events").filter("event_id < 500").select("event_id", F.to_json(F.struct(F.col("event_type").alias("t"), F.col("user_id").alias("u"))).alias("j"))
+    e = t.raw("events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("t"), F.col("user_id").alias("u"))).alias("j"))
     e.select("event_id", F.expr("concat(left(j, length(j) - 1), ',\"l\":[1,\"x\"]}')").alias("j")).createOrReplaceTempView("tessera_json")
     return t.spark.sql("SELECT e.event_id, s.path, s.text FROM tessera_json e, LATERAL json_strings(e.j) s")
 
@@ -396,9 +396,9 @@ def _(t):
     return gates.resolve_sources(b, t.spark.createDataFrame([], "path string, sha256 string"), "n_regionkey", "n_nationkey").select("n_nationkey", "resolved")
 
 
-@query("v22_preflight", "SELECT 'V22' AS rule, lo_id AS id, 'collision' AS detail FROM lo_keys WHERE k < 40 AND c_nationkey != 3 UNION ALL SELECT 'V22', 'lo:none', 'unresolved'")
+@query("v22_preflight", "SELECT 'V22' AS rule, lo_id AS id, 'collision' AS detail FROM lo_keys WHERE c_nationkey = 4 UNION ALL SELECT 'V22', 'lo:none', 'unresolved'")
 def _(t):
-    batch = t.lo_keys.filter("k < 40").selectExpr("lo_id AS id")
+    batch = t.lo_keys.filter("c_nationkey IN (3, 4)").selectExpr("lo_id AS id")
     externals = t.spark.createDataFrame([("lo:none",), ("m:1",)], "id string")
     return gates.preflight(t.nodes.filter("id = 'c:1'"), batch, t.nodes, t.lo_keys.filter("c_nationkey = 3").selectExpr("lo_id AS id"), externals)
 
@@ -460,7 +460,7 @@ def _(t):
 
 @query("n4_study_plan")
 def _(t):
-    return views.plan_of(t, t.students, F.col("k") < 200)
+    return views.plan_of(t, t.students, F.col("c_nationkey") == 3)  # one module
 
 
 views.register(query, SLUG, pre)
@@ -482,9 +482,9 @@ def stream_of(t, name: str):
     return t.spark.readStream.schema(t.raw(name).schema).parquet(f"{t.sf_dir}/{name}.parquet*")
 
 
-@query("st1_stream_mastery", "SELECT student_id, lo_id, n, round(score, 9) AS score, system_from FROM mastery WHERE student_id < 20")
+@query("st1_stream_mastery", "SELECT student_id, lo_id, n, round(score, 9) AS score, system_from FROM mastery")
 def _(t):
-    s = stream_of(t, "events").filter("user_id < 20").selectExpr("event_id AS id", "user_id AS student_id", "CAST(get_json_object(props, '$.k') AS BIGINT) % 25 AS k", "value > 50 AS is_correct", "ts AS attempted_at")
+    s = stream_of(t, "events").selectExpr("event_id AS id", "user_id AS student_id", "CAST(get_json_object(props, '$.k') AS BIGINT) % 25 AS k", "value > 50 AS is_correct", "ts AS attempted_at")
     s = s.join(F.broadcast(t.lo_keys.filter("k < 25").select("k", "lo_id")), "k").drop("k")
     return run_stream(t, stateful.update_mastery(s), "st1").withColumn("score", F.round("score", 9))
 
@@ -494,9 +494,9 @@ def _(t):
     return t.mastery.select("student_id", "lo_id", "system_from", "system_to")
 
 
-@query("st3_stream_guard", "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations WHERE conv_id < 30 GROUP BY 1", prelude=False)
+@query("st3_stream_guard", "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1", prelude=False)
 def _(t):
-    s = stream_of(t, "conversations").filter("conv_id < 30")
+    s = stream_of(t, "conversations")
     last = t.raw("conversations").groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("last"))
     s = s.join(F.broadcast(last), F.col("conv_id") == F.col("c")).selectExpr("CAST(conv_id AS STRING) AS session", "turn AS position", "text AS delta", "turn = last AS is_end")
     out = run_stream(t, stateful.guard_stream(s, ["words that no conversation ever holds"]), "st3")

@@ -5,7 +5,7 @@ import pytest
 from tessera.queries import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
