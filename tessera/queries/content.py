@@ -56,7 +56,7 @@ def _(t):
     return m.select("id", "m.start", "m.end", "m.letter")
 
 
-@query("x12_find_span", "SELECT item_id, 1 AS unit, array_to_string(string_split(text, ' ')[2:4], ' ') AS words FROM benchmark", prelude=False)
+@query("x12_find_span", r"SELECT item_id, 1 AS unit, regexp_replace(array_to_string(string_split(text, ' ')[2:4], ' '), '\s+', ' ', 'g') AS words FROM benchmark", prelude=False)
 def _(t):
     quote = F.array_join(F.slice(F.split("text", " "), 2, 3), " ")
     found = t.raw("benchmark").select("item_id", T.find_span(quote, F.array("text", F.lit("other"))).alias("s"))
