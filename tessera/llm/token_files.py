@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +45,9 @@ class LibraryBPE(ByteBPE):
 
     def encode_pieces(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
-        got = [e.ids for e in self.library.encode_batch([raw[a : a + n].decode() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], add_special_tokens=False)]
-        counts = np.array([len(x) for x in got], np.int64)
-        return np.fromiter(chain.from_iterable(got), np.int32, int(counts.sum())), counts
+        # one call and one result for all pieces; word_ids say which piece an id comes from
+        got = self.library.encode([raw[a : a + n].decode() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], is_pretokenized=True, add_special_tokens=False)
+        return np.array(got.ids, np.int32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(starts))
 
 
 def _rows(path: str, end: int | None):
