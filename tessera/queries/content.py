@@ -225,8 +225,7 @@ def _(t):
 
 @query("b7_full_reload", "SELECT id, kind, label FROM nodes")
 def _(t):
-    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/tessera-streams"
-    path = f"{root.rstrip('/')}/reload-{uuid.uuid4().hex}"
+    path = f"{sinks.shared_folder(t.spark)}/reload-{uuid.uuid4().hex}"
     sinks.write_snapshot({"nodes": t.nodes.select("id", "kind", "label")}, path)
     return sinks.read_snapshot(t.spark, path)["nodes"]
 

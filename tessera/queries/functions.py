@@ -13,6 +13,7 @@ from tessera.operators import gates, graph, rollup, temporal
 from tessera.plans import study_plan, views
 from tessera.queries.registry import query
 from tessera.queries.relational import SLUG, pre
+from tessera.sources.sinks import shared_folder
 from tessera.streaming import stateful
 
 PUNCT = r"[!-/:-@\[-`{-~]"
@@ -472,8 +473,7 @@ _ = graph, study_plan
 
 def run_stream(t, out, name: str, mode: str = "append"):
     """Run a stream over what there is, into a table in the shared folder; read that."""
-    root = t.spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file:///tmp/tessera-streams"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
     out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(out.schema).parquet(f"{path}/out")
 

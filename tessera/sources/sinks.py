@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, the warehouse on a cluster and a temporary folder in local mode (tests)."""
+    conf = spark.sparkContext.getConf()
+    master = conf.get("spark.master", "local")
+    alone = master.startswith("local") and "cluster" not in master
+    root = conf.get("spark.checkpoint.dir", None) or (f"file://{tempfile.gettempdir()}/tessera-streams" if alone else spark.conf.get("spark.sql.warehouse.dir"))
+    return root.rstrip("/")
+
+
 def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
     """All tables of one snapshot; each folder gets its success mark from the committer, the manifest comes last."""
     spark = next(iter(tables.values())).sparkSession
