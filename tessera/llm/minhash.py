@@ -8,14 +8,16 @@ them), both in logarithmic steps. Frequent shingles are found by a lossy count:
 
 1. Equal texts are one node, addressed by their MD5. Each node gets ``SAMPLES`` consistent samples
    in bands of ``ROWS``, and one byte of each sample as a sketch.
-2. In every bucket of a band, members are paired with a few centres (the least node and seeded
-   picks), never with each other: rows stay linear in the members. Sketches drop pairs far below
-   the threshold, and pairs within one component are not needed.
+2. In every bucket of a band, members are paired with a few centres first (the least node and a seeded
+   pick): rows stay linear in the members. Sketches drop pairs far below the threshold, and pairs
+   within one component are not needed.
 3. What is left is verified on whole texts: weighted Jaccard similarity, and for pairs that differ
    in frequent shingles only, plain Jaccard similarity of the shingle sets, of 0.8 or more.
 4. Components by label propagation with pointer jumping. Each node is verified against its likeliest
-   centre first, then the pairs that still join two components. Buckets that hold several components
-   are dealt again with other centres, until a turn links nothing, ``ROUNDS`` times at most.
+   centre first, then the pairs that still join two components.
+5. The exact rest: in buckets that still hold several components every pair of members in different
+   components has its sketches compared, block by block inside the tasks, and is verified if they are
+   near enough. So each pair of nodes that share a bucket is tested or lies within one component.
 
 Result: one row for each row of the input with its class (least id of it).
 
@@ -30,10 +32,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, binary_array, materialize, mix, pair_hash, table, text_blocks
+from .common import Words, binary_array, gather, materialize, mix, pair_hash, table, text_blocks
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -41,8 +44,10 @@ SAMPLES = BANDS * ROWS
 #: A sketch of equal bytes for so many samples can't be rejected: six standard deviations below the mean at the threshold with 10 % less for weights.
 LEAST_EQUAL = 34
 RARE, CHUNK = 0.01, 1000
-ROUNDS = 3
 CENTRES = 2
+REST_BLOCK, REST_PAIRS = 2048, 1 << 17  # members of a block of a bucket, pairs looked at at once
+#: Pairs whose ends both have more partners than DENSE are verified in tiles that hold each text once, of so many texts and bytes a side.
+DENSE, TILE_NODES, TILE_BYTES = 16, 1000, 4 << 20
 BROADCAST_NODES = 100_000  # 16 bytes each
 STEPS = 8  # weights are rounded to whole steps of 1/8 in their logarithm
 LEVELS = 128
@@ -193,6 +198,74 @@ def _equal_samples(batches):
         yield rows.filter(pa.array(equal >= LEAST_EQUAL))
 
 
+def _rest_pairs(batches):
+    """(centre, node, equal) of all pairs of a tile that lie in different components and whose sketches are near enough; rows come sorted by tile."""
+
+    def pairs(t):
+        band, i, j, block = (t.column(c).to_numpy() for c in ("band", "i", "j", "block"))
+        comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        node = t.column("node").combine_chunks()
+        n = len(band)
+        last = np.flatnonzero(np.r_[(band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+        later = last[np.searchsorted(last, np.arange(n))] - np.arange(n)  # members after each in its tile
+        before = np.r_[0, np.cumsum(later)]
+        at = 0
+        while at < n:
+            end = min(n, max(at + 1, int(np.searchsorted(before, before[at] + REST_PAIRS, side="right")) - 1))
+            a, b = np.repeat(np.arange(at, end), later[at:end]), gather(np.arange(at, end) + 1, later[at:end])
+            # pairs within one block belong to the tile of that block with itself
+            wanted = (comp[a] != comp[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
+            a, b = a[wanted], b[wanted]
+            equal = (sketch[a] == sketch[b]).sum(1)
+            near = equal >= LEAST_EQUAL
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(a[near])), node.take(pa.array(b[near])), pa.array(equal[near], pa.int32())], names=["centre", "node", "equal"])
+            at = end
+
+    kept = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if kept is None else pa.concat_tables([kept, t])
+        keys = [t.column(c).to_numpy() for c in ("band", "i", "j")]
+        whole = int(np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])[-1]) if t.num_rows else 0
+        if whole:
+            yield from pairs(t.slice(0, whole))
+        kept = t.slice(whole)  # the last tile may go on
+    if kept is not None and kept.num_rows:
+        yield from pairs(kept)
+
+
+def _verify_tile(weights: Weights, threshold: float):
+    """Of the pairs (a, b) of a tile those that are similar by the tile's texts (node, text); each text is cut into shingles once."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        pairs = pairs.select(["a", "b"]).combine_chunks()
+        names, n = texts.column("node").combine_chunks(), texts.num_rows
+        got = [(row + at, value, count) for at, data, offsets in text_blocks(texts.column("text")) for row, value, count in [shingles(data, offsets)]]
+        row, value, count = (np.concatenate([g[k] for g in got]) for k in range(3))
+        w = np.exp(weights.levels(value, count) / STEPS)
+        distinct, key = np.unique(value, return_inverse=True)
+        starts = np.searchsorted(row, np.arange(n + 1))
+        lengths, total = np.diff(starts), np.bincount(row, w, n)
+        ia, ib = (pc.index_in(pairs.column(c), value_set=names).to_numpy() for c in ("a", "b"))
+        order = np.argsort(ia, kind="stable")
+        near = np.zeros(len(order), bool)
+        of_a = np.zeros(len(distinct))
+        for part in np.split(order, np.flatnonzero(np.diff(ia[order])) + 1):
+            a, b = ia[part[0]], ib[part]
+            mine = slice(starts[a], starts[a + 1])
+            of_a[key[mine]] = w[mine]
+            at, pair = gather(starts[b], lengths[b]), np.repeat(np.arange(len(b)), lengths[b])
+            here = of_a[key[at]]
+            shared, shared_n = np.bincount(pair, np.minimum(here, w[at]), len(b)), np.bincount(pair, here > 0, len(b))
+            weighted = shared / np.maximum(total[a] + total[b] - shared, 1e-300)
+            near[part] = np.maximum(weighted, shared_n / np.maximum(lengths[a] + lengths[b] - shared_n, 1)) >= threshold - 1e-12
+            of_a[key[mine]] = 0
+        return pairs.filter(pa.array(near))
+
+    return run
+
+
 def _verify(weights: Weights, threshold: float):
     def sums(column):
         texts = pa.array([t or "" for t in column.to_pylist()], pa.large_string())
@@ -265,25 +338,53 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     labels = spark.createDataFrame([], "node binary, comp binary")
     links = tested = spark.createDataFrame([], "a binary, b binary")
 
-    def candidates(turn: int) -> DataFrame:
-        """(centre, node, equal) of the pairs of this turn whose sketches are near enough."""
-        here = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        seeded = [F.min("node") if turn + i == 0 else F.min_by("node", F.xxhash64("node", F.lit(CENTRES * turn + i))) for i in range(CENTRES)]
-        centres = here.groupBy("band").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most"), F.array_distinct(F.array(*seeded)).alias("_c")).filter("_least != _most")
-        centres = centres.select("band", F.explode("_c").alias("centre"))
-        own = labels.withColumnsRenamed({"node": "centre", "comp": "_centre"})
-        pairs = here.join(centres, "band").filter(F.col("node") != F.col("centre")).join(own, "centre", "left").filter(F.col("comp") != F.coalesce("_centre", "centre"))
-        pairs = pairs.select("centre", "node").distinct()
-        if turn:
-            pairs = pairs.withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")}).join(tested, ["a", "b"], "left_anti").select("centre", "node")
+    def members_of() -> DataFrame:
+        """Members (band, node, comp) of the buckets, with the components that are known now."""
+        return buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def starred() -> DataFrame:
+        """(centre, node, equal) of the pairs of members with centres whose sketches are near enough."""
+        here = members_of()
+        seeded = [F.min("node") if i == 0 else F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(CENTRES)]
+        centres = here.groupBy("band").agg(F.array_distinct(F.array(*seeded)).alias("_c")).select("band", F.explode("_c").alias("centre"))
+        pairs = here.join(centres, "band").filter(F.col("node") != F.col("centre")).select("centre", "node").distinct()
         pairs = pairs.join(sketch.withColumnRenamed("sketch", "sketch_b"), "node").join(sketch.withColumnsRenamed({"node": "centre", "sketch": "sketch_a"}), "centre")
         return materialize(pairs.mapInArrow(_equal_samples, "centre binary, node binary, equal int"), "pairs")
 
+    def rest() -> DataFrame:
+        """The same of all pairs of a bucket in different components that were not looked at yet. A bucket of two members was."""
+        here = members_of()
+        several = here.groupBy("band").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most"), F.count(F.lit(1)).alias("_n")).filter("_least != _most AND _n > 2")
+        blocks = several.select("band", F.ceil(F.col("_n") / REST_BLOCK).cast("int").alias("_blocks"))
+        here = here.join(blocks, "band").join(sketch, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+        here = here.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        tiles = here.select("band", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "node", "comp", "sketch").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+        pairs = tiles.mapInArrow(_rest_pairs, "centre binary, node binary, equal int")
+        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "equal").distinct().join(tested, ["a", "b"], "left_anti")
+        return materialize(pairs.select(F.col("a").alias("centre"), F.col("b").alias("node"), "equal"), "pairs")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar by their texts. Texts come by a broadcast of the node list if it is short, else by shuffle."""
-        nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")), "nodes")
         wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
         texts = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+        crowd = nodes.filter(F.col("n") > DENSE).select("node")
+        if not crowd.isEmpty():
+            # a group of many pairs for each text: a pair with two texts for each would be quadratic in bytes
+            texts = materialize(texts, "texts")
+            many = lambda c: crowd.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}"))
+            told = materialize(pairs.join(many("a"), "a", "left").join(many("b"), "b", "left").select("a", "b", F.coalesce(F.col("_a") & F.col("_b"), F.lit(False)).alias("dense")), "told")
+            pairs, packed = told.filter("NOT dense").select("a", "b"), told.filter("dense").select("a", "b")
+            if not packed.isEmpty():
+                size = texts.join(crowd, "node", "left_semi").agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+                k = max(1, -(-size[0] // TILE_NODES), -(-size[1] // TILE_BYTES))
+                packed = packed.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(k)).alias("i"), F.pmod(F.xxhash64("b"), F.lit(k)).alias("j"))
+                needed = packed.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node")
+                near = packed.groupBy("i", "j").cogroup(needed.groupBy("_i", "_j")).applyInArrow(_verify_tile(weights, threshold), "a binary, b binary")
+                return materialize(near, "verified").unionByName(paired(pairs, texts))
+        return paired(pairs, texts)
+
+    def paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
         return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a binary, b binary"), "verified")
 
@@ -293,25 +394,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
         return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
     ordered = lambda df: df.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    for turn in range(ROUNDS):
-        pending = candidates(turn)
-        found = 0
-        if not turn:
-            # each node against its likeliest centre; that joins most of what belongs together, so few pairs are left to look at
-            best = pending.groupBy("node").agg(F.max_by("centre", F.struct("equal", "centre")).alias("centre"))
-            near = verified(materialize(best.select(F.col("centre").alias("a"), F.col("node").alias("b")), "best"))
-            links = links.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            labels = components(near, labels)
+    for offered in (starred, rest):
+        pending = offered()
+        if pending.isEmpty():
+            continue
+        # each node against its likeliest partner; that joins most of what belongs together, so few pairs are left to look at
+        best = pending.groupBy("node").agg(F.max_by("centre", F.struct("equal", "centre")).alias("centre"))
+        near = verified(materialize(ordered(best), "best"))
+        links = links.unionByName(near)
+        labels = components(near, labels)
         left = materialize(apart(ordered(pending)), "left")
         if not left.isEmpty():
             near = verified(left)
-            found = near.count()
             links = links.unionByName(near)
-            if found:
+            if not near.isEmpty():
                 labels = components(near, labels)
-        tested = tested.unionByName(ordered(pending))
-        if turn and not found:
-            break
+        tested = ordered(pending)
     return labels, links
 
 
