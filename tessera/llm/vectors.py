@@ -47,12 +47,13 @@ def blocked_search(vectors: DataFrame, queries: DataFrame, k: int, search: Calla
     tile = lambda a, b: F.struct(a.alias("b"), b.alias("q"))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     query_block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    vec = vectors.select(F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("row"), "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(query_blocks - 1)), lambda q: tile(block, q))).alias("tile"))
-    # a query's row number is only a name for it, to keep repeated ids apart
-    qs = queries.select(F.lit(1).alias("side"), "id", F.xxhash64("id", "v").alias("row"), "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: tile(b, query_block))).alias("tile"))
+    vec = vectors.select(F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("copies"), "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(query_blocks - 1)), lambda q: tile(block, q))).alias("tile"))
+    # a query's row number is only a name for it, to keep repeated ids apart; equal rows are searched once and their result is given for each copy
+    queries = queries.groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies"))
+    qs = queries.select(F.lit(1).alias("side"), "id", F.xxhash64("id", "v").alias("row"), "copies", "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: tile(b, query_block))).alias("tile"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "row": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=score)})
+        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "row": pd.Series(dtype="int64"), "copies": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=score)})
         is_query = frame["side"].to_numpy() == 1
         if not is_query.any() or is_query.all():
             return empty
@@ -60,20 +61,21 @@ def blocked_search(vectors: DataFrame, queries: DataFrame, k: int, search: Calla
         x = np.zeros((len(frame), width))
         for i, v in enumerate(frame["v"]):
             x[i, : len(v)] = v
-        ids, rows = frame["id"].to_numpy(), frame["row"].to_numpy()
+        ids, rows, copies = frame["id"].to_numpy(), frame["row"].to_numpy(), frame["copies"].to_numpy()
         order = np.argsort(ids[~is_query], kind="stable")
         cand_ids, cands = ids[~is_query][order], x[~is_query][order]
         parts = []
-        q_ids, q_rows, q = ids[is_query], rows[is_query], x[is_query]
+        q_ids, q_rows, q_copies, q = ids[is_query], rows[is_query], copies[is_query], x[is_query]
         for a in range(0, len(q), 256):
             at, found, scores = search(q_ids[a : a + 256], q[a : a + 256], cand_ids, cands)
-            parts.append(pd.DataFrame({"query_id": q_ids[a + at], "row": q_rows[a + at], "vec_id": found, "score": scores}))
+            parts.append(pd.DataFrame({"query_id": q_ids[a + at], "row": q_rows[a + at], "copies": q_copies[a + at], "vec_id": found, "score": scores}))
         return pd.concat(parts) if parts else empty
 
-    best = vec.unionByName(qs).groupBy("tile").applyInPandas(run, f"query_id long, row long, vec_id long, score {'long' if score == 'int64' else 'double'}")
+    best = vec.unionByName(qs).groupBy("tile").applyInPandas(run, f"query_id long, row long, copies long, vec_id long, score {'long' if score == 'int64' else 'double'}")
     order = F.col("score").desc() if best_first_desc else F.col("score").asc()
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "row").orderBy(order, F.col("vec_id"))))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = ranked.filter(F.col("rank") <= k)
+    return best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("query_id", "rank", "vec_id", "score")
 
 
 def accumulate_scores(q: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:

@@ -286,3 +286,16 @@ def test_line_features_of_odd_blocks():
     x, size, counts = quality.line_features(data, offsets)
     assert counts.tolist() == [len((t or "").split("\n")) for t in texts]
     assert size.tolist() == [len(line) for t in texts for line in (t or "").split("\n")] and np.isfinite(x).all() and (x >= 0).all()
+
+
+def test_repeated_queries_get_whole_lists(spark):
+    """Query 20 stands twice with equal vectors: each copy gets its k best, and the rows of another query stay as they are."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(101)]
+    rows.append(rows[20])
+    vecs = spark.createDataFrame(rows, "id long, v array<double>")
+    for search, k in ((vectors.top_k_exact, 20), (vectors.nearest_by_hashing, 10)):
+        once = Counter(map(tuple, search(vecs, spark.createDataFrame([rows[20], rows[40]], vecs.schema)).collect()))
+        twice = Counter(map(tuple, search(vecs, spark.createDataFrame([rows[20], rows[40], rows[20]], vecs.schema)).collect()))
+        assert sum(n for r, n in once.items() if r[0] == 20) == k
+        assert twice == Counter({r: n * (2 if r[0] == 20 else 1) for r, n in once.items()})
