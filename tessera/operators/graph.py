@@ -22,7 +22,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, forward: bool = True, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, forward: bool = True) -> DataFrame:
     """(root, id): everything that can be reached from each root, the root included, as a set.
 
     ``edges`` is (src_id, dst_id); ``roots`` is (root). Semi-naive: each round follows the new pairs only.
@@ -30,7 +30,7 @@ def reachable(edges: DataFrame, roots: DataFrame, forward: bool = True, max_roun
     a, b = ("src_id", "dst_id") if forward else ("dst_id", "src_id")
     step = cut(edges.select(F.col(a).alias("id"), F.col(b).alias("next")).distinct())
     seen = new = cut(roots.select("root", F.col("root").alias("id")).distinct())
-    for _ in range(max_rounds):
+    while True:
         new = cut(new.join(step, "id").select("root", F.col("next").alias("id")).distinct().join(seen, ["root", "id"], "left_anti"))
         if new.isEmpty():
             break
@@ -68,18 +68,28 @@ def cycle_members(edges: DataFrame) -> DataFrame:
         n = m
 
 
-def prerequisite_chain(edges: DataFrame, roots: DataFrame, max_depth: int = 100, min_depth_only: bool = False) -> DataFrame:
-    """(root, id, depth): every depth at which a node occurs below a root, or the least one only."""
+def prerequisite_chain(edges: DataFrame, roots: DataFrame, min_depth_only: bool = False) -> DataFrame:
+    """(root, id, depth): every depth at which a node occurs below a root, or the least one only.
+
+    No path without repeats has as many steps as there are nodes; where a cycle goes on beyond that, every depth
+    would be without end, so it is an error. The least depths exist with cycles too.
+    """
     step = cut(edges.select(F.col("dst_id").alias("id"), F.col("src_id").alias("next")).distinct())
+    nodes = step.select("id").union(step.select("next")).distinct().count()
     level = cut(roots.select("root", F.col("root").alias("id")).distinct())
-    out = level.withColumn("depth", F.lit(0))
-    for depth in range(1, max_depth + 1):
-        level = cut(level.join(step, "id").select("root", F.col("next").alias("id")).distinct())
+    out = level.withColumn("depth", F.lit(0)).filter("depth > 0")
+    depth = 0
+    while True:
+        depth += 1
+        level = level.join(step, "id").select("root", F.col("next").alias("id")).distinct()
+        level = cut(level.join(out.select("root", "id"), ["root", "id"], "left_anti") if min_depth_only else level)
         if level.isEmpty():
-            break
+            return out
+        if depth > nodes and not min_depth_only:
+            raise ValueError("prerequisite_chain: the edges hold a cycle")
         out = out.unionByName(level.withColumn("depth", F.lit(depth)))
-    out = out.filter("depth > 0")
-    return out.groupBy("root", "id").agg(F.min("depth").alias("depth")) if min_depth_only else out
+        if depth % 25 == 0:
+            out = cut(out)  # a plan of a few unions
 
 
 def course_subtree(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
@@ -166,7 +176,7 @@ def pinned(expr: Column) -> Column:
     return F.coalesce(expr, F.lit(False)).desc()
 
 
-def barycentric_order(nodes: DataFrame, edges: DataFrame, layered: DataFrame, max_layers: int = 1000) -> DataFrame:
+def barycentric_order(nodes: DataFrame, edges: DataFrame, layered: DataFrame) -> DataFrame:
     """(id, layer, position): within each layer by the mean position of placed predecessors (the layer's middle without any), then order and id.
 
     Layer after layer, since each depends on the one above; rows stay in tables.
@@ -175,7 +185,7 @@ def barycentric_order(nodes: DataFrame, edges: DataFrame, layered: DataFrame, ma
     info = cut(nodes.join(layered, "id").select("id", "layer", "order_in_parent"))
     sizes = cut(info.groupBy("layer").agg(F.count(F.lit(1)).alias("_n")))
     placed = None
-    for layer in range(min(max_layers, (layered.agg(F.max("layer")).first()[0] or 0) + 1)):
+    for layer in sorted(r[0] for r in sizes.filter("layer IS NOT NULL").select("layer").collect()):
         here = info.filter(F.col("layer") == layer).join(sizes, "layer")
         mid = (F.col("_n") - 1) / 2
         if placed is not None:
