@@ -24,10 +24,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_array, gather, span_hashes, table, text_blocks
+from .common import binary_array, equal_spans, gather, lanes_at, span_keys, table, text_blocks
 
-#: Fixed value: the public byte-level pre-tokenizer splits text as this pattern does; ``Pieces`` finds the same places in arrays.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_WORDS = 1_000_000  # about 40 bytes each
 CACHE_LETTERS = 64  # longer pieces are not kept
 BLOCK_BYTES = 1 << 20
@@ -48,7 +46,12 @@ def byte_letters() -> list[str]:
 
 
 class Pieces:
-    """Places where the pieces of UTF-8 texts begin, by array rules over classes of code points."""
+    """Places where the pieces of UTF-8 texts begin, by array rules over classes of code points.
+
+    They are those of the public byte-level pattern: contractions ('s 't 're 've 'm 'll 'd), an optional
+    blank with letters, with numbers or with other signs, white space without the last blank before a
+    piece, and other white space.
+    """
 
     OTHER, LETTER, NUMBER, SPACE, ADDED = range(5)
 
@@ -137,23 +140,31 @@ class ByteBPE:
         self.forget()
 
     def forget(self) -> None:
-        """Known pieces: sorted hashes, and where the ids of each lie in ``flat``."""
-        self.known, self.place, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Known pieces: sorted names, where the ids of each lie in ``flat``, and where its bytes lie in ``raw`` (short names are the bytes)."""
+        self.known, self.place, self.length, self.raw_place, self.raw_length = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
         for token, i in self.added.items():
-            raw = np.frombuffer(token.encode(), np.uint8)
-            self._learn(span_hashes(raw, np.array([0]), np.array([len(raw)])), np.array([i], np.int32), np.array([1]))
+            data, one = np.frombuffer(token.encode(), np.uint8), np.array([len(token.encode())])
+            self._learn(span_keys(data, np.array([0]), one), np.array([i], np.int32), np.array([1]), data, np.array([0]), one)
 
-    def _learn(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """Add pieces; ``hashes`` are sorted and new."""
+    def _learn(self, names: np.ndarray, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Add pieces; ``names`` are sorted and new."""
+        kept = np.where(lengths > 7, lengths, 0)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.raw_used + int(kept.sum()) + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
         self.flat[self.used : self.used + len(ids)] = ids
-        at = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, at, hashes)
-        self.place = np.insert(self.place, at, self.used + np.cumsum(lengths) - lengths)
-        self.length = np.insert(self.length, at, lengths)
+        self.raw[self.raw_used : self.raw_used + int(kept.sum())] = data[gather(starts, kept)]
+        at = np.searchsorted(self.known, names)
+        self.known = np.insert(self.known, at, names)
+        self.place = np.insert(self.place, at, self.used + np.cumsum(counts) - counts)
+        self.length = np.insert(self.length, at, counts)
+        self.raw_place = np.insert(self.raw_place, at, self.raw_used + np.cumsum(kept) - kept)
+        self.raw_length = np.insert(self.raw_length, at, kept)
         self.used += len(ids)
+        self.raw_used += int(kept.sum())
 
     def merge_words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the given spans in one array, and how many each has."""
@@ -211,24 +222,49 @@ class ByteBPE:
         return symbols[order].astype(np.int32), np.bincount(owner, minlength=words)
 
     def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a block (UTF-8 bytes and text bounds) in one array, and how many each has."""
+        """Ids of all texts of a block (UTF-8 bytes and text bounds) in one array, and how many each has.
+
+        Pieces that share a name are compared byte by byte, within the block and with what is known; one that differs is encoded by itself.
+        """
         starts = self.pieces.starts(data, offsets)
         lengths = np.diff(np.r_[starts, len(data)])
-        names, some, piece = np.unique(span_hashes(data, starts, starts + lengths), return_index=True, return_inverse=True)
+        names, some, piece = np.unique(self.names(data, starts, lengths), return_index=True, return_inverse=True)
         if len(self.known) > CACHE_WORDS:
             self.forget()
-        at = np.minimum(np.searchsorted(self.known, names), len(self.known) - 1)
-        new = some[self.known[at] != names] if len(self.known) else some
+        lanes = lanes_at(data)
+        at = np.minimum(np.searchsorted(self.known, names), max(len(self.known) - 1, 0))
+        old = self.known[at] == names if len(self.known) else np.zeros(len(names), bool)
+        new = some[~old]
+        odd = np.zeros(len(starts), bool)
+        long = np.flatnonzero((lengths > 7) & (some[piece] != np.arange(len(starts))))
+        first = some[piece[long]]
+        odd[long] = lengths[long] != lengths[first]
+        long, first = long[~odd[long]], first[~odd[long]]
+        odd[long] = ~equal_spans(lanes, starts[long], lanes, starts[first], lengths[long])
+        seen = np.flatnonzero(old & (lengths[some] > 7))
+        if len(seen):
+            other = self.raw_length[at[seen]] != lengths[some[seen]]
+            fit = seen[~other]
+            wrong = np.r_[seen[other], fit[~equal_spans(lanes, starts[some[fit]], np.ndarray((len(self.raw) - 7,), "<u8", buffer=self.raw, strides=(1,)), self.raw_place[at[fit]], lengths[some[fit]])]]
+            if len(wrong):
+                odd |= np.isin(piece, wrong)
         if len(new):
-            self._learn(names if not len(self.known) else names[self.known[at] != names], *self.encode_pieces(data, starts[new], lengths[new]))
+            self._learn(names[~old], *self.encode_pieces(data, starts[new], lengths[new]), data, starts[new], lengths[new])
         at = np.searchsorted(self.known, names)[piece]
-        counts = self.length[at]
-        ids = self.flat[gather(self.place[at], counts)]
+        counts, place, flat = self.length[at], self.place[at], self.flat
+        if odd.any():
+            ids, counts[odd] = self.encode_pieces(data, starts[odd], lengths[odd])
+            place[odd] = self.used + np.cumsum(counts[odd]) - counts[odd]
+            flat = np.concatenate([flat[: self.used], ids])
+        ids = flat[gather(place, counts)]
         bounds = np.r_[0, np.cumsum(counts)][np.searchsorted(starts, offsets)]
         if len(new) and lengths[new].max() > CACHE_LETTERS and self.used > 4 * CACHE_WORDS:
             self.forget()
         return ids, np.diff(bounds)
 
+    def names(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return span_keys(data, starts, starts + lengths)
+
     def encode_pieces(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.merge_words(data, starts, lengths)
 

@@ -72,31 +72,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_R = np.uint64(0xD1342543DE82EF95)  # odd, so that it has an inverse modulo 2**64
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+_KEEP = (np.uint64(1) << (np.arange(9, dtype=np.uint64) * np.uint64(8)).clip(max=np.uint64(63))) - np.uint64(1)  # the low n bytes
+_KEEP[8] = np.uint64(0xFFFFFFFFFFFFFFFF)
+_LANE = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))  # a key for each lane's place
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["r"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for key, base in (("r", _R), ("inv", _R_INV)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _POWERS[key] = np.multiply.accumulate(a)
-    return _POWERS["r"], _POWERS["inv"]
+def lanes_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one little-endian number (zeros behind the end), without a copy of each."""
+    return np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(9, np.uint8)]), strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
+    """A 64-bit hash of the bytes of each span: its lanes of eight bytes, each with the key of its place, go through a finalizer before they are added up."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    r, inv = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * r[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inv[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    lanes, length = lanes_at(data), ends - starts
+    h = mix((lanes[starts] & _KEEP[np.minimum(length, 8)]) ^ _LANE[0])
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        more = (length[long] - 1) // 8  # lanes behind the first
+        at = gather(np.zeros(len(long), np.int64) + 1, more)
+        span = np.repeat(long, more)
+        left = np.minimum(length[span] - 8 * at, 8)
+        key = _LANE[at & 1023] + (at >> 10).astype(np.uint64) * _LENGTH
+        h[long] += np.add.reduceat(mix((lanes[starts[span] + 8 * at] & _KEEP[left]) ^ key), np.cumsum(more) - more)
+    return mix(h + length.astype(np.uint64) * _LENGTH)
+
+
+def equal_spans(lanes: np.ndarray, starts: np.ndarray, other_lanes: np.ndarray, others: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each span of one array (as ``lanes_at``) has the bytes of the span of the same length in another."""
+    n = (lengths + 7) // 8
+    at, span = gather(np.zeros(len(n), np.int64), n), np.repeat(np.arange(len(n)), n)
+    differ = (lanes[starts[span] + 8 * at] ^ other_lanes[others[span] + 8 * at]) & _KEEP[np.minimum(lengths[span] - 8 * at, 8)]
+    out = np.ones(len(n), bool)
+    out[span[differ != 0]] = False
+    return out
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Names of spans: bytes and length themselves up to seven bytes, else a hash (with a first byte that no short span has)."""
+    length = ends - starts
+    keys = (lanes_at(data)[starts] & _KEEP[np.minimum(length, 7)]) | length.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(length > 7)
+    keys[long] = span_hashes(data, starts[long], ends[long]) | np.uint64(0xFF << 56)
+    return keys
 
 
 class Words:
@@ -118,7 +138,7 @@ class Words:
         self.counts = np.diff(self.first_word)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: differences of a running polynomial sum, moved to power 0."""
+        """A 64-bit hash of each word's bytes."""
         return span_hashes(self.data, self.starts, self.ends)
 
 
