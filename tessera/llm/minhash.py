@@ -1,23 +1,29 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF word shingles, banded, verified.
 
-Shingles are five consecutive words (a shorter text is one shingle). A shingle weighs
-tf * idf, where idf falls from 2 (documents that hold it: at most ``RARE`` of all) to 1 (all of
-them), both in logarithmic steps. Frequent shingles are found by a lossy count: each run of
-``CHUNK`` documents reports those that at least ``RARE`` of it hold, and their sums decide. At most
-(shingles of a mean document) / RARE can be frequent, whatever the input; that table goes to the tasks.
-
-1. Equal texts are one node, addressed by their MD5. Each node gets ``SAMPLES`` consistent samples
+Shingles are five consecutive words (a shorter text is one shingle). A shingle weighs tf * idf with
+idf = 1 + ln(N / df) / ln(1 / RARE), which is 1 for a shingle that all N documents hold and 2 from a
+share of ``RARE`` of them down (it stays 2 for rarer ones). So df is needed only above that share:
+one pass names all shingles that may reach it (a shingle that ``RARE / 2`` of no run of ``CHUNK``
+documents hold doesn't, nor one whose sum over such runs is less than ``RARE / 2`` of all), and a second
+pass counts those in all documents. At most 2 * (shingles of a mean document) / RARE can be named,
+whatever the input; that table goes to the tasks.
+
+1. Equal texts are one node, addressed by their SHA-256. Each node gets ``SAMPLES`` consistent samples
    in bands of ``ROWS``, and one byte of each sample as a sketch.
-2. In every bucket of a band, members are paired with a few centres first (the least node and a seeded
-   pick): rows stay linear in the members. Sketches drop pairs far below the threshold, and pairs
-   within one component are not needed.
-3. What is left is verified on whole texts: weighted Jaccard similarity, and for pairs that differ
-   in frequent shingles only, plain Jaccard similarity of the shingle sets, of 0.8 or more.
-4. Components by label propagation with pointer jumping. Each node is verified against its likeliest
-   centre first, then the pairs that still join two components.
-5. The exact rest: in buckets that still hold several components every pair of members in different
-   components has its sketches compared, block by block inside the tasks, and is verified if they are
-   near enough. So each pair of nodes that share a bucket is tested or lies within one component.
+2. In every bucket of a band, all members are paired with its least and its greatest node: rows stay
+   linear in the members. Sketches drop pairs far below the threshold, and pairs within one component
+   are not needed. What is left is verified on whole texts: weighted Jaccard similarity of 0.8 or more.
+   Each node is verified against its likeliest centre first, then the pairs that still join two components.
+3. The exact rest: in buckets that still hold several components all pairs of members in different
+   components have their sketches compared, block by block inside the tasks; members with a near
+   enough partner meet again with their texts, and the pairs are verified inside the task too, where
+   pairs that earlier links have joined are left out. Only members and links leave a task, never pairs,
+   so rows stay linear. Each pair of nodes that share a bucket is tested or lies within one component.
+4. Components by label propagation with pointer jumping.
+
+Sketches work on weights rounded to steps of 1/8 in the logarithm, which moves a similarity of 0.8 to
+0.779 at worst: 62 of 80 samples are expected to be equal, ``LEAST_EQUAL`` is five standard deviations
+below. Verification takes the weights as they are.
 
 Result: one row for each row of the input with its class (least id of it).
 
@@ -41,13 +47,11 @@ from .common import Words, binary_array, gather, materialize, mix, pair_hash, ta
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 SAMPLES = BANDS * ROWS
-#: A sketch of equal bytes for so many samples can't be rejected: six standard deviations below the mean at the threshold with 10 % less for weights.
-LEAST_EQUAL = 34
+LEAST_EQUAL = 43
 RARE, CHUNK = 0.01, 1000
-CENTRES = 2
-REST_BLOCK, REST_PAIRS = 2048, 1 << 17  # members of a block of a bucket, pairs looked at at once
-#: Pairs whose ends both have more partners than DENSE are verified in tiles that hold each text once, of so many texts and bytes a side.
-DENSE, TILE_NODES, TILE_BYTES = 16, 1000, 4 << 20
+REST_BLOCK, REST_SHINGLES = 1024, 1 << 19  # members and shingles of a block of a bucket
+REST_PAIRS = 1 << 17  # pairs looked at at once
+PORTION_BYTES = 4 << 20  # text of small blocks taken at once
 BROADCAST_NODES = 100_000  # 16 bytes each
 STEPS = 8  # weights are rounded to whole steps of 1/8 in their logarithm
 LEVELS = 128
@@ -82,51 +86,63 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[first], value[first], np.diff(np.r_[first, len(row)])
 
 
-def _local_frequent(batches):
-    """(shingle, documents) of shingles that at least RARE of a chunk's documents hold; (null, documents) for the chunk."""
+def _chunk_counts(named: np.ndarray | None):
+    """(shingle, documents) of a chunk of documents, and (null, documents) for the chunk: of the ``named`` shingles (sorted), or of those that at least RARE / 2 of the chunk hold."""
 
     def report(parts, n):
         value, held = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        often = held >= max(2.0, RARE * n)
-        return pa.RecordBatch.from_arrays([pa.array([None, *value[often].view(np.int64).tolist()], pa.int64()), pa.array([n, *held[often].tolist()], pa.int64())], names=["shingle", "n"])
+        wanted = held >= RARE / 2 * n if named is None else held > 0
+        return pa.RecordBatch.from_arrays([pa.array([None, *value[wanted].view(np.int64).tolist()], pa.int64()), pa.array([n, *held[wanted].tolist()], pa.int64())], names=["shingle", "n"])
 
-    parts, n = [], 0
-    for batch in batches:
-        for _, data, offsets in text_blocks(batch.column(0)):
-            parts.append(shingles(data, offsets)[1])
-            n += len(offsets) - 1
-            if n >= CHUNK:
-                yield report(parts, n)
-                parts, n = [], 0
-    if n:
-        yield report(parts, n)
+    def run(batches):
+        parts, n, size = [], 0, 0
+        for batch in batches:
+            for _, data, offsets in text_blocks(batch.column(0)):
+                value = shingles(data, offsets)[1]
+                if named is not None and len(value):
+                    value = value[named[np.minimum(np.searchsorted(named, value), len(named) - 1)] == value]
+                parts.append(value)
+                n, size = n + len(offsets) - 1, size + len(value)
+                if n >= CHUNK and (named is None or size >= 1 << 20):
+                    yield report(parts, n)
+                    parts, n, size = [], 0, 0
+        if n:
+            yield report(parts, n)
+
+    return run
 
 
 class Weights:
-    """idf of shingles: a sorted table of the frequent ones, 2 for all others."""
+    """tf * idf of shingles: a sorted table of the frequent ones, idf 2 for all others."""
 
     def __init__(self, frequent: np.ndarray, held: np.ndarray, documents: int):
         order = np.argsort(frequent)
         self.frequent = frequent[order]
-        floor = max(1.0, RARE * documents)
-        share = np.log(max(documents, 1) / np.maximum(held[order], floor)) / math.log(1 / RARE) if documents else held
+        share = np.log(documents / np.maximum(held[order], 1)) / math.log(1 / RARE) if documents else np.zeros(len(order))
         self.idf = 1 + np.clip(share, 0, 1)
 
-    def levels(self, value: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def exact(self, value: np.ndarray, count: np.ndarray) -> np.ndarray:
         idf = np.full(len(value), 2.0)
         if len(self.frequent) and len(value):
             at = np.minimum(np.searchsorted(self.frequent, value), len(self.frequent) - 1)
             found = self.frequent[at] == value
             idf[found] = self.idf[at[found]]
-        return np.clip(np.rint(STEPS * np.log(count * idf)), 0, LEVELS - 1).astype(np.int64)
+        return count * idf
+
+    def levels(self, value: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint(STEPS * np.log(self.exact(value, count))), 0, LEVELS - 1).astype(np.int64)
 
 
 def weigh(texts: DataFrame) -> Weights:
-    """Weights for all texts of a column ``text``; the frequent shingles are few by their definition and are gathered."""
-    counts = materialize(texts.select("text").mapInArrow(_local_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "shingle-counts")
-    documents = counts.filter("shingle IS NULL").agg(F.sum("n")).first()[0] or 0
-    often = counts.filter(F.col("shingle").isNotNull() & (F.col("n") >= RARE * documents)).toPandas()
-    return Weights(often["shingle"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.float64), documents)
+    """Weights for all texts of a column ``text``; the shingles that may be frequent are few by their definition and are gathered."""
+    count = lambda named: materialize(texts.select("text").mapInArrow(_chunk_counts(named), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "shingle-counts")
+    first = count(None)
+    documents = first.filter("shingle IS NULL").agg(F.sum("n")).first()[0] or 0
+    named = first.filter(F.col("shingle").isNotNull() & (F.col("n") >= RARE / 2 * documents)).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+    if not len(named):
+        return Weights(named, np.zeros(0), documents)
+    exact = count(np.sort(named)).filter(F.col("shingle").isNotNull() & (F.col("n") > RARE * documents)).toPandas()
+    return Weights(exact["shingle"].to_numpy(np.int64).view(np.uint64), exact["n"].to_numpy(np.float64), documents)
 
 
 class Sampler:
@@ -185,7 +201,8 @@ def _signatures(weights: Weights):
                     bands.append(h)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * BANDS, pa.int32()), pa.array(np.stack(bands, 1).ravel().view(np.int64)))
                 sketch = binary_array((sig & np.uint64(255)).astype(np.uint8), np.arange(len(sig) + 1) * SAMPLES)
-                yield pa.RecordBatch.from_arrays([nodes.slice(at, len(offsets) - 1).take(pa.array(row[begins])), keys, sketch], names=["node", "bands", "sketch"])
+                held = pa.array(np.diff(np.r_[begins, len(row)]), pa.int64())
+                yield pa.RecordBatch.from_arrays([nodes.slice(at, len(offsets) - 1).take(pa.array(row[begins])), keys, sketch, held], names=["node", "bands", "sketch", "held"])
 
     return run
 
@@ -198,81 +215,111 @@ def _equal_samples(batches):
         yield rows.filter(pa.array(equal >= LEAST_EQUAL))
 
 
-def _rest_pairs(batches):
-    """(centre, node, equal) of all pairs of a tile that lie in different components and whose sketches are near enough; rows come sorted by tile."""
-
-    def pairs(t):
-        band, i, j, block = (t.column(c).to_numpy() for c in ("band", "i", "j", "block"))
-        comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SAMPLES)
-        node = t.column("node").combine_chunks()
-        n = len(band)
-        last = np.flatnonzero(np.r_[(band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
-        later = last[np.searchsorted(last, np.arange(n))] - np.arange(n)  # members after each in its tile
-        before = np.r_[0, np.cumsum(later)]
-        at = 0
-        while at < n:
-            end = min(n, max(at + 1, int(np.searchsorted(before, before[at] + REST_PAIRS, side="right")) - 1))
-            a, b = np.repeat(np.arange(at, end), later[at:end]), gather(np.arange(at, end) + 1, later[at:end])
-            # pairs within one block belong to the tile of that block with itself
-            wanted = (comp[a] != comp[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
-            a, b = a[wanted], b[wanted]
-            equal = (sketch[a] == sketch[b]).sum(1)
-            near = equal >= LEAST_EQUAL
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(a[near])), node.take(pa.array(b[near])), pa.array(equal[near], pa.int32())], names=["centre", "node", "equal"])
-            at = end
-
+def _near_pairs(t: pa.Table, tile: np.ndarray):
+    """Pairs (a, b) of rows of one tile (rows stand by tile) in different components whose sketches are near enough; what a bucket's ends were paired with was looked at before."""
+    i, j, block, end = (t.column(c).to_numpy() for c in ("i", "j", "block", "end"))
+    comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+    n = len(tile)
+    last = np.flatnonzero(np.r_[tile[1:] != tile[:-1], True])
+    later = last[np.searchsorted(last, np.arange(n))] - np.arange(n)  # members after each in its tile
+    before = np.r_[0, np.cumsum(later)]
+    at = 0
+    while at < n:
+        upto = min(n, max(at + 1, int(np.searchsorted(before, before[at] + REST_PAIRS, side="right")) - 1))
+        a, b = np.repeat(np.arange(at, upto), later[at:upto]), gather(np.arange(at, upto) + 1, later[at:upto])
+        # pairs within one block belong to the tile of that block with itself
+        wanted = (comp[a] != comp[b]) & ~(end[a] | end[b]) & ((i[a] == j[a]) | (block[a] != block[b]))
+        a, b = a[wanted], b[wanted]
+        near = (sketch[a] == sketch[b]).sum(1) >= LEAST_EQUAL
+        yield a[near], b[near]
+        at = upto
+
+
+def _tiles(batches):
+    """Whole tiles as tables with the tile's number by row; rows come sorted by (band, i, j)."""
     kept = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if kept is None else pa.concat_tables([kept, t])
+        if not t.num_rows:
+            continue
         keys = [t.column(c).to_numpy() for c in ("band", "i", "j")]
-        whole = int(np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])[-1]) if t.num_rows else 0
+        first = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
+        whole = int(np.flatnonzero(first)[-1])
         if whole:
-            yield from pairs(t.slice(0, whole))
+            yield t.slice(0, whole), np.cumsum(first[:whole])
         kept = t.slice(whole)  # the last tile may go on
     if kept is not None and kept.num_rows:
-        yield from pairs(kept)
-
-
-def _verify_tile(weights: Weights, threshold: float):
-    """Of the pairs (a, b) of a tile those that are similar by the tile's texts (node, text); each text is cut into shingles once."""
-
-    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        pairs = pairs.select(["a", "b"]).combine_chunks()
-        names, n = texts.column("node").combine_chunks(), texts.num_rows
-        got = [(row + at, value, count) for at, data, offsets in text_blocks(texts.column("text")) for row, value, count in [shingles(data, offsets)]]
-        row, value, count = (np.concatenate([g[k] for g in got]) for k in range(3))
-        w = np.exp(weights.levels(value, count) / STEPS)
-        distinct, key = np.unique(value, return_inverse=True)
-        starts = np.searchsorted(row, np.arange(n + 1))
-        lengths, total = np.diff(starts), np.bincount(row, w, n)
-        ia, ib = (pc.index_in(pairs.column(c), value_set=names).to_numpy() for c in ("a", "b"))
-        order = np.argsort(ia, kind="stable")
-        near = np.zeros(len(order), bool)
-        of_a = np.zeros(len(distinct))
-        for part in np.split(order, np.flatnonzero(np.diff(ia[order])) + 1):
-            a, b = ia[part[0]], ib[part]
-            mine = slice(starts[a], starts[a + 1])
-            of_a[key[mine]] = w[mine]
-            at, pair = gather(starts[b], lengths[b]), np.repeat(np.arange(len(b)), lengths[b])
-            here = of_a[key[at]]
-            shared, shared_n = np.bincount(pair, np.minimum(here, w[at]), len(b)), np.bincount(pair, here > 0, len(b))
-            weighted = shared / np.maximum(total[a] + total[b] - shared, 1e-300)
-            near[part] = np.maximum(weighted, shared_n / np.maximum(lengths[a] + lengths[b] - shared_n, 1)) >= threshold - 1e-12
-            of_a[key[mine]] = 0
-        return pairs.filter(pa.array(near))
+        yield kept, np.zeros(kept.num_rows, np.int64)
+
+
+def _portions(batches, most: int):
+    """Whole tiles as ``_tiles``, of at most ``most`` bytes of text at once (one tile at least)."""
+    for t, tile in _tiles(batches):
+        size = np.r_[0, np.cumsum(pc.binary_length(t.column("text")).to_numpy())]
+        begins = np.r_[np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]), len(tile)]
+        at = 0
+        while at < len(begins) - 1:
+            upto = max(at + 1, int(np.searchsorted(size[begins], size[begins[at]] + most, side="right")) - 1)
+            yield t.slice(begins[at], begins[upto] - begins[at]), tile[begins[at] : begins[upto]]
+            at = upto
+
+
+def _rest_members(batches):
+    """The rows of each tile that have a near enough partner in it."""
+    for t, tile in _tiles(batches):
+        hit = np.zeros(t.num_rows, bool)
+        for a, b in _near_pairs(t, tile):
+            hit[a] = hit[b] = True
+        yield from t.filter(pa.array(hit)).to_batches()
+
+
+def _rest_links(weights: Weights, threshold: float):
+    """Of each tile (with texts) links (a, b) that join its components as all its similar pairs do."""
+
+    def run(batches):
+        for t, tile in _portions(batches, PORTION_BYTES):
+            got = [(row + at, value, count) for at, data, offsets in text_blocks(t.column("text")) for row, value, count in [shingles(data, offsets)]]
+            row, value, count = (np.concatenate([g[k] for g in got]) for k in range(3))
+            w = weights.exact(value, count)
+            distinct, key = np.unique(value, return_inverse=True)
+            starts = np.searchsorted(row, np.arange(t.num_rows + 1))
+            lengths, total = np.diff(starts), np.bincount(row, w, t.num_rows)
+            of_a = np.zeros(len(distinct))
+            comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+            up = list(range(int(comp.max()) + 1))
+
+            def root(c):
+                while up[c] != c:
+                    up[c] = up[up[c]]
+                    c = up[c]
+                return c
+
+            links = []
+            for left, right in _near_pairs(t, tile):
+                for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(left)) + 1):
+                    if not len(part):
+                        continue
+                    a, own = left[part[0]], root(comp[left[part[0]]])
+                    b = right[part][[root(c) != own for c in comp[right[part]].tolist()]]
+                    mine = slice(starts[a], starts[a + 1])
+                    of_a[key[mine]] = w[mine]
+                    at, pair = gather(starts[b], lengths[b]), np.repeat(np.arange(len(b)), lengths[b])
+                    shared = np.bincount(pair, np.minimum(of_a[key[at]], w[at]), len(b))
+                    of_a[key[mine]] = 0
+                    for other in b[shared / np.maximum(total[a] + total[b] - shared, 1e-300) >= threshold - 1e-12].tolist():
+                        if root(comp[a]) != root(comp[other]):
+                            up[root(comp[other])] = root(comp[a])
+                            links.append((a, other))
+            node = t.column("node").combine_chunks()
+            pairs = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(pairs[:, 0])), node.take(pa.array(pairs[:, 1]))], names=["a", "b"])
 
     return run
 
 
 def _verify(weights: Weights, threshold: float):
-    def sums(column):
-        texts = pa.array([t or "" for t in column.to_pylist()], pa.large_string())
-        for at, data, offsets in text_blocks(texts):
-            row, value, count = shingles(data, offsets)
-            yield at, len(offsets) - 1, row, value, np.exp(weights.levels(value, count) / STEPS)
-
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -280,24 +327,23 @@ def _verify(weights: Weights, threshold: float):
                 n = part.num_rows
                 sides = []
                 for c in ("text_a", "text_b"):
-                    got = [(row + at, value, w) for at, _, row, value, w in sums(part.column(part.schema.get_field_index(c)))]
+                    got = [(row + at, value, count) for at, data, offsets in text_blocks(part.column(part.schema.get_field_index(c))) for row, value, count in [shingles(data, offsets)]]
                     sides.append([np.concatenate([g[i] for g in got]) if got else np.zeros(0) for i in range(3)])
-                (ra, va, wa), (rb, vb, wb) = sides
-                row, value, w = np.r_[ra, rb].astype(np.int64), np.r_[va, vb].astype(np.uint64), np.r_[wa, wb]
+                (ra, va, na), (rb, vb, nb) = sides
+                row, value, w = np.r_[ra, rb].astype(np.int64), np.r_[va, vb].astype(np.uint64), weights.exact(np.r_[va, vb].astype(np.uint64), np.r_[na, nb])
                 order = np.lexsort((value, row))
                 row, value, w = row[order], value[order], w[order]
                 both = np.flatnonzero((row[1:] == row[:-1]) & (value[1:] == value[:-1]))
                 shared = np.bincount(row[both], np.minimum(w[both], w[both + 1]), n)
                 total = np.bincount(row, w, n)
-                shared_n, total_n = np.bincount(row[both], minlength=n), np.bincount(row, minlength=n)
-                near = np.maximum(shared / np.maximum(total - shared, 1e-300), shared_n / np.maximum(total_n - shared_n, 1))
+                near = shared / np.maximum(total - shared, 1e-300)
                 yield part.filter(pa.array(near >= threshold - 1e-12)).select(["a", "b"])
 
     return run
 
 
 def node_of(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -324,67 +370,35 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(node, comp) of the nodes that have near-duplicates among other texts, and (a, b) verified links between different texts."""
+    """(node, comp) of the nodes that have near-duplicates among other texts, and verified links (a, b) between different texts that make those components."""
     spark = docs.sparkSession
     rows = docs.select(node_of(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     weights = weigh(rows)
-    signed = rows.mapInArrow(_signatures(weights), "node binary, bands array<long>, sketch binary")
-    signed = materialize(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "signatures")
+    signed = rows.mapInArrow(_signatures(weights), "node binary, bands array<long>, sketch binary, held long")
+    signed = materialize(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("held").alias("held")), "signatures")
     # only buckets with two members or more can link
     members = signed.select("node", F.explode("bands").alias("band"))
     crowded = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     buckets = materialize(members.join(crowded, "band"), "buckets")
     sketch = signed.select("node", "sketch")
     labels = spark.createDataFrame([], "node binary, comp binary")
-    links = tested = spark.createDataFrame([], "a binary, b binary")
-
-    def members_of() -> DataFrame:
-        """Members (band, node, comp) of the buckets, with the components that are known now."""
-        return buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    links = spark.createDataFrame([], "a binary, b binary")
 
     def starred() -> DataFrame:
-        """(centre, node, equal) of the pairs of members with centres whose sketches are near enough."""
-        here = members_of()
-        seeded = [F.min("node") if i == 0 else F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(CENTRES)]
-        centres = here.groupBy("band").agg(F.array_distinct(F.array(*seeded)).alias("_c")).select("band", F.explode("_c").alias("centre"))
-        pairs = here.join(centres, "band").filter(F.col("node") != F.col("centre")).select("centre", "node").distinct()
+        """(centre, node, equal) of the pairs of members with their buckets' ends whose sketches are near enough."""
+        ends = buckets.groupBy("band").agg(F.array(F.min("node"), F.max("node")).alias("_c")).select("band", F.explode("_c").alias("centre"))
+        pairs = buckets.join(ends, "band").filter(F.col("node") != F.col("centre")).select("centre", "node").distinct()
         pairs = pairs.join(sketch.withColumnRenamed("sketch", "sketch_b"), "node").join(sketch.withColumnsRenamed({"node": "centre", "sketch": "sketch_a"}), "centre")
         return materialize(pairs.mapInArrow(_equal_samples, "centre binary, node binary, equal int"), "pairs")
 
-    def rest() -> DataFrame:
-        """The same of all pairs of a bucket in different components that were not looked at yet. A bucket of two members was."""
-        here = members_of()
-        several = here.groupBy("band").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most"), F.count(F.lit(1)).alias("_n")).filter("_least != _most AND _n > 2")
-        blocks = several.select("band", F.ceil(F.col("_n") / REST_BLOCK).cast("int").alias("_blocks"))
-        here = here.join(blocks, "band").join(sketch, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-        here = here.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        tiles = here.select("band", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "node", "comp", "sketch").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-        pairs = tiles.mapInArrow(_rest_pairs, "centre binary, node binary, equal int")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "equal").distinct().join(tested, ["a", "b"], "left_anti")
-        return materialize(pairs.select(F.col("a").alias("centre"), F.col("b").alias("node"), "equal"), "pairs")
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(node, text) of a materialized list of nodes: by a broadcast of the list if it is short, else by shuffle."""
+        wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+        return rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are similar by their texts. Texts come by a broadcast of the node list if it is short, else by shuffle."""
-        nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")), "nodes")
-        wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-        texts = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        crowd = nodes.filter(F.col("n") > DENSE).select("node")
-        if not crowd.isEmpty():
-            # a group of many pairs for each text: a pair with two texts for each would be quadratic in bytes
-            texts = materialize(texts, "texts")
-            many = lambda c: crowd.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}"))
-            told = materialize(pairs.join(many("a"), "a", "left").join(many("b"), "b", "left").select("a", "b", F.coalesce(F.col("_a") & F.col("_b"), F.lit(False)).alias("dense")), "told")
-            pairs, packed = told.filter("NOT dense").select("a", "b"), told.filter("dense").select("a", "b")
-            if not packed.isEmpty():
-                size = texts.join(crowd, "node", "left_semi").agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-                k = max(1, -(-size[0] // TILE_NODES), -(-size[1] // TILE_BYTES))
-                packed = packed.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(k)).alias("i"), F.pmod(F.xxhash64("b"), F.lit(k)).alias("j"))
-                needed = packed.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node")
-                near = packed.groupBy("i", "j").cogroup(needed.groupBy("_i", "_j")).applyInArrow(_verify_tile(weights, threshold), "a binary, b binary")
-                return materialize(near, "verified").unionByName(paired(pairs, texts))
-        return paired(pairs, texts)
-
-    def paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are similar by their texts."""
+        texts = texts_of(materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes"))
         both = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
         return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a binary, b binary"), "verified")
 
@@ -393,23 +407,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
         side = lambda c: labels.withColumnsRenamed({"node": c, "comp": f"_{c}"})
         return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
+    def rest() -> DataFrame:
+        """Links (a, b) among all pairs of a bucket in different components, without those that the bucket's ends have. A bucket of three members has no such pair."""
+        here = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = here.groupBy("band").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most"), F.min("node").alias("_low"), F.max("node").alias("_high"), F.count(F.lit(1)).alias("_n")).filter("_least != _most AND _n > 3")
+        here = here.join(several.select("band", "_low", "_high", "_n"), "band").join(signed.select("node", "sketch", "held"), "node")
+        here = materialize(here.select("band", "node", "comp", "sketch", "held", "_n", F.col("node").isin(F.col("_low"), F.col("_high")).alias("end")), "rest")
+        if here.isEmpty():
+            return links
+        bulk = here.groupBy("band").agg(F.ceil(F.greatest(F.max("_n") / REST_BLOCK, F.sum("held") / REST_SHINGLES)).cast("int").alias("_blocks"))
+        here = here.drop("_n").join(bulk, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        tiles = here.select("band", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"), "block", "node", "comp", "sketch", "end")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = lambda df: df.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+        near = materialize(dealt(tiles).mapInArrow(_rest_members, tiles.schema), "near")
+        if near.isEmpty():
+            return links
+        texts = texts_of(materialize(near.select("node").distinct(), "nodes"))
+        return materialize(dealt(near.join(texts, "node")).mapInArrow(_rest_links(weights, threshold), "a binary, b binary"), "verified")
+
     ordered = lambda df: df.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    for offered in (starred, rest):
-        pending = offered()
-        if pending.isEmpty():
-            continue
-        # each node against its likeliest partner; that joins most of what belongs together, so few pairs are left to look at
+    pending = starred()
+    if not pending.isEmpty():
+        # each node against its likeliest centre; that joins most of what belongs together, so few pairs are left to look at
         best = pending.groupBy("node").agg(F.max_by("centre", F.struct("equal", "centre")).alias("centre"))
-        near = verified(materialize(ordered(best), "best"))
-        links = links.unionByName(near)
-        labels = components(near, labels)
+        links = verified(materialize(ordered(best), "best"))
+        labels = components(links, labels)
         left = materialize(apart(ordered(pending)), "left")
         if not left.isEmpty():
             near = verified(left)
             links = links.unionByName(near)
-            if not near.isEmpty():
-                labels = components(near, labels)
-        tested = ordered(pending)
+            labels = components(near, labels)
+    near = rest()
+    if near is not links and not near.isEmpty():
+        links = links.unionByName(near)
+        labels = components(near, labels)
     return labels, links
 
 

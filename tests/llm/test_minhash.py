@@ -18,9 +18,20 @@ def shingle_sets(texts):
     return out
 
 
+def brute_weights(counts):
+    """tf * idf of every shingle of every text, idf from 1 (all texts) to 2 (a hundredth of them or less)."""
+    df = Counter(x for c in counts for x in c)
+    return [{x: n * (1 + min(1.0, np.log(len(counts) / df[x]) / np.log(100))) for x, n in c.items()} for c in counts]
+
+
+def weighted_jaccard(a, b):
+    shared = sum(min(a[x], b[x]) for x in a.keys() & b.keys())
+    return shared / (sum(a.values()) + sum(b.values()) - shared)
+
+
 def brute_classes(rows, threshold=0.8):
-    """Least id of each component of equal texts and pairs of similar shingle sets."""
-    sets = [set(c) for c in shingle_sets([t for _, t in rows])]
+    """Least id of each component of equal texts and pairs of similar weighted shingles."""
+    sets = brute_weights(shingle_sets([t for _, t in rows]))
     up = list(range(len(rows)))
 
     def root(i):
@@ -38,7 +49,7 @@ def brute_classes(rows, threshold=0.8):
             for j in members:
                 if i < j and (i, j) not in seen:
                     seen.add((i, j))
-                    if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                    if weighted_jaccard(sets[i], sets[j]) >= threshold - 1e-12:
                         up[root(j)] = root(i)
     first = {}
     for i, (_, t) in enumerate(rows):
@@ -77,21 +88,44 @@ def test_groups_of_near_copies(spark):
     assert got == brute_classes(rows)
 
 
-def test_pairs_within_a_large_template(spark):
-    """Documents on one template, a little less similar than the threshold, and pairs of them that reach it by a few words more."""
+def template_rows():
+    """Documents on one template, a little less similar than the threshold, and pairs of them that reach it by some words more."""
     rng = np.random.default_rng(3)
     template = [f"t{i}" for i in range(200)]
-    rows = [(i, " ".join([*template, *[f"p{i // 2}x{j}" for j in range(5)], *[f"o{i}x{j}" for j in range(23)]])) for i in range(800)]
-    sets = [set(c) for c in shingle_sets([t for _, t in rows])]
-    near = {(i, j) for i in range(len(rows)) for j in range(i) if len(both := sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(both))}
-    assert near == {(i + 1, i) for i in range(0, 800, 2)}
-    rows = [rows[i] for i in rng.permutation(len(rows))]
+    rows = [(i, " ".join([*template, *[f"p{i // 2}x{j}" for j in range(24)], *[f"o{i}x{j}" for j in range(10)]])) for i in range(800)]
+    return [rows[i] for i in rng.permutation(len(rows))]
+
+
+def test_pairs_within_a_large_template(spark, monkeypatch):
+    rows = template_rows()
+    weights = dict(zip([d for d, _ in rows], brute_weights(shingle_sets([t for _, t in rows]))))
+    assert all(weighted_jaccard(weights[0], weights[i]) < 0.8 for i in range(2, 800)) and weighted_jaccard(weights[0], weights[1]) > 0.8
+    monkeypatch.setattr(minhash, "REST_BLOCK", 100)  # blocks of a bucket meet in several tiles
     got = Counter((r.doc_id, r.class_id) for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
     # bands are a sample: at this similarity a pair in a thousand shares no bucket at all
     lost = [d for d, c in got if c != d // 2 * 2]
     assert all(c in (d, d // 2 * 2) for d, c in got) and len(lost) <= 4, len(lost)
 
 
+def test_document_frequencies_are_exact(spark):
+    """A shingle that just over a hundredth of the documents hold, spread over all partitions, and one just under it."""
+    rows = [(i, " ".join([f"a{i} b{i} c{i} d{i} e{i}", *(["often seen words stand here"] if i % 90 == 0 else []), *(["seldom seen words stand there"] if i % 110 == 0 else [])])) for i in range(5000)]
+    weights = minhash.weigh(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    held = Counter(x for c in shingle_sets([t for _, t in rows]) for x in c)
+    want = sorted(1 + np.log(5000 / n) / np.log(100) for n in held.values() if n > 50)
+    assert len(want) == 1 and np.allclose(sorted(weights.idf), want)
+
+
+def test_different_texts_of_one_polynomial_hash(spark):
+    """Words that are equal under every polynomial hash modulo 2**64 are different words."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([a] * 9)), (2, " ".join([b] * 9)), (3, a), (4, b)]
+    assert all(r.doc_id == r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_sampling_meets_weighted_similarity():
     rng = np.random.default_rng(2)
     sampler, weights = minhash.Sampler(), minhash.Weights(np.zeros(0, np.uint64), np.zeros(0), 100)
