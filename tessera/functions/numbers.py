@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 NUMBER_PREFIX = r"^\s*([+-]?(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?))"
 
 
@@ -27,13 +29,19 @@ def mcq_match(key: Column, given: Column) -> Column:
 
 
 def mcq_key(answer: Column, choices: Column) -> Column:
-    """Key of the choice that an answer names: equal key, ``(key)``, key and a mark, equal text, then text that holds the answer."""
-    low = F.lower(F.trim(answer))
-    pick = lambda test: F.get(F.filter(choices, test), F.lit(0))["key"]
-    return F.coalesce(
-        pick(lambda c: F.lower(c["key"]) == low), pick(lambda c: low.startswith(F.concat(F.lit("("), F.lower(c["key"]), F.lit(")")))), pick(lambda c: low.startswith(F.concat(F.lower(c["key"]), F.lit(".")))),
-        pick(lambda c: F.lower(c["text"]) == low), pick(lambda c: (low != "") & F.contains(F.lower(c["text"]), low)),
-    )
+    """Key of the choice that an answer names, or null; of several the first.
+
+    An answer that begins with a key, is one, or has one in brackets within its first six characters;
+    else one that holds a choice's text, both under the loose fold. Under two keys nothing is resolved.
+    """
+    raw = F.coalesce(answer, F.lit(""))
+    # texts are composed before the lambdas, which hold no Python
+    texts = F.split(T.nfc(F.array_join(F.transform(choices, lambda c: F.coalesce(c["text"], F.lit(""))), "\x01")), "\x01")
+    said = F.arrays_zip(F.transform(choices, lambda c: c["key"]).alias("key"), F.transform(texts, T.fold_loose).alias("text"), F.array_repeat(T.compare_loose(raw), F.size(choices)).alias("raw"))
+    pick = lambda rows, test: F.get(F.filter(rows, test), F.lit(0))["key"]
+    marked = pick(choices, lambda c: raw.startswith(c["key"]) | F.contains(F.substring(raw, 1, 6), F.concat(F.lit("("), c["key"], F.lit(")"))) | (F.regexp_replace(raw, r"^\s+|\s+$", "") == c["key"]))
+    spelled = pick(said, lambda c: F.contains(c["raw"], c["text"]))
+    return F.when(F.size(F.array_distinct(F.transform(choices, lambda c: c["key"]))) >= 2, F.coalesce(marked, spelled))
 
 
 def slot_compare(a: Column, b: Column) -> Column:

@@ -27,6 +27,7 @@ FOREIGN_LETTERS = "یکہھ"
 FOREIGN_DIGITS = "۰-۹"
 WESTERN_DIGITS, ARABIC_DIGITS = "0123456789", "٠١٢٣٤٥٦٧٨٩"
 PUNCTUATION = r"[\p{P}\p{S}]"
+ANSWER_PUNCTUATION = r"""[.,؛،؟!:"'«»()\[\]{}…—–-]"""
 FOLD_FROM, FOLD_TO = "أإآٱىةؤئ", "اااايهوي"
 FOLD6_FROM, FOLD6_TO = FOLD_FROM[:6], FOLD_TO[:6]
 
@@ -83,9 +84,9 @@ def fold_words(c: Column) -> Column:
 
 
 def fold_compare(c: Column) -> Column:
-    """For answers: wider mark range, invisibles dropped, only alef, yeh and teh folded, punctuation to a space, digits kept."""
-    bare = F.regexp_replace(c, f"[{MARKS_WIDE}{ANNOTATION}{TATWEEL}{INVISIBLE}]", "")
-    return squeeze(F.regexp_replace(F.translate(bare, FOLD6_FROM, FOLD6_TO), PUNCTUATION, " "))
+    """For answers, on composed text: wider mark range, invisibles dropped, only alef, yeh and teh folded, the listed punctuation to a space."""
+    bare = F.regexp_replace(nfc(c), f"[{MARKS_WIDE}{ANNOTATION}{TATWEEL}{INVISIBLE}]", "")
+    return squeeze(F.regexp_replace(F.translate(bare, FOLD6_FROM, FOLD6_TO), ANSWER_PUNCTUATION, " "))
 
 
 def normalize_search(c: Column) -> Column:
@@ -202,15 +203,32 @@ def marker_hits(c: Column, phrases: list[str], ranges: dict[str, str]) -> Column
     return F.array_compact(F.array(*by_range, *by_phrase))
 
 
+#: What is said for the formulas of lessons, in order, and signs that are not spoken.
+MATH_WORDS = (
+    (r"\\times", " times "), (r"\\Rightarrow", " therefore "), (r"\\neq?", " is not equal to "), (r"n\\?\(\s*([A-Za-z])\s*\\?\)", " n of $1 "), (r"\\[{}]", " "),
+    (r"[{}]", " "), (r"\\[a-zA-Z]+", " "), (r"\^\s*2", " squared "), (r"=", " equals "),
+)
+SILENT = "•▲▼✓✗✦⚡"
+
+
+def math_words(c: Column) -> Column:
+    """A formula as it is spoken."""
+    for pattern, words in MATH_WORDS:
+        c = F.regexp_replace(c, pattern, words)
+    return squeeze(c)
+
+
 def sanitize_speech(c: Column, keep_arabic: bool = True) -> Column:
-    """Text to be spoken: directives, citations and markup out, symbols to spaces."""
-    c = F.regexp_replace(c, r"\[\[[^\]]*\]\]", " ")
-    c = F.regexp_replace(c, r"\{\{[^}]*\}\}", " ")
-    c = F.regexp_replace(c, r"\$([^$]*)\$", " $1 ")
-    c = F.regexp_replace(c, r"[*_`#>|~]+", " ")
+    """Text to be spoken: directives and citations out, formulas between dollars in words, bold marks and silent signs out; for a voice without Arabic its letters too."""
+    c = F.regexp_replace(F.regexp_replace(c, r"\{\{[^}]*\}\}+", " "), r"\[\[[^\]]*\]\]", " ")
+    formula = r"\$([^$]+)\$"
+    said = F.transform(F.regexp_extract_all(c, F.lit(formula), F.lit(1)), lambda m: F.concat(F.lit(" "), math_words(m), F.lit(" ")))
+    gaps = F.split(c, formula, -1)
+    c = F.when(F.size(said) > 0, F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(said, i), F.lit(""))))), "")).otherwise(c)
+    c = F.regexp_replace(c, r"\*\*", "")
     if not keep_arabic:
         c = F.regexp_replace(c, r"[؀-ۿݐ-ݿ]+", " ")
-    return squeeze(c)
+    return squeeze(F.regexp_replace(c, f"[{SILENT}]", " "))
 
 
 def short_name(c: Column) -> Column:

@@ -33,9 +33,10 @@ def _(t):
     return docs(t).select("doc_id", F.sha2(T.compare_verify(F.col("text")), 256).alias("folded"))
 
 
-@query("x5_fold_compare", "SELECT item_id, " + SQUEEZE.format(rf"regexp_replace({FOLD}, '[\p{{P}}\p{{S}}]', ' ', 'g')") + " AS folded FROM benchmark", prelude=False)
+@query("x5_fold_compare", "SELECT item_id, " + SQUEEZE.format(rf"""regexp_replace(translate(regexp_replace(nfc_normalize(replace(text, 'e', 'é')), '[{MARKS}ۖ-ۭـ]', '', 'g'), 'أإآٱىة', 'اااايه'), '[.,؛،؟!:"''«»()\[\]{{}}…—–-]', ' ', 'g')""") + " AS folded FROM benchmark", prelude=False)
 def _(t):
-    return t.raw("benchmark").select("item_id", T.fold_compare(F.col("text")).alias("folded"))
+    # a decomposed letter that has to be composed
+    return t.raw("benchmark").select("item_id", T.fold_compare(F.replace("text", F.lit("e"), F.lit("é"))).alias("folded"))
 
 
 @query("x6_normalize_search", "SELECT item_id, " + SQUEEZE.format(f"lower({FOLD})") + " AS folded FROM benchmark", prelude=False)
@@ -49,11 +50,12 @@ def _(t):
     return f.select("doc_id", F.sha2("f.folded", 256).alias("folded"), F.size("f.places").alias("places"))
 
 
-@query("x11_locate_mark", "SELECT * FROM (VALUES (1, 12, 13, 11), (2, 1, 2, 0), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL)) v(id, start, \"end\", letter)", prelude=False)
+@query("x11_locate_mark", "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN CAST(4 * (p_partkey % 5) + 5 AS INT) END AS start, CASE WHEN p_partkey % 3 > 0 THEN CAST(4 * (p_partkey % 5) + 6 AS INT) END AS \"end\", CASE WHEN p_partkey % 3 > 0 THEN CAST(4 * (p_partkey % 5) + 4 AS INT) END AS letter FROM part", prelude=False)
 def _(t):
-    rows = [(1, "كَتَبَ الولدُ", "الولد", -1, "damma"), (2, "كَتَبَ", "كتب", 0, None), (3, "كَتَبَ", "كتب", 0, "kasra"), (4, "كتب", "كتب", -1, None)]
-    m = fixture(t, rows, "id int, s string, w string, at int, e string").select("id", T.locate_mark("s", "w", "at", "e").alias("m"))
-    return m.select("id", "m.start", "m.end", "m.letter")
+    """The mark on the last letter of a word behind 0 to 4 others; for every third row it isn't the expected one."""
+    text = F.concat(F.expr("repeat('كتب ', CAST(p_partkey % 5 AS INT))"), F.lit("الولدُ قام"))
+    m = t.raw("part").select("p_partkey", T.locate_mark(text, F.lit("الولد"), F.lit(-1), F.when(F.col("p_partkey") % 3 > 0, "damma").otherwise("kasra")).alias("m"))
+    return m.select("p_partkey", "m.start", "m.end", "m.letter")
 
 
 @query("x12_find_span", r"SELECT item_id, 1 AS unit, regexp_replace(array_to_string(string_split(text, ' ')[2:4], ' '), '\s+', ' ', 'g') AS words FROM benchmark", prelude=False)
@@ -63,23 +65,29 @@ def _(t):
     return found.select("item_id", "s.unit", "s.words")
 
 
-@query("x13_match_run", "SELECT * FROM (VALUES (1, 1, 3), (2, 0, 1), (3, NULL, NULL), (4, 2, 4)) v(id, start, \"end\")", prelude=False)
+@query(
+    "x13_match_run",
+    r"""SELECT item_id, CAST(i - 1 AS INT) AS start, CAST(i + 1 AS INT) AS "end" FROM (SELECT item_id, list_min(list_filter(range(1, len(w) - 1), lambda i: w[i:i + 2] = w[3:5])) AS i
+    FROM (SELECT item_id, list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x != ''), lambda x: regexp_replace(lower(x), '[\p{P}\p{S}]', '', 'g')) AS w FROM benchmark))""",
+    prelude=False,
+)
 def _(t):
-    rows = [(1, "a b - c d", "b c"), (2, "one, two three", "One two"), (3, "x y", "z"), (4, "k m « n o p", "n o")]
-    m = fixture(t, rows, "id int, s string, q string").select("id", T.match_run(F.col("s"), F.col("q")).alias("r"))
-    return m.select("id", "r.start", "r.end")
+    quote = F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 3, 3), " - ")
+    m = t.raw("benchmark").select("item_id", T.match_run(F.col("text"), quote).alias("r"))
+    return m.select("item_id", "r.start", "r.end")
 
 
-@query("x24_bare_word", "SELECT * FROM (VALUES (1, 'كسره'), (2, 'فتحه'), (3, 'كتاب'), (4, 'ولد')) v(id, bare)", prelude=False)
+@query("x24_bare_word", "SELECT p_partkey, CASE WHEN p_partkey % 6 = 5 THEN 'ك' || p_name ELSE p_name END AS bare FROM part", prelude=False)
 def _(t):
-    return fixture(t, [(1, "بالكسره"), (2, "والفتحه"), (3, "كتاب"), (4, "الولد")], "id int, w string").select("id", T.bare_word(F.col("w")).alias("bare"))
+    return t.raw("part").select("p_partkey", T.bare_word(F.concat(F.expr("elt(CAST(p_partkey % 6 + 1 AS INT), '', 'و', 'ال', 'وال', 'وبال', 'ك')"), "p_name")).alias("bare"))
 
 
-@query("c14_term_pairs", "SELECT * FROM (VALUES (1, 2), (2, NULL), (3, 2)) v(id, n)", prelude=False)
+@query("c14_term_pairs", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 OR p_partkey % 5 < 2 THEN NULL ELSE CAST(p_partkey % 5 AS INT) END AS n FROM part", prelude=False)
 def _(t):
-    rows = [(1, '{"pairs": [{"term": "a", "definition": "b"}, {"term": " ", "definition": "x"}, {"left": "c", "right": "d"}]}'), (2, '{"pairs": [{"term": "a"}]}'), (3, '{"items": [{"left": "a", "right": "b"}, {"left": "c", "right": "d"}]}')]
-    p = G.term_pairs(F.col("s"))
-    return fixture(t, rows, "id int, s string").select("id", F.when(p.isNotNull(), F.size(p)).alias("n"))
+    """Lists of 0 to 4 whole pairs and one with an empty side, under two names that are known and one that isn't."""
+    spec = F.expr("""concat('{"', elt(CAST(p_partkey % 3 + 1 AS INT), 'pairs', 'items', 'others'), '": [', repeat(IF(p_partkey % 2 = 0, '{"term": "a", "definition": "b"},', '{"left": "a", "right": "b"},'), CAST(p_partkey % 5 AS INT)), '{"term": " ", "definition": "x"}]}')""")
+    p = G.term_pairs(spec)
+    return t.raw("part").select("p_partkey", F.when(p.isNotNull(), F.size(p)).alias("n"))
 
 
 @query("c15_numbers", "SELECT p_partkey, CAST(p_size AS DOUBLE) * sqrt(3.0) AS root, CASE WHEN m <= 1 THEN p WHEN m <= 2 THEN 2 * p WHEN m <= 5 THEN 5 * p ELSE 10 * p END AS step FROM (SELECT *, p_retailprice / 5 / p AS m FROM (SELECT *, pow(10.0, floor(log10(p_retailprice / 5))) AS p FROM part))", prelude=False)
@@ -90,46 +98,82 @@ def _(t):
 # --- grammar slots -------------------------------------------------------------------------------
 
 
-@query("n6_parse_phrase", "SELECT * FROM (VALUES (1, 'منصوب', NULL, 'الفتحة', 'ظاهرة'), (2, 'مبني', 'في محل نصب', 'الضم', NULL), (3, 'مجرور', NULL, 'الكسرة', NULL), (4, NULL, NULL, NULL, NULL), (5, 'منصوب', NULL, 'الياء', 'نائبة عن الفتحة'), (6, 'مجزوم', NULL, 'حذف النون', NULL)) v(id, state, position, sign, sign_kind)", prelude=False)
+def nth(k: int, n: int, *values: str) -> str:
+    """SQL that both engines read: one of ``values`` by the digit ``k`` of the row's number to base ``n``."""
+    return f"CASE (p_partkey // {k}) % {n} " + " ".join(f"WHEN {i} THEN '{v}'" if v is not None else f"WHEN {i} THEN NULL" for i, v in enumerate(values)) + " END"
+
+
+def spark_nth(k: int, n: int, *values: str):
+    return F.expr(nth(k, n, *values).replace("//", "div"))
+
+
+STATES, SIGNS, KINDS = ("منصوب", "مرفوع", "مجرور", "مجزوم"), ("الفتحة", "الضمة", "الكسرة", "الياء"), ("ظاهرة", "مقدرة", "نائبة عن الفتحة", None)
+
+
+@query("n6_parse_phrase", f"SELECT p_partkey, {nth(1, 4, *STATES)} AS state, CASE WHEN p_partkey % 5 = 0 THEN 'في محل نصب' END AS position, {nth(4, 4, *SIGNS)} AS sign, {nth(16, 4, *KINDS)} AS sign_kind FROM part", prelude=False)
 def _(t):
-    rows = [(1, "منصوب وعلامة نصبه الفتحة الظاهرة"), (2, "مبني على الضم في محل نصب"), (3, "مجرور بالكسرة"), (4, ""), (5, "منصوب بالياء نيابة عن الفتحة"), (6, "مجزوم وعلامته حذف النون")]
-    return fixture(t, rows, "id int, s string").select("id", G.parse_phrase(F.col("s")).alias("p")).select("id", "p.*")
+    words = [spark_nth(1, 4, *STATES), F.lit("وعلامته"), F.concat(spark_nth(4, 4, *SIGNS), F.lit("،")), spark_nth(16, 4, "الظاهرة", "المقدّرة", "نيابة عن الفتحة", None), F.when(F.col("p_partkey") % 5 == 0, "في محلّ نصب")]
+    return t.raw("part").select("p_partkey", G.parse_phrase(F.concat_ws(" ", *words)).alias("p")).select("p_partkey", "p.*")
+
+
+NOUNS = ("مفرد", "جمع مؤنث سالم", "مثنى", "جمع مذكر سالم")
+ROLES = ("منادى علم مفرد", "منادى مضاف", "منادى نكرة مقصودة", "فاعل")
 
 
-@query("n8_rule_table", "SELECT * FROM (VALUES (1, TRUE, 'الضم'), (2, FALSE, 'الياء'), (3, TRUE, 'الكسرة'), (4, FALSE, 'الضم')) v(id, ok, expected)", prelude=False)
+@query(
+    "n8_rule_table",
+    f"""SELECT p_partkey AS id, coalesce(state = CASE WHEN built THEN 'مبني' ELSE 'منصوب' END AND CASE WHEN sign = 'الضم' THEN 'الضمة' ELSE sign END = CASE WHEN expected = 'الضم' THEN 'الضمة' ELSE expected END, FALSE) AS ok, expected
+    FROM (SELECT *, CASE WHEN built THEN CASE noun WHEN 'مثنى' THEN 'الألف' WHEN 'جمع مذكر سالم' THEN 'الواو' ELSE 'الضم' END ELSE CASE noun WHEN 'مفرد' THEN 'الفتحة' WHEN 'جمع مؤنث سالم' THEN 'الكسرة' ELSE 'الياء' END END AS expected
+    FROM (SELECT *, state = 'مبني' OR role != 'منادى مضاف' AS built FROM (SELECT p_partkey, {nth(1, 4, *ROLES)} AS role, {nth(4, 2, "مبني", "منصوب")} AS state, {nth(8, 4, *NOUNS)} AS noun, {nth(32, 4, "الضمة", "الفتحة", "الياء", "الكسرة")} AS sign FROM part)) WHERE role != 'فاعل')""",
+    prelude=False,
+)
 def _(t):
-    rows = [(1, "منادى علم مفرد", "مبني", "الضمة", "مفرد"), (2, "منادى مضاف", "منصوب", "الفتحة", "مثنى"), (3, "منادى مضاف", "منصوب", "الكسرة", "جمع مؤنث سالم"), (4, "منادى نكرة مقصودة", "منصوب", "الفتحة", "مفرد"), (5, "فاعل", "مرفوع", "الضمة", "مفرد")]
-    return G.check_rules(fixture(t, rows, "id int, role string, state string, sign string, noun_type string"), G.rule_table(t.spark))
+    answers = t.raw("part").select(F.col("p_partkey").alias("id"), spark_nth(1, 4, *ROLES).alias("role"), spark_nth(4, 2, "مبني", "منصوب").alias("state"), spark_nth(8, 4, *NOUNS).alias("noun_type"), spark_nth(32, 4, "الضمة", "الفتحة", "الياء", "الكسرة").alias("sign"))
+    return G.check_rules(answers, G.rule_table(t.spark))
+
+
+KEY = {"word": (1, 3, "w", "w", None), "role": (3, 3, "r", " ", "r"), "state": (9, 3, "منصوب", "مبني", None), "position": (27, 2, "p", None), "sign": (54, 2, "الفتحة", None), "sign_kind": (108, 3, None, "—", "k"), "rule_ref": (324, 2, "gc:a", "x")}
 
 
-@query("n9_key_errors", "SELECT * FROM (VALUES (1, ''), (2, 'no role,declined with position,declined without sign'), (3, 'built without position,no rule'), (4, 'no word,no state')) v(id, errors)", prelude=False)
+@query(
+    "n9_key_errors",
+    f"""SELECT p_partkey, concat_ws(',', CASE WHEN word IS NULL THEN 'no word' END, CASE WHEN role = ' ' THEN 'no role' END, CASE WHEN state IS NULL THEN 'no state' END, CASE WHEN state = 'مبني' AND position IS NULL THEN 'built without position' END, CASE WHEN state = 'مبني' AND sign_kind = 'k' THEN 'built with a kind of sign' END,
+    CASE WHEN state = 'منصوب' AND position IS NOT NULL THEN 'declined with position' END, CASE WHEN state = 'منصوب' AND sign IS NULL THEN 'declined without sign' END, CASE WHEN rule_ref = 'x' THEN 'no rule' END) AS errors FROM (SELECT p_partkey, {", ".join(f"{nth(*v)} AS {k}" for k, v in KEY.items())} FROM part)""",
+    prelude=False,
+)
 def _(t):
-    key = "k struct<word:string,role:string,state:string,position:string,sign:string,sign_kind:string,rule_ref:string>"
-    rows = [(1, ("w", "r", "منصوب", None, "الفتحة", None, "gc:a")), (2, ("w", " ", "منصوب", "p", None, None, "gc:a")), (3, ("w", "r", "مبني", None, "الضم", "—", "x")), (4, (None, "r", None, None, None, None, "gc:b"))]
-    return fixture(t, rows, f"id int, {key}").select("id", F.array_join(G.key_errors(F.col("k")), ",").alias("errors"))
+    key = F.struct(*[spark_nth(*v).cast("string").alias(k) for k, v in KEY.items()])
+    return t.raw("part").select("p_partkey", F.array_join(G.key_errors(key), ",").alias("errors"))
 
 
-@query("n10_diagnosis", "SELECT * FROM (VALUES (1, NULL), (2, 'sign: damma, not fatha'), (3, 'role: subject, not object')) v(id, line)", prelude=False)
+@query("n10_diagnosis", f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'role: subject, not object' WHEN (p_partkey // 2) % 2 = 1 THEN 'state: raised, not held' WHEN (p_partkey // 4) % 3 > 0 THEN 'sign: damma, not ' || {nth(4, 3, 'damma', 'fatha', 'kasra')} END AS line FROM part", prelude=False)
 def _(t):
-    key = ("subject", "raised", "damma", None, None)
-    slots = "struct<role:string,state:string,sign:string,position:string,kind:string>"
-    d = fixture(t, [(1, key, key), (2, ("subject", "raised", "fatha", None, None), key), (3, ("object", "held", "damma", None, None), key)], f"id int, s {slots}, k {slots}")
-    return d.withColumn("g", N.grade_slots(F.col("s"), F.col("k"))).select("id", G.diagnosis(F.col("g"), F.col("s"), F.col("k")).alias("line"))
+    none = F.lit(None).cast("string")
+    slots = lambda role, state, sign: F.struct(role.alias("role"), state.alias("state"), sign.alias("sign"), none.alias("position"), none.alias("kind"))
+    d = t.raw("part").withColumns({"s": slots(spark_nth(1, 2, "subject", "object"), spark_nth(2, 2, "raised", "held"), spark_nth(4, 3, "damma", "fatha", "kasra")), "k": slots(F.lit("subject"), F.lit("raised"), F.lit("damma"))})
+    return d.withColumn("g", N.grade_slots(F.col("s"), F.col("k"))).select("p_partkey", G.diagnosis(F.col("g"), F.col("s"), F.col("k")).alias("line"))
 
 
-@query("n12_readings_agree", "SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, FALSE)) v(id, agree)", prelude=False)
+@query("n12_readings_agree", "SELECT p_partkey, p_partkey % 2 = 0 AND (p_partkey // 2) % 2 = 0 AND (p_partkey // 4) % 3 = 0 AS agree FROM part", prelude=False)
 def _(t):
-    r = "struct<role:string,state:string,sign:string>"
-    rows = [(1, ("فَاعل", "مرفوع", "الضمة الظاهرة"), ("فاعل", "مرفوع", "الضمة")), (2, ("فاعل", "مرفوع", "الكسرة نيابة عن الفتحة"), ("فاعل", "مرفوع", "الفتحة")), (3, ("فاعل", "مرفوع", "?"), ("فاعل", "مرفوع", "?"))]
-    return fixture(t, rows, f"id int, a {r}, b {r}").select("id", G.readings_agree(F.col("a"), F.col("b")).alias("agree"))
+    """Roles that differ in marks only or at all, states, and signs that agree, differ or aren't known."""
+    of = lambda role, state, sign: F.struct(role.alias("role"), state.alias("state"), sign.alias("sign"))
+    a = of(spark_nth(1, 2, "فَاعل", "مفعول"), F.lit("مرفوع"), spark_nth(4, 3, "الضمة الظاهرة", "الكسرة نيابة عن الضمة", "?"))
+    b = of(F.lit("فاعل"), spark_nth(2, 2, "مرفوع", "منصوب"), spark_nth(4, 3, "الضمة", "الضمة", "?"))
+    return t.raw("part").select("p_partkey", G.readings_agree(a, b).alias("agree"))
 
 
-@query("n14_map_answer", "SELECT * FROM (VALUES (1, 'منصوب', 'الفتحة', 'ظاهرة', NULL, 'gc:x:r1'), (2, 'مبني', 'الضم', '—', 'في محل نصب', 'gc:x:r1'), (3, NULL, NULL, NULL, NULL, NULL)) v(id, state, sign, sign_kind, position, rule_ref)", prelude=False)
+@query(
+    "n14_map_answer",
+    f"""SELECT p_partkey, CASE WHEN ok THEN state END AS state, CASE WHEN ok THEN sign END AS sign, CASE WHEN ok THEN CASE WHEN state = 'مبني' THEN '—' ELSE 'ظاهرة' END END AS sign_kind, CASE WHEN ok AND state = 'مبني' THEN 'في محل نصب' END AS position, CASE WHEN ok THEN 'gc:' || rule END AS rule_ref
+    FROM (SELECT *, sign != '?' AND rule != 'r9' AND (state != 'مبني' OR role = 'منادى') AS ok FROM (SELECT p_partkey, {nth(1, 2, 'منادى', 'مفعول به')} AS role, {nth(2, 2, 'منصوب', 'مبني')} AS state, {nth(4, 3, 'الفتحة', 'الضم', '?')} AS sign, {nth(12, 3, 'r1', 'r2', 'r9')} AS rule FROM part))""",
+    prelude=False,
+)
 def _(t):
-    rows = [(1, "كتاب", "مفعول به", "منصوبة", "الفتحة", None, "r1، r2"), (2, "محمد", "منادى", "مبني", "الضم", None, "r1"), (3, "كتاب", "مفعول به", "منصوب", "?", None, "r1")]
-    known = F.create_map(F.lit("r1"), F.lit("gc:x:r1"))
-    m = G.map_answer(*map(F.col, ("w", "r", "s", "g", "k", "u")), known)
-    return fixture(t, rows, "id int, w string, r string, s string, g string, k string, u string").select("id", m.alias("m")).select("id", "m.state", "m.sign", "m.sign_kind", "m.position", "m.rule_ref")
+    known = F.create_map(F.lit("r1"), F.lit("gc:r1"), F.lit("r2"), F.lit("gc:r2"))
+    role, state, sign = spark_nth(1, 2, "منادى", "مفعول به"), F.concat(spark_nth(2, 2, "منصوب", "مبني"), F.lit("ة")), spark_nth(4, 3, "الفتحة", "الضم", "?")
+    m = G.map_answer(F.lit("كتاب"), role, state, sign, F.lit(None).cast("string"), F.concat(spark_nth(12, 3, "r1", "r2", "r9"), F.lit("، r8")), known)
+    return t.raw("part").select("p_partkey", m.alias("m")).select("p_partkey", "m.state", "m.sign", "m.sign_kind", "m.position", "m.rule_ref")
 
 
 # --- gates ---------------------------------------------------------------------------------------

@@ -41,9 +41,10 @@ def _(t):
     return t.raw("benchmark").select("item_id", T.store_form(F.col("text")).alias("stored"))
 
 
-@query("x10_is_vowelled", "SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, FALSE)) v(id, vowelled)", prelude=False)
+@query("x10_is_vowelled", "SELECT p_partkey, CASE WHEN p_partkey % 5 + p_partkey % 7 = 0 THEN FALSE ELSE (p_partkey % 5) * 1.0 / (p_partkey % 5 + p_partkey % 7) >= 0.2 END AS vowelled FROM part", prelude=False)
 def _(t):
-    return t.spark.createDataFrame([(1, "كَتَبَ"), (2, "كتب"), (3, "")], "id int, s string").select("id", T.is_vowelled(F.col("s")).alias("vowelled"))
+    words = F.concat(F.expr("repeat('كَتَبَ ', CAST(p_partkey % 5 AS INT))"), F.expr("repeat('كتب ', CAST(p_partkey % 7 AS INT))"))
+    return t.raw("part").select("p_partkey", T.is_vowelled(words).alias("vowelled"))
 
 
 @query(
@@ -123,10 +124,13 @@ def _(t):
     return t.raw("benchmark").select("item_id", F.size(T.words_with_places("text")).alias("n"))
 
 
-@query("x20_speech", r"SELECT id, said FROM (VALUES (1, 'see here and x + 1 now'), (2, 'bold text'), (3, '')) v(id, said)", prelude=False)
+SPOKEN = r" **bold** • $a \times b = c^2$ {{widget:viz:{\"a\": 1}}} [[lo:x]] snake_case $\{ n(A) \}$ كتاب"
+
+
+@query("x20_speech", r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) || ' bold a times b equals c squared snake_case n of A' || CASE WHEN turn % 2 = 0 THEN ' كتاب' ELSE '' END AS said FROM conversations", prelude=False)
 def _(t):
-    rows = [(1, "see [[lo:a-1]] here and $x + 1$ now"), (2, "**bold** _text_ [[highlight: n1]]"), (3, "")]
-    return t.spark.createDataFrame(rows, "id int, s string").select("id", T.sanitize_speech(F.col("s")).alias("said"))
+    c = F.concat("text", F.lit(SPOKEN.replace('\\"', '"')))
+    return t.raw("conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, T.sanitize_speech(c)).otherwise(T.sanitize_speech(c, keep_arabic=False)).alias("said"))
 
 
 # --- protocol ------------------------------------------------------------------------------------
@@ -142,38 +146,68 @@ def _(t):
     return chat(t).select("conv_id", "turn", F.posexplode(P.citations(F.col("text"))).alias("p", "c")).select("conv_id", "turn", (F.col("p") + 1).alias("place"), "c.kind", "c.id")
 
 
-@query("c2_wide_citations", "SELECT conv_id, count(*) AS n FROM conversations WHERE turn % 2 = 1 GROUP BY 1", prelude=False)
+def spliced(t, *parts: str):
+    """Chat turns with one of ``parts`` (SQL expressions) behind the text, by the turn's number."""
+    tail = "CASE turn % " + str(len(parts)) + "".join(f" WHEN {i} THEN {p}" for i, p in enumerate(parts)) + " END"
+    return t.raw("conversations").select("conv_id", "turn", F.concat("text", F.expr(tail)).alias("text"))
+
+
+@query("c2_wide_citations", "SELECT conv_id, turn, CAST(unnest([1, 2]) AS INT) AS place, unnest(['term', 'q']) AS kind, unnest(['t' || turn, 'q:' || conv_id]) AS id FROM conversations", prelude=False)
 def _(t):
-    c = P.citations(F.col("text"), P.CITE_WIDE)
-    return chat(t).filter(F.size(c) > 0).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    c = spliced(t, "concat(' [[term?: t', turn, ' ]] [[term:x]] [[q:', conv_id, ']] [[term?:t', turn, ']]')")
+    return c.select("conv_id", "turn", F.posexplode(P.citations(F.col("text"), P.CITE_WIDE)).alias("p", "c")).select("conv_id", "turn", (F.col("p") + 1).alias("place"), "c.kind", "c.id")
 
 
-MESSAGES = [(1, 'Hi\n\n- a\n- b\n\n[[widget: {"a": "}]", "b": {"c": 1}}]] then [[beat]] end'), (2, "open [[widget: {\"a\""), (3, "[[finish]]"), (4, None), (5, "plain [[show_question: q:1]]")]
+DIRECTIVES = (
+    "concat(' {{show_question: q:', conv_id, ' }} then {{beat}}')",
+    """concat('{{widget:pair_plotter:{"prompt": "}}", "target": {"x": ', turn, '}}}} {{check_in}}')""",
+    """concat('{{show_passage:{"id": " t:', conv_id, '", "unit": ', turn, ', "view": "full"}}}{{switch_subject:math}} {{switch_subject:none}}')""",
+    """concat('{{widget:viz:[1]}} {{widget:viz:{"a" 1}}}{{widget:viz_ref:v:', turn, '}}}{{finish_lesson}}')""",
+)
 
 
-@query("c3_directives", "SELECT * FROM (VALUES (1, 'widget', '{\"a\": \"}]\", \"b\": {\"c\": 1}}'), (1, 'beat', ''), (3, 'finish', ''), (5, 'show_question', 'q:1')) v(id, name, argument)", prelude=False)
+@query(
+    "c3_directives",
+    """SELECT conv_id, turn, 1 AS place, CASE turn % 4 WHEN 0 THEN 'question' WHEN 1 THEN 'widget' WHEN 2 THEN 'passage_ref' ELSE 'widget' END AS kind, CASE turn % 4 WHEN 1 THEN 'pair_plotter' WHEN 3 THEN 'viz_ref' END AS widget,
+    CASE turn % 4 WHEN 0 THEN 'q:' || conv_id WHEN 1 THEN '{"prompt": "}}", "target": {"x": ' || turn || '}}' WHEN 2 THEN '{"id": "t:' || conv_id || '", "unit": ' || turn || ', "view": "context"}' ELSE '{"id": "v:' || turn || '"}' END AS argument FROM conversations
+    UNION ALL SELECT conv_id, turn, 2, CASE turn % 4 WHEN 0 THEN 'beat' WHEN 1 THEN 'check_in' WHEN 2 THEN 'switch_subject' ELSE 'finish' END, NULL, CASE WHEN turn % 4 = 2 THEN 'math' ELSE '' END FROM conversations""",
+    prelude=False,
+)
 def _(t):
-    m = t.spark.createDataFrame(MESSAGES, "id int, text string")
-    return m.select("id", F.explode(P.directives("text")).alias("d")).select("id", "d.name", "d.argument")
+    d = spliced(t, *DIRECTIVES).select("conv_id", "turn", F.posexplode(P.directives("text")).alias("p", "d"))
+    return d.select("conv_id", "turn", (F.col("p") + 1).alias("place"), "d.kind", "d.widget", "d.argument")
+
+
+#: Tails of a message that is still coming, and what may be shown of each.
+TAILS = (("{{be", ""), (' {{widget:viz:{"a": {"b": "}}"}', " "), (" [[lo:u1", " "), (" $x + 1", " "), (" {{beat}} $x$ [[lo:a]]", None), (" costs \\$5", None), (" {{unknown", None))
 
 
-@query("c4_cut_tail", "SELECT * FROM (VALUES (2, 'open '), (3, '[[finish]]'), (4, NULL), (5, 'plain [[show_question: q:1]]')) v(id, text)", prelude=False)
+@query("c4_cut_tail", "SELECT conv_id, turn, text || CASE turn % 7 " + " ".join(f"WHEN {i} THEN '{tail if left is None else left}'" for i, (tail, left) in enumerate(TAILS)) + " END AS text FROM conversations", prelude=False)
 def _(t):
-    m = t.spark.createDataFrame(MESSAGES, "id int, text string").filter("id > 1")
-    return m.select("id", P.strip_incomplete_tail("text").alias("text"))
+    tail = F.element_at(F.array(*[F.lit(a) for a, _ in TAILS]), (F.col("turn") % len(TAILS) + 1).cast("int"))
+    return t.raw("conversations").select("conv_id", "turn", P.strip_incomplete_tail(F.concat("text", tail)).alias("text"))
 
 
-@query("c5_message_blocks", "SELECT * FROM (VALUES (1, 0, 'paragraph'), (1, 1, 'list'), (1, 2, 'widget'), (1, 3, 'paragraph'), (1, 4, 'beat'), (1, 5, 'paragraph'), (3, 0, 'finish'), (5, 0, 'paragraph'), (5, 1, 'show_question')) v(id, position, kind)", prelude=False)
+@query(
+    "c5_message_blocks",
+    r"""SELECT conv_id, turn, 0 AS block, 'para' AS kind, NULL AS argument, 0 AS item, 0 AS place, 'text' AS inline, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x != ''), ' ') AS value FROM conversations
+    UNION ALL SELECT conv_id, turn, 1, 'list', NULL, 0, 0, 'text', 'see ' FROM conversations
+    UNION ALL SELECT conv_id, turn, 1, 'list', NULL, 0, 1, 'lo', 'lo:' || conv_id FROM conversations
+    UNION ALL SELECT conv_id, turn, 1, 'list', NULL, 1, 0, 'text', 'two' FROM conversations
+    UNION ALL SELECT conv_id, turn, 2, 'highlight', 'a' || turn || ',b', NULL, NULL, NULL, NULL FROM conversations
+    UNION ALL SELECT conv_id, turn, 3, 'para', NULL, 0, 0, 'text', 'end * no list' FROM conversations""",
+    prelude=False,
+)
 def _(t):
     t.spark.udtf.register("parse_message", P.ParseMessage)
-    t.spark.createDataFrame(MESSAGES, "id int, text string").filter("id != 2").createOrReplaceTempView("tessera_messages")
-    return t.spark.sql("SELECT m.id, b.position, b.kind FROM tessera_messages m, LATERAL parse_message(m.text, true) b")
+    spliced(t, r"concat('\n- see [[lo:', conv_id, ']]\n• two\n\n{{highlight:a', turn, ', b}}\n\nend\n* no list {{bea')").createOrReplaceTempView("tessera_messages")
+    return t.spark.sql("SELECT m.conv_id, m.turn, b.block, b.kind, b.argument, b.item, b.place, b.inline, b.value FROM tessera_messages m, LATERAL parse_message(m.text, true) b")
 
 
-@query("c6_highlights", "SELECT conv_id, turn, 'n' || (turn % 3) AS h FROM conversations WHERE turn > 0", prelude=False)
+@query("c6_highlights", "SELECT conv_id, turn, unnest(['n' || turn % 3, 'm' || conv_id]) AS h FROM conversations", prelude=False)
 def _(t):
-    mark = F.when(F.col("turn") > 0, F.concat(F.lit("[[highlight: n"), F.col("turn") % 3, F.lit(" ]] x [[highlight: n"), F.col("turn") % 3, F.lit("]]"))).otherwise(F.lit(""))
-    return t.raw("conversations").select("conv_id", "turn", F.explode(P.highlights(F.concat("text", mark))).alias("h"))
+    c = spliced(t, "concat('{{highlight: n', turn % 3, ' , m', conv_id, ' ,}} x {{highlight:n', turn % 3, '}}')")
+    return c.select("conv_id", "turn", F.explode(P.highlights(F.col("text"))).alias("h"))
 
 
 @query("c7_cited_los", "SELECT q.id, q.lo_id FROM questions q WHERE q.id IN (SELECT question_id FROM attempts)")
@@ -182,11 +216,16 @@ def _(t):
     return t.questions.join(cited, "id", "left_semi").select("id", "lo_id")
 
 
-@query("c8_rating", "SELECT * FROM (VALUES (1, 86, 'mastered', 2), (2, NULL, NULL, NULL), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL), (5, 0, 'needs_work', 0)) v(id, score, verdict, strengths)", prelude=False)
+@query(
+    "c8_rating",
+    """SELECT event_id, CASE WHEN ok THEN CAST(floor(s + 1) AS INT) END AS score, CASE WHEN ok THEN v END AS verdict, CASE WHEN ok THEN CAST(least(event_id % 7, 4) AS INT) END AS strengths
+    FROM (SELECT *, s + 0.5 BETWEEN 0 AND 100 AND v != 'great' AS ok FROM (SELECT event_id, event_id % 131 AS s, CASE event_id % 4 WHEN 0 THEN 'mastered' WHEN 1 THEN 'developing' WHEN 2 THEN 'needs_work' ELSE 'great' END AS v FROM events))""",
+    prelude=False,
+)
 def _(t):
-    rows = [(1, 'ok {"score": 85.5, "verdict": "mastered", "strengths": ["a", "b"]} bye'), (2, '{"score": 120, "verdict": "mastered"}'), (3, "none"), (4, '{"score": 5, "verdict": "great"}'), (5, '{"score": 0, "verdict": "needs_work"}')]
-    r = t.spark.createDataFrame(rows, "id int, s string").select("id", P.rating(F.col("s")).alias("r"))
-    return r.select("id", "r.score", "r.verdict", F.when(F.col("r").isNotNull(), F.size("r.strengths")).alias("strengths"))
+    e = t.raw("events").selectExpr("event_id", """concat('ok {"score": ', event_id % 131, '.5, "verdict": "', elt(CAST(event_id % 4 + 1 AS INT), 'mastered', 'developing', 'needs_work', 'great'), '", "strengths": [', array_join(array_repeat('"a"', CAST(event_id % 7 AS INT)), ','), ']} bye') AS s""")
+    r = e.select("event_id", P.rating(F.col("s")).alias("r"))
+    return r.select("event_id", "r.score", "r.verdict", F.when(F.col("r").isNotNull(), F.size("r.strengths")).alias("strengths"))
 
 
 @query("c9_json_strings", "SELECT event_id, '$.t' AS path, event_type AS text FROM events UNION ALL SELECT event_id, '$.l[1]', 'x' FROM events", prelude=False)
@@ -214,11 +253,12 @@ def _(t):
     return t.questions.select("id", P.encode_answer(F.col("question_type"), value=F.when(F.col("status") == "live", F.col("correct_answer"))).alias("answer"))
 
 
-@query("c13_visual_events", "SELECT * FROM (VALUES (1, 2), (2, NULL), (3, 2)) v(id, n)", prelude=False)
+@query("c13_visual_events", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 OR p_partkey % 5 < 2 THEN NULL ELSE CAST(p_partkey % 5 AS INT) END AS n FROM part", prelude=False)
 def _(t):
-    rows = [(1, '{"events": [{"label": "a", "date": "1"}, {"title": "b"}, {"label": " "}]}'), (2, '{"items": [{"name": "a"}]}'), (3, '{"points": [{"text": "a", "year": "3"}, {"name": "b"}]}')]
-    e = P.normalize_events(F.col("s"))
-    return t.spark.createDataFrame(rows, "id int, s string").select("id", F.when(e.isNotNull(), F.size(e)).alias("n"))
+    """Lists of 0 to 4 labelled events and one without a label, under three names that are known and one that isn't."""
+    spec = F.expr("""concat('{"', elt(CAST(p_partkey % 4 + 1 AS INT), 'events', 'items', 'points', 'others'), '": [', repeat(concat('{"', elt(CAST(p_partkey % 3 + 1 AS INT), 'label', 'title', 'name'), '": "x", "year": "3"},'), CAST(p_partkey % 5 AS INT)), '{"label": " "}]}')""")
+    e = P.normalize_events(spec)
+    return t.raw("part").select("p_partkey", F.when(e.isNotNull(), F.size(e)).alias("n"))
 
 
 @query("c16_grounding", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 's' || user_id ELSE '' END AS chat_session FROM events""", prelude=False)
@@ -246,10 +286,9 @@ def _(t):
     return t.attempts.join(q, "question_id").select("id", N.grade(F.col("question_type"), F.col("correct_answer"), F.col("given_answer")).alias("correct"))
 
 
-@query("n1_number_prefix", "SELECT * FROM (VALUES (1, 3.0), (2, -0.5), (3, 1200.0), (4, NULL), (5, 7.0)) v(id, x)", prelude=False)
+@query("n1_number_prefix", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN -(event_id + 0.5::DOUBLE) WHEN 1 THEN event_id * 100::DOUBLE WHEN 3 THEN event_id::DOUBLE END AS x FROM events", prelude=False)
 def _(t):
-    rows = [(1, "3abc"), (2, " -.5 m"), (3, "1.2e3x"), (4, "x3"), (5, "7.")]
-    return t.spark.createDataFrame(rows, "id int, s string").select("id", N.number_prefix(F.col("s")).alias("x"))
+    return t.raw("events").select("event_id", N.number_prefix(F.expr("elt(CAST(event_id % 4 + 1 AS INT), concat(' -', event_id, '.5 m'), concat(event_id, 'e2x'), concat('x', event_id), concat(event_id, '.'))")).alias("x"))
 
 
 @query("n3_tier", "SELECT student_id, lo_id, CASE WHEN score < 0.4 THEN 'basic' WHEN score < 0.7 THEN 'standard' ELSE 'advanced' END AS tier FROM mastery WHERE system_to IS NULL")
@@ -262,13 +301,18 @@ def _(t):
     return t.raw("part").select("p_partkey", N.slot_compare(F.col("p_name"), F.lit("widget red")).alias("verdict"))
 
 
-@query("n5_grade_slots", "SELECT * FROM (VALUES (1, 'AGREE', 1.0, NULL), (2, 'PARTIAL', 0.625, 'sign'), (3, 'DISAGREE', 0.375, 'role'), (4, 'KEY_INVALID', NULL, NULL), (5, 'VARIANT', 1.0, NULL)) v(id, verdict, score, first_conflict)", prelude=False)
+@query(
+    "n5_grade_slots",
+    """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'KEY_INVALID' WHEN c IS NULL AND v THEN 'VARIANT' WHEN c IS NULL THEN 'AGREE' WHEN s >= 0.5 THEN 'PARTIAL' ELSE 'DISAGREE' END AS verdict, CASE WHEN p_partkey % 7 != 0 THEN s END AS score, CASE WHEN p_partkey % 7 != 0 THEN c END AS first_conflict
+    FROM (SELECT p_partkey, p_partkey % 4 = 2 AS v, round((3 * (p_partkey % 2 = 0)::INT + 2 * (p_partkey % 3 = 0)::INT + 3 * (p_partkey % 5 != 0)::INT) / 8.0::DOUBLE, 3) AS s, CASE WHEN p_partkey % 2 != 0 THEN 'role' WHEN p_partkey % 3 != 0 THEN 'state' WHEN p_partkey % 5 = 0 THEN 'sign' END AS c FROM part)""",
+    prelude=False,
+)
 def _(t):
-    key = ("subject", "raised", "damma", None, None)
-    rows = [(1, key, key), (2, ("subject", "raised", "fatha", None, None), key), (3, ("object", "held", "damma", None, None), key), (4, key, (None, "raised", None, None, None)), (5, ("subject of", "raised", "damma", None, None), key)]
-    slots = "struct<role:string,state:string,sign:string,position:string,kind:string>"
-    g = t.spark.createDataFrame(rows, f"id int, s {slots}, k {slots}").select("id", N.grade_slots(F.col("s"), F.col("k")).alias("g"))
-    return g.select("id", "g.verdict", F.when(F.col("g.verdict") != "KEY_INVALID", F.col("g.score")).alias("score"), F.when(F.col("g.verdict") != "KEY_INVALID", F.col("g.first_conflict")).alias("first_conflict"))
+    submission = F.expr("struct(CASE p_partkey % 4 WHEN 0 THEN 'the subject' WHEN 2 THEN 'subject' ELSE 'object' END AS role, IF(p_partkey % 3 = 0, 'raised', 'held') AS state, IF(p_partkey % 5 != 0, 'damma', 'fatha') AS sign, CAST(NULL AS STRING) AS position, CAST(NULL AS STRING) AS kind)")
+    key = F.expr("struct(IF(p_partkey % 7 != 0, 'the subject', NULL) AS role, 'raised' AS state, 'damma' AS sign, CAST(NULL AS STRING) AS position, CAST(NULL AS STRING) AS kind)")
+    g = t.raw("part").select("p_partkey", N.grade_slots(submission, key).alias("g"))
+    valid = F.col("g.verdict") != "KEY_INVALID"
+    return g.select("p_partkey", "g.verdict", F.when(valid, F.col("g.score")).alias("score"), F.when(valid, F.col("g.first_conflict")).alias("first_conflict"))
 
 
 @query("n11_mcq_match", "SELECT id, lower(substr(correct_answer, 1, 1)) = lower(substr(tier, 1, 1)) AS ok FROM questions")
@@ -276,11 +320,12 @@ def _(t):
     return t.questions.select("id", N.mcq_match(F.col("correct_answer"), F.col("tier")).alias("ok"))
 
 
-@query("n13_mcq_key", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'b'), (5, 'a'), (6, NULL)) v(id, key)", prelude=False)
+@query("n13_mcq_key", "SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'b' WHEN 1 THEN 'c' WHEN 2 THEN 'a' WHEN 3 THEN 'b' WHEN 4 THEN 'c' END AS key FROM part", prelude=False)
 def _(t):
-    choices = [("a", "red fox"), ("b", "blue"), ("c", "green")]
-    rows = [(1, "A", choices), (2, "(b) it", choices), (3, "c. green", choices), (4, "Blue", choices), (5, "fox", choices), (6, "zzz", choices)]
-    return t.spark.createDataFrame(rows, "id int, a string, c array<struct<key:string,text:string>>").select("id", N.mcq_key(F.col("a"), F.col("c")).alias("key"))
+    """Keys alone, in brackets at the beginning, the text of a choice within the answer (folded), none, brackets too far behind, one choice only."""
+    answer = F.expr("elt(CAST(p_partkey % 8 + 1 AS INT), 'b', '(c) it', 'x (a)', concat('the «', p_type, '», of course'), concat('it is: ', p_name), 'zzz', 'no, it is (a)', 'b')")
+    choices = F.expr("slice(array(struct('a' AS key, p_brand AS text), struct('b' AS key, p_type AS text), struct('c' AS key, p_name AS text)), IF(p_partkey % 8 = 7, 2, 1), IF(p_partkey % 8 = 7, 1, 3))")
+    return t.raw("part").select("p_partkey", N.mcq_key(answer, choices).alias("key"))
 
 
 @query("n15_parabola", "SELECT vec_id, round(-b / (2 * a), 6) AS vx, round(b * b - 4 * a * c, 6) AS d, CAST(CASE WHEN b * b - 4 * a * c > 0 THEN 2 WHEN b * b - 4 * a * c = 0 THEN 1 ELSE 0 END AS INT) AS roots FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) + 2 AS a, CAST(embedding[2] AS DOUBLE) * 10 AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings)", prelude=False)
@@ -307,14 +352,24 @@ def _(t):
     return t.raw("embeddings").select("vec_id", N.quadrant(F.col("embedding")[0], F.col("embedding")[1]).alias("q"))
 
 
-@query("n20_replays", "SELECT * FROM (VALUES (1, 3, 0, 2, 1, 2, FALSE, TRUE, 1, 1), (2, 1, 2, 1, 2, 1, TRUE, FALSE, 0, 1)) v(id, placed, missteps, found, misses, strikes, solved, revealed, matched, wrong)", prelude=False)
+@query(
+    "n20_replays",
+    r"""SELECT p_partkey, CAST(CASE WHEN d SIMILAR TO '.*1.*2.*3.*' THEN 3 WHEN d SIMILAR TO '.*1.*2.*' THEN 2 WHEN d LIKE '%1%' THEN 1 ELSE 0 END AS INT) AS placed,
+    CAST(CASE WHEN d SIMILAR TO '.*1.*2.*3.*' THEN length(regexp_extract(d, '^[^1]*1[^2]*2[^3]*3')) - 3 WHEN d SIMILAR TO '.*1.*2.*' THEN length(d) - 2 WHEN d LIKE '%1%' THEN length(d) - 1 ELSE length(d) END AS INT) AS missteps,
+    CAST(contains(d, '1')::INT + contains(d, '2')::INT AS INT) AS found, CAST(length(regexp_replace(d, '[12]', '', 'g')) AS INT) AS misses, CAST(least(w, 2) AS INT) AS strikes, contains(d, '5') AND w < 2 AS solved, NOT (contains(d, '5') AND w < 2) AND w >= 2 AS revealed,
+    CAST((d[1] = d[-1])::INT AS INT) AS matched, CAST((d[1] != d[-1])::INT AS INT) AS wrong
+    FROM (SELECT *, CASE WHEN contains(d, '5') THEN instr(d, '5') - 1 ELSE length(d) END AS w FROM (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS d FROM part))""",
+    prelude=False,
+)
 def _(t):
-    rows = [(1, ["a", "b", "c"], ["x", "x", "y", "z"], ["p", "q", "k"], [("term", "t1"), ("def", "d1"), ("term", "t2"), ("def", "d1")]), (2, ["a", "c", "c"], ["y", "z", "w"], ["p", "k", "q"], [("def", "d1"), ("term", "t2"), ("def", "d1")])]
-    d = t.spark.createDataFrame(rows, "id int, taps array<string>, spans array<string>, tries array<string>, pairs array<struct<side:string,item:string>>")
-    wanted, targets = F.array(*map(F.lit, "abc")), F.array(F.lit("x"), F.lit("y"))
-    o, s, k = N.replay_ordered(F.col("taps"), wanted), N.replay_spans(F.col("spans"), targets), N.replay_strikes(F.col("tries"), F.lit("k"))
-    m = N.replay_pairs(F.col("pairs"), F.create_map(F.lit("t1"), F.lit("d1"), F.lit("t2"), F.lit("d2")))
-    return d.select("id", o["cursor"].alias("placed"), o["missteps"].alias("missteps"), s["found"].alias("found"), s["misses"].alias("misses"), k["strikes"].alias("strikes"), k["solved"].alias("solved"), k["revealed"].alias("revealed"), m["matched"].alias("matched"), m["wrong"].alias("wrong"))
+    """The digits of a number as taps: an order to place, spans to find, a key to hit within two tries; its first and last digit as a pair."""
+    d = t.raw("part").select("p_partkey", F.split(F.col("p_partkey").cast("string"), "").alias("taps"))
+    wanted, targets = F.array(*map(F.lit, "123")), F.array(F.lit("1"), F.lit("2"))
+    o, s, k = N.replay_ordered(F.col("taps"), wanted), N.replay_spans(F.col("taps"), targets), N.replay_strikes(F.col("taps"), F.lit("5"))
+    tap = lambda side, at: F.struct(F.lit(side).alias("side"), F.concat(F.lit(side[0]), F.element_at("taps", at)).alias("item"))
+    pairs = F.create_map(*[F.lit(f"{side}{i}") for i in range(10) for side in "td"])
+    m = N.replay_pairs(F.array(tap("def", 1), tap("term", 1), tap("def", -1)), pairs)
+    return d.select("p_partkey", o["cursor"].alias("placed"), o["missteps"].alias("missteps"), s["found"].alias("found"), s["misses"].alias("misses"), k["strikes"].alias("strikes"), k["solved"].alias("solved"), k["revealed"].alias("revealed"), m["matched"].alias("matched"), m["wrong"].alias("wrong"))
 
 
 @query("n24_product_check", "SELECT user_id, CAST(count(DISTINCT event_type) FILTER (event_type NOT IN ('view', 'click')) AS INT) AS wrong, CAST(2 - count(DISTINCT event_type) FILTER (event_type IN ('view', 'click')) AS INT) AS missed FROM events GROUP BY 1", prelude=False)
@@ -324,10 +379,9 @@ def _(t):
     return p.select("user_id", c["wrong"].alias("wrong"), c["missed"].alias("missed"))
 
 
-@query("p4_colour", "SELECT * FROM (VALUES (1, '#c80000'), (2, '#646400'), (3, '#00c800')) v(id, colour)", prelude=False)
+@query("p4_colour", "SELECT p_partkey, printf('#%02x%02x00', CAST(floor(200.5 - 200 * s) AS INT), CAST(floor(200 * s + 0.5) AS INT)) AS colour FROM (SELECT p_partkey, least(1.0, greatest(0.0, (p_partkey % 121 - 10) / 100.0::DOUBLE)) AS s FROM part)", prelude=False)
 def _(t):
-    d = t.spark.createDataFrame([(1, -1.0), (2, 0.5), (3, 1.0)], "id int, s double")
-    return d.select("id", N.lerp_colour(F.col("s"), [(0.0, (200, 0, 0)), (1.0, (0, 200, 0))]).alias("colour"))
+    return t.raw("part").select("p_partkey", N.lerp_colour((F.col("p_partkey") % 121 - 10) / 100.0, [(0.0, (200, 0, 0)), (1.0, (0, 200, 0))]).alias("colour"))
 
 
 # --- gates ---------------------------------------------------------------------------------------

@@ -29,6 +29,7 @@ def test_store_form(spark):
 
 def test_folds_differ(spark):
     assert values(spark, [("a-b C",)], "s string", T.compare_loose(F.col("s")), F.array_join(T.fold_words(F.col("s")), "|"), T.fold_compare(F.col("s"))) == [("ab C", "a|b|c", "a b C")]
+    assert values(spark, [("é: a/b «c»",)], "s string", T.fold_compare(F.col("s"))) == [("é a/b c",)]
 
 
 def test_stages(spark):
@@ -45,10 +46,30 @@ def test_longest_run(spark):
     assert values(spark, [("a b c d e", "x b c d y")], "a string, b string", T.longest_shared_run("a", "b")["length"], T.longest_shared_run("a", "b")["run"]) == [(3, "b c d")]
 
 
-def test_directive_scanner():
-    assert [d[2:] for d in P.scan_directives('x [[widget: {"a": "}]]"}}]] y [[beat]] [[widget: {"a" ]]')] == [("widget", '{"a": "}]]"}'), ("beat", "")]
-    assert P.balanced_end('{"a": "\\"}"}', 0) == 12
-    assert P.cut_tail("hello [[lo:a") == "hello " and P.cut_tail("hello [") == "hello "
+def test_directives_take_every_form():
+    """The forms that a message can carry, and what is no directive."""
+    got = [d[2:] for d in P.scan_directives('{{show_question:q:u1-4-1:002}} {{highlight:lo:u1-2-1, lo:u1-3-1}}{{widget:pair_plotter:{"prompt":"Plot (3,2)","target":[3,2]}}}{{widget:viz_ref:v:geo1-1:001}}{{show_passage:t:ara1-1:001}}{{finish_lesson}}')]
+    assert got == [("question", None, "q:u1-4-1:002"), ("highlight", None, "lo:u1-2-1,lo:u1-3-1"), ("widget", "pair_plotter", '{"prompt":"Plot (3,2)","target":[3,2]}'), ("widget", "viz_ref", '{"id": "v:geo1-1:001"}'), ("passage_ref", None, "t:ara1-1:001"), ("finish", None, "")]
+    one = lambda s: [d[2:] for d in P.scan_directives(s)]
+    assert one('{{widget:viz:{"a": "\\"}}", "b": {"c": {}}} end') == [("widget", "viz", '{"a": "\\"}}", "b": {"c": {}}}')]  # one brace too few
+    assert one('{{widget:viz:{"a" 1}}}') == [(None, None, None)] and one("{{widget:viz:[1]}} {{switch_subject:none}} {{beat") == []
+    assert one('{{show_passage:{"id":"t:1","quote":" a ","unit":2.0,"view":"excerpt"}}}') == [("passage_ref", None, '{"id": "t:1", "quote": "a", "unit": 2, "view": "line"}')]
+    assert one('{{show_passage:{"quote":"a"}}}') == [(None, None, None)] and one('{{show_passage:{"id":"a"') == []
+    assert one("{{widget:viz:{" + '"a": "' + "x" * 5000 + '"}}}') == []
+    assert one("{{{beat}}") == []
+
+
+def test_tails_and_blocks():
+    for s, want in (("hello [[lo:a", "hello "), ("a {{widget:viz:{\"x\": \"{{\"", "a "), ("a {{beat}}", "a {{beat}}"), ("a {{", "a "), ("cost \\$5 and $x", "cost \\$5 and "), ("hello [", "hello [")):
+        assert P.cut_tail(s) == want
+    got = list(P.blocks_of("one\ntwo\n- a [[lo:x]]\n• b\nthree\n\n{{beat}}\n\n1. no list"))
+    assert [(k, lines) for k, _, _, lines in got] == [("para", ["one two"]), ("list", ["a [[lo:x]]", "b"]), ("para", ["three"]), ("beat", []), ("para", ["1. no list"])]
+    assert list(P.inlines_of("a [[term?: x ]][[page:2]] b")) == [("text", "a "), ("term", "x"), ("page", "2"), ("text", " b")]
+
+
+def test_spoken_forms(spark):
+    rows = [(r"Is $a \neq b$ or $2^2 = 4$?",), ("no $ math",), ("{{beat}}[[lo:a]]",), (None,)]
+    assert values(spark, rows, "s string", T.sanitize_speech(F.col("s"))) == [("Is a is not equal to b or 2 squared equals 4 ?",), ("no $ math",), ("",), (None,)]
 
 
 def test_guard_holds_back_and_fails_closed():
