@@ -41,19 +41,21 @@ def reachable(edges: DataFrame, roots: DataFrame, forward: bool = True) -> DataF
 def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, layer): the longest path that leads to each node. Unknown endpoints begin at 0 and are added.
 
-    At most as many rounds as nodes, so cyclic data ends too (its layers then depend on the bound).
+    Round k holds the nodes that some path of k steps leads to; a node's layer is the last round it is in.
+    So each round joins only what the last one reached with the edges. At most as many rounds as nodes,
+    so cyclic data ends too (its layers then depend on the bound).
     """
     edges = cut(edges.select("src_id", "dst_id").distinct())
-    known = nodes.select("id").union(edges.select("src_id")).union(edges.select("dst_id")).distinct()
-    state = cut(known.select("id", F.lit(0).alias("layer")))
-    limit = state.count() if max_rounds is None else max_rounds
-    for _ in range(limit):
-        up = edges.join(state.withColumnRenamed("id", "src_id"), "src_id").groupBy(F.col("dst_id").alias("id")).agg((F.max("layer") + 1).alias("_up"))
-        new = cut(state.join(up, "id", "left").select("id", F.greatest("layer", F.coalesce("_up", F.lit(0))).alias("layer"), F.col("layer").alias("_old")))
-        if new.filter("layer != _old").isEmpty():
+    known = cut(nodes.select("id").union(edges.select("src_id")).union(edges.select("dst_id")).distinct())
+    front, seen = known, known.select("id", F.lit(0).alias("layer"))
+    for k in range(1, (known.count() if max_rounds is None else max_rounds) + 1):
+        front = cut(edges.join(front.select(F.col("id").alias("src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct())
+        if front.isEmpty():
             break
-        state = new.select("id", "layer")
-    return state
+        seen = seen.unionByName(front.withColumn("layer", F.lit(k)))
+        if k % 25 == 0:
+            seen = cut(seen.groupBy("id").agg(F.max("layer").alias("layer")))  # a plan of a few unions
+    return seen.groupBy("id").agg(F.max("layer").alias("layer"))
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
+
 
 def counts_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
@@ -32,11 +34,25 @@ def tier_for(score: Column) -> Column:
     return F.when(score < 0.4, "basic").when(score < 0.7, "standard").otherwise("advanced")
 
 
-def recent_counts(questions: DataFrame, attempts: DataFrame, students: DataFrame, as_of: Column, days: int = 2) -> DataFrame:
-    """(student_id, question_id, recent): attempts within a window before ``as_of``; 0 where there are none."""
+def recent_counts(questions: DataFrame, attempts: DataFrame, as_of: Column, days: int = 2) -> DataFrame:
+    """(student_id, question_id, recent): attempts on the given questions (id) within a window before ``as_of``; pairs without any have no row."""
     recent = attempts.filter(F.col("attempted_at") > as_of - F.expr(f"INTERVAL {days} DAYS")).groupBy("student_id", "question_id").agg(F.count(F.lit(1)).alias("recent"))
-    pairs = students.select(F.col("id").alias("student_id")).crossJoin(questions.select(F.col("id").alias("question_id")))  # a student's view: callers pass the students to serve
-    return pairs.join(recent, ["student_id", "question_id"], "left").fillna(0, ["recent"])
+    return recent.join(questions.select(F.col("id").alias("question_id")), "question_id", "left_semi").select("student_id", "question_id", "recent")
+
+
+def recent_for(student: Column, questions: DataFrame, recent: DataFrame) -> DataFrame:
+    """One student's view of ``recent_counts``: every question, 0 where there are no attempts."""
+    mine = recent.filter(F.col("student_id") == student).select("question_id", "recent")
+    return questions.select(F.col("id").alias("question_id")).join(mine, "question_id", "left").fillna(0, ["recent"])
+
+
+def places(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
+    """``df`` with its place (from 1) in a whole order: ranges of the order are numbered on their own and begin behind the rows of those before them, so no task holds all rows."""
+    ranged = graph.cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))  # one row for each range
+    before = sizes.select("_range", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return numbered.join(before, "_range").withColumn(name, F.col("_before") + F.col("_n")).drop("_range", "_before", "_n")
 
 
 def roster(students: DataFrame, attempts: DataFrame, mastery: DataFrame, n_los: DataFrame) -> DataFrame:

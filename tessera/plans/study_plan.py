@@ -1,18 +1,19 @@
 """Study plans: a short list of questions for each student.
 
-Ranking (question of each LO) is a window; the greedy choice that goes round and round over the
-weakest LOs is sequential, so it runs per student on that student's few LOs.
+What a choice can reach is found by joins and windows, a few LOs and questions for each student; the
+greedy choice itself, which goes round and round over the weakest LOs, is sequential and runs per student on those.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, rollup
 
 GATE, REVIEW, ITEMS, WEAK = 0.5, 0.72, 5, 3
+TIERS = ("basic", "standard", "advanced")
 SCHEMA = "student_id long, position int, lo_id string, question_id string, tier string, reason string"
 
 
@@ -22,7 +23,7 @@ def target_tier(score: float) -> str:
 
 def choose(frame: pd.DataFrame) -> pd.DataFrame:
     """Rows of one student: LO, order, score, eligible, and the LO's questions as (recent, id, tier)."""
-    rows = frame.sort_values("ord").to_dict("records")
+    rows = sorted(frame.to_dict("records"), key=lambda r: tuple(r["ord"].values()) if isinstance(r["ord"], dict) else r["ord"])
     by_score = sorted(rows, key=lambda r: r["score"])
     weak = [r for r in by_score if r["eligible"] and r["score"] < REVIEW]
     review = sorted((r for r in rows if r["score"] >= REVIEW), key=lambda r: -r["score"])
@@ -51,26 +52,81 @@ def choose(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(int(frame["student_id"].iloc[0]), i + 1, *x) for i, x in enumerate(items)], columns=["student_id", "position", "lo_id", "question_id", "tier", "reason"])
 
 
+def _first(df: DataFrame, keys: list[str], order: list, n: int | Column) -> DataFrame:
+    """The first ``n`` rows of each key in an order."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
+
+
+def _up_to(students: DataFrame, count: Column, ranked: DataFrame) -> DataFrame:
+    """(student_id, lo_id): of a list (lo_id, place) the first ``count`` for each student, met by place."""
+    return students.select("student_id", F.explode(F.sequence(F.lit(1).cast("long"), count.cast("long"))).alias("place")).join(ranked.select("place", "lo_id"), "place").select("student_id", "lo_id")
+
+
+def candidates(los: DataFrame, prerequisites: DataFrame, scores: DataFrame, banked: DataFrame, students: DataFrame) -> DataFrame:
+    """(student_id, lo_id, order_in_parent, score, eligible, has) of the LOs that the choice can look at, never students times LOs.
+
+    What a student hasn't touched scores 0, so among those only the first in teaching order count:
+    enough of the LOs without prerequisites, of all others, and of all with questions that as many as the
+    student has touched or opened can be left out. Beside them stand the touched LOs and those that touched ones open.
+    """
+    los = los.select("lo_id", "order_in_parent")
+    known = scores.join(los, "lo_id", "left_semi").join(students.select(F.col("id").alias("student_id")), "student_id", "left_semi").select("student_id", "lo_id", "score")
+    pre = prerequisites.select(F.col("dst_id").alias("lo_id"), F.col("src_id").alias("pre_id")).distinct()
+    needs = pre.groupBy("lo_id").agg(F.count(F.lit(1)).alias("_needs"))
+    met = known.filter(F.col("score") >= GATE).select("student_id", F.col("lo_id").alias("pre_id")).join(pre, "pre_id").groupBy("student_id", "lo_id").agg(F.count(F.lit(1)).alias("_met"))
+    opened = met.join(needs, "lo_id").filter("_met = _needs").join(los, "lo_id", "left_semi").select("student_id", "lo_id", F.lit(True).alias("_open"))
+    order = ["order_in_parent", "lo_id"]
+    rooted = rollup.places(los.join(needs, "lo_id", "left_anti").join(banked, "lo_id", "left_semi"), order)
+    closed = rollup.places(los.join(needs, "lo_id", "left_semi"), order)
+    filled = rollup.places(los.join(banked, "lo_id", "left_semi"), order)
+    n = students.select(F.col("id").alias("student_id")).distinct().join(rollup.counts_by(known, ["student_id"], "_known"), "student_id", "left").join(rollup.counts_by(opened, ["student_id"], "_opened"), "student_id", "left").fillna(0)
+    n = graph.cut(n.select("student_id", (F.col("_known") + F.col("_opened")).alias("_past")))
+    parts = [_up_to(n, F.col("_past") + WEAK, rooted), _up_to(n, F.col("_past") + 1, closed), _up_to(n, F.col("_past") + 2 * ITEMS, filled), known.select("student_id", "lo_id"), opened.select("student_id", "lo_id")]
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.unionByName(part)
+    rows = pairs.distinct().join(los, "lo_id").join(known, ["student_id", "lo_id"], "left").join(opened, ["student_id", "lo_id"], "left").join(needs, "lo_id", "left").join(banked.select("lo_id", F.lit(True).alias("has")), "lo_id", "left")
+    return rows.select("student_id", "lo_id", "order_in_parent", F.coalesce("score", F.lit(0.0)).alias("score"), (F.col("_needs").isNull() | F.coalesce("_open", F.lit(False))).alias("eligible"), F.coalesce("has", F.lit(False)).alias("has"))
+
+
+def shortlist(rows: DataFrame) -> DataFrame:
+    """Of the candidates the LOs that the choice can reach: the first weak ones with questions, the first to review, the first to stretch to, and the weakest with questions."""
+    rows = graph.cut(rows)
+    weakest = ["score", "order_in_parent", "lo_id"]
+    parts = [
+        _first(rows.filter(F.col("eligible") & (F.col("score") < REVIEW) & F.col("has")), ["student_id"], weakest, WEAK),
+        _first(rows.filter(F.col("score") >= REVIEW), ["student_id"], [F.desc("score"), "order_in_parent", "lo_id"], 1),
+        _first(rows.filter(~F.col("eligible")), ["student_id"], weakest, 1),
+        _first(rows.filter("has"), ["student_id"], weakest, 2 * ITEMS),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
 def study_plan(los: DataFrame, prerequisites: DataFrame, scores: DataFrame, questions: DataFrame, recent: DataFrame, students: DataFrame) -> DataFrame:
     """(student_id, position, lo_id, question_id, tier, reason).
 
     ``los`` (lo_id, order_in_parent), ``scores`` (student_id, lo_id, score; missing is 0), live
     ``questions`` (id, lo_id, tier), ``recent`` (student_id, question_id, recent), ``students`` (id).
-    Of each LO only the questions that any choice could take go to the choice: the best few of each tier.
+    To the choice go at most ``WEAK + 2 + 2 * ITEMS`` LOs of a student and of each tier of those the
+    ``ITEMS`` questions with the fewest recent attempts: no choice can reach beyond. A bank is met by
+    its rank, so a student's rows don't grow with it.
     """
-    order = los.select("lo_id", F.row_number().over(Window.orderBy("order_in_parent", "lo_id")).alias("ord"))
-    # the plan looks at every LO of the course that it is asked for, so this pairs students with one course's LOs
-    grid = students.select(F.col("id").alias("student_id")).crossJoin(F.broadcast(order))
-    full = grid.join(scores, ["student_id", "lo_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    can = graph.eligibility(full.select("student_id", "lo_id"), prerequisites, scores)
-    drills = recent.join(questions.select(F.col("id").alias("question_id"), "lo_id", "tier"), "question_id")
-    drilled = drills.groupBy("student_id", "lo_id").agg(F.collect_list(F.struct(F.col("question_id").alias("id"), "tier", F.col("recent").cast("long").alias("recent"))).alias("_drilled"))
-    bank = questions.groupBy("lo_id").agg(F.collect_list(F.struct("id", "tier", F.lit(0).cast("long").alias("recent"))).alias("_bank"))
-    rows = full.join(can, ["student_id", "lo_id"]).join(bank, "lo_id", "left").join(drilled, ["student_id", "lo_id"], "left")
+    questions = questions.select(F.col("id").alias("question_id"), "lo_id", "tier")
+    picked = graph.cut(shortlist(candidates(los, prerequisites, scores, questions.select("lo_id").distinct(), students)))
+    keys = ["student_id", "lo_id", "tier"]
+    drilled = graph.cut(recent.select("student_id", "question_id", F.col("recent").cast("long").alias("recent")).join(questions, "question_id").join(picked.select("student_id", "lo_id"), ["student_id", "lo_id"], "left_semi"))
+    bank = questions.withColumn("_rank", F.row_number().over(Window.partitionBy("lo_id", "tier").orderBy("question_id")))
+    asked = picked.select("student_id", "lo_id").withColumn("tier", F.explode(F.array(*map(F.lit, TIERS)))).join(rollup.counts_by(drilled, keys, "_drilled"), keys, "left")
+    asked = asked.select(*keys, F.explode(F.sequence(F.lit(1), (F.coalesce("_drilled", F.lit(0)) + ITEMS).cast("int"))).alias("_rank"))
+    fresh = asked.join(bank, ["lo_id", "tier", "_rank"]).select(*keys, "question_id").join(drilled.select("student_id", "question_id"), ["student_id", "question_id"], "left_anti").withColumn("recent", F.lit(0).cast("long"))
+    few = _first(fresh.unionByName(drilled.select(*keys, "question_id", "recent")), keys, ["recent", "question_id"], ITEMS)
+    lists = few.groupBy("student_id", "lo_id").agg(F.collect_list(F.struct(F.col("question_id").alias("id"), "tier", "recent")).alias("questions"))
     none = F.expr("CAST(array() AS array<struct<id:string,tier:string,recent:bigint>>)")
-    seen = F.transform(F.coalesce("_drilled", none), lambda q: q["id"])
-    mine = F.concat(F.coalesce("_drilled", none), F.filter(F.coalesce("_bank", none), lambda q: ~F.array_contains(seen, q["id"])))
-    return rows.select("student_id", "lo_id", "ord", "score", "eligible", mine.alias("questions")).groupBy("student_id").applyInPandas(choose, SCHEMA)
+    rows = picked.join(lists, ["student_id", "lo_id"], "left").select("student_id", "lo_id", F.struct("order_in_parent", "lo_id").alias("ord"), "score", "eligible", F.coalesce("questions", none).alias("questions"))
+    return rows.groupBy("student_id").applyInPandas(choose, SCHEMA)
 
 
 def targets(scores: DataFrame) -> DataFrame:

@@ -9,18 +9,25 @@ from tessera.operators import graph, rollup, temporal
 from tessera.plans import study_plan
 
 
+def home_stats(t) -> DataFrame:
+    """The counts of the start page, one row each."""
+    parts = {"courses": t.nodes.filter("kind = 'course'"), "learning objectives": t.nodes.filter("kind = 'learning_objective'"), "edges": t.current, "live questions": t.questions.filter("status = 'live'"), "visuals": t.visuals}
+    counts = rollup.dashboard(**parts)
+    return counts.select(F.explode(F.create_map(*[x for name in parts for x in (F.lit(name), F.col(name))])).alias("name", "n"))
+
+
 def scores_of(t, student_id: int) -> DataFrame:
     """(lo_id, score) of one student now; only that student's attempts are folded."""
     m = temporal.mastery_history(t.attempts.filter(F.col("student_id") == student_id), ["student_id", "lo_id"])
     return temporal.current(m).select("lo_id", "score")
 
 
-def plan_of(t, students: DataFrame, which: Column) -> DataFrame:
-    los = t.lo_keys.filter(which)
+def plan_of(t, students: DataFrame, los: DataFrame) -> DataFrame:
+    """Study plans of the students over the given LOs (lo_id)."""
     info = t.nodes.select(F.col("id").alias("lo_id"), "order_in_parent").join(los.select("lo_id"), "lo_id")
     live = t.questions.filter("status = 'live'").join(los.select("lo_id"), "lo_id", "left_semi").select("id", "lo_id", "tier")
     pre = t.current.filter("edge_type = 'prerequisite'").select("src_id", "dst_id")
-    recent = t.attempts.groupBy("student_id", "question_id").agg(F.count(F.lit(1)).alias("recent"))
+    recent = rollup.counts_by(t.attempts, ["student_id", "question_id"], "recent")
     return study_plan.study_plan(info, pre, temporal.current(t.mastery).select("student_id", "lo_id", "score"), live, recent, students)
 
 
@@ -96,7 +103,7 @@ def register(query, slug: str, pre) -> None:
 
     @query("q3_student_plan")
     def _(t):
-        return plan_of(t, t.students.filter("id = 1"), F.lit(True))
+        return plan_of(t, t.students, t.lo_keys)
 
     @query("q4_pipeline_overview", "SELECT kind AS name, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT edge_type, count(*) FROM cur GROUP BY 1 UNION ALL SELECT status, count(*) FROM questions GROUP BY 1")
     def _(t):

@@ -12,7 +12,7 @@ from tessera.functions import text as T
 from tessera.operators import gates, graph, rollup, temporal
 from tessera.plans import views
 from tessera.queries.functions import docs, run_stream, stream_of
-from tessera.queries.registry import ORACLES, QUERIES, query
+from tessera.queries.registry import ORACLES, query
 from tessera.sources import sinks
 from tessera.streaming import stateful
 
@@ -298,8 +298,22 @@ def _(t):
 
 # --- composite -----------------------------------------------------------------------------------
 
-for new, old in (("q1_home_stats", "a1_home_counts"), ("s1_union_recursion", "g2_descendants"), ("b2_as_of", "b2_snapshot")):
-    QUERIES[new], ORACLES[new] = QUERIES[old], ORACLES[old]
+
+@query("q1_home_stats", "SELECT 'courses' AS name, count(*) AS n FROM nodes WHERE kind = 'course' UNION ALL SELECT 'learning objectives', count(*) FROM nodes WHERE kind = 'learning_objective' UNION ALL SELECT 'edges', count(*) FROM cur UNION ALL SELECT 'live questions', count(*) FROM questions WHERE status = 'live' UNION ALL SELECT 'visuals', count(*) FROM visuals")
+def _(t):
+    return views.home_stats(t)
+
+
+@query("s1_union_recursion", ", reach AS (SELECT id AS root, id FROM nodes WHERE kind = 'course' UNION SELECT r.root, CASE WHEN e.edge_type = 'teaches' THEN e.dst_id ELSE e.src_id END FROM reach r JOIN edges e ON (e.edge_type = 'part_of' AND e.dst_id = r.id) OR (e.edge_type = 'teaches' AND e.src_id = r.id)) SELECT root, id FROM reach")
+def _(t):
+    """Set semantics: closed edges count too, so an LO can be reached by two modules of one course, and is there once."""
+    down = t.edges.filter("edge_type IN ('part_of', 'teaches')").select(F.when(F.col("edge_type") == "teaches", F.col("src_id")).otherwise(F.col("dst_id")).alias("src_id"), F.when(F.col("edge_type") == "teaches", F.col("dst_id")).otherwise(F.col("src_id")).alias("dst_id"))
+    return graph.reachable(down, t.nodes.filter("kind = 'course'").selectExpr("id AS root"))
+
+
+@query("b2_as_of", "SELECT id, src_id, dst_id, edge_type FROM edges WHERE system_from <= TIMESTAMP '2024-01-15' AND (system_to IS NULL OR system_to > TIMESTAMP '2024-01-15')")
+def _(t):
+    return temporal.as_of(t.edges, F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")).select("id", "src_id", "dst_id", "edge_type")
 
 
 @query("q10_lesson_context", "SELECT 'lo' AS part, n.id || ' | ' || n.label || ' | ' || (SELECT count(*) FROM questions q WHERE q.lo_id = n.id AND q.status = 'live') AS line FROM nodes n WHERE n.id LIKE 'lo:u3-1-%' UNION ALL SELECT 'bridge', this || ' | ' || other FROM (SELECT src_id AS this, dst_id AS other FROM cur WHERE edge_type = 'relates_to' AND src_id LIKE 'lo:u3-1-%' UNION SELECT dst_id, src_id FROM cur WHERE edge_type = 'relates_to' AND dst_id LIKE 'lo:u3-1-%' AND src_id NOT LIKE 'lo:u3-1-%') WHERE other IN (SELECT lo_id FROM node_subject WHERE subject IS NOT NULL)")

@@ -515,7 +515,9 @@ def _(t):
 
 @query("n4_study_plan")
 def _(t):
-    return views.plan_of(t, t.students, F.col("c_nationkey") == 3)  # one module
+    """Plans of all students over all LOs of the courses that have a subject (``q3_student_plan``: over all LOs)."""
+    subjects = t.node_subject.filter("subject IS NOT NULL").select("lo_id").distinct()
+    return views.plan_of(t, t.students, t.lo_keys.join(subjects, "lo_id", "left_semi"))
 
 
 views.register(query, SLUG, pre)

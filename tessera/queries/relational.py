@@ -224,14 +224,14 @@ def _(t):
 
 @query(
     "j15_far_ends",
-    """, here AS (SELECT lo_id AS id FROM lo_keys WHERE k % 20 = 0),
+    """, here AS (SELECT DISTINCT lo_id AS id FROM node_subject WHERE subject = 'asia'),
     o AS (SELECT id, rationale, CASE WHEN src_id IN (FROM here) THEN src_id ELSE dst_id END AS this_id, CASE WHEN src_id IN (FROM here) THEN dst_id ELSE src_id END AS other_id FROM cur
           WHERE edge_type = 'relates_to' AND (src_id IN (FROM here) OR dst_id IN (FROM here))),
     u AS (SELECT this_id, other_id, arg_min(rationale, id) AS rationale FROM o GROUP BY 1, 2)
     SELECT u.*, s.subject FROM u JOIN (SELECT lo_id, min(subject) AS subject FROM node_subject WHERE subject IS NOT NULL GROUP BY 1) s ON s.lo_id = u.other_id""",
 )
 def _(t):
-    return graph.far_ends(t.current.filter("edge_type = 'relates_to'"), t.lo_keys.filter("k % 20 = 0").select(F.col("lo_id").alias("id")), t.node_subject)
+    return graph.far_ends(t.current.filter("edge_type = 'relates_to'"), t.node_subject.filter("subject = 'asia'").select(F.col("lo_id").alias("id")).distinct(), t.node_subject)
 
 
 @query("j16_as_of", "SELECT c.id, round(m.score, 9) AS score FROM checks c LEFT JOIN mastery m ON m.student_id = c.student_id AND m.lo_id LIKE 'lo:%-7' AND m.system_from <= c.created_at AND (m.system_to > c.created_at OR m.system_to IS NULL)")
@@ -308,12 +308,17 @@ def _(t):
     return t.questions.agg(F.count_if(F.col("status") == "live").alias("live"), F.count_if(F.col("status") == "review").alias("review"), F.count(F.lit(1)).alias("n"))
 
 
-@query("a5_recent_per_question", f"SELECT s.id AS student_id, q.id AS question_id, (SELECT count(*) FROM attempts a WHERE a.student_id = s.id AND a.question_id = q.id AND a.attempted_at > {LAST} - INTERVAL 2 DAY) AS recent FROM (SELECT id FROM students WHERE id < 3) s, (SELECT id FROM questions WHERE status = 'live') q")
+@query("a5_recent_per_question", f"SELECT a.student_id, a.question_id, count(*) AS recent FROM attempts a JOIN questions q ON q.id = a.question_id AND q.status = 'live' WHERE a.attempted_at > {LAST} - INTERVAL 2 DAY GROUP BY 1, 2")
 def _(t):
-    as_of = t.attempts.crossJoin(F.broadcast(now(t)))  # one row
-    recent = as_of.filter(F.col("attempted_at") > F.col("now") - F.expr("INTERVAL 2 DAYS")).withColumn("now", F.lit(None))
-    pairs = rollup.recent_counts(t.questions.filter("status = 'live'"), recent, t.students.filter("id < 3"), F.lit("1970-01-01").cast("timestamp_ntz"), 0)
-    return pairs
+    dated = t.attempts.crossJoin(F.broadcast(now(t)))  # one row
+    return rollup.recent_counts(t.questions.filter("status = 'live'"), dated, F.col("now"))
+
+
+@query("a5_recent_for_student", f"SELECT q.id AS question_id, (SELECT count(*) FROM attempts a WHERE a.student_id = 1 AND a.question_id = q.id AND a.attempted_at > {LAST} - INTERVAL 2 DAY) AS recent FROM questions q WHERE q.status = 'live'")
+def _(t):
+    live = t.questions.filter("status = 'live'")
+    dated = t.attempts.filter("student_id = 1").crossJoin(F.broadcast(now(t)))  # one row
+    return rollup.recent_for(F.lit(1), live, rollup.recent_counts(live, dated, F.col("now")))
 
 
 @query("a6_roster", "SELECT s.id, s.display_name, count(a.id) AS attempts, coalesce(max(m.n), 0) AS open_rows, round(coalesce(max(m.s), 0) / greatest((SELECT count(*) FROM lo_keys), 1), 6) AS average FROM students s LEFT JOIN attempts a ON a.student_id = s.id LEFT JOIN (SELECT student_id, count(*) AS n, sum(score) AS s FROM mastery WHERE system_to IS NULL GROUP BY 1) m ON m.student_id = s.id GROUP BY 1, 2")
@@ -437,11 +442,9 @@ def _(t):
 # --- sorts, limits, sets -------------------------------------------------------------------------
 
 
-@query("o1_nulls_last", LINEAGE + "SELECT lo_id, subject, row_number() OVER (ORDER BY subject NULLS LAST, module_order, order_in_parent, lo_id) AS place FROM lin ORDER BY place LIMIT 200")
+@query("o1_nulls_last", LINEAGE + "SELECT lo_id, subject, row_number() OVER (ORDER BY subject NULLS LAST, module_order, order_in_parent, lo_id) AS place FROM lin")
 def _(t):
-    order = [F.asc_nulls_last("subject"), "module_order", "order_in_parent", "lo_id"]
-    top = lin(t).orderBy(*order).limit(200)  # the report's length
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("lo_id", "subject", "place")
+    return rollup.places(lin(t).select("lo_id", "subject", "module_order", "order_in_parent"), [F.asc_nulls_last("subject"), "module_order", "order_in_parent", "lo_id"]).select("lo_id", "subject", "place")
 
 
 @query("o2_preferred_first", "SELECT id, lo_id FROM questions WHERE status = 'live' ORDER BY (id = 'q:17') DESC, id LIMIT 1")
@@ -459,12 +462,12 @@ def _(t):
     return t.raw("region").orderBy("r_name", "r_regionkey").limit(1)
 
 
-@query("o5_stable_by_score", LINEAGE + "SELECT lo_id, row_number() OVER (ORDER BY coalesce(score, 0), module_order, order_in_parent, lo_id) AS place FROM (SELECT l.lo_id, l.module_order, l.order_in_parent, m.score FROM lin l LEFT JOIN mastery m ON m.lo_id = l.lo_id AND m.student_id = 5 AND m.system_to IS NULL WHERE subject = 'asia') ORDER BY place LIMIT 100")
+@query("o5_stable_by_score", LINEAGE + "SELECT m.student_id, l.lo_id, l.subject, row_number() OVER (PARTITION BY m.student_id, l.subject ORDER BY m.score, l.module_order, l.order_in_parent, l.lo_id) AS place FROM lin l JOIN mastery m ON m.lo_id = l.lo_id AND m.system_to IS NULL")
 def _(t):
-    m = temporal.mastery_history(t.attempts.filter("student_id = 5"), ["student_id", "lo_id"]).filter("system_to IS NULL").select("lo_id", "score")
-    order = [F.coalesce("score", F.lit(0.0)), F.col("module_order"), F.col("order_in_parent"), F.col("lo_id")]
-    top = lin(t).filter("subject = 'asia'").join(m, "lo_id", "left").orderBy(*order).limit(100)  # the report's length
-    return top.select("lo_id", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    """Every student's scored LOs of every subject; equal scores keep the teaching order."""
+    scored = temporal.current(t.mastery).select("student_id", "lo_id", "score").join(lin(t), "lo_id")
+    place = F.row_number().over(Window.partitionBy("student_id", "subject").orderBy("score", "module_order", "order_in_parent", "lo_id"))
+    return scored.select("student_id", "lo_id", "subject", place.alias("place"))
 
 
 @query("o6_focus_set", "SELECT student_id, lo_id FROM (SELECT student_id, lo_id, row_number() OVER (PARTITION BY student_id ORDER BY (lo_id LIKE 'lo:%-3') DESC, score, lo_id) AS r FROM mastery WHERE system_to IS NULL) WHERE r <= 8")
@@ -621,9 +624,9 @@ def _(t):
     return graph.reachable(t.current.filter("edge_type = 'part_of'"), t.nodes.filter("kind = 'course'").selectExpr("id AS root"), forward=False)
 
 
-@query("g3_ancestors", f", pre AS ({PRE}), reach AS (SELECT lo_id AS root, lo_id AS id FROM lo_keys WHERE k % 100 = 99 UNION SELECT r.root, p.src_id FROM reach r JOIN pre p ON p.dst_id = r.id) SELECT root, id FROM reach")
+@query("g3_ancestors", f", pre AS ({PRE}), reach AS (SELECT lo_id AS root, lo_id AS id FROM lo_keys UNION SELECT r.root, p.src_id FROM reach r JOIN pre p ON p.dst_id = r.id) SELECT root, id FROM reach")
 def _(t):
-    return graph.reachable(pre(t), t.lo_keys.filter("k % 100 = 99").selectExpr("lo_id AS root"), forward=False)
+    return graph.reachable(pre(t), t.lo_keys.selectExpr("lo_id AS root"), forward=False)
 
 
 @query("g4_course_subtree", "SELECT 'c:1' AS id UNION SELECT src_id FROM cur WHERE edge_type = 'part_of' AND dst_id = 'c:1' UNION SELECT dst_id FROM cur WHERE edge_type = 'teaches' AND src_id IN (SELECT src_id FROM cur WHERE edge_type = 'part_of' AND dst_id = 'c:1')")
@@ -631,9 +634,9 @@ def _(t):
     return graph.course_subtree(t.nodes, t.current, "c:1")
 
 
-@query("g5_prerequisite_chain", f", pre AS ({PRE}), ch AS (SELECT lo_id AS root, lo_id AS id, 0 AS depth FROM lo_keys WHERE k % 50 = 49 UNION SELECT c.root, p.src_id, c.depth + 1 FROM ch c JOIN pre p ON p.dst_id = c.id) SELECT root, id, depth FROM ch WHERE depth > 0")
+@query("g5_prerequisite_chain", f", pre AS ({PRE}), ch AS (SELECT lo_id AS root, lo_id AS id, 0 AS depth FROM lo_keys UNION SELECT c.root, p.src_id, c.depth + 1 FROM ch c JOIN pre p ON p.dst_id = c.id) SELECT root, id, depth FROM ch WHERE depth > 0")
 def _(t):
-    return graph.prerequisite_chain(pre(t), t.lo_keys.filter("k % 50 = 49").selectExpr("lo_id AS root"))
+    return graph.prerequisite_chain(pre(t), t.lo_keys.selectExpr("lo_id AS root"))
 
 
 @query("g6_cycles", ", e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation), reach AS (SELECT a AS r, b AS x FROM e UNION SELECT r.r, e.b FROM reach r JOIN e ON e.a = r.x) SELECT DISTINCT r AS id FROM reach WHERE r = x")

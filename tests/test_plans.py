@@ -1,7 +1,9 @@
 """What the physical plans must and must not hold."""
 
+import numpy as np
 import pandas as pd
 
+from tessera.plans import study_plan
 from tessera.plans.study_plan import choose
 from tessera.queries import QUERIES
 from tessera.sources.domain import Tables
@@ -52,3 +54,27 @@ def test_plan_review_and_stretch():
 
 def test_plan_without_questions():
     assert picks(row("a", 1, 0.1, True), row("b", 2, 0.9, True)) == []
+
+
+def test_pruned_plans_are_those_over_everything(spark):
+    """Plans from the short lists against the choice among all LOs and questions, on random students."""
+    rng = np.random.default_rng(5)
+    for round_ in range(3):
+        los = [(f"l{i:02d}", int(rng.integers(4))) for i in range(25)]
+        pre = [(los[int(rng.integers(i))][0], los[i][0]) for i in range(3, 25) if rng.random() < 0.8 for _ in range(2)]
+        pre = sorted(set(pre))
+        students = list(range(12))
+        scores = [(s, lo, float(rng.choice([0.02, 0.3, 0.5, 0.72, 0.9]))) for s in students for lo, _ in los if rng.random() < (0.0, 0.2, 0.9)[s % 3]]
+        questions = [(f"q{i:03d}", lo, str(rng.choice(study_plan.TIERS))) for i, lo in enumerate(str(x) for x in rng.choice([x for x, _ in los[:: 1 + round_]], 60))]
+        recent = [(s, q, int(rng.integers(1, 4))) for s in students for q, _, _ in questions if rng.random() < 0.3]
+        got = study_plan.study_plan(
+            spark.createDataFrame(los, "lo_id string, order_in_parent int"), spark.createDataFrame(pre, "src_id string, dst_id string"), spark.createDataFrame(scores, "student_id long, lo_id string, score double"),
+            spark.createDataFrame(questions, "id string, lo_id string, tier string"), spark.createDataFrame(recent, "student_id long, question_id string, recent long"), spark.createDataFrame([(s,) for s in students], "id long"),
+        ).collect()
+        score, seen = {(s, lo): x for s, lo, x in scores}, {(s, q): n for s, q, n in recent}
+        want = []
+        for s in students:
+            full = [{"student_id": s, "lo_id": lo, "ord": (o, lo), "score": score.get((s, lo), 0.0), "eligible": all(score.get((s, a), 0.0) >= study_plan.GATE for a, b in pre if b == lo),
+                     "questions": [{"id": q, "tier": tier, "recent": seen.get((s, q), 0)} for q, of, tier in questions if of == lo]} for lo, o in los]
+            want += list(choose(pd.DataFrame(full)).itertuples(index=False, name=None))
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) > 30
