@@ -2,13 +2,17 @@
 
 Both deal vectors out in blocks of bounded size and send each block of queries to each block of
 vectors: one task holds one pair of blocks, keeps the k best of each query there, and a second step
-merges those. Nothing whole passes the driver, one task or one group.
+merges those. Nothing whole passes the driver, one task or one group. Each vector is sent once for
+every ``QUERY_BLOCK`` queries; a pair of full blocks is about 10 MB and takes seconds to search,
+so the search outweighs the shuffle at any size.
 
 Edge cases, both: null vectors and vectors with null or non-finite components take no part (nor do
 zero and empty vectors in the nearest-neighbour search); vectors of unequal length count as padded
-with zeros; ids are taken as they are, rows with equal ids are candidates of their own except of
-the query with that id, and a repeated query id is searched once for each row; null ids take no
-part; an empty table gives an empty result; extra columns are ignored; ties go to the smaller id.
+with zeros; ids are taken as they are: a query leaves out its own row only, so another row with its id
+is a candidate, and a row that is there m times finds the other m - 1; a repeated query row is searched
+once and its result given for each copy; null ids take no part; an empty table gives an empty result;
+extra columns are ignored; ties go to the smaller id. In the exact search scaled components are held
+within 2**53 either way, and scores that leave 64 bits wrap around.
 """
 
 from __future__ import annotations
@@ -16,15 +20,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
-BLOCK = 4096  # vectors of a block
-QUERY_BLOCK = 2048
+BLOCK = 16384  # vectors of a block
+QUERY_BLOCK = 4096
+LEAST_BLOCK = 1024  # small tables are cut further, so that all cores have work
 K_EXACT, SCALE = 20, 64.0
+LARGEST = 2.0**53  # of a scaled component
 #: Hashing: bits of a code, substrings of it, and the bounds of the sample that rotation and radius are fitted on.
 BITS, SUBSTRINGS, SAMPLE, SAMPLE_QUERIES, K_NEAR, TARGET_RECALL = 64, 8, 20_000, 200, 10, 0.97
 
@@ -37,41 +43,58 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, zero: bool) -> DataFra
     return vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & finite & some).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """A list column as a matrix; shorter rows are padded with zeros."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    values, lengths = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    width = int(lengths.max(initial=0))
+    if (lengths == width).all():
+        return values.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width))
+    out[np.arange(width) < lengths[:, None]] = values
+    return out
+
+
 def blocked_search(vectors: DataFrame, queries: DataFrame, k: int, search: Callable, score: str, best_first_desc: bool) -> DataFrame:
-    """``search(query_ids, Q, ids, X)`` for each pair of blocks gives (query row, id, score); the k best of each query stay.
+    """``search(Q, own, ids, X)`` for each pair of blocks gives (query row, id, score); the k best of each query stay.
 
-    ``vectors`` and ``queries`` are (id, v).
+    ``vectors`` and ``queries`` are (id, v); ``own`` is the place of each query's own row in the block, or -1.
     """
+    spark = vectors.sparkSession
     n, m = vectors.count(), queries.count()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
+    cores = 2 * spark.sparkContext.defaultParallelism
+    blocks, query_blocks = max(1, -(-n // BLOCK), min(-(-n // LEAST_BLOCK), cores)), max(1, -(-m // QUERY_BLOCK))
     tile = lambda a, b: F.struct(a.alias("b"), b.alias("q"))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     query_block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    vec = vectors.select(F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("copies"), "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(query_blocks - 1)), lambda q: tile(block, q))).alias("tile"))
-    # a query's row number is only a name for it, to keep repeated ids apart; equal rows are searched once and their result is given for each copy
+    # a row number is only a name: rows of one name are equal rows, which lie in one block
+    name = F.xxhash64("id", "v").alias("row")
+    vec = vectors.select(F.lit(0).alias("side"), "id", name, F.lit(0).cast("long").alias("copies"), "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(query_blocks - 1)), lambda q: tile(block, q))).alias("tile"))
+    # equal query rows are searched once and their result is given for each copy
     queries = queries.groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies"))
-    qs = queries.select(F.lit(1).alias("side"), "id", F.xxhash64("id", "v").alias("row"), "copies", "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: tile(b, query_block))).alias("tile"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "row": pd.Series(dtype="int64"), "copies": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=score)})
-        is_query = frame["side"].to_numpy() == 1
-        if not is_query.any() or is_query.all():
-            return empty
-        width = max(map(len, frame["v"]))
-        x = np.zeros((len(frame), width))
-        for i, v in enumerate(frame["v"]):
-            x[i, : len(v)] = v
-        ids, rows, copies = frame["id"].to_numpy(), frame["row"].to_numpy(), frame["copies"].to_numpy()
-        order = np.argsort(ids[~is_query], kind="stable")
-        cand_ids, cands = ids[~is_query][order], x[~is_query][order]
-        parts = []
-        q_ids, q_rows, q_copies, q = ids[is_query], rows[is_query], copies[is_query], x[is_query]
-        for a in range(0, len(q), 256):
-            at, found, scores = search(q_ids[a : a + 256], q[a : a + 256], cand_ids, cands)
-            parts.append(pd.DataFrame({"query_id": q_ids[a + at], "row": q_rows[a + at], "copies": q_copies[a + at], "vec_id": found, "score": scores}))
-        return pd.concat(parts) if parts else empty
-
-    best = vec.unionByName(qs).groupBy("tile").applyInPandas(run, f"query_id long, row long, copies long, vec_id long, score {'long' if score == 'int64' else 'double'}")
+    qs = queries.select(F.lit(1).alias("side"), "id", name, "copies", "v", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: tile(b, query_block))).alias("tile"))
+    names = ["query_id", "row", "copies", "vec_id", "score"]
+    kind = pa.int64() if score == "int64" else pa.float64()
+
+    def run(table: pa.Table) -> pa.Table:
+        is_query = table.column("side").to_numpy() == 1
+        parts = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, score),)]
+        if is_query.any() and not is_query.all():
+            x = _matrix(table.column("v"))
+            ids, rows, copies = (table.column(c).to_numpy() for c in ("id", "row", "copies"))
+            order = np.lexsort((rows[~is_query], ids[~is_query]))
+            cand_ids, cand_rows, cands = ids[~is_query][order], rows[~is_query][order], x[~is_query][order]
+            by_row = np.argsort(cand_rows, kind="stable")
+            q_ids, q_rows, q_copies, q = ids[is_query], rows[is_query], copies[is_query], x[is_query]
+            at = np.minimum(np.searchsorted(cand_rows[by_row], q_rows), len(by_row) - 1)
+            own = np.where((cand_rows[by_row[at]] == q_rows) & (cand_ids[by_row[at]] == q_ids), by_row[at], -1)  # the first of equal rows
+            for a in range(0, len(q), 256):
+                at, found, scores = search(q[a : a + 256], own[a : a + 256], cand_ids, cands)
+                parts.append((q_ids[a + at], q_rows[a + at], q_copies[a + at], found, scores))
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
+        return pa.table([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], kind)], names=names)
+
+    best = vec.unionByName(qs).groupBy("tile").applyInArrow(run, f"query_id long, row long, copies long, vec_id long, score {'long' if score == 'int64' else 'double'}")
     order = F.col("score").desc() if best_first_desc else F.col("score").asc()
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "row").orderBy(order, F.col("vec_id"))))
     best = ranked.filter(F.col("rank") <= k)
@@ -100,23 +123,25 @@ def accumulate_scores(q: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray
 def top_k_exact(vectors: DataFrame, queries: DataFrame, k: int = K_EXACT, scale: float = SCALE) -> DataFrame:
     """Exhaustive top-k by the inner product of ``floor(scale * x)``; ``vectors`` and ``queries`` are (id, v)."""
 
-    def search(q_ids, q, ids, x):
-        q, x = np.floor(q * scale), np.floor(x * scale)
+    def search(q, own, ids, x):
+        q, x = (np.clip(np.floor(a * scale), -LARGEST, LARGEST) for a in (q, x))
         wide = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1]) >= 2**31
         kind = np.int64 if wide else np.int32
         q, x = q.astype(kind), x.astype(kind)
         postings = [(at := np.flatnonzero(x[:, t]), x[at, t]) for t in range(x.shape[1])]
         scores = accumulate_scores(q, postings, len(ids)).astype(np.int64)
-        own = q_ids[:, None] == ids[None] if len(set(q_ids) & set(ids)) else np.zeros((1, 1), bool)
-        least = -np.iinfo(np.int64).max  # its negative exists too
-        scores = np.where(own, least, scores)
+        least = np.iinfo(np.int64).min
+        mine = np.flatnonzero(own >= 0)
+        scores[mine, own[mine]] = least
+        taken = np.ones(scores.shape, bool)
+        taken[mine, own[mine]] = False
         keep = min(k, scores.shape[1])
         # the keep-th score of each row; all above it, and of those equal to it the smallest ids
-        edge = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-        above, level = scores > edge[:, None], scores == edge[:, None]
+        edge = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+        above, level = scores > edge[:, None], (scores == edge[:, None]) & taken
         need = keep - above.sum(1)
         level &= np.cumsum(level, axis=1) <= need[:, None]
-        at, found = np.nonzero((above | level) & (scores != least))
+        at, found = np.nonzero(above | level)
         return at, ids[found], scores[at, found]
 
     return blocked_search(vectors, queries, k, search, "int64", True)
@@ -190,7 +215,7 @@ def nearest_by_hashing(vectors: DataFrame, queries: DataFrame, k: int = K_NEAR,
     mean, projection, fitted = fit_index(fit, k)
     bound = fitted if radius is None else radius
 
-    def search(q_ids, q, ids, x):
+    def search(q, own, ids, x):
         def codes_of(a):
             a = a[:, :width] if a.shape[1] >= width else np.hstack([a, np.zeros((len(a), width - a.shape[1]))])
             return code_bytes(a, mean, projection)
@@ -205,7 +230,7 @@ def nearest_by_hashing(vectors: DataFrame, queries: DataFrame, k: int = K_NEAR,
             r = bound
             while True:
                 near = probe(codes, query_codes[i], r, tables)
-                near = near[ids[near] != q_ids[i]]
+                near = near[near != own[i]]
                 if len(near) >= k or r >= 8 * codes.shape[1]:
                     break
                 r += len(tables)

@@ -174,16 +174,18 @@ def embeddings(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), rows
 
 
-def test_vector_searches(spark):
+def test_vector_searches(spark, monkeypatch):
     frame, rows = embeddings(spark)
+    monkeypatch.setattr(vectors, "BLOCK", 60)  # several blocks of both sides are merged
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 10)
     used = [(i, np.pad(np.array(v, float), (0, 8 - len(v)))) for i, v, _ in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     exact = defaultdict(list)
     v = vectors.usable(frame, "vec_id", "embedding", zero=True)
     for r in vectors.top_k_exact(v, v.filter("id % 20 = 0"), k=20).collect():
         exact[r.query_id].append((r.rank, r.vec_id, r.score))
-    for i, q in used:
+    for at, (i, q) in enumerate(used):
         if i % 20 == 0:
-            want = sorted((-int((np.floor(64 * q) * np.floor(64 * x)).sum()), j) for j, x in used if j != i)[:20]
+            want = sorted((-int((np.floor(64 * q) * np.floor(64 * x)).sum()), j) for other, (j, x) in enumerate(used) if other != at)[:20]
             assert sorted(exact[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(want)]
     v = vectors.usable(frame, "vec_id", "embedding", zero=False)
     near = defaultdict(list)
@@ -191,9 +193,9 @@ def test_vector_searches(spark):
         near[r.query_id].append((r.rank, r.vec_id, r.score))
     used = [(i, x) for i, x in used if x.any()]
     hits = total = 0
-    for i, q in used:
+    for at, (i, q) in enumerate(used):
         if i % 10 == 0:
-            want = sorted((np.sqrt(((x - q) ** 2).sum()), j) for j, x in used if j != i)[:10]
+            want = sorted((np.sqrt(((x - q) ** 2).sum()), j) for other, (j, x) in enumerate(used) if other != at)[:10]
             got = sorted(near[i])
             assert [g[0] for g in got] == list(range(1, 11)) and [(g[2], g[1]) for g in got] == sorted((g[2], g[1]) for g in got)
             hits += len({g[1] for g in got} & {j for _, j in want})
@@ -288,6 +290,34 @@ def test_line_features_of_odd_blocks():
     assert size.tolist() == [len(line) for t in texts for line in (t or "").split("\n")] and np.isfinite(x).all() and (x >= 0).all()
 
 
+def test_own_row_alone_is_left_out(spark):
+    """Three equal rows of query 20 and a fourth row of that id: each copy finds the two others and the fourth."""
+    rows = [(20, [1.0, 2.0])] * 3 + [(20, [1.0, 2.5]), (7, [-9.0, 1.0]), (8, [1e100, 0.0])]
+    vecs = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = spark.createDataFrame(rows[:3], vecs.schema)
+    near = Counter((r.rank, r.vec_id, r.score) for r in vectors.nearest_by_hashing(vecs, queries, k=4).collect())
+    assert near[1, 20, 0.0] == near[2, 20, 0.0] == near[3, 20, 0.5] == 3 and sum(near.values()) == 12
+    top = Counter((r.rank, r.vec_id) for r in vectors.top_k_exact(vecs, queries, k=9).collect())
+    assert top == Counter({(1, 8): 3, (2, 20): 3, (3, 20): 3, (4, 20): 3, (5, 7): 3})
+
+
+def test_recall_on_the_larger_table(spark):
+    from pyspark.sql import functions as F
+
+    path = SF.replace("sf0.001", "sf0.1")
+    table = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").filter(F.col("embedding").isNotNull()).toPandas()
+    x, ids = np.stack(table["embedding"]).astype(float), table["vec_id"].to_numpy()
+    out = vectors.op9_nearest(spark, path).toPandas()
+    hits = total = 0
+    for q, got in out.groupby("query_id"):
+        at = int(np.flatnonzero(ids == q)[0])
+        d = np.sqrt(((x - x[at]) ** 2).sum(1))
+        d[at] = np.inf
+        hits += len(set(ids[np.lexsort((ids, d))[:10]]) & set(got["vec_id"]))
+        total += 10
+    assert total >= 200 and hits / total >= 0.9
+
+
 def test_repeated_queries_get_whole_lists(spark):
     """Query 20 stands twice with equal vectors: each copy gets its k best, and the rows of another query stay as they are."""
     rng = np.random.default_rng(4)
