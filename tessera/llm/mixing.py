@@ -85,11 +85,15 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     cols = docs.columns
     key = docs.withColumn("_h", F.xxhash64("text"))
     takes = mix_takes(materialize(size_documents(docs), "mix-sizes"), whole_documents=True, **options)
-    # equal rows (same id and text) are interchangeable: their repetitions are summed and dealt evenly
+    # equal rows (same id and text) are interchangeable: their repetitions are summed and dealt out, what doesn't go round by their number
     takes = takes.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.sum("repeats").alias("_repeats"), F.count(F.lit(1)).alias("_copies"))
-    joined = key.alias("d").join(takes.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t._id")) & (F.col("d._h") == F.col("t._h")))
-    each = F.ceil(F.col("_repeats") / F.col("_copies")).cast("int")
-    return joined.filter(F.col("_repeats") > 0).withColumn("_n", F.explode(F.sequence(F.lit(1), each))).select(*[f"d.{c}" for c in cols])
+    takes = takes.filter("_repeats > 0")
+    joined = key.join(takes.withColumnRenamed("_h", "_th"), key["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
+    single = joined.filter("_copies = 1").withColumn("_each", F.col("_repeats"))
+    nth = F.row_number().over(Window.partitionBy("_id", "_th").orderBy(F.lit(0)))
+    several = joined.filter("_copies > 1").withColumn("_each", F.floor(F.col("_repeats") / F.col("_copies")) + (nth <= F.col("_repeats") % F.col("_copies")).cast("long"))
+    dealt = single.unionByName(several).filter("_each > 0")
+    return dealt.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_each")))).select(*cols)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
