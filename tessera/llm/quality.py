@@ -6,9 +6,9 @@ label to the next one's. Forward and backward messages, as log-odds, run over al
 block at once, line by line; a document's score is the mean of its lines' marginal probabilities of
 good, weighted by line length.
 
-Training: a line's label is its document's. At most ``TRAIN_DOCS`` labelled documents are used
-(those with the smallest id hashes among the ids that are not held out), of each at most
-``TRAIN_LINES`` consecutive lines from its middle; both are parameters. The conditional likelihood
+Training: a line's label is its document's. At most ``TRAIN_DOCS`` labelled documents are used,
+those with the smallest id hashes among the ids that are not held out, as many of them as have
+``TRAIN_BYTES`` of text; both are parameters. They are used whole. The conditional likelihood
 is maximized by Adam on the driver. Scores use whole texts and nothing but the text.
 
 Edge cases: null text counts as empty, which is one empty line; null ids are not held out; labels
@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from .common import Words, table, text_blocks
 
-TRAIN_DOCS, TRAIN_LINES, STEPS, RATE, DECAY = 4000, 200, 160, 0.08, 1e-3
+TRAIN_DOCS, TRAIN_BYTES, STEPS, RATE, DECAY = 2000, 8 << 20, 160, 0.08, 1e-3
 ACCEPT = 0.3
 #: Byte classes of the features.
 _CLASS = np.zeros(256, np.int64)
@@ -153,7 +153,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> dict | None:
     """The model from a bounded sample of labelled rows that are not held out."""
     usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
     sample = usable.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "y").limit(train_docs)
@@ -163,13 +163,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs
             for at, data, offsets in text_blocks(batch.column(1), 1 << 20):
                 x, _, counts = line_features(data, offsets)
                 first = np.cumsum(counts) - counts
-                rows = []
-                for a, n in zip(first, counts, strict=True):
-                    a += max(0, n - train_lines) // 2
-                    rows.append(x[a : a + min(n, train_lines)].tobytes())
+                rows = [x[a : a + n].tobytes() for a, n in zip(first, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), pa.array(rows, pa.binary())], names=["y", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(features, "y int, x binary").toPandas()
+    # a window over a sample of bounded size; texts come with it only where they fit
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_bytes")).join(F.broadcast(sample), "doc_id")
+    running = F.sum(F.col("_bytes").cast("long")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "y", "_bytes").rowsBetween(Window.unboundedPreceding, 0))
+    fits = sized.groupBy("doc_id", "y").agg(F.sum("_bytes").alias("_bytes")).withColumn("_upto", running).filter(F.col("_upto") <= train_bytes).select("doc_id", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(fits), "doc_id").select("y", "text").mapInArrow(features, "y int, x binary").toPandas()
     if not len(rows):
         return None
     rows = rows.sort_values(["y", "x"])  # the same order whatever the partitions
