@@ -76,11 +76,11 @@ def read_ledger(spark: SparkSession, ledger_dir: str) -> DataFrame:
 
 
 def find_secrets(versions: DataFrame, ledger_dir: str, keys: list[str], text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
-    """``keys`` of every version with its blob and findings (empty array: none)."""
-    known = scan_blobs(versions, ledger_dir, text, rule_version).filter(F.size("findings") > 0).select("blob", "findings")
-    paths = versions.select(*keys, blob_id(F.col(text)).alias("blob"))
+    """``keys`` of every version with ``secret_blob`` and ``secret_findings`` (empty array: none)."""
+    known = scan_blobs(versions, ledger_dir, text, rule_version).filter(F.size("findings") > 0).select(F.col("blob").alias("secret_blob"), F.col("findings").alias("secret_findings"))
+    paths = versions.select(*keys, blob_id(F.col(text)).alias("secret_blob"))
     none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
-    return paths.join(known, "blob", "left").withColumn("findings", F.coalesce("findings", none))
+    return paths.join(known, "secret_blob", "left").withColumn("secret_findings", F.coalesce("secret_findings", none))
 
 
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
@@ -111,6 +111,6 @@ def redact_documents(docs: DataFrame, ledger_dir: str) -> DataFrame:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "secret-ledger"), ["doc_id"])
-    shown = F.array_join(F.transform("findings", lambda s: F.concat_ws(":", F.element_at(F.array(*[F.lit(r[0]) for r in RULES]), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda k: F.size(F.filter("findings", lambda s: s["kind"] == k)).cast("long")
+    shown = F.array_join(F.transform("secret_findings", lambda s: F.concat_ws(":", F.element_at(F.array(*[F.lit(r[0]) for r in RULES]), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("secret_findings", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(shown, 256).alias("base_sha256"), shown.alias("spans"))
