@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +58,21 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
-    """From now on Arrow batches to Python workers hold ``most`` bytes (and one row) at most: the session's default of 64 MB is held several times by each task."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+@contextmanager
+def arrow_batches(spark: SparkSession, most_bytes: int | None = None, most_rows: int | None = None):
+    """Within the block Arrow batches to Python workers hold no more than that (and one row): the session's defaults are held several times by each task.
+
+    A plan takes the setting when it runs, so results have to be written within the block.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": most_bytes, "spark.sql.execution.arrow.maxRecordsPerBatch": most_rows}
+    before = {k: spark.conf.get(k, None) for k, v in wanted.items() if v is not None}
+    try:
+        for k in before:
+            spark.conf.set(k, str(wanted[k]))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,9 +20,12 @@ makes about an eighth as many suffixes as there are words.
    earliest window as the kept one.
 4. What repeats (runs of window starts) goes back to its document, and the words are removed there.
 
-Windows are compared by 64 bits for the prefix and 40 more for the whole window.
+A subtree is held as sorted path hashes, not as linked nodes: windows are compared by 64 bits for the
+prefix and 40 more for the whole window, both from 64-bit hashes of words that no known texts share
+(lanes of eight bytes through a finalizer). Consecutive repeated windows of a document make one run, which
+is a maximal repeat.
 
-Edge cases: null text has no words; null ids come before all others; documents of under WIDTH words
+Edge cases: null text has no words; null ids come before all others (as an id of -2**63 does); documents of under WIDTH words
 keep all; rows with an equal id are copies of one document's place: a window starts earlier only by
 a smaller id or an earlier start, so such rows don't remove each other's words at the same start;
 an empty table gives an empty result; extra columns are ignored; texts of any length are handled.
@@ -35,12 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, binary_array, gather, materialize, pair_hash, small_batches, table, text_blocks
+from .common import BATCH_BYTES, Words, arrow_batches, binary_array, gather, materialize, mix, pair_hash, table, text_blocks
 
 WIDTH, PREFIX = 20, 5
 GROUP_BYTES = 4 << 20  # text whose suffixes make one group
 BLOCK = 2 << 20  # text of a block on the map side
-MAX_GROUPS = 1 << 20
 MAX_FREQUENT = 1 << 16  # frequent prefixes: no more can have such a share each
 _SPAN = WIDTH - PREFIX + 1  # places for an anchor in a window
 NULL_ID = -(1 << 63)
@@ -81,20 +83,21 @@ def leftmost_minimum(h: np.ndarray, span: int) -> np.ndarray:
 
 
 def _repeat_rows(doc: np.ndarray, key: np.ndarray, at: np.ndarray):
-    """For repeated windows (document, its key, start): one row a document with its runs, as int32 pairs."""
+    """For repeated windows (document, its key, start): one row a document with its runs, as numbers start * 2**32 + length."""
     order = np.lexsort((at, key, doc))
     doc, key, at = doc[order], key[order], at[order]
     fresh = np.r_[True, (np.diff(doc) != 0) | (np.diff(key) != 0) | (np.diff(at) != 1)] if len(doc) else np.zeros(0, bool)
     first = np.flatnonzero(fresh)
-    pairs = np.stack([at[first], np.diff(np.r_[first, len(doc)])], 1).astype("<i4")
+    runs = at[first] << 32 | np.diff(np.r_[first, len(doc)])
     doc, key = doc[first], key[first]
     rows = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(key) != 0)]) if len(doc) else np.zeros(0, np.int64)
-    return doc[rows], key[rows], binary_array(pairs, np.r_[rows, len(doc)] * 8 if len(doc) else np.zeros(1, np.int64))
+    bounds = np.r_[rows, len(doc)] if len(doc) else np.zeros(1, np.int64)
+    return doc[rows], key[rows], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(runs, pa.int64()))
 
 
 #: A row is either a document's repeats (grp < 0) or a block's suffixes for one group.
-_LEAF = [("grp", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("repeats", pa.binary()), ("prefixes", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("paths", pa.binary())]
-LEAF_SCHEMA = "grp long, doc_id long, key long, repeats binary, prefixes binary, docs binary, places binary, paths binary"
+_LEAF = [("grp", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("repeats", pa.list_(pa.int64())), ("prefixes", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("paths", pa.binary())]
+LEAF_SCHEMA = "grp long, doc_id long, key long, repeats array<long>, prefixes binary, docs binary, places binary, paths binary"
 
 
 def block_windows(data: np.ndarray, offsets: np.ndarray):
@@ -179,9 +182,11 @@ def suffixes(bits: int, frequent: np.ndarray):
             at, length = np.r_[at[~often], single], np.r_[length[~often], np.ones(len(single), np.int64)]
             h = np.r_[h[~often], pair_hash(path[single], prefix[anchor[single]])]
             offset = np.r_[offset[~often], np.zeros(len(single), np.int64)]
-        order = np.argsort(h, kind="stable")
+        # anchors are least hashes, so their hashes are small: groups go by a further hash, which spreads them evenly
+        dealt = mix(h + np.uint64(1))
+        order = np.argsort(dealt, kind="stable")
         at, length, h, offset = at[order], length[order], h[order], offset[order]
-        group = (h >> group_shift).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+        group = (dealt[order] >> group_shift).astype(np.int64) if bits else np.zeros(len(h), np.int64)
         cut = np.flatnonzero(np.r_[True, np.diff(group) != 0]) if len(group) else np.zeros(0, np.int64)
         bounds = np.r_[cut, len(group)]
         who = doc[at]
@@ -193,7 +198,7 @@ def suffixes(bits: int, frequent: np.ndarray):
         low = (path[each] & np.uint64(0xFFFFFFFFFF)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         m = len(cut)
         none_long = pa.nulls(m, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(group[cut]), none_long, none_long, pa.nulls(m, pa.binary()), binary_array(h.astype("<u8"), bounds * 8), binary_array(whole, bounds * 16), binary_array(where, bounds * 12), binary_array(low, total[bounds] * 5)], names=[x for x, _ in _LEAF])
+        yield pa.RecordBatch.from_arrays([pa.array(group[cut]), none_long, none_long, pa.nulls(m, pa.list_(pa.int64())), binary_array(h.astype("<u8"), bounds * 8), binary_array(whole, bounds * 16), binary_array(where, bounds * 12), binary_array(low, total[bounds] * 5)], names=[x for x, _ in _LEAF])
 
     def run(batches):
         for batch in batches:
@@ -259,44 +264,48 @@ def _subtree(parts: list[tuple[np.ndarray, ...]]):
 
 
 def repeated_windows(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, key, repeats): runs of starts of windows that also start earlier, as little-endian int32 pairs (start, length).
+    """(doc_id, key, repeats), materialized: runs of starts of windows that also start earlier, as numbers start * 2**32 + length.
 
     ``key`` is a hash of the text that keeps rows with equal ids apart; null ids are NULL_ID.
     """
-    small_batches(docs.sparkSession)  # a row holds a block's suffixes of a group
+    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = min(MAX_GROUPS, max(1, -(-int(size) // GROUP_BYTES)))
+    groups = max(1, -(-int(size) // GROUP_BYTES))
     bits = max(0, (groups - 1).bit_length())
-    leaves = slim.mapInArrow(suffixes(bits, frequent_prefixes(slim, 1 << bits)), LEAF_SCHEMA)
-    parts = max(-(-(1 << bits) // 4), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = leaves.repartition(parts, "grp").sortWithinPartitions("grp")
-    return dealt.mapInArrow(subtrees, "doc_id long, key long, repeats binary")
+    parts = max(-(-(1 << bits) // 4), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with arrow_batches(spark, most_bytes=BATCH_BYTES):  # a row holds a block's suffixes of a group
+        leaves = slim.mapInArrow(suffixes(bits, frequent_prefixes(slim, 1 << bits)), LEAF_SCHEMA)
+        dealt = leaves.repartition(parts, "grp").sortWithinPartitions("grp")
+        return materialize(dealt.mapInArrow(subtrees, "doc_id long, key long, repeats array<long>"), "repeats")
 
 
 def _removal(batches):
-    for batch in batches:
-        ids, texts, lists = (batch.column(i) for i in range(3))
-        out = []
-        for text, found in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
-            words = (text or "").encode().split()
-            n = len(words)
-            if not found:
-                out.append((n, 0, b" ".join(words)))
-                continue
-            edge = np.zeros(n + 1, np.int64)
-            for raw in found:
-                runs = np.frombuffer(raw, "<i4").reshape(-1, 2).astype(np.int64)
-                np.add.at(edge, runs[:, 0], 1)
-                np.add.at(edge, runs[:, 0] + runs[:, 1] + WIDTH - 1, -1)
-            keep = np.flatnonzero(np.cumsum(edge[:n]) == 0)
-            out.append((n, n - len(keep), b" ".join([words[i] for i in keep.tolist()])))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2].decode() for o in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            batch = whole.slice(lo, 256)
+            ids, texts, lists = (batch.column(i) for i in range(3))
+            out = []
+            for text, found in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
+                words = (text or "").encode().split()
+                n = len(words)
+                if not found:
+                    out.append((n, 0, b" ".join(words)))
+                    continue
+                edge = np.zeros(n + 1, np.int64)
+                runs = np.array(found, np.int64)
+                start, length = runs >> 32, runs & 0xFFFFFFFF
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + length + WIDTH - 1, -1)
+                keep = np.flatnonzero(np.cumsum(edge[:n]) == 0)
+                out.append((n, n - len(keep), b" ".join([words[i] for i in keep.tolist()])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2].decode() for o in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every document with the words that no earlier window covers, joined by one space."""
-    found = repeated_windows(docs).groupBy("doc_id", "key").agg(F.collect_list("repeats").alias("found"))  # of one document only
+    # of one document only, and of rows equal in id and text together once
+    found = repeated_windows(docs).select("doc_id", "key", F.explode("repeats").alias("run")).groupBy("doc_id", "key").agg(F.collect_set("run").alias("found"))
     rows = docs.select("doc_id", "text").withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_key", F.xxhash64("text"))
     joined = rows.join(found.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), ["_id", "_key"], "left")
     return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "found").mapInArrow(_removal, "doc_id long, n_words long, n_removed long, kept string")

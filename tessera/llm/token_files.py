@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import BLOCK_BYTES, ByteBPE, default_tokenizer, loaded, with_end
-from .common import scratch_path, table, text_blocks
+from .common import arrow_batches, materialize, scratch_path, table, text_blocks
 
 ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -75,12 +75,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     tokens.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "true").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes).option("parquet.dictionary.page.size", 1 << 20).option("parquet.column.index.truncate.length", 64).parquet(path)
 
 
+def starts(rows: DataFrame) -> DataFrame:
+    """Add ``start``, the tokens of all documents before a document, to rows with part, part_start and n_tokens. One row for each part stands in the sums."""
+    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sums.select("part", before.alias("_before")), "part").withColumn("start", F.col("_before") + F.col("part_start")).drop("_before")
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (tokens of all documents before it), n_tokens: from the metadata columns alone."""
-    slim = spark.read.schema(SCHEMA).parquet(path).select("doc_id", "part", "part_start", "n_tokens")
-    sums = slim.groupBy("part").agg(F.sum("n_tokens").alias("_n"))  # one row for each part
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return slim.join(sums.select("part", before.alias("_before")), "part").select("doc_id", "part", "part_start", (F.col("_before") + F.col("part_start")).alias("start"), "n_tokens")
+    return starts(spark.read.schema(SCHEMA).parquet(path).select("doc_id", "part", "part_start", "n_tokens"))
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -104,11 +108,9 @@ def _checksums(batches):
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     path = scratch_path(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path, end=2)
-    tokens = spark.read.schema(SCHEMA).parquet(path)
-    sums = tokens.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    checked = tokens.select("doc_id", "part", "part_start", "n_tokens", "ids").mapInArrow(_checksums, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
-    return checked.join(F.broadcast(sums.select("part", before.alias("_before"))), "part").select("doc_id", (F.col("_before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
+    with arrow_batches(spark, most_rows=BATCH_ROWS):
+        write_tokens(table(spark, sf_dir, "documents"), path, end=2)
+        tokens = spark.read.schema(SCHEMA).parquet(path)
+        checked = materialize(tokens.select("doc_id", "part", "part_start", "n_tokens", "ids").mapInArrow(_checksums, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long"), "token-checks")
+    return starts(checked).select("doc_id", "start", "n_tokens", "ids_crc32")
