@@ -65,6 +65,12 @@ def test_secret_ledger_scans_only_unseen_pairs(spark, docs):
     assert secrets.read_ledger(spark, ledger).count() == 2 * total
 
 
+def test_keys_may_have_any_name(spark, docs):
+    named = docs.selectExpr("doc_id AS blob", "text", "doc_id AS findings")
+    out = secrets.find_secrets(named, scratch_path(spark, "test-ledger"), ["blob", "findings"])
+    assert out.filter("blob = 9 AND findings = 9 AND size(secret_findings) = 1").count() == 1 and out.count() == docs.count()
+
+
 def test_redaction(spark, docs):
     out = {r.doc_id: r for r in secrets.redact_documents(docs, scratch_path(spark, "test-ledger")).collect()}
     assert out[9].text == "é🙂 [SECRET]" and out[9].n_chars == len(out[9].text)
@@ -97,6 +103,12 @@ def test_mixing_documents_keeps_columns(spark, docs, empty):
     out = mixing.mix_documents(docs)
     assert out.columns == docs.columns and 0 < out.count() <= 2 * docs.count() + 2
     assert mixing.mix_documents(empty).count() == 0
+    # 101 equal rows beside another source: the mix takes about its target of them, not all of them twice
+    rows = [(1, "a b c d e f g h i j", "en", "b", 1)] * 101 + [(2, "x " * 1000, "en", "a", 1)]
+    same = spark.createDataFrame(rows, brute.DOCUMENTS)
+    target = mixing.mix_takes(materialize(mixing.size_documents(same), "test"), whole_documents=True).filter("source = 'b'").first().target
+    taken = mixing.mix_documents(same).filter("doc_id = 1").count() * 10
+    assert abs(taken - target) <= 10 < 2020 - target
 
 
 def test_bpe_equals_library(spark, sf_dir):
@@ -151,6 +163,22 @@ def test_resharding(spark, sf_dir):
             assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in rows)
 
 
+def test_rewriting_touches_changed_shards_alone(spark, tmp_path):
+    """One byte of capacity goes from shard 1 to shard 2: shards 0 and 3 keep their files, and columns of any name pass through."""
+    rows = [(i, "x" * (i % 7), i, f"s{i}", i * 2) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size long, shard string, block long")
+    sizes = [sum(len(r[1]) + 1 for r in rows if r[0] % 4 == s) for s in range(4)]
+    out = resharding.rewrite(docs, docs.doc_id % 4, f"{tmp_path}/out", 4, [sizes[0], sizes[1] - 9, sizes[2] + 9, sizes[3]])
+    got = out.collect()
+    assert Counter(tuple(r)[:0] + (r.doc_id, r.text, r["size"], r.shard, r.block) for r in got) == Counter(rows)
+    moved = [r for r in got if r.reshard_new != r.doc_id % 4]
+    assert moved and all((r.doc_id % 4, r.reshard_new) == (1, 2) for r in moved)
+    written = {p.name for p in tmp_path.joinpath("out").iterdir() if p.is_dir()}
+    assert written == {"reshard_new=1", "reshard_new=2"}
+    for s in range(4):
+        assert sorted(r.slot for r in resharding.with_slots(out).filter(f"reshard_new = {s}").collect()) == list(range(sum(r.reshard_new == s for r in got)))
+
+
 def test_flow_moves_least():
     rng = np.random.default_rng(3)
     for _ in range(20):
@@ -329,3 +357,148 @@ def test_repeated_queries_get_whole_lists(spark):
         twice = Counter(map(tuple, search(vecs, spark.createDataFrame([rows[20], rows[40], rows[20]], vecs.schema)).collect()))
         assert sum(n for r, n in once.items() if r[0] == 20) == k
         assert twice == Counter({r: n * (2 if r[0] == 20 else 1) for r, n in once.items()})
+
+
+def crafted_pair():
+    """Two words of 1,024 letters that every polynomial hash modulo 2**64 takes for equal."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_crafted_words_keep_their_own_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    a, b = crafted_pair()
+    rows = [(0, a), (1, b), (2, f"x {b} {a}"), (3, "\0\0 \0"), (4, a)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    ids = {d: library.encode(t, add_special_tokens=False).ids for d, t in rows}
+    got = {r.doc_id: (r.ids_sha256, r.decoded_sha256) for r in bpe.op6_bpe(spark, str(tmp_path)).collect()}
+    assert got == {d: (hashlib.sha256(np.array(ids[d], "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t in rows}
+    files = {r.doc_id: r.ids_crc32 for r in token_files.op5_token_files(spark, str(tmp_path)).collect()}
+    assert files == {d: zlib.crc32(np.array([*ids[d], 2], "<u4").tobytes()) for d, _ in rows}
+
+
+@pytest.mark.parametrize("kind", [bpe.ByteBPE, token_files.LibraryBPE])
+def test_pieces_of_one_name_are_told_apart(kind):
+    """All longer pieces under one name: bytes decide, within a block and against what is known."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tessera.llm.common import text_blocks
+
+    class OneName(kind):
+        def names(self, data, starts, lengths):
+            return np.where(lengths > 7, np.uint64(0xFF << 56), super().names(data, starts, lengths))
+
+    library, ours = Tokenizer.from_file(bpe.default_tokenizer()), OneName(bpe.default_tokenizer())
+    for texts in (["wonderful things happening", "everywhere wonderful"], ["considerable wonderful"], ["everything considerable", ""]):
+        (_, data, offsets), = text_blocks(pa.array(texts))
+        ids, counts = ours.encode_block(data, offsets)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_windows_of_crafted_words_and_a_passage_in_every_document(spark):
+    a, b = crafted_pair()
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(0, " ".join([a] * 25)), (1, " ".join([b] * 25))] + [(i, f"{i} one {passage} two {i * 7}") for i in range(2, 300)]
+    rows += [(None, rows[5][1])] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.remove_repeats(docs).collect())
+    assert got == Counter(brute.window_dedup(rows))
+
+
+def test_groups_of_suffixes_are_even():
+    """Anchors have small hashes, groups must not show it."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(rng.choice(words, 2000)) for _ in range(60)]
+    batch = pa.record_batch([pa.array(range(60)), pa.array(range(60)), pa.array(texts)], names=["doc_id", "key", "text"])
+    sizes = Counter()
+    for rows in substrings.suffixes(4, np.zeros(0, np.uint64))([batch]):
+        for g, places in zip(rows.column("grp").to_pylist(), rows.column("places").to_pylist()):
+            sizes[g] += len(places)
+    assert len(sizes) == 16 and max(sizes.values()) < 1.3 * sum(sizes.values()) / 16
+
+
+def test_settings_are_as_before(spark, sf_dir):
+    keys = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"]
+    before = [spark.conf.get(k) for k in keys]
+    substrings.op3_substring_dedup(spark, sf_dir)
+    token_files.op5_token_files(spark, sf_dir)
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def brute_quality(model, text):
+    """The score of a text by plain loops: features of each line, messages in the order of the lines."""
+    import math
+    import re
+
+    kinds = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b".,;:'\"", b"!?", b"|", b"#$%&*@^~", b"<>{}[]()", b"-_=+/\\"]
+    of = {c: k for k, cs in enumerate(kinds, 1) for c in cs} | {c: 11 for c in range(128, 256)}
+    lines = (text or "").encode().split(b"\n")
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", line) for line in lines]
+    rows = []
+    for line, words in zip(lines, split):
+        count = [sum(of.get(c, 0) == k for c in line) for k in range(12)]
+        size, n = len(line), len(words)
+        share = [c / max(size, 1) for c in count]
+        double = sum(x == y and of.get(x, 0) in (5, 6, 7, 8, 9, 10) for x, y in zip(line, line[1:]))
+        echo = sum(x == y for x, y in zip(words, words[1:]))
+        again = n > 0 and sum(sorted(w) == sorted(words) for w in split) > 1
+        rows.append([*share, *map(math.sqrt, share), math.log1p(size) / 8, math.log1p(n) / 6, size == 0, min(size / max(n, 1), 40) / 10, double / max(n, 1), double > 1, again, echo / max(n, 1), count[2] / max(count[1] + count[2] + count[11], 1)])
+    x = (np.array(rows, float) - model["mean"]) / model["spread"]
+    none = np.zeros(x.shape[1])
+    e = [float(np.r_[x[i], x[i - 1] if i else none, x[i + 1] if i + 1 < len(x) else none, i == 0, i + 1 == len(x), 1.0] @ model["weights"]) for i in range(len(x))]
+    t = np.asarray(model["trans"]).reshape(2, 2)
+    own = [np.array([0.0, v]) for v in e]
+    forward, backward = [own[0]], [np.zeros(2)]
+    for v in own[1:]:
+        forward.append(np.array([np.logaddexp(forward[-1][0] + t[0, y], forward[-1][1] + t[1, y]) + v[y] for y in (0, 1)]))
+    for v in own[:0:-1]:
+        backward.append(np.array([np.logaddexp(t[y, 0] + v[0] + backward[-1][0], t[y, 1] + v[1] + backward[-1][1]) for y in (0, 1)]))
+    good = [1 / (1 + math.exp(min(700, (f + b)[0] - (f + b)[1]))) for f, b in zip(forward, backward[::-1])]
+    return sum(p * (len(line) + 1) for p, line in zip(good, lines)) / sum(len(line) + 1 for line in lines)
+
+
+@pytest.mark.parametrize("where", ["hard", "sf"])
+def test_quality_matches_plain_loops(spark, sf_dir, where):
+    path = sf_dir if where == "hard" else SF
+    documents, labels = (spark.read.parquet(f"{path}/{name}.parquet") for name in ("documents", "labels"))
+    model = quality.train(documents, labels)
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.score) for r in quality.op4_quality(spark, path).collect()))
+    want = sorted((d is None, d or 0, brute_quality(model, t)) for d, t in rows)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and max(abs(g[2] - w[2]) for g, w in zip(got, want)) < 1e-3
+
+
+def test_training_takes_whole_texts_within_its_bound(spark):
+    rows = [(i, "good words here. " * 5 if i % 2 else "#### $$$$ ||||\n" * 5, i % 2) for i in range(200)]
+    documents = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    assert quality.train(documents, labels, train_bytes=0) is None
+    few = quality.score(documents, quality.train(documents, labels, train_bytes=1000)).collect()
+    assert np.mean([(r.score > 0.5) == (r.doc_id % 2 == 1) for r in few]) > 0.95
+
+
+def test_very_long_texts(spark, tmp_path):
+    """A text of some MB in one line and one in many lines, through every operator on documents."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"word{i}" for i in range(2000)])
+    rows = [(0, " ".join(rng.choice(words, 300_000)), "en", "a", 1), (1, "\n".join(rng.choice(words, 60_000)), "en", "a", 1), (2, "short", "en", "b", 5), (3, "y" * 200_000, "en", "b", 5)]
+    spark.createDataFrame(rows, brute.DOCUMENTS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert Counter(map(tuple, substrings.op3_substring_dedup(spark, str(tmp_path)).collect())) == Counter(brute.window_dedup([r[:2] for r in rows]))
+    assert Counter(tuple(r)[:6] for r in secrets.op1_secret_scan(spark, str(tmp_path)).collect()) == Counter((r[0], *brute.secrets(r[1])) for r in rows)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_tokenizer())
+    want = {r[0]: hashlib.sha256(np.array(library.encode(r[1], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for r in rows}
+    assert {r.doc_id: r.ids_sha256 for r in bpe.op6_bpe(spark, str(tmp_path)).collect()} == want
+    for query in (quality.op4_quality, token_files.op5_token_files, resharding.op7_resharding, mixing.op8_mixing):
+        assert query(spark, str(tmp_path)).count() == 4
