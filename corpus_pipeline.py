@@ -14,6 +14,10 @@ from tessera.llm import bpe, minhash, mixing, quality, secrets
 from tessera.llm.common import materialize, scratch_path, table
 
 
+#: Setting with the folder of the secrets ledger; where it is unset a run begins with an empty one.
+LEDGER = "spark.tessera.secrets.ledger"
+
+
 def drop_bad_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: what the classifier rejects goes."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -25,8 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: found secrets are replaced in the texts."""
-    return secrets.redact_documents(docs, scratch_path(spark, "pipeline-ledger"))
+    """Operator 1: found secrets are replaced in the texts. The ledger of scanned blobs is kept where ``LEDGER`` says, so that a later run scans only what is new."""
+    return secrets.redact_documents(docs, spark.conf.get(LEDGER, None) or scratch_path(spark, "pipeline-ledger"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
