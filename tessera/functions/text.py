@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from tessera.operators import graph
+
 #: Ranges of code points that the forms name.
 MARKS_LOOSE = "ً-ٰٖۖ-ۭ"  # vowel marks and annotation signs
 MARKS_WIDE = "ً-ٰٟ"  # vowel marks, the wider range
@@ -187,12 +189,19 @@ def word_shingles(df: DataFrame, words: Column, keep: list[str], n: int = 4) ->
 
 
 def contaminated(docs: DataFrame, corpus: DataFrame, doc_id: str, text: str, corpus_text: str, n: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Ids of documents that share an n-word shingle with the corpus. The corpus side is broadcast only while it is short."""
-    held = word_shingles(corpus, fold_words(F.col(corpus_text)), [], n).select(F.xxhash64("shingle").alias("_h"), "shingle").distinct()
-    if held.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        held = F.broadcast(held)
-    mine = word_shingles(docs, fold_words(F.col(text)), [doc_id], n).withColumn("_h", F.xxhash64("shingle"))
-    return mine.join(held, ["_h", "shingle"], "left_semi").select(doc_id).distinct()
+    """Ids of documents that share an n-word shingle with the corpus.
+
+    Shingles meet as hashes of word lists first, so no text of a shingle is built for documents that share none; what
+    is left is compared word by word. The corpus side is broadcast only while it is short.
+    """
+    held = graph.cut(word_shingles(corpus, fold_words(F.col(corpus_text)), [], n).distinct())
+    short = held.count() <= broadcast_rows
+    near = lambda df: F.broadcast(df) if short else df
+    words = docs.select(doc_id, fold_words(F.col(text)).alias("_w")).filter(F.size("_w") >= n)
+    hashes = words.select(doc_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.slice("_w", i, n))))).alias("_h"))
+    suspects = hashes.join(near(held.select(F.xxhash64(F.split("shingle", " ")).alias("_h")).distinct()), "_h", "left_semi").select(doc_id).distinct()
+    mine = word_shingles(docs.join(suspects, doc_id, "left_semi"), fold_words(F.col(text)), [doc_id], n)
+    return mine.join(near(held), "shingle", "left_semi").select(doc_id).distinct()
 
 
 def marker_hits(c: Column, phrases: list[str], ranges: dict[str, str]) -> Column:

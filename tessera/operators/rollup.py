@@ -93,6 +93,16 @@ def exclusive(edges: DataFrame, group: str, member: str, allowed: DataFrame) ->
     return known.groupBy(group).agg(F.bool_and(F.coalesce("_in", F.lit(False))).alias("_all")).filter("_all").select(group)
 
 
+def coverage_tally(topics: DataFrame, claims: DataFrame, questions: DataFrame, most: int = 40) -> DataFrame:
+    """For each topic (key): its claims and questions, and the first ``most`` claim texts; the verdict on them (covered, thin, missing) is not a count and is left to the reader."""
+    order = Window.partitionBy("key").orderBy("ord")
+    first = claims.withColumn("_n", F.row_number().over(order))
+    texts = first.groupBy("key").agg(F.count(F.lit(1)).alias("claims_count"), F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.struct("_n", "text")))).alias("_texts"))
+    texts = texts.select("key", "claims_count", F.transform("_texts", lambda x: x["text"]).alias("claim_texts"))
+    out = topics.select("key").join(texts, "key", "left").join(counts_by(questions, ["key"], "questions_count"), "key", "left").fillna(0, ["claims_count", "questions_count"])
+    return out.withColumn("claim_texts", F.coalesce("claim_texts", F.expr("CAST(array() AS array<string>)")))
+
+
 def snapshot_delta(before: DataFrame, after: DataFrame, names: list[str]) -> DataFrame:
     """Before, after and change of one-row counts, one row for each name."""
     stack = ", ".join(f"'{n}', `{n}`" for n in names)

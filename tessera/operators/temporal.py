@@ -59,6 +59,14 @@ def mastery_history(attempts: DataFrame, keys: list[str], ts: str = "attempted_a
     return out.withColumn("system_to", F.lead("system_from").over(Window.partitionBy(*keys).orderBy("n")))
 
 
+def continued_history(attempts: DataFrame, keys: list[str], ts: str = "attempted_at", tie: str = "id", correct: str = "is_correct") -> DataFrame:
+    """keys, n, score, system_from of a batch of attempts that goes on from a stored state: ``_n`` and ``_score`` of each key (null: none yet). A key's rows of one batch are one array."""
+    rows = attempts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), F.when(F.col(correct), 1.0).otherwise(0.0).alias("_y")))).alias("_rows"), F.first("_n").alias("_n"), F.first("_score").alias("_score"))
+    played = rows.withColumn("_scores", _fold(F.coalesce("_score", F.lit(PRIOR)), F.transform("_rows", lambda r: r["_y"])))
+    each = played.select(*keys, "_n", F.posexplode(F.arrays_zip("_rows", "_scores")).alias("_i", "r"))
+    return each.select(*keys, (F.coalesce("_n", F.lit(0)) + F.col("_i") + 1).cast("long").alias("n"), F.col("r._scores").alias("score"), F.col("r._rows._ts").alias("system_from"))
+
+
 def baseline_current(mastery: DataFrame, keys: list[str]) -> DataFrame:
     """First score of each key, its open score, and when each began."""
     open_ = F.col("system_to").isNull()

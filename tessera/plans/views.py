@@ -9,6 +9,13 @@ from tessera.operators import graph, rollup, temporal
 from tessera.plans import study_plan
 
 
+#: Graded attempts on live questions and the scores that they lead to, behind the prelude of the domain tables.
+GRADED = """, ga AS (SELECT a.id, a.student_id, q.lo_id, a.question_id, a.given_answer, a.attempted_at, coalesce(CASE WHEN q.question_type = 'numeric' THEN abs(CAST(q.correct_answer AS DOUBLE) - CAST(a.given_answer AS DOUBLE)) < 1e-6 ELSE q.correct_answer = a.given_answer END, FALSE) AS correct FROM attempts a JOIN questions q ON q.id = a.question_id WHERE q.status = 'live'),
+gn AS (SELECT *, row_number() OVER (PARTITION BY student_id, lo_id ORDER BY attempted_at, id) AS n FROM ga),
+gf AS (SELECT student_id, lo_id, n, attempted_at, least(0.98, greatest(0.02, 0.3::DOUBLE + 0.15 * (correct::INT - 0.3::DOUBLE))) AS score FROM gn WHERE n = 1
+  UNION ALL SELECT x.student_id, x.lo_id, x.n, x.attempted_at, least(0.98, greatest(0.02, f.score + 0.15 * (x.correct::INT - f.score))) FROM gf f JOIN gn x ON x.student_id = f.student_id AND x.lo_id = f.lo_id AND x.n = f.n + 1) """
+
+
 def home_stats(t) -> DataFrame:
     """The counts of the start page, one row each."""
     parts = {"courses": t.nodes.filter("kind = 'course'"), "learning objectives": t.nodes.filter("kind = 'learning_objective'"), "edges": t.current, "live questions": t.questions.filter("status = 'live'"), "visuals": t.visuals}
@@ -78,11 +85,11 @@ def gallery(t) -> DataFrame:
 
 
 def attempt_result(t) -> DataFrame:
-    """Attempts on live questions with their grade and the score behind them."""
+    """Attempts on live questions and the score of the question's LO behind them."""
     from tessera.functions import numbers
 
-    q = t.questions.filter("status = 'live'").select(F.col("id").alias("question_id"), "question_type", "correct_answer")
-    a = t.attempts.join(q, "question_id").withColumn("is_correct", numbers.grade(F.col("question_type"), F.col("correct_answer"), F.col("given_answer")))
+    q = t.questions.filter("status = 'live'").select(F.col("id").alias("question_id"), "lo_id", "question_type", "correct_answer")
+    a = t.attempts.drop("lo_id").join(q, "question_id").withColumn("is_correct", numbers.grade(F.col("question_type"), F.col("correct_answer"), F.col("given_answer")))
     return temporal.mastery_history(a, ["student_id", "lo_id"]).select("student_id", "lo_id", "n", "score")
 
 
@@ -142,7 +149,7 @@ def register(query, slug: str, pre) -> None:
     def _(t):
         return rollup.roster(t.students, t.attempts, t.mastery, t.lo_keys.agg(F.count(F.lit(1)).alias("n_los"))).select("id", "attempts", "open_rows")
 
-    @query("q13_attempt_result")
+    @query("q13_attempt_result", GRADED + "SELECT student_id, lo_id, n, round(score, 9) AS score FROM gf")
     def _(t):
         return attempt_result(t).withColumn("score", F.round("score", 9))
 

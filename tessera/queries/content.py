@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
@@ -13,7 +14,7 @@ from tessera.operators import gates, graph, rollup, temporal
 from tessera.plans import views
 from tessera.queries.functions import docs, run_stream, stream_of
 from tessera.queries.registry import ORACLES, query
-from tessera.sources import sinks
+from tessera.sources import bundles, sinks
 from tessera.streaming import stateful
 
 MARKS = "ً-ٰٟ"
@@ -285,11 +286,69 @@ def _(t):
     return sinks.load_edges(t.edges, t.nodes)[0].select("id", "src_id", "dst_id")
 
 
+def batches_of(t, df, name: str, parts: int, order: str):
+    """A stream over ``df`` that comes in ``parts`` micro-batches, in the order of a column."""
+    path = f"{sinks.shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    numbered = df.withColumn("_part", F.ntile(parts).over(Window.orderBy(order)))  # the stand-in for arrival
+    for i in range(1, parts + 1):
+        numbered.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+
+
+@query("snk6_record_attempts", views.GRADED + "SELECT student_id, lo_id, n, round(score, 9) AS score, attempted_at AS system_from, lead(attempted_at) OVER (PARTITION BY student_id, lo_id ORDER BY n) AS system_to FROM gf")
+def _(t):
+    stream, path = record_all(t)
+    return sinks.read_mastery(t.spark, f"{path}/out").withColumn("score", F.round("score", 9))
+
+
+@query("snk6_explanations", views.GRADED + "SELECT id AS attempt_id, question_id, given_answer AS wrong_answer, '**Step 1.** look at ' || question_id || chr(10) || chr(10) || '**Step 2.** compare' AS output_md FROM ga WHERE NOT correct")
+def _(t):
+    stream, path = record_all(t)
+    return sinks.read_batches(t.spark, f"{path}/out", "explanations", sinks.EXPLANATION_LOG).select("attempt_id", "question_id", "wrong_answer", "output_md")
+
+
+def record_all(t):
+    """All attempts through the transactional sink, in three micro-batches."""
+    step = lambda i, text: F.struct(F.lit(i).alias("step"), text.alias("text_md"))
+    questions = t.questions.withColumn("canonical_solution", F.array(step(1, F.concat(F.lit("look at "), "id")), step(2, F.lit("compare"))))
+    stream, path = batches_of(t, t.attempts.select("id", "student_id", "question_id", "given_answer", "attempted_at"), "snk6", 3, "attempted_at")
+    stream.writeStream.foreachBatch(lambda batch, i: sinks.record_attempts(batch, i, questions, f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream, path
+
+
+@query("snk7_append_ledger", "SELECT CAST(conv_id AS VARCHAR) AS session, CAST(turn AS BIGINT) AS turn_index, CASE WHEN turn % 5 = 0 THEN '[REDACTED]' ELSE text || ' [[lo:' || conv_id || ']]' END AS assistant_message, CASE WHEN turn % 5 = 0 THEN '[]' ELSE '[{\"kind\":\"lo\",\"id\":\"lo:' || conv_id || '\"}]' END AS citations, CASE WHEN turn % 5 = 0 THEN 0.0 ELSE coalesce(cost_usd, 0.0) END AS cost_usd FROM turns WHERE turn % 5 = 0 OR turn % 7 != 0")
+def _(t):
+    turns = t.turns.select(F.col("conv_id").cast("string").alias("session"), "student_id", "surface", F.col("turn").cast("long").alias("turn_index"), F.lit("hi").alias("user_message"), F.concat("text", F.lit(" [[lo:"), "conv_id", F.lit("]]")).alias("text"), (F.col("turn") % 5 == 0).alias("redacted"), (F.col("turn") % 7 == 0).alias("is_error"), "cost_usd", F.lit(5).cast("long").alias("latency_ms"))
+    stream, path = batches_of(t, turns, "snk7", 2, "turn_index")
+    stream.writeStream.foreachBatch(lambda batch, i: sinks.append_ledger(batch, i, f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return sinks.read_batches(t.spark, f"{path}/out", "ledger", sinks.LEDGER).select("session", "turn_index", "assistant_message", "citations", "cost_usd")
+
+
 @query("snk7_ledger", "SELECT conv_id, count(*) AS turns, round(sum(coalesce(cost_usd, 0)), 6) AS spent FROM turns GROUP BY 1")
 def _(t):
     return t.turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 6).alias("spent"))
 
 
+@query("src8_reference_units", "SELECT n_nationkey AS id, array_to_string([r_name, 'unit 2 of ' || r_name], '|') AS units FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 3 != 0", prelude=False)
+def _(t):
+    """Reference files written from the regions (two units each), looked up by citations, every third of which goes beyond the end."""
+    path = f"{sinks.shared_folder(t.spark)}/references-{uuid.uuid4().hex}"
+    unit = lambda n, text: F.struct(F.concat("r_regionkey", F.lit(f":{n}")).alias("key"), text.alias("text"))
+    units = t.raw("region").select(F.explode(F.array(unit(1, F.col("r_name")), unit(2, F.concat(F.lit("unit 2 of "), "r_name")))).alias("u"))
+    units.agg(F.to_json(F.collect_list("u")).alias("value")).write.text(path)
+    cites = t.raw("nation").selectExpr("n_nationkey AS id", "n_regionkey AS book", "1 AS first", "IF(n_nationkey % 3 = 0, 3, 2) AS last")
+    return bundles.reference_units(t.spark, path, cites).select("id", F.array_join("units", "|").alias("units"))
+
+
+@query("v33_coverage_tally", "SELECT 'm:' || n.n_nationkey AS key, count(DISTINCT k.lo_id) AS claims_count, (SELECT count(*) FROM questions q JOIN lo_keys x ON x.lo_id = q.lo_id WHERE x.c_nationkey = n.n_nationkey) AS questions_count, coalesce((SELECT string_agg(lo_id, ',' ORDER BY k) FROM (SELECT lo_id, k FROM lo_keys y WHERE y.c_nationkey = n.n_nationkey ORDER BY k LIMIT 40)), '') AS claim_texts FROM nation n LEFT JOIN lo_keys k ON k.c_nationkey = n.n_nationkey GROUP BY n.n_nationkey")
+def _(t):
+    of = F.concat(F.lit("m:"), "c_nationkey").alias("key")
+    claims = t.lo_keys.select(of, F.col("k").alias("ord"), F.col("lo_id").alias("text"))
+    questions = t.questions.join(t.lo_keys.select("lo_id", of), "lo_id")
+    tally = rollup.coverage_tally(t.raw("nation").select(F.concat(F.lit("m:"), "n_nationkey").alias("key")), claims, questions)
+    return tally.withColumn("claim_texts", F.array_join("claim_texts", ","))
+
+
 @query("st8_once", "SELECT DISTINCT user_id, event_type, props FROM events", prelude=False)
 def _(t):
     s = stream_of(t, "events").select("user_id", "event_type", "props", F.to_timestamp("ts").alias("at"))

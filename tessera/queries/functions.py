@@ -550,12 +550,21 @@ def _(t):
     return t.mastery.select("student_id", "lo_id", "system_from", "system_to")
 
 
-@query("st3_stream_guard", "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1", prelude=False)
+SEALED = "the sealed words of this very passage"
+
+
+@query(
+    "st3_stream_guard",
+    f"""SELECT conv_id, CASE WHEN conv_id % 5 = 0 AND count(*) FILTER (turn = 1) > 0 THEN left(max(text) FILTER (turn = 0), greatest(0, length(max(text) FILTER (turn = 0)) - {stateful.HOLDBACK})) || '{stateful.REDIRECT}' ELSE string_agg(text, '' ORDER BY turn) END AS text FROM conversations GROUP BY 1""",
+    prelude=False,
+)
 def _(t):
+    """Every fifth conversation quotes the sealed corpus in its second turn: it shows the first one up to the holdback, then the redirect, then nothing."""
     s = stream_of(t, "conversations")
     last = t.raw("conversations").groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("last"))
-    s = s.join(F.broadcast(last), F.col("conv_id") == F.col("c")).selectExpr("CAST(conv_id AS STRING) AS session", "turn AS position", "text AS delta", "turn = last AS is_end")
-    out = run_stream(t, stateful.guard_stream(s, ["words that no conversation ever holds"]), "st3")
+    quote = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 1), f" {SEALED.upper()}").otherwise("")
+    s = s.join(F.broadcast(last), F.col("conv_id") == F.col("c")).select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("position"), F.concat("text", quote).alias("delta"), (F.col("turn") == F.col("last")).alias("is_end"))
+    out = run_stream(t, stateful.guard_stream(s, [SEALED]), "st3")
     joined = out.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("p"))
     return joined.select(F.col("session").cast("long").alias("conv_id"), F.array_join(F.transform("p", lambda p: p["text"]), "").alias("text"))
 

@@ -79,6 +79,15 @@ def names_by_kind(places: DataFrame, kinds: list[str]) -> DataFrame:
     return places.groupBy("kind").agg(F.array_sort(F.collect_list("place")).alias("names")).withColumn("ord", rank).filter("ord > 0")
 
 
+def reference_units(spark: SparkSession, path: str, citations: DataFrame, book: str = "book", first: str = "first", last: str = "last") -> DataFrame:
+    """Units of local reference files, JSON arrays of (key ``book:n``, text), for citations (id, book, first, last): (id, units) in order, without citations of which a unit is missing."""
+    known = spark.read.schema("key string, text string").option("multiLine", True).json(path)
+    wanted = citations.select("id", F.posexplode(F.sequence(F.col(first), F.col(last))).alias("_at", "_n"), F.col(book).alias("_book"))
+    found = wanted.withColumn("key", F.concat_ws(":", "_book", "_n")).join(known, "key", "left")
+    whole = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_at", "text"))).alias("_units"), F.bool_and(F.col("text").isNotNull()).alias("_all"))
+    return whole.filter("_all").select("id", F.transform("_units", lambda u: u["text"]).alias("units"))
+
+
 def has_table(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 

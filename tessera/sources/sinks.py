@@ -1,13 +1,14 @@
-"""Sinks: a snapshot is complete when its marker is there, and readers follow a pointer that moves last."""
+"""Sinks: a snapshot is complete when its marker is there; tables that change together are written as numbered batches of which the marker comes last."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.functions import numbers
+from tessera.operators import graph, temporal
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,3 +51,80 @@ def dry_run(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFr
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def write_batch(tables: dict[str, DataFrame], path: str, batch_id: int) -> None:
+    """Append rows to several tables at once: all under ``path/batch=N``, visible when the manifest is there.
+
+    A batch that was committed before is left as it is, one that was broken off is written again, so each counts once.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    folder = f"{path}/batch={batch_id:012d}"
+    if is_complete(spark, folder):
+        return
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark.createDataFrame([(n,) for n in tables], "name string").coalesce(1).write.mode("overwrite").json(f"{folder}/_manifest")
+
+
+def read_batches(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """Rows of one table in all committed batches."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [str(f.getPath()) for f in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*"))] if fs.exists(root) else []
+    done = [f"{f}/{name}" for f in sorted(folders) if is_complete(spark, f)]
+    return spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
+
+
+ATTEMPT_LOG = "attempt_id long, student_id long, lo_id string, question_id string, given_answer string, is_correct boolean, attempted_at timestamp_ntz"
+MASTERY_LOG = "student_id long, lo_id string, n long, score double, system_from timestamp_ntz"
+EXPLANATION_LOG = "attempt_id long, question_id string, wrong_answer string, output_md string, grounded_ok boolean, cached boolean"
+
+
+def record_attempts(batch: DataFrame, batch_id: int, questions: DataFrame, path: str) -> None:
+    """One micro-batch of attempts (id, student_id, question_id, given_answer, attempted_at): for ``foreachBatch``.
+
+    Attempts on live ``questions`` (id, lo_id, question_type, correct_answer, canonical_solution: array<struct<step, text_md>>,
+    status) are graded; the attempt, the new mastery row and, for a wrong answer, the explanation from the
+    canonical solution are appended as one batch. Mastery rows are never changed: a row is open until the next of
+    its key, so appending one closes the one before (``read_mastery``). Of what is stored only the keys of the batch are read.
+    """
+    spark = batch.sparkSession
+    q = questions.filter("status = 'live'").select(F.col("id").alias("question_id"), "lo_id", "question_type", "correct_answer", "canonical_solution")
+    graded = batch.select(F.col("id").alias("attempt_id"), "student_id", "question_id", "given_answer", "attempted_at").join(q, "question_id")
+    graded = graph.cut(graded.withColumn("is_correct", numbers.grade(F.col("question_type"), F.col("correct_answer"), F.col("given_answer"))))
+    keys = ["student_id", "lo_id"]
+    stored = read_batches(spark, path, "mastery", MASTERY_LOG).join(graded.select(*keys).distinct(), keys, "left_semi")
+    last = stored.groupBy(*keys).agg(F.max("n").alias("_n"), F.max_by("score", "n").alias("_score"))
+    mastery = temporal.continued_history(graded.join(last, keys, "left"), keys, tie="attempt_id")
+    shown = F.array_join(F.transform("canonical_solution", lambda s: F.concat(F.lit("**Step "), s["step"], F.lit(".** "), s["text_md"])), "\n\n")
+    wrong = graded.filter(~F.col("is_correct")).select("attempt_id", "question_id", F.col("given_answer").alias("wrong_answer"), F.coalesce(shown, F.lit("")).alias("output_md"), F.lit(True).alias("grounded_ok"), F.lit(False).alias("cached"))
+    write_batch({"attempts": graded.select("attempt_id", *keys, "question_id", "given_answer", "is_correct", "attempted_at"), "mastery": mastery, "explanations": wrong}, path, batch_id)
+
+
+def read_mastery(spark: SparkSession, path: str) -> DataFrame:
+    """The mastery table of ``record_attempts``: (student_id, lo_id, n, score, system_from, system_to)."""
+    log = read_batches(spark, path, "mastery", MASTERY_LOG)
+    return log.withColumn("system_to", F.lead("system_from").over(Window.partitionBy("student_id", "lo_id").orderBy("n")))
+
+
+LEDGER = "session string, student_id long, surface string, turn_index long, user_message string, assistant_message string, citations string, cost_usd double, latency_ms long"
+REDACTED = "[REDACTED]"
+
+
+def ledger_rows(turns: DataFrame) -> DataFrame:
+    """Ledger rows of chat turns (session, student_id, surface, turn_index, user_message, text, redacted, is_error, cost_usd, latency_ms).
+
+    A redacted turn is recorded without its text, citations and cost; a failed or empty one isn't recorded.
+    """
+    from tessera.functions import protocol
+
+    kept = turns.filter(F.col("redacted") | (~F.col("is_error") & (F.coalesce(F.col("text"), F.lit("")) != "")))
+    red = F.col("redacted")
+    cites = F.to_json(F.when(red, F.expr("CAST(array() AS array<struct<kind:string,id:string>>)")).otherwise(protocol.citations(F.col("text"))))
+    return kept.select("session", "student_id", "surface", "turn_index", "user_message", F.when(red, F.lit(REDACTED)).otherwise(F.col("text")).alias("assistant_message"), cites.alias("citations"), F.when(red, 0.0).otherwise(F.coalesce("cost_usd", F.lit(0.0))).alias("cost_usd"), "latency_ms")
+
+
+def append_ledger(batch: DataFrame, batch_id: int, path: str) -> None:
+    """One micro-batch of chat turns to the ledger: for ``foreachBatch``."""
+    write_batch({"ledger": ledger_rows(batch)}, path, batch_id)
