@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, binary_array, gather, materialize, mix, pair_hash, table, text_blocks
+from .common import Words, binary_array, drop_scratch, gather, materialize, mix, pair_hash, table, text_blocks
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -139,9 +139,12 @@ def weigh(texts: DataFrame) -> Weights:
     first = count(None)
     documents = first.filter("shingle IS NULL").agg(F.sum("n")).first()[0] or 0
     named = first.filter(F.col("shingle").isNotNull() & (F.col("n") >= RARE / 2 * documents)).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+    drop_scratch(first)
     if not len(named):
         return Weights(named, np.zeros(0), documents)
-    exact = count(np.sort(named)).filter(F.col("shingle").isNotNull() & (F.col("n") > RARE * documents)).toPandas()
+    second = count(np.sort(named))
+    exact = second.filter(F.col("shingle").isNotNull() & (F.col("n") > RARE * documents)).toPandas()
+    drop_scratch(second)
     return Weights(exact["shingle"].to_numpy(np.int64).view(np.uint64), exact["n"].to_numpy(np.float64), documents)
 
 
@@ -361,12 +364,16 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         step = name.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("comp"))
         jumped = step.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("_next")), "comp", "left")
         new = materialize(jumped.select("node", "_old", F.least("comp", F.coalesce("_next", "comp")).alias("comp")), "names")
-        if new.filter("_old != comp").isEmpty():
+        ended = new.filter("_old != comp").isEmpty()
+        drop_scratch(name)
+        name = new
+        if ended:
             break
-        name = new.select("node", "comp")
     moved = labels.join(name.select(F.col("node").alias("comp"), F.col("comp").alias("_new")), "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp"))
     fresh = name.join(labels, "node", "left_anti").select("node", "comp")
-    return materialize(moved.unionByName(fresh), "labels")
+    out = materialize(moved.unionByName(fresh), "labels")
+    drop_scratch(name, links)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -398,9 +405,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar by their texts."""
-        texts = texts_of(materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes"))
+        nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        texts = texts_of(nodes)
         both = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
-        return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a binary, b binary"), "verified")
+        out = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, threshold), "a binary, b binary"), "verified")
+        drop_scratch(nodes, pairs)
+        return out
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose ends lie in different components."""
@@ -412,7 +422,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
         here = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         several = here.groupBy("band").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most"), F.min("node").alias("_low"), F.max("node").alias("_high"), F.count(F.lit(1)).alias("_n")).filter("_least != _most AND _n > 3")
         here = here.join(several.select("band", "_low", "_high", "_n"), "band").join(signed.select("node", "sketch", "held"), "node")
-        here = materialize(here.select("band", "node", "comp", "sketch", "held", "_n", F.col("node").isin(F.col("_low"), F.col("_high")).alias("end")), "rest")
+        known = here = materialize(here.select("band", "node", "comp", "sketch", "held", "_n", F.col("node").isin(F.col("_low"), F.col("_high")).alias("end")), "rest")
         if here.isEmpty():
             return links
         bulk = here.groupBy("band").agg(F.ceil(F.greatest(F.max("_n") / REST_BLOCK, F.sum("held") / REST_SHINGLES)).cast("int").alias("_blocks"))
@@ -421,10 +431,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = lambda df: df.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
         near = materialize(dealt(tiles).mapInArrow(_rest_members, tiles.schema), "near")
+        drop_scratch(known)
         if near.isEmpty():
             return links
-        texts = texts_of(materialize(near.select("node").distinct(), "nodes"))
-        return materialize(dealt(near.join(texts, "node")).mapInArrow(_rest_links(weights, threshold), "a binary, b binary"), "verified")
+        nodes = materialize(near.select("node").distinct(), "nodes")
+        out = materialize(dealt(near.join(texts_of(nodes), "node")).mapInArrow(_rest_links(weights, threshold), "a binary, b binary"), "verified")
+        drop_scratch(nodes, near)
+        return out
 
     ordered = lambda df: df.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     pending = starred()
@@ -438,10 +451,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
             near = verified(left)
             links = links.unionByName(near)
             labels = components(near, labels)
+    drop_scratch(pending)
     near = rest()
     if near is not links and not near.isEmpty():
         links = links.unionByName(near)
         labels = components(near, labels)
+    drop_scratch(signed, buckets)
     return labels, links
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, Words, arrow_batches, binary_array, gather, materialize, mix, pair_hash, table, text_blocks
+from .common import BATCH_BYTES, Words, arrow_batches, binary_array, drop_scratch, gather, materialize, mix, pair_hash, table, text_blocks
 
 WIDTH, PREFIX = 20, 5
 GROUP_BYTES = 4 << 20  # text whose suffixes make one group
@@ -138,6 +138,7 @@ def frequent_prefixes(slim: DataFrame, groups: int) -> np.ndarray:
     counts = materialize(counts, "prefix-counts")
     total = counts.filter("prefix IS NULL").agg(F.sum("n")).first()[0] or 0
     often = counts.filter(F.col("prefix").isNotNull() & (F.col("n") >= max(2.0, share * total))).select("prefix").toPandas()["prefix"]
+    drop_scratch(counts)
     return np.sort(often.to_numpy(np.int64).view(np.uint64))
 
 
