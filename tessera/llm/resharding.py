@@ -27,7 +27,7 @@ from .common import materialize, scratch_path, table
 
 #: Fixed values of the query: documents are dealt by id over OLD shards and go to NEW ones.
 OLD, NEW = 12, 16
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 BROADCAST_BLOCKS = 50_000  # about 100 bytes each; longer plans are joined by shuffle
 
 
@@ -130,17 +130,18 @@ def _short(plan: DataFrame) -> DataFrame:
     return F.broadcast(plan) if plan.count() <= BROADCAST_BLOCKS else plan
 
 
-def assign(rows: DataFrame, shards: int, capacities: list[int] | None = None, old_shards: int | None = None) -> tuple[DataFrame, set[int]]:
-    """``rows`` of ``sized`` with the new shard and the place within (new shard, old shard, block), and the shards that lose or gain something."""
+def assign(rows: DataFrame, shards: int, capacities: list[int] | None = None, old_shards: int | None = None) -> tuple[DataFrame, set[int], set[int]]:
+    """``rows`` of ``sized`` with the new shard and the place within (new shard, old shard, block), the shards that lose or gain something, and those that keep all they have."""
     slim = materialize(rows.select(OF, SIZE, HASH), "reshard-sizes")
     plan, flow, blocks = plan_moves(slim, shards, capacities, old_shards)
+    changed = {x for i, j in flow if i != j for x in (i, j)}
     known = rows.withColumn(BLOCK, block_of(blocks)).join(_short(materialize(plan, "reshard-plan")), [OF, BLOCK])
     order = Window.partitionBy(OF, BLOCK).orderBy(HASH, "doc_id", SIZE)
     middle = F.col("_start") + F.coalesce(F.sum(SIZE).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.expr(f"{SIZE} div 2")
     home = F.element_at(F.filter("_cuts", lambda c: c["from"] <= F.col("_middle")), -1)["shard"]
     placed = known.withColumn("_middle", middle).withColumn(SHARD, F.coalesce(home, F.col("_cuts")[0]["shard"]))
     place = F.row_number().over(Window.partitionBy(OF, BLOCK, SHARD).orderBy(HASH, "doc_id", SIZE)) - 1
-    return placed.withColumn(PLACE, place).drop("_middle", "_cuts", "_start"), {x for i, j in flow if i != j for x in (i, j)}
+    return placed.withColumn(PLACE, place).drop("_middle", "_cuts", "_start"), changed, {i for i, _ in flow} - changed
 
 
 def with_slots(placed: DataFrame) -> DataFrame:
@@ -156,11 +157,12 @@ def rewrite(docs: DataFrame, old_shard: Column, path: str, shards: int, capaciti
 
     Returns all documents with their new shard: what was written, read back, and what stays in its old files.
     """
-    placed, changed = assign(sized(docs, old_shard), shards, capacities, old_shards)
+    placed, changed, kept = assign(sized(docs, old_shard), shards, capacities, old_shards)
     placed = placed.drop(HASH)
-    placed.filter(F.col(SHARD).isin(*changed)).write.option("compression", "zstd").partitionBy(SHARD).parquet(path)
-    written = docs.sparkSession.read.schema(placed.schema).parquet(path)
-    return written.select(*placed.columns).unionByName(placed.filter(~F.col(SHARD).isin(*changed)))
+    moved = placed.filter(F.col(SHARD).isin(*changed)) if kept else placed
+    moved.write.option("compression", "zstd").partitionBy(SHARD).parquet(path)
+    written = docs.sparkSession.read.schema(placed.schema).parquet(path).select(*placed.columns)
+    return written.unionByName(placed.filter(F.col(SHARD).isin(*kept))) if kept else written
 
 
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
