@@ -52,7 +52,8 @@ RARE, CHUNK = 0.01, 1000
 REST_BLOCK, REST_SHINGLES = 1024, 1 << 19  # members and shingles of a block of a bucket
 REST_PAIRS = 1 << 17  # pairs looked at at once
 PORTION_BYTES = 4 << 20  # text of small blocks taken at once
-BROADCAST_NODES = 100_000  # 16 bytes each
+BROADCAST_NODES = 100_000  # 32 bytes each
+SALTS = 8  # tasks for the rows of one class or of one text
 STEPS = 8  # weights are rounded to whole steps of 1/8 in their logarithm
 LEVELS = 128
 _DRAWS = 1 << 16
@@ -460,14 +461,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     return labels, links
 
 
+def _salted(rows: DataFrame, few: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """``rows`` left joined with ``few`` (one row for each ``key``), where a key may hold a third of all rows: those are dealt over SALTS tasks, and each of the few goes to all of them."""
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(spread, [key, "_salt"], "left").drop("_salt")
+
+
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, node, class_id, class_node): one row for each row of ``docs``."""
+    """(doc_id, node, class_id, class_size, class_node): one row for each row of ``docs``."""
     labels, _ = near_duplicates(docs, text, threshold)
     rows = docs.select(F.col(id_col).alias("doc_id"), node_of(F.col(text)).alias("node"))
-    joined = materialize(rows.join(labels, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("comp")), "classes")
-    # a class of one row needs no second look
-    least = joined.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return joined.join(least, "comp").select("doc_id", "node", "class_id", "class_size", F.col("comp").alias("class_node"))
+    joined = materialize(_salted(rows, labels, "node", ["doc_id"]).select("doc_id", "node", F.coalesce("comp", "node").alias("comp")), "classes")
+    # classes of one row need no second look
+    several = joined.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).filter("class_size > 1")
+    found = _salted(joined, several, "comp", ["doc_id", "node"])
+    return found.select("doc_id", "node", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.col("comp").alias("class_node"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -475,11 +483,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     cols = docs.columns
     labels, _ = near_duplicates(docs, "text", threshold)
     rows = docs.withColumn("_node", node_of(F.col("text")))
-    joined = rows.join(labels.withColumnsRenamed({"node": "_node", "comp": "_comp"}), "_node", "left").withColumn("_comp", F.coalesce("_comp", "_node"))
-    copies = joined.groupBy("_comp", "doc_id", "_node").agg(F.count(F.lit(1)).alias("_n"))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_node"))
-    first = copies.groupBy("_comp").agg(F.min_by(F.struct("doc_id", "_node", "_n"), order).alias("_first"))
-    first = materialize(first.select(F.col("_first.doc_id").alias("_id"), F.col("_first._node").alias("_of"), F.col("_first._n").alias("_n")), "firsts")
+    joined = _salted(rows.select("doc_id", F.col("_node").alias("node")), labels, "node", ["doc_id"]).withColumn("_comp", F.coalesce("comp", "node"))
+    copies = joined.groupBy("_comp", "doc_id", "node").agg(F.count(F.lit(1)).alias("_n"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
+    first = copies.groupBy("_comp").agg(F.min_by(F.struct("doc_id", "node", "_n"), order).alias("_first"))
+    first = materialize(first.select(F.col("_first.doc_id").alias("_id"), F.col("_first.node").alias("_of"), F.col("_first._n").alias("_n")), "firsts")
     kept = rows.join(first.select("_id", "_of"), (F.col("_node") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     if not first.filter("_n > 1").isEmpty():  # rows equal in id and text
         kept = kept.dropDuplicates(["doc_id", "_node"])
