@@ -69,12 +69,12 @@ def candidates(los: DataFrame, prerequisites: DataFrame, scores: DataFrame, bank
     enough of the LOs without prerequisites, of all others, and of all with questions that as many as the
     student has touched or opened can be left out. Beside them stand the touched LOs and those that touched ones open.
     """
-    los = los.select("lo_id", "order_in_parent")
-    known = scores.join(los, "lo_id", "left_semi").join(students.select(F.col("id").alias("student_id")), "student_id", "left_semi").select("student_id", "lo_id", "score")
+    los = graph.cut(los.select("lo_id", "order_in_parent"))
+    known = graph.cut(scores.join(los, "lo_id", "left_semi").join(students.select(F.col("id").alias("student_id")), "student_id", "left_semi").select("student_id", "lo_id", "score"))
     pre = prerequisites.select(F.col("dst_id").alias("lo_id"), F.col("src_id").alias("pre_id")).distinct()
     needs = pre.groupBy("lo_id").agg(F.count(F.lit(1)).alias("_needs"))
     met = known.filter(F.col("score") >= GATE).select("student_id", F.col("lo_id").alias("pre_id")).join(pre, "pre_id").groupBy("student_id", "lo_id").agg(F.count(F.lit(1)).alias("_met"))
-    opened = met.join(needs, "lo_id").filter("_met = _needs").join(los, "lo_id", "left_semi").select("student_id", "lo_id", F.lit(True).alias("_open"))
+    opened = graph.cut(met.join(needs, "lo_id").filter("_met = _needs").join(los, "lo_id", "left_semi").select("student_id", "lo_id", F.lit(True).alias("_open")))
     order = ["order_in_parent", "lo_id"]
     rooted = rollup.places(los.join(needs, "lo_id", "left_anti").join(banked, "lo_id", "left_semi"), order)
     closed = rollup.places(los.join(needs, "lo_id", "left_semi"), order)
@@ -114,7 +114,7 @@ def study_plan(los: DataFrame, prerequisites: DataFrame, scores: DataFrame, ques
     ``ITEMS`` questions with the fewest recent attempts: no choice can reach beyond. A bank is met by
     its rank, so a student's rows don't grow with it.
     """
-    questions = questions.select(F.col("id").alias("question_id"), "lo_id", "tier")
+    questions = graph.cut(questions.select(F.col("id").alias("question_id"), "lo_id", "tier"))
     picked = graph.cut(shortlist(candidates(los, prerequisites, scores, questions.select("lo_id").distinct(), students)))
     keys = ["student_id", "lo_id", "tier"]
     drilled = graph.cut(recent.select("student_id", "question_id", F.col("recent").cast("long").alias("recent")).join(questions, "question_id").join(picked.select("student_id", "lo_id"), ["student_id", "lo_id"], "left_semi"))
