@@ -29,6 +29,7 @@ ROW_GROUP_BYTES, PAGE_BYTES = 32 << 20, 256 << 10
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 #: Bytes of text for one part of the range-partitioned write.
 PART_BYTES = 32 << 20
+PUSHED_IDS = 1000
 BATCH_ROWS = 1000  # documents of one Arrow batch on the way back from the files
 
 
@@ -94,8 +95,10 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 
 
 def read_slices(spark: SparkSession, path: str, slices: DataFrame) -> DataFrame:
-    """Tokens [first, first + count) of documents, for a table (doc_id, first, count)."""
-    return spark.read.schema(SCHEMA).parquet(path).join(slices, "doc_id").select("doc_id", "first", "count", F.slice("ids", F.col("first") + 1, F.col("count")).alias("ids"))
+    """Tokens [first, first + count) of documents, for a table (doc_id, first, count). The ids of a short table are pushed to the row groups and pages."""
+    ids = [r[0] for r in slices.select("doc_id").distinct().limit(PUSHED_IDS + 1).collect()]
+    tokens = read_tokens(spark, path, ids if len(ids) <= PUSHED_IDS else None)
+    return tokens.join(slices, "doc_id").select("doc_id", "first", "count", F.slice("ids", F.col("first") + 1, F.col("count")).alias("ids"))
 
 
 def _checksums(batches):
