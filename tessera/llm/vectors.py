@@ -28,6 +28,7 @@ from .common import table
 
 BLOCK = 16384  # vectors of a block
 QUERY_BLOCK = 4096
+ROWS = 64  # queries of one dense score array, so that it stays in a core's cache
 LEAST_BLOCK = 1024  # small tables are cut further, so that all cores have work
 K_EXACT, SCALE = 20, 64.0
 LARGEST = 2.0**53  # of a scaled component
@@ -55,8 +56,8 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return out
 
 
-def blocked_search(vectors: DataFrame, queries: DataFrame, k: int, search: Callable, score: str, best_first_desc: bool) -> DataFrame:
-    """``search(Q, own, ids, X)`` for each pair of blocks gives (query row, id, score); the k best of each query stay.
+def blocked_search(vectors: DataFrame, queries: DataFrame, k: int, index: Callable, score: str, best_first_desc: bool) -> DataFrame:
+    """``index(ids, X)`` of a block of vectors gives ``search(Q, own)``, which gives (query row, id, score); the k best of each query stay.
 
     ``vectors`` and ``queries`` are (id, v); ``own`` is the place of each query's own row in the block, or -1.
     """
@@ -88,8 +89,9 @@ def blocked_search(vectors: DataFrame, queries: DataFrame, k: int, search: Calla
             q_ids, q_rows, q_copies, q = ids[is_query], rows[is_query], copies[is_query], x[is_query]
             at = np.minimum(np.searchsorted(cand_rows[by_row], q_rows), len(by_row) - 1)
             own = np.where((cand_rows[by_row[at]] == q_rows) & (cand_ids[by_row[at]] == q_ids), by_row[at], -1)  # the first of equal rows
-            for a in range(0, len(q), 256):
-                at, found, scores = search(q[a : a + 256], own[a : a + 256], cand_ids, cands)
+            search = index(cand_ids, cands)
+            for a in range(0, len(q), ROWS):
+                at, found, scores = search(q[a : a + ROWS], own[a : a + ROWS])
                 parts.append((q_ids[a + at], q_rows[a + at], q_copies[a + at], found, scores))
         columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
         return pa.table([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], kind)], names=names)
@@ -123,28 +125,37 @@ def accumulate_scores(q: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray
 def top_k_exact(vectors: DataFrame, queries: DataFrame, k: int = K_EXACT, scale: float = SCALE) -> DataFrame:
     """Exhaustive top-k by the inner product of ``floor(scale * x)``; ``vectors`` and ``queries`` are (id, v)."""
 
-    def search(q, own, ids, x):
-        q, x = (np.clip(np.floor(a * scale), -LARGEST, LARGEST) for a in (q, x))
-        wide = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1]) >= 2**31
-        kind = np.int64 if wide else np.int32
-        q, x = q.astype(kind), x.astype(kind)
-        postings = [(at := np.flatnonzero(x[:, t]), x[at, t]) for t in range(x.shape[1])]
-        scores = accumulate_scores(q, postings, len(ids)).astype(np.int64)
-        least = np.iinfo(np.int64).min
-        mine = np.flatnonzero(own >= 0)
-        scores[mine, own[mine]] = least
-        taken = np.ones(scores.shape, bool)
-        taken[mine, own[mine]] = False
-        keep = min(k, scores.shape[1])
-        # the keep-th score of each row; all above it, and of those equal to it the smallest ids
-        edge = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-        above, level = scores > edge[:, None], (scores == edge[:, None]) & taken
-        need = keep - above.sum(1)
-        level &= np.cumsum(level, axis=1) <= need[:, None]
-        at, found = np.nonzero(above | level)
-        return at, ids[found], scores[at, found]
-
-    return blocked_search(vectors, queries, k, search, "int64", True)
+    def index(ids, x):
+        x = np.clip(np.floor(x * scale), -LARGEST, LARGEST)
+        most = np.abs(x).max(initial=0) * max(1, x.shape[1])
+        posted = {}
+
+        def postings(kind):
+            if kind not in posted:
+                whole = x.astype(kind)
+                posted[kind] = [(at := np.flatnonzero(whole[:, t]), whole[at, t]) for t in range(x.shape[1])]
+            return posted[kind]
+
+        def search(q, own):
+            q = np.clip(np.floor(q * scale), -LARGEST, LARGEST)
+            kind = np.int64 if np.abs(q).max(initial=0) * most >= 2**31 else np.int32
+            scores = accumulate_scores(q.astype(kind), postings(kind), len(ids))
+            mine = np.flatnonzero(own >= 0)
+            scores[mine, own[mine]] = np.iinfo(kind).min
+            taken = np.ones(scores.shape, bool)
+            taken[mine, own[mine]] = False
+            keep = min(k, scores.shape[1])
+            # the keep-th score of each row; all above it, and of those equal to it the smallest ids
+            edge = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+            above, level = scores > edge[:, None], (scores == edge[:, None]) & taken
+            need = keep - above.sum(1)
+            level &= np.cumsum(level, axis=1) <= need[:, None]
+            at, found = np.nonzero(above | level)
+            return at, ids[found], scores[at, found].astype(np.int64)
+
+        return search
+
+    return blocked_search(vectors, queries, k, index, "int64", True)
 
 
 def fit_codes(sample: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
@@ -215,33 +226,38 @@ def nearest_by_hashing(vectors: DataFrame, queries: DataFrame, k: int = K_NEAR,
     mean, projection, fitted = fit_index(fit, k)
     bound = fitted if radius is None else radius
 
-    def search(q, own, ids, x):
-        def codes_of(a):
-            a = a[:, :width] if a.shape[1] >= width else np.hstack([a, np.zeros((len(a), width - a.shape[1]))])
-            return code_bytes(a, mean, projection)
+    def codes_of(a):
+        a = a[:, :width] if a.shape[1] >= width else np.hstack([a, np.zeros((len(a), width - a.shape[1]))])
+        return code_bytes(a, mean, projection)
 
-        codes, query_codes = codes_of(x), codes_of(q)
+    def index(ids, x):
+        codes = codes_of(x)
         tables = []
         for s in range(codes.shape[1]):
             order = np.argsort(codes[:, s], kind="stable")
             tables.append((order, np.searchsorted(codes[order, s], np.arange(257))))
-        at, found, scores = [], [], []
-        for i in range(len(q)):
-            r = bound
-            while True:
-                near = probe(codes, query_codes[i], r, tables)
-                near = near[near != own[i]]
-                if len(near) >= k or r >= 8 * codes.shape[1]:
-                    break
-                r += len(tables)
-            d = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-            best = np.lexsort((ids[near], d))[:k]
-            at.append(np.full(len(best), i))
-            found.append(ids[near][best])
-            scores.append(d[best])
-        return np.concatenate(at), np.concatenate(found), np.concatenate(scores)
-
-    return blocked_search(vectors, queries, k, search, "float64", False)
+
+        def search(q, own):
+            query_codes = codes_of(q)
+            at, found, scores = [], [], []
+            for i in range(len(q)):
+                r = bound
+                while True:
+                    near = probe(codes, query_codes[i], r, tables)
+                    near = near[near != own[i]]
+                    if len(near) >= k or r >= 8 * codes.shape[1]:
+                        break
+                    r += len(tables)
+                d = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+                best = np.lexsort((ids[near], d))[:k]
+                at.append(np.full(len(best), i))
+                found.append(ids[near][best])
+                scores.append(d[best])
+            return np.concatenate(at), np.concatenate(found), np.concatenate(scores)
+
+        return search
+
+    return blocked_search(vectors, queries, k, index, "float64", False)
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
