@@ -159,10 +159,11 @@ class Sampler:
     def __init__(self, seed: int = 10):
         rng = np.random.default_rng(seed)
         r, c, b = rng.gamma(2, 1, _DRAWS), rng.gamma(2, 1, _DRAWS), rng.random(_DRAWS)
-        log_w = np.arange(LEVELS)[:, None] / STEPS
-        self.t = np.floor(log_w / r + b).astype(np.int16)
-        self.log_a = (np.log(c) - r * (self.t - b + 1)).astype(np.float32).ravel()
-        self.t = self.t.ravel()
+        self.t, self.log_a = np.empty((LEVELS, _DRAWS), np.int16), np.empty((LEVELS, _DRAWS), np.float32)
+        for level in range(LEVELS):  # a row at a time, since the whole tables in double precision would be several times as large
+            self.t[level] = np.floor(level / STEPS / r + b)
+            self.log_a[level] = np.log(c) - r * (self.t[level] - b + 1)
+        self.t, self.log_a = self.t.ravel(), self.log_a.ravel()
         self.turn = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def sample(self, begins: np.ndarray, value: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -326,8 +327,10 @@ def _rest_links(weights: Weights, threshold: float):
 def _verify(weights: Weights, threshold: float):
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            size = np.cumsum(sum(pc.binary_length(batch.column(batch.schema.get_field_index(c))).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("text_a", "text_b")))
+            cuts = np.unique(np.r_[0, np.searchsorted(size, np.arange(PORTION_BYTES, int(size[-1]) if len(size) else 0, PORTION_BYTES)), batch.num_rows])
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = batch.slice(lo, hi - lo)
                 n = part.num_rows
                 sides = []
                 for c in ("text_a", "text_b"):
