@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 NAMES = {
-    "op1_secret_scan": "secrets", "op2_top_k": "vectors", "op3_substring_dedup": "substrings", "op4_quality": "quality", "op5_token_files": "token_files", "op6_bpe": "bpe", "op7_resharding": "resharding", "op8_mixing": "mixing", "op9_nearest": "vectors", "op10_near_dedup": "minhash", "op13_spelling": "spelling",
+    "op1_secret_scan": "secrets", "op2_top_k": "vectors", "op3_substring_dedup": "substrings", "op4_quality": "quality", "op5_token_files": "token_files", "op6_bpe": "bpe", "op7_resharding": "resharding", "op8_mixing": "mixing", "op9_nearest": "vectors", "op10_near_dedup": "minhash", "op11_sentencepiece": "sentencepieces", "op13_spelling": "spelling",
 }
 
 
