@@ -135,9 +135,10 @@ def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 class Words:
     """Words of a block of documents, as arrays: where each starts and ends in ``data``, and its document."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE):
+        """``outside``: by byte, whether it separates words."""
         self.data, self.offsets = data, offsets
-        solid = ~_SPACE[data]
+        solid = ~outside[data]
         n = len(data)
         begins = np.zeros(n + 1, bool)
         begins[offsets[:-1]] = True
