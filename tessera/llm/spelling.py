@@ -64,7 +64,8 @@ def light_branches(words: DataFrame) -> DataFrame:
     i = F.col("i")
     paths = words.select("word", "n", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("i")).select("word", "n", F.substring(F.col("word"), F.lit(1), i).alias("p"), F.substring(F.col("word"), i + 1, F.lit(1)).alias("c"), _tail(i + 2).alias("s"))
     below = paths.filter("c != ''").groupBy("p", "c").agg(F.count(F.lit(1)).alias("words"))
-    heavy = below.groupBy("p").agg(F.max(F.struct("words", "c")).alias("most"), F.sum("words").alias("all")).select("p", F.col("most.c").alias("h"))
+    # a table of its own: the join below can then split short prefixes, which all words share
+    heavy = materialize(below.groupBy("p").agg(F.max(F.struct("words", "c")).alias("most")).select("p", F.col("most.c").alias("h")), "spelling-heavy")
     return paths.join(heavy, "p").filter("c != h")
 
 
