@@ -163,10 +163,3 @@ def register(query, slug: str, pre) -> None:
         from tessera.operators import gates
 
         return gates.edge_endpoints(t.edges, t.nodes).unionByName(gates.in_range(t.checks, "score", 0, 90)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
-
-    @query("q18_course_load_delta", "SELECT 'questions' AS name, (SELECT count(*) FROM questions) AS before, (SELECT count(*) FROM questions WHERE lo_id NOT IN (SELECT lo_id FROM lo_keys WHERE c_nationkey = 3)) + (SELECT count(*) FROM lo_keys WHERE c_nationkey = 3) AS after, (SELECT count(*) FROM lo_keys WHERE c_nationkey = 3) - (SELECT count(*) FROM questions WHERE lo_id IN (SELECT lo_id FROM lo_keys WHERE c_nationkey = 3)) AS delta")
-    def _(t):
-        scope = t.lo_keys.filter("c_nationkey = 3")
-        old = t.questions.select("id", "lo_id")
-        new = temporal.scoped_replace(old, scope.selectExpr("concat('new:', lo_id) AS id", "lo_id"), scope, "lo_id")
-        return rollup.snapshot_delta(rollup.dashboard(questions=old), rollup.dashboard(questions=new), ["questions"])
