@@ -1,6 +1,6 @@
 """Ranked lexical search by Block-Max WAND over compressed posting blocks.
 
-The index is cut by documents: a shard holds the postings of some 16 MB of text, built where the text
+The index is cut by documents: a shard holds the postings of some 8 MB of text, built where the text
 is read, so building shuffles nothing. Within a shard documents are numbered by ascending id. A
 term's postings are cut into blocks of ``BLOCK``; a block keeps its last document, its greatest impact (what a
 posting adds to a score for a weight of 1) and its gaps and counts as variable-length bytes.
@@ -31,15 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, binary_array, gather, materialize, table, text_blocks
+from .common import BATCH_BYTES, Words, arrow_batches, binary_array, gather, materialize, table, text_blocks
 
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OUTSIDE = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
+SHARD_BYTES, SHARD_DOCS = 8 << 20, 1 << 16
+TEXT_BYTES = 1 << 20  # of a round of numpy work
 BLOCK, QUERY_BLOCK, K = 128, 256, 10
-STRIDE = 32  # intervals of a query's first stretch; each stretch is twice as long as the one before
+STRIDE = 4  # intervals of a query's first stretch; each stretch is twice as long as the one before
 #: Fixed values of the score.
 SCALE, GROWTH, LENGTH, BASE, SHARE = 1_000_000_000, 1000, 8, 100, 90
 #: ``term`` null: the shard's documents (df: their number, payload: ids, tops: length factors, lasts: which ids are null).
@@ -78,7 +79,7 @@ def count_terms(docs: DataFrame) -> tuple[int, int]:
     def run(batches):
         for batch in batches:
             docs = terms = 0
-            for _, data, offsets in text_blocks(batch.column(0)):
+            for _, data, offsets in text_blocks(batch.column(0), TEXT_BYTES):
                 counts = Words(data, offsets, _OUTSIDE).counts
                 docs, terms = docs + int((counts > 0).sum()), terms + int(counts.sum())
             yield pa.RecordBatch.from_pydict({"docs": [docs], "terms": [terms]})
@@ -132,7 +133,8 @@ _NAMES = [x.split(" ")[0] for x in INDEX.split(", ")]
 def build_index(docs: DataFrame) -> DataFrame:
     """The index of ``docs`` (doc_id, text): a row for each shard and term, written to the shared folder."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_docs, n_terms = count_terms(slim)
+    with arrow_batches(docs.sparkSession, most_bytes=BATCH_BYTES):
+        n_docs, n_terms = count_terms(slim)
 
     def run(batches):
         shard, parts, held, rows = TaskContext.get().partitionId() << 32, [], 0, 0
@@ -140,15 +142,12 @@ def build_index(docs: DataFrame) -> DataFrame:
             ids = batch.column(0)
             null = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
-            for at, data, offsets in text_blocks(batch.column(1)):
-                words = Words(data, offsets, _OUTSIDE)
+            for at, data, offsets in text_blocks(batch.column(1), TEXT_BYTES):
+                words = Words(_LOWER[data], offsets, _OUTSIDE)
                 some = np.flatnonzero(words.counts)
                 if not len(some):
                     continue
-                inside = _LOWER[data[~_OUTSIDE[data]]]
-                bounds = np.r_[0, np.cumsum(words.ends - words.starts)]
-                terms = pa.Array.from_buffers(pa.large_binary(), len(words.starts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(inside.tobytes())]).dictionary_encode()
-                parts.append((ids[at + some], null[at + some], words.counts[some], terms))
+                parts.append((ids[at + some], null[at + some], words.counts[some], words.encoded()))
                 held, rows = held + len(data), rows + len(some)
                 if held >= SHARD_BYTES or rows >= SHARD_DOCS:
                     yield from _shard_rows(shard, parts, n_docs, n_terms)
@@ -156,7 +155,8 @@ def build_index(docs: DataFrame) -> DataFrame:
         if parts:
             yield from _shard_rows(shard, parts, n_docs, n_terms)
 
-    return materialize(slim.mapInArrow(run, INDEX), "ranked-index")
+    with arrow_batches(docs.sparkSession, most_bytes=BATCH_BYTES):
+        return materialize(slim.mapInArrow(run, INDEX), "ranked-index")
 
 
 class Shard:
