@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +45,28 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(rest)) for b in range(256)]
 
 
+@cache
+def library_classes() -> np.ndarray:
+    """The class of every code point as the tokenizers library has it (its Unicode tables are its own), found by what it keeps together."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    high = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    # neighbours that it keeps together are of one class, so one of each run is asked for
+    runs = np.array([place[0] for _, place in split(high)])
+    asked = "".join(map(chr, range(0x80))) + "".join(high[i] for i in runs)
+    kind = np.full(len(asked), Pieces.SPACE)
+    for beside, is_ in (("a", Pieces.LETTER), ("1", Pieces.NUMBER), ("!", Pieces.OTHER)):
+        # beside + sign + line break: no piece begins at the sign if it is of that class
+        begins = {place[0] for _, place in split("".join(f"{beside}{c}\n" for c in asked))}
+        kind[[3 * i + 1 not in begins for i in range(len(asked))]] = is_
+    classes = np.zeros(0x110000, np.uint8)
+    classes[:0x80] = kind[:0x80]
+    code = np.frombuffer(high.encode("utf-32-le"), "<u4")
+    classes[code] = np.repeat(kind[0x80:], np.diff(np.r_[runs, len(high)]))
+    return classes
+
+
 class Pieces:
     """Places where the pieces of UTF-8 texts begin, by array rules over classes of code points.
 
@@ -56,10 +78,7 @@ class Pieces:
     OTHER, LETTER, NUMBER, SPACE, ADDED = range(5)
 
     def __init__(self, added: list[str]):
-        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        self.classes = np.zeros(0x110000, np.uint8)
-        for kind, pattern in ((self.LETTER, r"\p{L}+"), (self.NUMBER, r"\p{N}+"), (self.SPACE, r"\p{White_Space}+")):
-            self.classes[np.frombuffer("".join(regex.findall(pattern, everything)).encode("utf-32-le"), "<u4")] = kind
+        self.classes = library_classes()
         self.added = re.compile(b"|".join(re.escape(t.encode()) for t in sorted(added, key=len, reverse=True))) if added else None
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
