@@ -8,8 +8,9 @@ good, weighted by line length.
 
 Training: a line's label is its document's. At most ``TRAIN_DOCS`` labelled documents are used,
 those with the smallest id hashes among the ids that are not held out, as many of them as have
-``TRAIN_BYTES`` of text; both are parameters. They are used whole. The conditional likelihood
-is maximized by Adam on the driver. Scores use whole texts and nothing but the text.
+``TRAIN_BYTES`` of text and ``TRAIN_LINES`` lines; the bounds are parameters. They are used whole; a
+document that has more than an eighth of a bound by itself is passed over, so the others always make
+seven eighths of it if there are so many. The conditional likelihood is maximized by Adam on the driver. Scores use whole texts and nothing but the text.
 
 Edge cases: null text counts as empty, which is one empty line; null ids are not held out; labels
 that are null or whose document is missing are ignored, repeated ones count once for each row;
@@ -27,6 +28,8 @@ from pyspark.sql.types import DoubleType, StructType
 from .common import Words, table, text_blocks
 
 TRAIN_DOCS, TRAIN_BYTES, STEPS, RATE, DECAY = 2000, 8 << 20, 160, 0.08, 1e-3
+#: Lines of the training texts (132 bytes of features each), and the share of either bound that one document may have.
+TRAIN_LINES, LONGEST_SHARE = 250_000, 8
 ACCEPT = 0.3
 #: Byte classes of the features.
 _CLASS = np.zeros(256, np.int64)
@@ -59,7 +62,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     double = np.bincount(line[1:], marks[1:] & (data[1:] == data[:-1]) & (line[1:] == line[:-1]), lines)
     words = Words(data, np.r_[begin, n])
     n_words = words.counts
-    each = words.hashes()
+    each = words.hashes()[0]
     of = np.repeat(np.arange(lines), n_words)
     echo = np.bincount(of[1:], (each[1:] == each[:-1]) & (of[1:] == of[:-1]), lines)
     hashes = np.r_[np.uint64(0), np.cumsum(each, dtype=np.uint64)]
@@ -153,7 +156,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, train_lines: int = TRAIN_LINES) -> dict | None:
     """The model from a bounded sample of labelled rows that are not held out."""
     usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
     sample = usable.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "y").limit(train_docs)
@@ -166,10 +169,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs
                 rows = [x[a : a + n].tobytes() for a, n in zip(first, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), pa.array(rows, pa.binary())], names=["y", "x"])
 
-    # a window over a sample of bounded size; texts come with it only where they fit
-    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_bytes")).join(F.broadcast(sample), "doc_id")
-    running = F.sum(F.col("_bytes").cast("long")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "y", "_bytes").rowsBetween(Window.unboundedPreceding, 0))
-    fits = sized.groupBy("doc_id", "y").agg(F.sum("_bytes").alias("_bytes")).withColumn("_upto", running).filter(F.col("_upto") <= train_bytes).select("doc_id", "y")
+    # a window over a sample of bounded size; texts come with it only where they fit, and one that is long by itself is passed over
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select("doc_id", F.octet_length(text).cast("long").alias("_bytes"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("_lines")).join(F.broadcast(sample), "doc_id")
+    sized = sized.groupBy("doc_id", "y").agg(F.sum("_bytes").alias("_bytes"), F.sum("_lines").alias("_lines")).filter((F.col("_bytes") <= train_bytes // LONGEST_SHARE) & (F.col("_lines") <= train_lines // LONGEST_SHARE))
+    running = lambda c: F.sum(c).over(Window.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "y", "_bytes").rowsBetween(Window.unboundedPreceding, 0))
+    fits = sized.select("doc_id", "y", running("_bytes").alias("_b"), running("_lines").alias("_l")).filter((F.col("_b") <= train_bytes) & (F.col("_l") <= train_lines)).select("doc_id", "y")
     rows = docs.select("doc_id", "text").join(F.broadcast(fits), "doc_id").select("y", "text").mapInArrow(features, "y int, x binary").toPandas()
     if not len(rows):
         return None
