@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -138,7 +139,7 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _SPACE):
         """``outside``: by byte, whether it separates words."""
         self.data, self.offsets = data, offsets
-        solid = ~outside[data]
+        self.inside = solid = ~outside[data]
         n = len(data)
         begins = np.zeros(n + 1, bool)
         begins[offsets[:-1]] = True
@@ -151,9 +152,16 @@ class Words:
         self.first_word = np.searchsorted(self.starts, offsets)  # of each document; one more at the end
         self.counts = np.diff(self.first_word)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        return span_hashes(self.data, self.starts, self.ends)
+    def encoded(self) -> pa.DictionaryArray:
+        """The words as a dictionary array: equal bytes, equal index."""
+        bounds = np.r_[0, np.cumsum(self.ends - self.starts)]
+        return pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(self.data[self.inside].tobytes())]).dictionary_encode()
+
+    def hashes(self, key: bytes = b"", lanes: int = 1) -> np.ndarray:
+        """Keyed BLAKE2b of each word's bytes, as (lanes, words) 64-bit numbers."""
+        words = self.encoded()
+        digests = b"".join([blake2b(w, digest_size=8 * lanes, key=key).digest() for w in words.dictionary.to_pylist()])
+        return np.ascontiguousarray(np.frombuffer(digests, "<u8").reshape(-1, lanes).T)[:, words.indices.to_numpy()]
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -21,8 +21,8 @@ makes about an eighth as many suffixes as there are words.
 4. What repeats (runs of window starts) goes back to its document, and the words are removed there.
 
 A subtree is held as sorted path hashes, not as linked nodes: windows are compared by 64 bits for the
-prefix and 40 more for the whole window, both from 64-bit hashes of words that no known texts share
-(lanes of eight bytes through a finalizer). Consecutive repeated windows of a document make one run, which
+prefix and 40 more for the whole window. Both come from keyed BLAKE2b hashes of the words, and each run draws
+its key, so no text can be made to look like another one; the result doesn't depend on the key. Consecutive repeated windows of a document make one run, which
 is a maximal repeat.
 
 Edge cases: null text has no words; null ids come before all others (as an id of -2**63 does); documents of under WIDTH words
@@ -33,6 +33,8 @@ an empty table gives an empty result; extra columns are ignored; texts of any le
 
 from __future__ import annotations
 
+from secrets import token_bytes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -100,13 +102,13 @@ _LEAF = [("grp", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("rep
 LEAF_SCHEMA = "grp long, doc_id long, key long, repeats array<long>, prefixes binary, docs binary, places binary, paths binary"
 
 
-def block_windows(data: np.ndarray, offsets: np.ndarray):
+def block_windows(data: np.ndarray, offsets: np.ndarray, secret: bytes):
     """Of a block: its words, prefix hashes by place, and for each window of WIDTH words its path hash, document, start and anchor."""
     words = Words(data, offsets)
     n = len(words.starts)
     if n < WIDTH:
         return None
-    prefix, path = window_hashes(words.hashes())
+    prefix, path = window_hashes(words.hashes(secret)[0])
     doc = np.repeat(np.arange(len(offsets) - 1), words.counts)
     start = np.flatnonzero(doc[: n - WIDTH + 1] == doc[WIDTH - 1 :])  # windows within one document
     if not len(start):
@@ -114,13 +116,13 @@ def block_windows(data: np.ndarray, offsets: np.ndarray):
     return words, prefix, path[start], doc[start], start, leftmost_minimum(prefix, _SPAN)[start]
 
 
-def prefix_counts(share: float):
+def prefix_counts(share: float, secret: bytes):
     """For mapInArrow over (text): (prefix, count) of prefixes with at least ``share`` of a block's suffixes, and (null, suffixes)."""
 
     def run(batches):
         for batch in batches:
             for _, data, offsets in text_blocks(batch.column(0), BLOCK):
-                found = block_windows(data, offsets)
+                found = block_windows(data, offsets, secret)
                 if found is None:
                     continue
                 _, prefix, _, _, start, anchor = found
@@ -131,10 +133,10 @@ def prefix_counts(share: float):
     return run
 
 
-def frequent_prefixes(slim: DataFrame, groups: int) -> np.ndarray:
+def frequent_prefixes(slim: DataFrame, groups: int, secret: bytes) -> np.ndarray:
     """Sorted hashes of the prefixes with more than about 1 / groups of all suffixes."""
     share = max(1 / groups, 1 / MAX_FREQUENT)
-    counts = slim.select("text").mapInArrow(prefix_counts(share), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+    counts = slim.select("text").mapInArrow(prefix_counts(share, secret), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "prefix-counts")
     total = counts.filter("prefix IS NULL").agg(F.sum("n")).first()[0] or 0
     often = counts.filter(F.col("prefix").isNotNull() & (F.col("n") >= max(2.0, share * total))).select("prefix").toPandas()["prefix"]
@@ -142,12 +144,12 @@ def frequent_prefixes(slim: DataFrame, groups: int) -> np.ndarray:
     return np.sort(often.to_numpy(np.int64).view(np.uint64))
 
 
-def suffixes(bits: int, frequent: np.ndarray):
+def suffixes(bits: int, frequent: np.ndarray, secret: bytes):
     """For mapInArrow over (doc_id, key, text): repeats within blocks, and the suffixes of each group."""
     group_shift = np.uint64(64 - bits)
 
     def block_rows(ids, keys, data, offsets):
-        found = block_windows(data, offsets)
+        found = block_windows(data, offsets, secret)
         if found is None:
             return
         words, prefix, path, doc, start, anchor = found
@@ -275,8 +277,9 @@ def repeated_windows(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     groups = max(1, -(-int(size) // GROUP_BYTES))
     bits = max(0, (groups - 1).bit_length())
     parts = max(-(-(1 << bits) // 4), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    secret = token_bytes(16)  # drawn here, so all tasks and their repetitions have the same
     with arrow_batches(spark, most_bytes=BATCH_BYTES):  # a row holds a block's suffixes of a group
-        leaves = slim.mapInArrow(suffixes(bits, frequent_prefixes(slim, 1 << bits)), LEAF_SCHEMA)
+        leaves = slim.mapInArrow(suffixes(bits, frequent_prefixes(slim, 1 << bits, secret), secret), LEAF_SCHEMA)
         dealt = leaves.repartition(parts, "grp").sortWithinPartitions("grp")
         return materialize(dealt.mapInArrow(subtrees, "doc_id long, key long, repeats array<long>"), "repeats")
 

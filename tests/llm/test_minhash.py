@@ -157,3 +157,12 @@ def test_keep_one(spark, docs, empty):  # noqa: F811
 
 def test_empty(spark, empty_dir):  # noqa: F811
     assert minhash.op10_near_dedup(spark, empty_dir).count() == 0
+
+
+CRAFTED = ("yleposr", "`Dnga2f&")  # equal under a hash that can be turned back
+
+
+def test_crafted_words_are_told_apart(spark):
+    a, b = CRAFTED
+    rows = [(1, " ".join([a] * 9)), (2, " ".join([b] * 9)), (3, a), (4, b)]
+    assert {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i: i for i in range(1, 5)}

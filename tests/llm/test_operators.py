@@ -420,7 +420,7 @@ def test_groups_of_suffixes_are_even():
     texts = [" ".join(rng.choice(words, 2000)) for _ in range(60)]
     batch = pa.record_batch([pa.array(range(60)), pa.array(range(60)), pa.array(texts)], names=["doc_id", "key", "text"])
     sizes = Counter()
-    for rows in substrings.suffixes(4, np.zeros(0, np.uint64))([batch]):
+    for rows in substrings.suffixes(4, np.zeros(0, np.uint64), b"")([batch]):
         for g, places in zip(rows.column("grp").to_pylist(), rows.column("places").to_pylist()):
             sizes[g] += len(places)
     assert len(sizes) == 16 and max(sizes.values()) < 1.3 * sum(sizes.values()) / 16
@@ -502,3 +502,23 @@ def test_very_long_texts(spark, tmp_path):
     assert {r.doc_id: r.ids_sha256 for r in bpe.op6_bpe(spark, str(tmp_path)).collect()} == want
     for query in (quality.op4_quality, token_files.op5_token_files, resharding.op7_resharding, mixing.op8_mixing):
         assert query(spark, str(tmp_path)).count() == 4
+
+
+def test_crafted_words_do_not_repeat(spark):
+    """Two words that an unkeyed invertible hash takes for equal."""
+    words = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join([*words[:7], "yleposr", *words[8:]])), (2, " ".join([*words[:7], "`Dnga2f&", *words[8:]])), (3, " ".join([*words[:7], "yleposr", *words[8:]]))]
+    out = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 0, 2: 0, 3: 20}
+
+
+def test_quality_passes_over_long_texts(spark):
+    """A document that would take all of the training bytes or lines by itself is passed over; the others still train."""
+    good, bad = "A plain line of words that says something.\nAnother one follows it here.", "$$$ !!! |||\n$$$ !!! |||"
+    rows = [(i, good if i % 2 else bad) for i in range(60)] + [(100, "x y " * 300_000), (101, "\n" * 2_000_000), (102, "x" * 9_600_000)]
+    labels = [(i, i % 2) for i in range(60)] + [(100, 1), (101, 0), (102, 1)]
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.train(docs, marked)
+    assert model is not None
+    got = {r.doc_id: r.score for r in quality.score(docs.filter("doc_id < 60"), model).collect()}
+    assert min(v for k, v in got.items() if k % 2) > 0.5 > max(v for k, v in got.items() if not k % 2)

@@ -13,4 +13,4 @@ def test_oracle(spark, name):
 
 def test_registered():
     names = list(queries())
-    assert [n for n in names if n.startswith("op")] == sorted(names[:-1], key=lambda n: int(n[2:].split("_")[0])) and names[-1] == "pipeline" and len(names) == 11
+    assert [n for n in names if n.startswith("op")] == sorted(names[:-1], key=lambda n: int(n[2:].split("_")[0])) and names[-1] == "pipeline" and len(names) == 14
