@@ -33,7 +33,7 @@ _STEP = f"least({temporal.HIGH}D, greatest({temporal.LOW}D, {{old}} + {temporal.
 #: Name: (parameters, type, body). Texts for the folds come composed (``nfc_text``).
 SQL = {
     "fold_loose": ("s STRING", "STRING", _squeezed(_loose("s", ""))),
-    "fold_words": ("s STRING", "ARRAY<STRING>", f"filter(split({_loose('lower(s)', ' ')}, r'\\s+'), w -> w != '')"),
+    "fold_words": ("s STRING", "ARRAY<STRING>", f"filter(split({_loose('lower(s)', ' ')}, r'{T.GAP}'), w -> w != '')"),
     "fold_compare": ("s STRING", "STRING", _squeezed(f"""regexp_replace({_wide(T.ANNOTATION + T.TATWEEL + T.INVISIBLE)}, r"{T.ANSWER_PUNCTUATION.replace('"', chr(92) + 'x22')}", ' ')""")),
     "normalize_search": ("s STRING", "STRING", _squeezed(f"lower({_wide(T.TATWEEL)})")),
     "compare_verify": ("s STRING", "STRING", _squeezed(f"regexp_replace(s, '[{T.ANNOTATION}{T.TATWEEL}]', '')")),

@@ -30,6 +30,9 @@ FOREIGN_DIGITS = "۰-۹"
 WESTERN_DIGITS, ARABIC_DIGITS = "0123456789", "٠١٢٣٤٥٦٧٨٩"
 PUNCTUATION = r"[\p{P}\p{S}]"
 ANSWER_PUNCTUATION = r"""[.,؛،؟!:"'«»()\[\]{}…—–-]"""
+#: Blanks between words: separators of any kind, controls that break lines, the byte order mark.
+CONTROL_GAPS = "\t\n\x0b\x0c\r\ufeff"
+GAP = r"[\t\n\x0B\f\r\p{Z}\uFEFF]+"
 FOLD_FROM, FOLD_TO = "أإآٱىةؤئ", "اااايهوي"
 FOLD6_FROM, FOLD6_TO = FOLD_FROM[:6], FOLD_TO[:6]
 
@@ -82,7 +85,7 @@ def compare_loose(c: Column) -> Column:
 def fold_words(c: Column) -> Column:
     """Words for containment checks: the loose fold in lower case, but punctuation separates words."""
     bare = F.regexp_replace(F.lower(c), f"[{MARKS_LOOSE}{TATWEEL}{ORNATE}]", "")
-    return F.filter(F.split(F.translate(F.regexp_replace(bare, PUNCTUATION, " "), FOLD_FROM, FOLD_TO), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.translate(F.regexp_replace(bare, PUNCTUATION, " "), FOLD_FROM, FOLD_TO), GAP), lambda w: w != "")
 
 
 def fold_compare(c: Column) -> Column:

@@ -14,7 +14,7 @@ from tessera.plans import study_plan, views
 from tessera.queries.registry import query
 from tessera.queries.relational import SLUG, pre
 from tessera.sources.sinks import shared_folder
-from tessera.streaming import stateful
+from tessera.streaming import guard, stateful
 
 PUNCT = r"[!-/:-@\[-`{-~]"
 
@@ -550,21 +550,28 @@ def _(t):
     return t.mastery.select("student_id", "lo_id", "system_from", "system_to")
 
 
-SEALED = "the sealed words of this very passage"
+#: A vowelled passage, and how it is quoted: retyped without marks, with them and with other letters and signs, and cut in two between turns.
+SEALED = "إِنَّ أَوَّلَ خُطْوَةٍ فِي الطَّرِيقِ هِيَ النِّيَّةُ"
+QUOTES = ("ان اول خطوه في الطريق", "(أوّل خطوةٍ، في الطّريقِ)", "خُطْوَةٍ فِي الطَّرِيقِ هِيَ")
+FIRST_HALF = "اول خطوه"
 
 
 @query(
     "st3_stream_guard",
-    f"""SELECT conv_id, CASE WHEN conv_id % 5 = 0 AND count(*) FILTER (turn = 1) > 0 THEN left(max(text) FILTER (turn = 0), greatest(0, length(max(text) FILTER (turn = 0)) - {stateful.HOLDBACK})) || '{stateful.REDIRECT}' ELSE string_agg(text, '' ORDER BY turn) END AS text FROM conversations GROUP BY 1""",
+    f"""SELECT conv_id, CASE WHEN conv_id % 5 < 4 AND conv_id % 2 = 0 AND count(*) FILTER (turn = 1) > 0
+      THEN left(first, greatest(0, length(first) - {guard.HOLDBACK})) || CASE WHEN length(first) > {guard.HOLDBACK} THEN chr(10) || chr(10) ELSE '' END || '{guard.REDIRECT}' ELSE string_agg(text, '' ORDER BY turn) END AS text
+    FROM conversations JOIN (SELECT conv_id, text || CASE WHEN conv_id % 5 = 3 AND conv_id % 2 = 0 THEN ' {FIRST_HALF}' ELSE '' END AS first FROM conversations WHERE turn = 0) USING (conv_id) GROUP BY conv_id, first""",
     prelude=False,
 )
 def _(t):
-    """Every fifth conversation quotes the sealed corpus in its second turn: it shows the first one up to the holdback, then the redirect, then nothing."""
+    """Of the conversations with even numbers four fifths quote the passage in their second turn, each in its own way: they show the first turn up to the holdback, then the redirect, then nothing."""
     s = stream_of(t, "conversations")
     last = t.raw("conversations").groupBy(F.col("conv_id").alias("c")).agg(F.max("turn").alias("last"))
-    quote = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 1), f" {SEALED.upper()}").otherwise("")
-    s = s.join(F.broadcast(last), F.col("conv_id") == F.col("c")).select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("position"), F.concat("text", quote).alias("delta"), (F.col("turn") == F.col("last")).alias("is_end"))
-    out = run_stream(t, stateful.guard_stream(s, [SEALED]), "st3")
+    even, way = F.col("conv_id") % 2 == 0, F.col("conv_id") % 5
+    quote = F.when(even & (F.col("turn") == 1), F.when(way == 3, F.concat(F.lit(" في الطريق "), "text")).when(way < 3, F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, QUOTES)), (F.least(way, F.lit(2)) + 1).cast("int")))))
+    cut = F.when(even & (F.col("turn") == 0) & (way == 3), F.concat("text", F.lit(f" {FIRST_HALF}")))
+    s = s.join(F.broadcast(last), F.col("conv_id") == F.col("c")).select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("position"), F.coalesce(quote, cut, "text").alias("delta"), (F.col("turn") == F.col("last")).alias("is_end"))
+    out = run_stream(t, guard.guard_stream(s, [SEALED]), "st3")
     joined = out.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("p"))
     return joined.select(F.col("session").cast("long").alias("conv_id"), F.array_join(F.transform("p", lambda p: p["text"]), "").alias("text"))
 

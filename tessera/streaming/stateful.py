@@ -16,9 +16,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessera.operators.temporal import HIGH, LOW, PRIOR, RATE
 
 MASTERY = "student_id long, lo_id string, n long, score double, system_from timestamp_ntz"
-GUARD = "session string, position long, text string, redacted boolean"
-HOLDBACK = 96
-REDIRECT = "[redirect]"
 
 
 def update_mastery(attempts: DataFrame) -> DataFrame:
@@ -37,45 +34,6 @@ def update_mastery(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("student_id", "lo_id").applyInPandasWithState(run, MASTERY, "n long, score double", "append", GroupStateTimeout.NoTimeout)
 
 
-def _words(text: str) -> list[str]:
-    return "".join(ch.lower() if ch.isalnum() else " " for ch in text).split()
-
-
-def guard_text(shingles: set[tuple[str, ...]], n: int, text: str) -> bool:
-    words = _words(text)
-    return any(tuple(words[i : i + n]) in shingles for i in range(len(words) - n + 1))
-
-
-def guard_step(shingles: set[tuple[str, ...]], n: int, held: tuple[str, int, bool], delta: str | None, end: bool, holdback: int = HOLDBACK) -> tuple[tuple[str, int, bool], str | None, bool]:
-    """One delta: (state, text to emit or null, whether that is the redirect). Nothing is emitted unless all text so far has passed; the last ``holdback`` characters wait for the end."""
-    text, emitted, redacted = held
-    if redacted:
-        return held, None, False
-    text += delta or ""
-    if guard_text(shingles, n, text):
-        return (text, emitted, True), REDIRECT, True
-    upto = len(text) if end else max(emitted, len(text) - holdback)
-    out = text[emitted:upto]
-    return (text, upto, False), out or None, False
-
-
-def guard_stream(deltas: DataFrame, corpus: list[str], n: int = 4, holdback: int = HOLDBACK) -> DataFrame:
-    """Deltas (session, position, delta, is_end) against a sealed corpus that is given to every task: fail closed, with a holdback."""
-    shingles = {tuple(w[i : i + n]) for t in corpus for w in [_words(t)] for i in range(len(w) - n + 1)}
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        held = tuple(state.get) if state.exists else ("", 0, False)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("position").itertuples():
-            held, text, red = guard_step(shingles, n, held, row.delta, bool(row.is_end), holdback)
-            if text is not None:
-                out.append((key[0], row.position, text, red))
-        state.update(held)
-        yield pd.DataFrame(out, columns=["session", "position", "text", "redacted"]).astype({"position": "int64", "redacted": "bool"})
-
-    return deltas.groupBy("session").applyInPandasWithState(run, GUARD, "text string, emitted long, redacted boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def turn_cap(turns: DataFrame, caps: dict[str, int]) -> DataFrame:
     """Turns (surface, session, student_id, position) that a cap per surface still allows; surfaces without a cap are free. State is a counter."""
 

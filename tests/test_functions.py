@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tessera.functions import protocol as P
 from tessera.functions import text as T
 from tessera.operators import graph, temporal
-from tessera.streaming import stateful
 
 
 def values(spark, rows, schema, *cols):
@@ -72,21 +71,6 @@ def test_spoken_forms(spark):
     assert values(spark, rows, "s string", T.sanitize_speech(F.col("s"))) == [("Is a is not equal to b or 2 squared equals 4 ?",), ("no $ math",), ("",), (None,)]
 
 
-def test_guard_holds_back_and_fails_closed():
-    sealed = {("one", "two", "three", "four")}
-    state, out = ("", 0, False), []
-    for delta, end in (("x" * 50 + " ", False), ("y" * 70, False), (" end", True)):
-        state, text, red = stateful.guard_step(sealed, 4, state, delta, end)
-        out.append((text, red))
-    assert "".join(t or "" for t, _ in out) == "x" * 50 + " " + "y" * 70 + " end" and out[0] == (None, False)
-    state, out = ("", 0, False), []
-    for delta in ("one two", " thr", "ee four", " more"):
-        state, text, red = stateful.guard_step(sealed, 4, state, delta, False)
-        out.append((text, red))
-    assert out == [(None, False), (None, False), (stateful.REDIRECT, True), (None, False)]
-    assert stateful.guard_step(sealed, 4, ("", 0, False), "one two three", True)[1] == "one two three"
-
-
 def test_long_histories_cross_chunks(spark, monkeypatch):
     rows = [(1, "a", i, i * 7 % 3 == 0, i) for i in range(700)] + [(2, "a", i, True, i) for i in range(3)]
     df = spark.createDataFrame(rows, "student_id long, lo_id string, id long, is_correct boolean, attempted_at long")
