@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
@@ -14,7 +15,7 @@ from tessera.plans import study_plan, views
 from tessera.queries.registry import query
 from tessera.queries.relational import SLUG, pre
 from tessera.sources.sinks import shared_folder
-from tessera.streaming import guard, stateful
+from tessera.streaming import guard, jsonl, ordered, session_cache, stateful
 
 PUNCT = r"[!-/:-@\[-`{-~]"
 
@@ -538,11 +539,23 @@ def stream_of(t, name: str):
     return t.spark.readStream.schema(t.raw(name).schema).parquet(f"{t.sf_dir}/{name}.parquet*")
 
 
+def arriving(t, rows: DataFrame, parts: int, last: DataFrame):
+    """A stream of ``rows`` in an order that has nothing to do with their times, in several files, and then of ``last``."""
+    path = f"{shared_folder(t.spark)}/arriving-{uuid.uuid4().hex}"
+    for k in range(parts):
+        rows.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).coalesce(1).write.mode("append").parquet(path)
+    last.coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("st1_stream_mastery", "SELECT student_id, lo_id, n, round(score, 9) AS score, system_from FROM mastery")
 def _(t):
-    s = stream_of(t, "events").selectExpr("event_id AS id", "user_id AS student_id", "CAST(get_json_object(props, '$.k') AS BIGINT) % 25 AS k", "value > 50 AS is_correct", "ts AS attempted_at")
-    s = s.join(F.broadcast(t.lo_keys.filter("k < 25").select("k", "lo_id")), "k").drop("k")
-    return run_stream(t, stateful.update_mastery(s), "st1").withColumn("score", F.round("score", 9))
+    """Attempts arrive out of order; one of nobody, long after the others, lets the watermark pass them all."""
+    rows = t.attempts.select("id", "student_id", "lo_id", "is_correct", "attempted_at")
+    end = rows.limit(0).unionByName(t.spark.range(1).selectExpr("-1L AS id", "-1L AS student_id", "'' AS lo_id", "FALSE AS is_correct", "TIMESTAMP_NTZ '2024-06-01 00:00:00' AS attempted_at"))
+    with ordered.rocks_state(t.spark):
+        out = run_stream(t, ordered.ordered_mastery(arriving(t, rows, 3, end), "40 days"), "st1")
+    return out.filter("NOT late").select("student_id", "lo_id", "n", F.round("score", 9).alias("score"), "system_from")
 
 
 @query("st2_scd2", "SELECT student_id, lo_id, system_from, system_to FROM mastery")
@@ -597,6 +610,27 @@ def _(t):
     return run_stream(t, stateful.first_per_key(s, ["user_id", "event_type"], "at", "60 days"), "st5").select("user_id", "event_type")
 
 
+#: Sixtyfold time, so that sessions come again within hours; two caches.
+REQUESTS = "concat('c', event_id % 2) AS cache", "event_id AS id", "concat_ws('-', user_id, (event_id % 6) div 2) AS session", "timestamp_millis(unix_micros(CAST(ts AS TIMESTAMP)) div 60000) AS at", "concat(event_type, event_id) AS context"
+SNAPSHOTS = f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY cache ORDER BY at_ms, id) AS n FROM (
+    SELECT 'c' || (event_id % 2) AS cache, event_id AS id, user_id || '-' || ((event_id % 6) // 2) AS session, epoch_us(ts) // 60000 AS at_ms, event_type || event_id AS context FROM events)),
+  walk AS (SELECT DISTINCT cache, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS session, CAST(0 AS BIGINT) AS at_ms, '' AS context, FALSE AS built, CAST([] AS STRUCT(b BIGINT, s VARCHAR, c VARCHAR)[]) AS held FROM r
+    UNION ALL SELECT cache, n, id, session, at_ms, coalesce(hit.c, context) AS context, hit IS NULL AS built, CASE WHEN hit IS NULL THEN list_slice(list_append(list_filter(held, lambda x: x.s != session), {{'b': at_ms, 's': session, 'c': context}}), -{session_cache.MAX_SESSIONS}, -1) ELSE held END
+    FROM (SELECT r.*, held, list_filter(held, lambda x: x.s = r.session AND r.at_ms - x.b < {session_cache.TTL_MS})[1] AS hit FROM walk JOIN r ON r.cache = walk.cache AND r.n = walk.n + 1))
+SELECT cache, id, session, at_ms, context, built FROM walk WHERE n > 0"""
+
+
+@query("st5_session_cache", SNAPSHOTS, prelude=False)
+def _(t):
+    with ordered.rocks_state(t.spark):
+        return run_stream(t, session_cache.snapshot_stream(stream_of(t, "events").selectExpr(*REQUESTS)), "st5")
+
+
+@query("st5_session_log", SNAPSHOTS, prelude=False)
+def _(t):
+    return session_cache.snapshot_batch(t.raw("events").selectExpr(*REQUESTS))
+
+
 @query("st6_paced", "SELECT conv_id, turn, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 3) * 850 AS BIGINT) AS at_ms FROM conversations", prelude=False)
 def _(t):
     return stateful.paced_schedule(t.raw("conversations"), ["conv_id"], "turn").select("conv_id", "turn", F.col("at_ms").cast("long").alias("at_ms"))
@@ -609,6 +643,19 @@ def _(t):
     return stateful.parse_lines(t.raw("events").select(F.when(F.col("event_id") % 3 == 1, F.expr("substr('{\"type\": \"stre', 1, 9)")).otherwise(body).alias("value")))
 
 
+@query("st7_stream_lines", "SELECT CAST(user_id AS VARCHAR) AS session, event_id AS position, event_type AS delta, event_id % 10 = 0 AS is_end FROM events WHERE event_id % 3 != 1", prelude=False)
+def _(t):
+    """Logs of JSON lines, read as pieces of bytes that end anywhere; every third line is cut off by a break."""
+    kind = F.when(F.col("event_id") % 10 == 0, "result").otherwise("stream_event")
+    body = F.to_json(F.struct(kind.alias("type"), F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("position"), F.struct(F.struct(F.lit("text_delta").alias("type"), F.col("event_type").alias("text")).alias("delta")).alias("event")))
+    line = F.when(F.col("event_id") % 3 == 1, F.concat(F.substring(body, 1, 20), F.lit("\n"))).otherwise(body)
+    path = f"{shared_folder(t.spark)}/logs-{uuid.uuid4().hex}"
+    t.raw("events").repartition(8, "user_id").select(line.alias("value")).write.text(path)
+    t.spark.dataSource.register(jsonl.JsonlLogs)
+    chunks = t.spark.readStream.format("jsonl_logs").options(path=path, suffix=".txt", chunkBytes=997, taskBytes=1 << 20).load()
+    return run_stream(t, stateful.parse_lines(jsonl.whole_lines(chunks)), "st7")
+
+
 @query("st9_retried_cost", "SELECT event_id // 2 AS call_id, round(sum(value), 6) AS cost, count(*) AS attempts, arg_max(value > 50, event_id) AS valid FROM events GROUP BY 1", prelude=False)
 def _(t):
     calls = t.raw("events").selectExpr("event_id div 2 AS call_id", "event_id AS attempt", "value AS cost", "value > 50 AS valid")

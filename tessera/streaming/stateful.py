@@ -1,7 +1,7 @@
-"""Stateful streaming operators; each has a batch twin that says what is right.
+"""Small stateful streaming operators; each has a batch twin that says what is right.
 
-Order: within a micro-batch rows of a key are taken in event order. Rows that come in a later
-micro-batch than rows behind them are folded in on arrival; the batch twin refolds from scratch.
+Within a micro-batch rows of a key are taken in event order. (``ordered`` has folds that wait for the watermark,
+``session_cache``, ``guard`` and ``jsonl`` have states of their own.)
 """
 
 from __future__ import annotations
@@ -13,25 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.temporal import HIGH, LOW, PRIOR, RATE
-
-MASTERY = "student_id long, lo_id string, n long, score double, system_from timestamp_ntz"
-
-
-def update_mastery(attempts: DataFrame) -> DataFrame:
-    """(student_id, lo_id, n, score, system_from) for each attempt of a stream: state is the count and the score of a key."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        n, score = state.get if state.exists else (0, PRIOR)
-        rows = pd.concat(list(frames)).sort_values(["attempted_at", "id"])
-        out = []
-        for ts, right in zip(rows["attempted_at"], rows["is_correct"], strict=True):
-            n, score = n + 1, min(HIGH, max(LOW, score + RATE * (float(bool(right)) - score)))
-            out.append((*key, n, score, ts))
-        state.update((n, score))
-        yield pd.DataFrame(out, columns=["student_id", "lo_id", "n", "score", "system_from"])
-
-    return attempts.groupBy("student_id", "lo_id").applyInPandasWithState(run, MASTERY, "n long, score double", "append", GroupStateTimeout.NoTimeout)
 
 
 def turn_cap(turns: DataFrame, caps: dict[str, int]) -> DataFrame:
