@@ -38,36 +38,116 @@ def reachable(edges: DataFrame, roots: DataFrame, forward: bool = True) -> DataF
     return seen
 
 
-def layers(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """(id, layer): the longest path that leads to each node. Unknown endpoints begin at 0 and are added.
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, layer): the longest path that leads to each node; null for nodes on a cycle or behind one. Unknown endpoints are added.
 
-    Round k holds the nodes that some path of k steps leads to; a node's layer is the last round it is in.
-    So each round joins only what the last one reached with the edges. At most as many rounds as nodes,
-    so cyclic data ends too (its layers then depend on the bound).
+    A node is taken when all edges that lead to it have come from taken nodes, so each edge is joined once
+    in all. What is open between rounds are the nodes that some but not all of their edges have reached. There is
+    one round for each layer.
     """
-    edges = cut(edges.select("src_id", "dst_id").distinct())
+    edges = edges.select("src_id", "dst_id").distinct()
+    into = edges.groupBy("dst_id").agg(F.count(F.lit(1)).alias("_in"))
+    edges = cut(edges.join(into, "dst_id").select("src_id", "dst_id", "_in").repartition("src_id"))
     known = cut(nodes.select("id").union(edges.select("src_id")).union(edges.select("dst_id")).distinct())
-    front, seen = known, known.select("id", F.lit(0).alias("layer"))
-    for k in range(1, (known.count() if max_rounds is None else max_rounds) + 1):
-        front = cut(edges.join(front.select(F.col("id").alias("src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct())
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front.withColumn("layer", F.lit(k)))
+    open_ = known.join(edges.select(F.col("dst_id").alias("id")), "id", "left_anti").withColumn("left", F.lit(0).cast("long"))
+    seen, k = open_.select("id", F.lit(0).alias("layer")), 0
+    while True:
+        front = open_.filter("left = 0").select(F.col("id").alias("src_id"))
+        reached = edges.join(front, "src_id").select(F.col("dst_id").alias("id"), F.lit(None).cast("long").alias("left"), F.col("_in"), F.lit(1).alias("_n"))
+        waiting = open_.filter("left > 0").select("id", "left", F.lit(None).cast("long").alias("_in"), F.lit(0).alias("_n"))
+        open_ = cut(reached.unionByName(waiting).groupBy("id").agg((F.coalesce(F.max("left"), F.max("_in")) - F.sum("_n")).alias("left")))
+        k += 1
+        now = open_.filter("left = 0")
+        if now.isEmpty():
+            return known.join(seen, "id", "left")
+        seen = seen.unionByName(now.select("id", F.lit(k).alias("layer")))
         if k % 25 == 0:
-            seen = cut(seen.groupBy("id").agg(F.max("layer").alias("layer")))  # a plan of a few unions
-    return seen.groupBy("id").agg(F.max("layer").alias("layer"))
+            seen = cut(seen)  # a plan of a few unions
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle or between two cycles: what stays when nodes without incoming or outgoing edges are peeled off."""
-    left = cut(edges.select("src_id", "dst_id").distinct())
-    n = left.count()
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those from nodes that none leads to and those to nodes that none leaves."""
+    into, out = edges.select(F.col("dst_id").alias("src_id")).distinct(), edges.select(F.col("src_id").alias("dst_id")).distinct()
+    return edges.join(into, "src_id", "left_semi").join(out, "dst_id", "left_semi").select("src_id", "dst_id")
+
+
+def _shortcuts(edges: DataFrame, salt: int) -> DataFrame:
+    """(id, before, after) of nodes with one edge in and one out, no two of them neighbours: each can be left out for an edge from ``before`` to ``after``."""
+    one = edges.groupBy(F.col("dst_id").alias("id")).agg(F.max("src_id").alias("before"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").join(edges.groupBy(F.col("src_id").alias("id")).agg(F.max("dst_id").alias("after"), F.count(F.lit(1)).alias("_m")).filter("_m = 1"), "id")
+    one = one.filter("before != id AND after != id").select("id", "before", "after", F.struct(F.xxhash64("id", F.lit(salt)).alias("h"), "id").alias("_h"))
+    beside = lambda c: one.select(F.col("id").alias(c), F.col("_h").alias(f"_{c}"))
+    least = one.join(beside("before"), "before", "left").join(beside("after"), "after", "left")
+    return least.filter((F.col("_before").isNull() | (F.col("_h") < F.col("_before"))) & (F.col("_after").isNull() | (F.col("_h") < F.col("_after")))).select("id", "before", "after")
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """(id, colour): the greatest id among a node and all that lead to it. Each round follows the colours that changed."""
+    colour = cut(edges.select(F.col("src_id").alias("id")).union(edges.select("dst_id")).distinct().withColumn("colour", F.col("id")))
+    moved = colour
     while True:
-        left = cut(left.join(left.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_semi").join(left.select(F.col("src_id").alias("dst_id")).distinct(), "dst_id", "left_semi").select("src_id", "dst_id"))
-        m = left.count()
-        if m == n:
-            return left.select(F.col("src_id").alias("id")).union(left.select("dst_id")).distinct()
-        n = m
+        sent = edges.join(moved.select(F.col("id").alias("src_id"), "colour"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.max("colour").alias("_c"))
+        new = cut(colour.join(sent, "id", "left").select("id", F.greatest("colour", "_c").alias("colour"), (F.coalesce("_c", "colour") > F.col("colour")).alias("_moved")))
+        colour, moved = new.select("id", "colour"), new.filter("_moved").select("id", "colour")
+        if moved.isEmpty():
+            return colour
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """(id, component): the nodes that lie on cycles, with the least id of their strongly connected component.
+
+    Ends of paths are trimmed and chains are contracted, both in rounds, so trees and long chains take few of them (as many
+    as the logarithm of a chain's length). What is left is coloured forward by the greatest id that leads to a node; the nodes of a
+    colour from which its namesake can be reached backward are its component. Edges between colours lie on no
+    cycle and go, and so does what has been found, until nothing is left.
+    """
+    edges = cut(edges.select("src_id", "dst_id").distinct())
+    loops = edges.filter("src_id = dst_id").select(F.col("src_id").alias("id"))
+    left = cut(edges.filter("src_id != dst_id"))
+    chains: list[DataFrame] = []
+    found: list[DataFrame] = []
+    n = left.count()
+    while n:
+        while n:  # trim and contract
+            trimmed = cut(_trimmed(left))
+            short = cut(_shortcuts(trimmed, len(chains)))
+            some = not short.isEmpty()
+            if some:
+                chains.append(short)
+                gone = short.select("id")
+                kept = trimmed.join(gone.withColumnRenamed("id", "src_id"), "src_id", "left_anti").join(gone.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti").select("src_id", "dst_id")
+                new = short.select(F.col("before").alias("src_id"), F.col("after").alias("dst_id"))
+                loops = loops.union(new.filter("src_id = dst_id").select("src_id"))
+                trimmed = cut(kept.union(new.filter("src_id != dst_id")).distinct())
+            m = trimmed.count()
+            left, n, before = trimmed, m, n
+            if not some and m == before:
+                break
+        if not n:
+            break
+        colour = _colours(left)
+        side = lambda c: colour.withColumnsRenamed({"id": c, "colour": f"_{c}"})
+        inner = cut(left.join(side("src_id"), "src_id").join(side("dst_id"), "dst_id").filter("_src_id = _dst_id").select("src_id", "dst_id"))
+        roots = colour.filter("id = colour").select(F.col("colour").alias("root"))
+        part = cut(reachable(inner, roots, forward=False).withColumnRenamed("root", "component"))
+        several = part.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("component")
+        found.append(part.join(several, "component", "left_semi").select("id", "component"))
+        done = part.select("id")
+        left = cut(inner.join(done.withColumnRenamed("id", "src_id"), "src_id", "left_anti").join(done.withColumnRenamed("id", "dst_id"), "dst_id", "left_anti").select("src_id", "dst_id"))
+        n = left.count()
+    out = cut(loops.distinct().withColumn("component", F.col("id")))
+    for part in found:
+        out = out.join(part.select("id"), "id", "left_anti").unionByName(part.select("id", "component"))
+    out = cut(out)
+    for short in reversed(chains):  # what was left out lies on a cycle if both its neighbours lie on one and the same
+        ends = short.join(out.select(F.col("id").alias("before"), "component"), "before").join(out.select(F.col("id").alias("after"), F.col("component").alias("_c")), "after").filter("component = _c")
+        out = cut(out.unionByName(ends.select("id", "component")))
+    least = out.groupBy("component").agg(F.min("id").alias("_least"))
+    return out.join(least, "component").select("id", F.col("_least").alias("component"))
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(id): the nodes that lie on a cycle."""
+    return cycle_components(edges).select("id")
 
 
 def prerequisite_chain(edges: DataFrame, roots: DataFrame, min_depth_only: bool = False) -> DataFrame:

@@ -645,6 +645,17 @@ def _(t):
     return graph.cycle_members(e)
 
 
+BACK = "(((k - 1) {0} 2 - 1) {0} 2 - 1) {0} 2"  # three steps up the tree
+
+
+@query("g6_components", f""", e AS (SELECT (k - 1) // 2 AS a, k AS b FROM lo_keys WHERE k > 0 UNION ALL SELECT k, {BACK.format('//')} FROM lo_keys WHERE k % 40 = 39),
+    reach AS (SELECT a AS r, b AS x FROM e UNION SELECT r.r, e.b FROM reach r JOIN e ON e.a = r.x) SELECT f.r AS id, min(f.x) AS component FROM reach f JOIN reach b ON b.r = f.x AND b.x = f.r GROUP BY 1""")
+def _(t):
+    tree = t.lo_keys.filter("k > 0").selectExpr("(k - 1) div 2 AS src_id", "k AS dst_id")
+    back = t.lo_keys.filter("k % 40 = 39").selectExpr("k AS src_id", f"{BACK.format('div')} AS dst_id")
+    return graph.cycle_components(tree.union(back))
+
+
 @query("g7_adjacency", f"SELECT dst_id AS id, string_agg(src_id, ',' ORDER BY src_id) AS prerequisites FROM ({PRE}) GROUP BY 1")
 def _(t):
     return graph.adjacency(pre(t)).withColumn("prerequisites", F.array_join("prerequisites", ","))

@@ -26,3 +26,42 @@ def test_layers_beyond_a_thousand_are_placed(spark):
     edges = spark.createDataFrame([("a", "b")], "src_id string, dst_id string")
     got = graph.barycentric_order(nodes, edges, layered).collect()
     assert sorted((r.id, r.layer, r.position) for r in got) == [("a", 0, 0), ("b", 1500, 0), ("c", 1500, 1)]
+
+
+def _components(pairs):
+    """By reach from every node."""
+    after = {a: {b for x, b in pairs if x == a} for pair in pairs for a in pair}
+
+    def reach(a):
+        seen, todo = set(), list(after[a])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += after[x]
+        return seen
+
+    far = {a: reach(a) for a in after}
+    return {(a, min(b for b in far[a] if a in far[b])) for a in after if a in far[a]}
+
+
+def test_nodes_between_cycles_are_on_none(spark):
+    got = graph.cycle_components(spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 6), (6, 5)], "src_id int, dst_id int"))
+    assert {tuple(r) for r in got.collect()} == {(1, 1), (2, 1), (5, 5), (6, 5)}
+
+
+def test_components_of_any_graph(spark):
+    import random
+
+    rnd = random.Random(1)
+    cases = [[(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)] for n, m in ((12, 14), (30, 45))]
+    cases += [[(i, (i + 1) % 60) for i in range(60)] + [(100 + i, 101 + i) for i in range(60)] + [(7, 100), (200, 200)]]  # a long cycle, a long chain, a loop
+    offset = 1000
+    pairs = [(a + i * offset, b + i * offset) for i, case in enumerate(cases) for a, b in case]
+    assert {tuple(r) for r in graph.cycle_components(spark.createDataFrame(pairs, "src_id int, dst_id int")).collect()} == _components(pairs)
+
+
+def test_layers_of_cycles_are_null(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("a", "e"), ("e", "f"), ("a", "f")], "src_id string, dst_id string")
+    got = {r.id: r.layer for r in graph.layers(spark.createDataFrame([("z",)], "id string"), e).collect()}
+    assert got == {"z": 0, "a": 0, "b": None, "c": None, "d": None, "e": 1, "f": 2}
