@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
@@ -191,6 +191,21 @@ def word_shingles(df: DataFrame, words: Column, keep: list[str], n: int = 4) ->
     return w.select(*keep, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.array_join(F.slice("_w", i + 1, n), " ")))).alias("shingle"))
 
 
+def shared_runs(docs: DataFrame, corpus: DataFrame, doc_id: str, item_id: str, text: str = "text", n: int = 4) -> DataFrame:
+    """(doc_id, item_id, length, run): the longest run of n words or more that a document shares with an item, the first such run of the document.
+
+    Shingles with their places meet by equi join. Matches that follow each other in both texts lie on one diagonal (place minus place) next
+    to each other: islands along a diagonal are the runs, so no pair of texts is ever aligned.
+    """
+    placed = lambda df, key, at: df.select(key, fold_words(F.col(text)).alias("_w")).filter(F.size("_w") >= n).select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).alias(at, "_s"))
+    met = placed(docs, doc_id, "_i").join(placed(corpus, item_id, "_j"), "_s").select(doc_id, item_id, "_i", (F.col("_i") - F.col("_j")).alias("_d"))
+    along = Window.partitionBy(doc_id, item_id, "_d").orderBy("_i")
+    islands = met.withColumn("_g", F.col("_i") - F.row_number().over(along)).groupBy(doc_id, item_id, "_d", "_g").agg(F.min("_i").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    best = islands.groupBy(doc_id, item_id).agg(F.max(F.struct("_n", (-F.col("_from")).alias("_from"))).alias("_b")).select(doc_id, item_id, (F.col("_b._n") + n - 1).cast("int").alias("length"), (1 - F.col("_b._from")).cast("int").alias("_from"))
+    words = docs.select(doc_id, fold_words(F.col(text)).alias("_w"))
+    return best.join(words, doc_id).select(doc_id, item_id, "length", F.array_join(F.slice("_w", F.col("_from"), F.col("length")), " ").alias("run"))
+
+
 def contaminated(docs: DataFrame, corpus: DataFrame, doc_id: str, text: str, corpus_text: str, n: int = 4, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Ids of documents that share an n-word shingle with the corpus.
 

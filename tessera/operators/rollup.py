@@ -142,3 +142,24 @@ def product_with_decoys(left: DataFrame, right: DataFrame, most: int = 4, decoys
 def pieces_of(df: DataFrame, keys: list[str], part: str, order: str, sep: str = ", ") -> DataFrame:
     """Ordered text of each group."""
     return df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(part).alias("_p")))), lambda r: r["_p"]), sep).alias("listing"))
+
+
+def least_drilled(targets: DataFrame, bank: DataFrame, drilled: DataFrame, tiers: tuple[str, ...] = ("basic", "standard", "advanced")) -> DataFrame:
+    """(student_id, lo_id, target, question_id): for each target (student_id, lo_id, target) the question of its LO that is of the target tier (of any other if there is none), least drilled, of least id.
+
+    ``bank`` is (lo_id, question_id, tier), ``drilled`` is (student_id, question_id, recent). The bank is numbered once for each LO and
+    target; a student meets the questions that they have drilled and the first one that they haven't, by its number, so
+    students never meet the whole bank.
+    """
+    wanted = F.explode(F.array(*map(F.lit, tiers))).alias("target")
+    offered = bank.select("lo_id", "question_id", "tier", wanted).withColumn("_other", F.col("tier") != F.col("target"))
+    of = Window.partitionBy("lo_id", "target")
+    ranked = offered.withColumn("_least", F.min("_other").over(of)).filter("_other = _least").withColumn("_rank", F.row_number().over(of.orderBy("question_id"))).select("lo_id", "target", "question_id", "_rank")
+    known = drilled.join(ranked, "question_id").join(targets, ["student_id", "lo_id", "target"])
+    by_rank = Window.partitionBy("student_id", "lo_id").orderBy("_rank")
+    gaps = known.withColumn("_i", F.row_number().over(by_rank)).groupBy("student_id", "lo_id").agg(
+        F.coalesce(F.min(F.when(F.col("_rank") > F.col("_i"), F.col("_i"))), (F.max("_i") + 1).cast("int")).alias("_gap"), F.min_by("question_id", F.struct("recent", "question_id")).alias("_again"),
+    )
+    asked = targets.join(gaps, ["student_id", "lo_id"], "left").withColumn("_rank", F.coalesce("_gap", F.lit(1)))
+    fresh = asked.join(ranked, ["lo_id", "target", "_rank"], "left")
+    return fresh.withColumn("question_id", F.coalesce("question_id", "_again")).filter("question_id IS NOT NULL").select("student_id", "lo_id", "target", "question_id")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
@@ -286,42 +285,45 @@ def _(t):
     return sinks.load_edges(t.edges, t.nodes)[0].select("id", "src_id", "dst_id")
 
 
-def batches_of(t, df, name: str, parts: int, order: str):
-    """A stream over ``df`` that comes in ``parts`` micro-batches, in the order of a column."""
+def arrive(t, df, name: str, parts: int, order: str, sink) -> str:
+    """``df`` comes to ``sink(batch, batch_id, path)`` in ``parts`` micro-batches, by ranges of a column: each part arrives, and the query starts again where it stopped."""
     path = f"{sinks.shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
-    numbered = df.withColumn("_part", F.ntile(parts).over(Window.orderBy(order)))  # the stand-in for arrival
-    for i in range(1, parts + 1):
-        numbered.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+    at = F.col(order) if df.schema[order].dataType.typeName() in ("long", "integer") else F.unix_micros(F.col(order).cast("timestamp"))
+    cuts = df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)])).first()[0] or []  # the stand-in for arrival
+    part = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(parts):
+        df.filter(part == i).write.mode("append").parquet(f"{path}/in")
+        stream = t.spark.readStream.schema(df.schema).parquet(f"{path}/in")
+        stream.writeStream.foreachBatch(lambda batch, n: sink(batch, n, f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return f"{path}/out"
 
 
 @query("snk6_record_attempts", views.GRADED + "SELECT student_id, lo_id, n, round(score, 9) AS score, attempted_at AS system_from, lead(attempted_at) OVER (PARTITION BY student_id, lo_id ORDER BY n) AS system_to FROM gf")
 def _(t):
-    stream, path = record_all(t)
-    return sinks.read_mastery(t.spark, f"{path}/out").withColumn("score", F.round("score", 9))
+    return sinks.read_mastery(t.spark, record_all(t)).withColumn("score", F.round("score", 9))
 
 
 @query("snk6_explanations", views.GRADED + "SELECT id AS attempt_id, question_id, given_answer AS wrong_answer, '**Step 1.** look at ' || question_id || chr(10) || chr(10) || '**Step 2.** compare' AS output_md FROM ga WHERE NOT correct")
 def _(t):
-    stream, path = record_all(t)
-    return sinks.read_batches(t.spark, f"{path}/out", "explanations", sinks.EXPLANATION_LOG).select("attempt_id", "question_id", "wrong_answer", "output_md")
+    return sinks.read_batches(t.spark, record_all(t), "explanations", sinks.EXPLANATION_LOG).select("attempt_id", "question_id", "wrong_answer", "output_md")
 
 
-def record_all(t):
+@query("snk6_open_mastery", views.GRADED + "SELECT student_id, lo_id, max(n) AS n, round(arg_max(score, n), 9) AS score FROM gf GROUP BY 1, 2")
+def _(t):
+    return sinks.read_open_mastery(t.spark, record_all(t)).select("student_id", "lo_id", "n", F.round("score", 9).alias("score"))
+
+
+def record_all(t) -> str:
     """All attempts through the transactional sink, in three micro-batches."""
     step = lambda i, text: F.struct(F.lit(i).alias("step"), text.alias("text_md"))
     questions = t.questions.withColumn("canonical_solution", F.array(step(1, F.concat(F.lit("look at "), "id")), step(2, F.lit("compare"))))
-    stream, path = batches_of(t, t.attempts.select("id", "student_id", "question_id", "given_answer", "attempted_at"), "snk6", 3, "attempted_at")
-    stream.writeStream.foreachBatch(lambda batch, i: sinks.record_attempts(batch, i, questions, f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return stream, path
+    return arrive(t, t.attempts.select("id", "student_id", "question_id", "given_answer", "attempted_at"), "snk6", 3, "attempted_at", lambda batch, n, path: sinks.record_attempts(batch, n, questions, path))
 
 
 @query("snk7_append_ledger", "SELECT CAST(conv_id AS VARCHAR) AS session, CAST(turn AS BIGINT) AS turn_index, CASE WHEN turn % 5 = 0 THEN '[REDACTED]' ELSE text || ' [[lo:' || conv_id || ']]' END AS assistant_message, CASE WHEN turn % 5 = 0 THEN '[]' ELSE '[{\"kind\":\"lo\",\"id\":\"lo:' || conv_id || '\"}]' END AS citations, CASE WHEN turn % 5 = 0 THEN 0.0 ELSE coalesce(cost_usd, 0.0) END AS cost_usd FROM turns WHERE turn % 5 = 0 OR turn % 7 != 0")
 def _(t):
     turns = t.turns.select(F.col("conv_id").cast("string").alias("session"), "student_id", "surface", F.col("turn").cast("long").alias("turn_index"), F.lit("hi").alias("user_message"), F.concat("text", F.lit(" [[lo:"), "conv_id", F.lit("]]")).alias("text"), (F.col("turn") % 5 == 0).alias("redacted"), (F.col("turn") % 7 == 0).alias("is_error"), "cost_usd", F.lit(5).cast("long").alias("latency_ms"))
-    stream, path = batches_of(t, turns, "snk7", 2, "turn_index")
-    stream.writeStream.foreachBatch(lambda batch, i: sinks.append_ledger(batch, i, f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return sinks.read_batches(t.spark, f"{path}/out", "ledger", sinks.LEDGER).select("session", "turn_index", "assistant_message", "citations", "cost_usd")
+    return sinks.read_batches(t.spark, arrive(t, turns, "snk7", 2, "turn_index", sinks.append_ledger), "ledger", sinks.LEDGER).select("session", "turn_index", "assistant_message", "citations", "cost_usd")
 
 
 @query("snk7_ledger", "SELECT conv_id, count(*) AS turns, round(sum(coalesce(cost_usd, 0)), 6) AS spent FROM turns GROUP BY 1")

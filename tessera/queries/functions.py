@@ -59,16 +59,24 @@ def _(t):
     return T.contaminated(docs(t), t.raw("benchmark"), "doc_id", "text", "text")
 
 
-@query("x14_longest_shared_run")
+_FOLDED = r"list_filter(string_split_regex(regexp_replace(lower(text), '[\p{P}\p{S}]', ' ', 'g'), '\s+'), lambda w: w != '')"
+
+
+@query(
+    "x14_longest_shared_run",
+    f"""WITH a AS (SELECT doc_id, {_FOLDED} AS l FROM documents), b AS (SELECT item_id, {_FOLDED} AS l FROM benchmark),
+    sa AS (SELECT doc_id, array_to_string(l[i:i + 3], ' ') AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) - 2)) AS i FROM a)), sb AS (SELECT item_id, array_to_string(l[i:i + 3], ' ') AS s FROM (SELECT item_id, l, unnest(range(1, len(l) - 2)) AS i FROM b)),
+    p AS (SELECT DISTINCT doc_id, item_id FROM sa JOIN sb USING (s)),
+    wa AS (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS i FROM a WHERE doc_id IN (SELECT doc_id FROM p)), wb AS (SELECT item_id, unnest(l) AS w, unnest(range(len(l))) AS j FROM b),
+    m AS (SELECT doc_id, item_id, i, i - j AS d, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS g FROM p JOIN wa USING (doc_id) JOIN wb USING (item_id, w)),
+    r AS (SELECT doc_id, item_id, min(i) AS i, count(*) AS n FROM m GROUP BY doc_id, item_id, d, g),
+    best AS (SELECT doc_id, item_id, max(n) AS n, arg_min(i, (-n, i)) AS i FROM r GROUP BY ALL)
+    SELECT doc_id, item_id, CAST(n AS INT) AS length, array_to_string(l[i + 1:i + n], ' ') AS run FROM best JOIN a USING (doc_id)""",
+    prelude=False,
+)
 def _(t):
     hits = T.contaminated(docs(t), t.raw("benchmark"), "doc_id", "text", "text")
-    n = 4
-    mine = T.word_shingles(docs(t).join(hits, "doc_id", "left_semi"), T.fold_words(F.col("text")), ["doc_id"], n)
-    theirs = T.word_shingles(t.raw("benchmark"), T.fold_words(F.col("text")), ["item_id"], n)
-    pairs = mine.join(theirs, "shingle").select("doc_id", "item_id").distinct()
-    both = pairs.join(docs(t), "doc_id").join(t.raw("benchmark").withColumnRenamed("text", "item"), "item_id")
-    run = T.longest_shared_run(F.array_join(T.fold_words(F.col("text")), " "), F.array_join(T.fold_words(F.col("item")), " "))
-    return both.select("doc_id", "item_id", run.alias("r")).select("doc_id", "item_id", "r.length", "r.run")
+    return T.shared_runs(docs(t).join(hits, "doc_id", "left_semi"), t.raw("benchmark"), "doc_id", "item_id")
 
 
 @query("x16_markers", "SELECT doc_id, contains(text, '@') AS at_sign, contains(text, 'http') AS link FROM documents", prelude=False)

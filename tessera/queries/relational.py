@@ -483,9 +483,7 @@ def _(t):
     targets = temporal.current(t.mastery).select("student_id", "lo_id", rollup.tier_for(F.col("score")).alias("target"))
     counts = t.attempts.groupBy("student_id", "question_id").agg(F.count(F.lit(1)).alias("recent"))
     live = t.questions.filter("status = 'live'").select("lo_id", F.col("id").alias("question_id"), "tier")
-    rows = targets.join(live, "lo_id").join(counts, ["student_id", "question_id"], "left").withColumn("recent", F.coalesce("recent", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("student_id", "lo_id").orderBy((F.col("tier") != F.col("target")).cast("int"), "recent", "question_id"))
-    return rows.withColumn("r", rank).filter("r = 1").select("student_id", "lo_id", "target", "question_id")
+    return rollup.least_drilled(targets, live, counts)
 
 
 @query("o8_pseudo_shuffle", "SELECT p_partkey, CAST(list_reduce(list_prepend(7, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda x, c: (x * 31 + c) % 100003) AS BIGINT) AS h FROM part", prelude=False)

@@ -80,6 +80,11 @@ def test_long_histories_cross_chunks(spark, monkeypatch):
         score = min(0.98, max(0.02, score + 0.15 * ((i * 7 % 3 == 0) - score)))
         assert abs(got[1, i + 1] - score) < 1e-12
     assert len(got) == 703
+    # a key that is cut into pieces has the same history
+    want = sorted(map(tuple, temporal.mastery_history(df, ["student_id", "lo_id"]).collect()))
+    pieces = temporal.mastery_history(df, ["student_id", "lo_id"], hot=100)
+    got = sorted(map(tuple, pieces.collect()))
+    assert [(*r[:3], *r[4:]) for r in got] == [(*r[:3], *r[4:]) for r in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want))
 
 
 def test_graph_on_cycles(spark):

@@ -54,3 +54,29 @@ def test_snapshots(spark, tmp_path):
     sinks.write_snapshot({"a": a}, f"{tmp_path}/s")
     assert sinks.read_snapshot(spark, f"{tmp_path}/s")["a"].count() == 3 and not sinks.is_complete(spark, f"{tmp_path}/none")
     assert [tuple(r) for r in sinks.dry_run({"a": a}, {"a": a.filter(F.col("id") > 0)}).collect()] == [("a", 3, 2, -1)]
+
+
+def test_batches_read_their_own_buckets(spark, tmp_path):
+    """The state of a long log is as many files as that of a short one, a batch that comes again counts once, and one that was broken off is written again."""
+    import datetime
+
+    from tessera.sources import sinks
+
+    questions = spark.createDataFrame([("q", "lo", "numeric", "1", [(1, "look")], "live")], "id string, lo_id string, question_type string, correct_answer string, canonical_solution array<struct<step:int,text_md:string>>, status string")
+    path = f"file://{tmp_path}/log"
+    at = datetime.datetime(2024, 1, 1)
+
+    def batch(n):
+        rows = [(n * 10 + k, k % 2, "q", "1" if (n + k) % 3 else "2", at + datetime.timedelta(minutes=n * 10 + k)) for k in range(4)]
+        return spark.createDataFrame(rows, "id long, student_id long, question_id string, given_answer string, attempted_at timestamp_ntz")
+
+    files = []
+    for n in range(4):
+        last = sinks.buckets_before(spark, path, n)
+        files.append(len(sinks.read_state(spark, path, last).inputFiles()) if last else 0)
+        sinks.record_attempts(batch(n), n, questions, path)
+    sinks.record_attempts(batch(3), 3, questions, path)
+    assert files[1:] == [files[1]] * 3 and len(sinks.committed(spark, path)) == 4
+    every = sorted((r.student_id, r.n, round(r.score, 9), r.system_to is None) for r in sinks.read_mastery(spark, path).collect())
+    assert [e[1] for e in every] == [*range(1, 9)] * 2 and [e[3] for e in every] == [*[False] * 7, True] * 2
+    assert sorted((r.student_id, r.n, round(r.score, 9), True) for r in sinks.read_open_mastery(spark, path).collect()) == [e for e in every if e[3]]
