@@ -14,6 +14,8 @@ empty table gives an empty result; extra columns of the input are ignored; null
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,8 @@ RULES = (
     ("access", r"(AKIA[A-Z0-9]+)", 1, 20),
     ("hex", r"([0-9a-f]{24,})", 1, 24),
 )
-RULE_VERSION = "1"
+#: Of the rules themselves, so a changed rule scans every blob again.
+RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
 LEDGER_SCHEMA = "blob string, rule_version string, findings array<struct<start:int,kind:int,end:int>>"
 
 
@@ -75,9 +78,14 @@ def read_ledger(spark: SparkSession, ledger_dir: str) -> DataFrame:
     return spark.read.schema(LEDGER_SCHEMA).parquet(ledger_dir)
 
 
+def _once(ledger: DataFrame) -> DataFrame:
+    """(blob, findings) of blobs that have any: once, even if two runs have written the same pair."""
+    return ledger.filter(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))
+
+
 def find_secrets(versions: DataFrame, ledger_dir: str, keys: list[str], text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """``keys`` of every version with ``secret_blob`` and ``secret_findings`` (empty array: none)."""
-    known = scan_blobs(versions, ledger_dir, text, rule_version).filter(F.size("findings") > 0).select(F.col("blob").alias("secret_blob"), F.col("findings").alias("secret_findings"))
+    known = _once(scan_blobs(versions, ledger_dir, text, rule_version)).withColumnsRenamed({"blob": "secret_blob", "findings": "secret_findings"})
     paths = versions.select(*keys, blob_id(F.col(text)).alias("secret_blob"))
     none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
     return paths.join(known, "secret_blob", "left").withColumn("secret_findings", F.coalesce("secret_findings", none))
@@ -100,7 +108,7 @@ def redact_documents(docs: DataFrame, ledger_dir: str) -> DataFrame:
     Spans are found once for each blob and joined to the rows by blob.
     """
     cols = docs.columns
-    known = scan_blobs(docs, ledger_dir).filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
+    known = _once(scan_blobs(docs, ledger_dir)).withColumnsRenamed({"blob": "_blob", "findings": "_found"})
     out = docs.withColumn("_blob", blob_id(F.col("text"))).join(known, "_blob", "left")
     clean = F.when(F.col("_found").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_found")))
     out = out.withColumn("text", clean)
