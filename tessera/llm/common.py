@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
-from hashlib import blake2b
+from hashlib import blake2b, shake_128
 
 import numpy as np
 import pyarrow as pa
@@ -97,19 +97,27 @@ def lanes_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(9, np.uint8)]), strides=(1,))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span: its lanes of eight bytes, each with the key of its place, go through a finalizer before they are added up."""
+def secret_lanes(secret: bytes) -> np.ndarray:
+    """Keys for the lanes of ``span_hashes`` that nobody can know who hasn't the secret."""
+    return np.frombuffer(shake_128(secret).digest(8 * 1024), "<u8")
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes_keys: np.ndarray = _LANE) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: its lanes of eight bytes, each with the key of its place, go through a finalizer before they are added up.
+
+    Under the public keys texts can be made that have equal hashes, so those only serve where bytes or ``digests`` are compared behind it.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     lanes, length = lanes_at(data), ends - starts
-    h = mix((lanes[starts] & _KEEP[np.minimum(length, 8)]) ^ _LANE[0])
+    h = mix((lanes[starts] & _KEEP[np.minimum(length, 8)]) ^ lanes_keys[0])
     long = np.flatnonzero(length > 8)
     if len(long):
         more = (length[long] - 1) // 8  # lanes behind the first
         at = gather(np.zeros(len(long), np.int64) + 1, more)
         span = np.repeat(long, more)
         left = np.minimum(length[span] - 8 * at, 8)
-        key = _LANE[at & 1023] + (at >> 10).astype(np.uint64) * _LENGTH
+        key = lanes_keys[at & 1023] + (at >> 10).astype(np.uint64) * _LENGTH
         h[long] += np.add.reduceat(mix((lanes[starts[span] + 8 * at] & _KEEP[left]) ^ key), np.cumsum(more) - more)
     return mix(h + length.astype(np.uint64) * _LENGTH)
 
@@ -157,11 +165,15 @@ class Words:
         bounds = np.r_[0, np.cumsum(self.ends - self.starts)]
         return pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(self.data[self.inside].tobytes())]).dictionary_encode()
 
-    def hashes(self, key: bytes = b"", lanes: int = 1) -> np.ndarray:
-        """Keyed BLAKE2b of each word's bytes, as (lanes, words) 64-bit numbers."""
+    def hashes(self, lanes_keys: np.ndarray = _LANE) -> np.ndarray:
+        """A 64-bit hash of each word's bytes (``span_hashes``)."""
+        return span_hashes(self.data, self.starts, self.ends, lanes_keys)
+
+    def digests(self) -> np.ndarray:
+        """The first 128 bits of BLAKE2b of each word's bytes, as (2, words) numbers."""
         words = self.encoded()
-        digests = b"".join([blake2b(w, digest_size=8 * lanes, key=key).digest() for w in words.dictionary.to_pylist()])
-        return np.ascontiguousarray(np.frombuffer(digests, "<u8").reshape(-1, lanes).T)[:, words.indices.to_numpy()]
+        out = b"".join([blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist()])
+        return np.ascontiguousarray(np.frombuffer(out, "<u8").reshape(-1, 2).T)[:, words.indices.to_numpy()]
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:

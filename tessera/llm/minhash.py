@@ -21,7 +21,8 @@ whatever the input; that table goes to the tasks.
    so rows stay linear. Each pair of nodes that share a bucket is tested or lies within one component.
 4. Components by label propagation with pointer jumping.
 
-Words go into shingles by BLAKE2b: 64 bits for counts and samples, 128 where two texts are verified.
+Counts and samples take 64-bit hashes of words; where two texts are verified their shingles are told apart by 128 bits of BLAKE2b of
+their words besides, so texts that were made to have equal hashes are candidates and no more.
 
 Sketches work on weights rounded to steps of 1/8 in the logarithm, which moves a similarity of 0.8 to
 0.779 at worst: 62 of 80 samples are expected to be equal, ``LEAST_EQUAL`` is five standard deviations
@@ -61,10 +62,12 @@ LEVELS = 128
 _DRAWS = 1 << 16
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, lanes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text of a block: (row, hash, count), by row and hash. With two lanes (verification) ``hash`` is (2, shingles): 128 bits."""
+def shingles(data: np.ndarray, offsets: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text of a block: (row, hash, count), by row and hash. With ``exact`` (verification) ``hash`` is (3, shingles): the same, then 128 bits of a cryptographic hash."""
     words = Words(data, offsets)
-    h = words.hashes(lanes=lanes)
+    h = words.hashes()[None]
+    if exact:
+        h = np.concatenate([h, words.digests()])
     n = h.shape[1]
     doc = np.repeat(np.arange(len(offsets) - 1), words.counts)
     if n >= SHINGLE:
@@ -73,10 +76,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, lanes: int = 1) -> tuple[np.
         at = np.flatnonzero(doc[: n - SHINGLE + 1] == doc[SHINGLE - 1 :])
         row, value = doc[at], five[:, at]
     else:
-        row, value = np.zeros(0, np.int64), np.zeros((lanes, 0), np.uint64)
+        row, value = np.zeros(0, np.int64), np.zeros((len(h), 0), np.uint64)
     short = np.flatnonzero((words.counts > 0) & (words.counts < SHINGLE))
     if len(short):
-        x = np.tile(words.counts[short].astype(np.uint64), (lanes, 1))
+        x = np.tile(words.counts[short].astype(np.uint64), (len(h), 1))
         for k in range(SHINGLE - 1):
             more = words.counts[short] > k
             x[:, more] = pair_hash(x[:, more], h[:, words.first_word[short[more]] + k])
@@ -84,7 +87,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, lanes: int = 1) -> tuple[np.
     order = np.lexsort((*value[::-1], row))
     row, value = row[order], value[:, order]
     first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (value[:, 1:] != value[:, :-1]).any(0)]) if len(row) else np.zeros(0, np.int64)
-    return row[first], value[0, first] if lanes == 1 else value[:, first], np.diff(np.r_[first, len(row)])
+    return row[first], value[:, first] if exact else value[0, first], np.diff(np.r_[first, len(row)])
 
 
 def _chunk_counts(named: np.ndarray | None):
@@ -285,7 +288,7 @@ def _rest_links(weights: Weights, threshold: float):
 
     def run(batches):
         for t, tile in _portions(batches, PORTION_BYTES):
-            got = [(row + at, value, count) for at, data, offsets in text_blocks(t.column("text")) for row, value, count in [shingles(data, offsets, 2)]]
+            got = [(row + at, value, count) for at, data, offsets in text_blocks(t.column("text")) for row, value, count in [shingles(data, offsets, True)]]
             row, value, count = (np.concatenate([g[k] for g in got], -1) for k in range(3))
             w = weights.exact(value[0], count)
             order = np.lexsort(value[::-1])
@@ -336,7 +339,7 @@ def _verify(weights: Weights, threshold: float):
                 n = part.num_rows
                 sides = []
                 for c in ("text_a", "text_b"):
-                    got = [(row + at, value, count) for at, data, offsets in text_blocks(part.column(part.schema.get_field_index(c))) for row, value, count in [shingles(data, offsets, 2)]]
+                    got = [(row + at, value, count) for at, data, offsets in text_blocks(part.column(part.schema.get_field_index(c))) for row, value, count in [shingles(data, offsets, True)]]
                     sides += got
                 row, value, count = (np.concatenate([g[i] for g in sides], -1) for i in range(3))
                 w = weights.exact(value[0], count)

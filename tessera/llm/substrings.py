@@ -21,8 +21,8 @@ makes about an eighth as many suffixes as there are words.
 4. What repeats (runs of window starts) goes back to its document, and the words are removed there.
 
 A subtree is held as sorted path hashes, not as linked nodes: windows are compared by 64 bits for the
-prefix and 40 more for the whole window. Both come from keyed BLAKE2b hashes of the words, and each run draws
-its key, so no text can be made to look like another one; the result doesn't depend on the key. Consecutive repeated windows of a document make one run, which
+prefix and 40 more for the whole window. Both come from 64-bit hashes of words whose keys (eight kilobytes of SHAKE-128 of a
+secret) each run draws anew, so no text can be made to look like another one; the result doesn't depend on them. Consecutive repeated windows of a document make one run, which
 is a maximal repeat.
 
 Edge cases: null text has no words; null ids come before all others (as an id of -2**63 does); documents of under WIDTH words
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, Words, arrow_batches, binary_array, drop_scratch, gather, materialize, mix, pair_hash, table, text_blocks
+from .common import BATCH_BYTES, Words, arrow_batches, binary_array, drop_scratch, gather, materialize, mix, pair_hash, secret_lanes, table, text_blocks
 
 WIDTH, PREFIX = 20, 5
 GROUP_BYTES = 4 << 20  # text whose suffixes make one group
@@ -108,7 +108,7 @@ def block_windows(data: np.ndarray, offsets: np.ndarray, secret: bytes):
     n = len(words.starts)
     if n < WIDTH:
         return None
-    prefix, path = window_hashes(words.hashes(secret)[0])
+    prefix, path = window_hashes(words.hashes(secret_lanes(secret)))
     doc = np.repeat(np.arange(len(offsets) - 1), words.counts)
     start = np.flatnonzero(doc[: n - WIDTH + 1] == doc[WIDTH - 1 :])  # windows within one document
     if not len(start):

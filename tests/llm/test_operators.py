@@ -522,3 +522,11 @@ def test_quality_passes_over_long_texts(spark):
     assert model is not None
     got = {r.doc_id: r.score for r in quality.score(docs.filter("doc_id < 60"), model).collect()}
     assert min(v for k, v in got.items() if k % 2) > 0.5 > max(v for k, v in got.items() if not k % 2)
+
+
+def test_a_pair_that_is_twice_in_the_ledger_counts_once(spark, docs):
+    ledger = scratch_path(spark, "test-ledger")
+    secrets.scan_blobs(docs, ledger)
+    secrets.read_ledger(spark, ledger).coalesce(1).write.mode("append").parquet(ledger)  # two runs at once
+    assert secrets.find_secrets(docs.select("doc_id", "text"), ledger, ["doc_id"]).count() == docs.count()
+    assert secrets.redact_documents(docs, ledger).count() == docs.count()
