@@ -163,6 +163,32 @@ def containment_sweep(strings: DataFrame, corpus: DataFrame, least_chars: int =
     return long.join(hit, "id", "left_semi").select(F.lit("V25").alias("rule"), F.col("id").cast("string").alias("id"), F.when(F.col("class") == "authored", "violation").otherwise("info").alias("detail"))
 
 
+def full_audit(strings: DataFrame, sealed: DataFrame, passages: DataFrame, edges: DataFrame, nodes: DataFrame, own: str | None = None, least_chars: int = 12, n: int = 4, allowed: tuple[str, ...] = ("sealed",)) -> DataFrame:
+    """(level, rule, id, detail) of a deterministic audit; a release goes out if no level is ``violation``.
+
+    Containment (V25): strings (id, text, class) that quote n words or more of a sealed text (passage_id, text), with the longest such run;
+    ``own`` names a column of both that exempts a passage from itself. Verification (V26): sealed passages (id, verdict, flag_reason) that don't
+    agree with their sources, and the tallies. Graph (G11): edges with an end that isn't there.
+    """
+    hit = T.contaminated(strings.filter(F.length("text") >= least_chars), sealed, "id", "text", "text", n)
+    quoting = strings.filter(F.length("text") >= least_chars).join(hit, "id", "left_semi")
+    runs = T.shared_runs(quoting, sealed, "id", "passage_id", "text", n)
+    told = runs.join(strings.select("id", "class", *([F.col(own).alias("_a")] if own else [])), "id").join(sealed.select("passage_id", *([F.col(own).alias("_b")] if own else [])), "passage_id")
+    if own:
+        told = told.filter(~F.col("_a").eqNullSafe(F.col("_b")))
+    row = lambda df, level, rule, id_, detail: df.select(level.alias("level"), F.lit(rule).alias("rule"), id_.cast("string").alias("id"), detail.cast("string").alias("detail"))
+    quote = F.concat(F.col("length"), F.lit(" words of "), F.col("passage_id"), F.lit(": "), F.substring("run", 1, 60))
+    fine = F.col("verdict") == "agree"
+    flagged = passages.filter(~F.coalesce(fine, F.lit(False)))
+    tallies = passages.agg(F.count_if(fine).alias("agree"), (F.count(F.lit(1)) - F.count_if(fine)).alias("flagged"))
+    return all_of(
+        row(told, F.when(F.col("class").isin(*allowed), "info").otherwise("violation"), "V25", F.col("id"), quote),
+        row(flagged, F.lit("info"), "V26", F.col("id"), F.coalesce("flag_reason", F.lit("no verification record"))),
+        *[row(tallies, F.lit("count"), "V26", F.lit(c), F.col(c)) for c in ("agree", "flagged")],
+        row(graph.dangling(edges, nodes), F.lit("violation"), "G11", F.concat_ws(" > ", "src_id", "dst_id"), F.col("edge_type")),
+    )
+
+
 def verification_ledger(passages: DataFrame) -> DataFrame:
     return passages.groupBy("verdict", "fidelity").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("approved_by").isNotNull()).alias("approved"))
 

@@ -12,7 +12,7 @@ from tessera.functions import protocol as P
 from tessera.functions import text as T
 from tessera.operators import gates, graph, rollup, temporal
 from tessera.plans import study_plan, views
-from tessera.queries.registry import query
+from tessera.queries.registry import ORACLES, query
 from tessera.queries.relational import SLUG, pre
 from tessera.sources.sinks import shared_folder
 from tessera.streaming import guard, jsonl, ordered, session_cache, stateful
@@ -644,6 +644,26 @@ def _(t):
     return stateful.paced_schedule(t.raw("conversations"), ["conv_id"], "turn").select("conv_id", "turn", F.col("at_ms").cast("long").alias("at_ms"))
 
 
+@query(
+    "st6_reveal",
+    """WITH d AS (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') || ' {{beat}} {{highlight:lo:1}} Done? yes it is' AS text FROM conversations),
+    t AS (SELECT conv_id, turn, length(text) AS len, 1000 * (turn + 1) AS ended, unnest(string_split(text, ' ')) AS token, unnest(range(len(string_split(text, ' ')))) AS i FROM d),
+    p AS (SELECT *, sum(length(token) + 1) OVER o - 1 AS "end", token[1:2] = '{{' AS d, token[1:2] = '{{' OR regexp_matches(token, '[.!?؟…]$') AS stop FROM t WHERE token != '' WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)),
+    g AS (SELECT *, coalesce(sum(CAST(stop AS INT)) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM p),
+    w AS (SELECT *, coalesce(sum(1 - CAST(d AS INT)) OVER (PARTITION BY conv_id, turn, part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 3 AS k FROM g),
+    k AS (SELECT conv_id, turn, len, ended, max("end") AS "end", max(i) AS i, CASE WHEN bool_or(d) THEN CASE WHEN arg_max(token, i) = '{{beat}}' THEN 1700 ELSE 1500 END WHEN bool_or(stop) THEN 1150 ELSE 850 END AS dwell FROM w GROUP BY conv_id, turn, len, ended, part, k),
+    r AS (SELECT *, 60 + coalesce(sum(dwell) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS raw FROM k),
+    f AS (SELECT *, CAST(CASE WHEN raw >= ended THEN least(dwell, greatest(50, 2000.0 / greatest(1, ceil((len - "end") / 18.0)))) ELSE dwell END AS DOUBLE) AS dwell_ms FROM r)
+    SELECT conv_id, turn, CAST(row_number() OVER o - 1 AS INT) AS tick, CAST("end" AS INT) AS "end", round(60 + coalesce(sum(dwell_ms) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS at_ms, round(dwell_ms, 6) AS dwell_ms FROM f WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)""",
+    prelude=False,
+)
+def _(t):
+    """Every message with directives behind it; it is complete after a second for each turn, and catches up from there."""
+    rows = t.raw("conversations").select("conv_id", "turn", F.concat(F.regexp_replace("text", r"\s+", " "), F.lit(" {{beat}} {{highlight:lo:1}} Done? yes it is")).alias("text"), (1000 * (F.col("turn") + 1)).alias("ended"))
+    out = stateful.reveal_schedule(rows, ["conv_id", "turn"], ended_ms="ended")
+    return out.withColumns({"at_ms": F.round("at_ms", 6), "dwell_ms": F.round("dwell_ms", 6)})
+
+
 @query("st7_parse_lines", "SELECT CAST(user_id AS VARCHAR) AS session, event_id AS position, event_type AS delta, event_id % 10 = 0 AS is_end FROM events WHERE event_id % 3 != 1", prelude=False)
 def _(t):
     kind = F.when(F.col("event_id") % 10 == 0, "result").otherwise("stream_event")
@@ -668,3 +688,17 @@ def _(t):
 def _(t):
     calls = t.raw("events").selectExpr("event_id div 2 AS call_id", "event_id AS attempt", "value AS cost", "value > 50 AS valid")
     return stateful.retried_cost(calls).withColumn("cost", F.round("cost", 6))
+
+
+AUDIT = f"""SELECT CASE WHEN doc_id % 2 = 0 THEN 'violation' ELSE 'info' END AS level, 'V25' AS rule, CAST(doc_id AS VARCHAR) AS id, length || ' words of ' || item_id || ': ' || left(run, 60) AS detail FROM (SELECT * FROM ({ORACLES['x14_longest_shared_run']})) WHERE doc_id % 10 != item_id % 10
+    UNION ALL SELECT 'info', 'V26', CAST(doc_id AS VARCHAR), coalesce(CASE WHEN doc_id % 3 = 1 THEN 'edition' END, 'no verification record') FROM documents WHERE doc_id % 3 != 0
+    UNION ALL SELECT 'count', 'V26', 'agree', CAST(count(*) AS VARCHAR) FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'count', 'V26', 'flagged', CAST(count(*) AS VARCHAR) FROM documents WHERE doc_id % 3 != 0
+    UNION ALL SELECT 'violation', 'G11', src_id || ' > ' || dst_id, 'relates_to' FROM cur WHERE edge_type IN ('prerequisite', 'relates_to') AND dst_id NOT IN (SELECT id FROM nodes)"""
+
+
+@query("q16_full_audit", AUDIT)
+def _(t):
+    strings = t.raw("documents").selectExpr("CAST(doc_id AS STRING) AS id", "text", "CASE WHEN doc_id % 2 = 0 THEN 'authored' ELSE 'sealed' END AS class", "doc_id % 10 AS own")
+    sealed = t.raw("benchmark").selectExpr("item_id AS passage_id", "text", "item_id % 10 AS own")
+    passages = t.raw("documents").selectExpr("CAST(doc_id AS STRING) AS id", "CASE WHEN doc_id % 3 = 0 THEN 'agree' WHEN doc_id % 3 = 1 THEN 'differ' END AS verdict", "CASE WHEN doc_id % 3 = 1 THEN 'edition' END AS flag_reason")
+    return gates.full_audit(strings, sealed, passages, t.current.filter("edge_type IN ('prerequisite', 'relates_to')"), t.nodes, "own")
