@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from tessera.functions import protocol
 
@@ -72,7 +73,7 @@ def revealed_tokens(text: str | None) -> list[tuple[int, str]]:
     return out
 
 
-@F.pandas_udf("array<struct<end:int,token:string>>")
+@F.pandas_udf(ArrayType(StructType().add("end", IntegerType()).add("token", StringType())))
 def _tokens(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: [{"end": e, "token": t} for e, t in revealed_tokens(s)])
 
