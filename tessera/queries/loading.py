@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.queries.registry import query
 from tessera.sources import bundles as B
-from tessera.sources import loader, sinks, versions
+from tessera.sources import assembly, loader, sinks, versions
 
 SCOPE = "c:1"
 LOADED = "TIMESTAMP_NTZ '2024-06-01 00:00:00'"
@@ -50,21 +50,11 @@ def course_bundles(t) -> DataFrame:
     )
     kinds = {"nodes": B.NODE, "edges": B.EDGE, "questions": B.QUESTION, "visuals": B.VISUAL, "text_passages": B.PASSAGE}
 
-    def whole(fields: list[list[str]], has: list[str]):
-        return lambda x: F.struct(*[(x[n] if n in has else F.lit(None)).cast(k).alias(n) for n, k in fields])
-
     def named(df: DataFrame) -> DataFrame:
-        """Fields by name: those that are not there are null."""
         df = df.withColumnRenamed("_nodes", "nodes")
-        for c, kind in kinds.items():
-            has = df.schema[c].dataType.elementType.fieldNames()
-            fields = [f.split(":", 1) for f in loader._split(kind[len("struct<") : -1])]
-            df = df.withColumn(c, F.transform(c, whole(fields, has)))
-        return df
+        return df.withColumns({c: B.widened(df, c, kind) for c, kind in kinds.items()})
 
     both = named(head).unionByName(named(body))
-    from pyspark.sql import Window
-
     return both.withColumn("ord", F.row_number().over(Window.orderBy("a", "b"))).drop("a", "b").withColumns({"extraction_run": F.expr("named_struct('extractor', 'x', 'extractor_version', '2', 'schema_version', '1')"), "syllabus_version": F.lit("v9")})  # one row for each file
 
 
@@ -114,3 +104,47 @@ def _(t):
 @query("b4_kept_bridges", AFTER + "SELECT src_id, dst_id, edge_type, system_from, system_to, rationale FROM edges2")
 def _(t):
     return loaded(t)[0].table("edges").select("src_id", "dst_id", "edge_type", "system_from", "system_to", "rationale")
+
+
+def drafts(t) -> dict[str, DataFrame]:
+    """Draft lessons: a nation's customers are the subtopics of three lessons, orders are their questions, parts their visuals, documents their passages."""
+    lesson = "concat('u', c_nationkey, '-', k % 3 + 1)"
+    los = t.lo_keys.selectExpr("k", f"{lesson} AS lesson", "c_nationkey")
+    lessons = los.groupBy("lesson", "c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.col("k").alias("_o"), F.col("k").cast("string").alias("key"), F.concat(F.lit("About "), "k").alias("title")))).alias("s"))
+    lessons = lessons.select("lesson", F.concat(F.lit("m:"), "c_nationkey").alias("module_id"), F.concat(F.lit("Module "), "c_nationkey").alias("module_title"), (F.col("c_nationkey") * 10 + F.substring_index("lesson", "-", -1).cast("int")).alias("ord"), F.transform("s", lambda x: F.struct(x["key"].alias("key"), x["title"].alias("title"))).alias("subtopics"))
+    choices = F.array(*[F.struct(F.lit(str(i)).alias("key"), F.lit(f"choice {i}").alias("text")) for i in range(4)])
+    o = t.raw("orders").join(los.withColumnRenamed("k", "o_custkey"), "o_custkey")
+    q = o.select("lesson", F.col("o_custkey").cast("string").alias("key"), F.col("o_orderkey").alias("n"), F.when(F.col("o_orderkey") % 2 == 0, "mcq").otherwise("numeric").alias("type"), F.lit("basic").alias("tier"), F.concat(F.lit("What of "), "o_orderkey").alias("stem"), choices.alias("choices"), F.concat((F.col("o_orderkey") % 7).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ". so").otherwise("")).alias("answer"), F.when(F.col("o_orderkey") % 5 == 0, F.concat((F.col("o_orderkey") % 3).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ")").otherwise(""))).alias("reading"), F.when(F.col("o_orderkey") % 11 == 0, F.concat(F.lit("p:"), "lesson")).alias("passage_id"), F.lit(1).alias("source_page"))
+    v = t.raw("part").selectExpr("p_partkey", "p_partkey % 150 AS k").join(los, "k").select("lesson", F.col("k").cast("string").alias("key"), F.lit("chart").alias("kind"), F.lit("{}").alias("spec"), F.col("p_partkey").cast("string").alias("caption"))
+    p = lessons.select("lesson", F.concat(F.lit("p:"), "lesson").alias("id"), F.lit("poem").alias("kind"), F.col("lesson").endswith("-1").alias("sacred"), F.array(F.concat(F.lit(" one  "), "lesson"), F.lit("two")).alias("units"))
+    return {"lessons": lessons, "questions": q, "visuals": v, "passages": p}
+
+
+DRAFTS = """, lo AS (SELECT k, c_nationkey AS n, 'u' || c_nationkey || '-' || (k % 3 + 1) AS lesson, k % 3 + 1 AS part FROM lo_keys),
+  l AS (SELECT *, row_number() OVER (PARTITION BY lesson ORDER BY k) AS i, 'lo:' || lesson || '-' || row_number() OVER (PARTITION BY lesson ORDER BY k) AS id FROM lo),
+  e AS (SELECT 'm:' || n AS src, 'c:book' AS dst, 'part_of' AS type FROM (SELECT DISTINCT n FROM l) UNION ALL SELECT 'm:' || n, id, 'teaches' FROM l
+    UNION ALL SELECT * FROM (SELECT lag(id) OVER (PARTITION BY n ORDER BY part, i) AS src, id AS dst, 'prerequisite' FROM l) WHERE src IS NOT NULL),
+  q AS (SELECT lesson, 'q:' || lesson || '-' || i || ':' || printf('%03d', row_number() OVER (PARTITION BY lesson, i ORDER BY o_orderkey)) AS id, id AS lo_id, o_orderkey AS o, part,
+    CASE WHEN o_orderkey % 2 = 1 OR o_orderkey % 7 < 4 THEN CAST(o_orderkey % 7 AS VARCHAR) END AS answer FROM orders JOIN l ON k = o_custkey),
+  r AS (SELECT lesson, id, lo_id, answer, CASE WHEN answer IS NOT NULL AND (o % 5 != 0 OR o % 7 = o % 3) THEN 'verified' ELSE 'draft' END AS status, CASE WHEN o % 11 = 0 AND part = 1 THEN 'sealed' ELSE 'open' END AS sensitivity FROM q)
+"""
+BOOK = ("c:book", "Book"), ("sha-book", "Book", "book.pdf")
+
+
+@query("q17_assembled_questions", DRAFTS + "SELECT lesson || '.json' AS file, id, lo_id, answer AS correct_answer, status, sensitivity AS sensitivity_class FROM r")
+def _(t):
+    return assembly.assemble(**drafts(t), course=BOOK[0], source=BOOK[1]).select("file", F.explode("questions").alias("q")).select("file", "q.id", "q.lo_id", "q.correct_answer", "q.status", "q.sensitivity_class")
+
+
+@query("q17_assembled_edges", DRAFTS + "SELECT * FROM e")
+def _(t):
+    return assembly.assemble(**drafts(t), course=BOOK[0], source=BOOK[1]).select(F.explode("edges").alias("e")).select("e.*")
+
+
+@query("q17_loaded_book", DRAFTS + """SELECT 'nodes' AS name, (SELECT count(*) FROM l) + (SELECT count(DISTINCT n) FROM l) + 1 AS n UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'questions', count(*) FROM r UNION ALL SELECT 'live', count(*) FROM r WHERE status = 'verified' AND sensitivity = 'open' AND id NOT IN (SELECT id FROM q WHERE o % 11 = 0)
+  UNION ALL SELECT 'visuals', count(*) FROM visuals UNION ALL SELECT 'source documents', 1""")
+def _(t):
+    """The assembled book through all gates of the loader; questions that are bound to a passage that nobody has approved are held."""
+    root = f"{sinks.shared_folder(t.spark)}/book-{uuid.uuid4().hex}"
+    _, change = loader.load(t.spark, root, assembly.assemble(**drafts(t), course=BOOK[0], source=BOOK[1]))
+    return change.filter("name NOT IN ('bridges', 'review')").select("name", F.col("after").alias("n"))

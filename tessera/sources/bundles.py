@@ -25,6 +25,24 @@ LESSON = (
 SLUG = "^[a-z0-9]{1,12}-[0-9]{1,3}$"
 
 
+def fields_of(kind: str) -> list[tuple[str, str]]:
+    """(name, type) of the fields of a struct type."""
+    parts, depth = [""], 0
+    for ch in kind[len("struct<") : -1]:
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += ch
+    return [tuple(p.split(":", 1)) for p in parts]
+
+
+def widened(df: DataFrame, column: str, kind: str) -> Column:
+    """An array of structs as one of the struct type ``kind``: fields by name, null where there is none."""
+    has = df.schema[column].dataType.elementType.fieldNames()
+    return F.transform(column, lambda x: F.struct(*[(x[n] if n in has else F.lit(None)).cast(t).alias(n) for n, t in fields_of(kind)]))
+
+
 def read_bundles(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
     """Bundles (files that have an extraction run) with ``file`` and ``ord``: the listed files in their order, unknown ones behind them by name."""
     rows = spark.read.schema(BUNDLE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).filter("extraction_run IS NOT NULL")
