@@ -84,6 +84,44 @@ def gallery(t) -> DataFrame:
     return n.withColumn("place", F.row_number().over(Window.partitionBy("module_id").orderBy(F.desc("n"), "kind")))
 
 
+def visual_rows(t, ids: DataFrame | None = None, lo_ids: DataFrame | None = None) -> DataFrame:
+    """Visuals with their LO and module and their place within the module (by the LO's order, then id): all, those of some ids (id), or those of some LOs (lo_id)."""
+    from pyspark.sql import Window
+
+    rows = t.visuals
+    if ids is not None:
+        rows = rows.join(ids.select("id"), "id", "left_semi")
+    if lo_ids is not None:
+        rows = rows.join(lo_ids.select("lo_id"), "lo_id", "left_semi")
+    lo = t.nodes.filter("kind = 'learning_objective'").select(F.col("id").alias("lo_id"), "label", "order_in_parent")
+    m = t.current.filter("edge_type = 'teaches'").select(F.col("dst_id").alias("lo_id"), F.col("src_id").alias("module_id"))
+    place = F.row_number().over(Window.partitionBy("module_id").orderBy("order_in_parent", "id"))
+    return rows.join(lo, "lo_id").join(m, "lo_id", "left").select("id", "lo_id", "kind", "caption", "label", "module_id", place.alias("place"))
+
+
+def pipeline_los(t, student_id: int) -> DataFrame:
+    """Every LO with its layer and the score of one student (0 without one), in the order of layers."""
+    pre = t.current.filter("edge_type = 'prerequisite'").select("src_id", "dst_id")
+    los = t.nodes.filter("kind = 'learning_objective'")
+    layered = graph.layers(los, pre)
+    return los.select("id", "label").join(layered, "id").join(scores_of(t, student_id).withColumnRenamed("lo_id", "id"), "id", "left").select("id", "label", F.coalesce("layer", F.lit(0)).alias("layer"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def pipeline_facts(t, exemplar: str) -> DataFrame:
+    """(name, value) of the overview's single facts: the newest extraction run, live and reviewed questions, the exemplar question (the preferred one if it is live, else the first) and its LO, the last chat turn."""
+    q = t.questions.agg(F.count_if(F.col("status") == "live").alias("live"), F.count_if(F.col("status") != "draft").alias("reviewed"))
+    one = t.questions.filter("status = 'live'").orderBy(graph.pinned(F.col("id") == exemplar), "id").limit(1)
+    shown = one.join(t.nodes.select(F.col("id").alias("lo_id"), "label"), "lo_id")
+    run = t.runs.agg(F.max_by("extractor", "id").alias("run"))
+    turn = t.turns.agg(F.max_by("surface", F.struct("conv_id", "turn")).alias("turn"))
+    rows = [q.select(F.explode(F.create_map(F.lit("live"), F.col("live").cast("string"), F.lit("reviewed"), F.col("reviewed").cast("string"))).alias("name", "value")), shown.select(F.explode(F.create_map(F.lit("exemplar"), F.col("id"), F.lit("exemplar lo"), F.col("label"))).alias("name", "value"))]
+    rows += [run.select(F.lit("run").alias("name"), F.col("run").alias("value")), turn.select(F.lit("turn").alias("name"), F.col("turn").alias("value"))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def attempt_result(t) -> DataFrame:
     """Attempts on live questions and the score of the question's LO behind them."""
     from tessera.functions import numbers
@@ -163,3 +201,28 @@ def register(query, slug: str, pre) -> None:
         from tessera.operators import gates
 
         return gates.edge_endpoints(t.edges, t.nodes).unionByName(gates.in_range(t.checks, "score", 0, 90)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+    @query("q4_pipeline_los", """, pre AS (SELECT src_id, dst_id FROM cur WHERE edge_type = 'prerequisite'), lay AS (SELECT id, 0 AS layer FROM nodes WHERE kind = 'learning_objective' UNION SELECT p.dst_id, l.layer + 1 FROM lay l JOIN pre p ON p.src_id = l.id)
+      SELECT n.id, label, max(layer) AS layer, round(coalesce(max(m.score), 0), 9) AS score FROM nodes n JOIN lay ON lay.id = n.id LEFT JOIN mastery m ON m.lo_id = n.id AND m.student_id = 1 AND m.system_to IS NULL GROUP BY 1, 2""")
+    def _(t):
+        return pipeline_los(t, 1).withColumn("score", F.round("score", 9))
+
+    @query("q4_pipeline_facts", """SELECT 'live' AS name, CAST(count(*) FILTER (status = 'live') AS VARCHAR) AS value FROM questions UNION ALL SELECT 'reviewed', CAST(count(*) FILTER (status != 'draft') AS VARCHAR) FROM questions
+      UNION ALL SELECT unnest(['exemplar', 'exemplar lo']), unnest([id, label]) FROM (SELECT q.id, n.label FROM questions q JOIN nodes n ON n.id = q.lo_id WHERE q.status = 'live' ORDER BY (q.id = 'q:17') DESC, q.id LIMIT 1)
+      UNION ALL SELECT 'run', arg_max(extractor, id) FROM runs UNION ALL SELECT 'turn', arg_max(surface, (conv_id, turn)) FROM turns""")
+    def _(t):
+        return pipeline_facts(t, "q:17")
+
+    visuals = "SELECT v.id, v.lo_id, v.kind, v.caption, n.label, e.src_id AS module_id, row_number() OVER (PARTITION BY e.src_id ORDER BY n.order_in_parent, v.id) AS place FROM visuals v JOIN nodes n ON n.id = v.lo_id LEFT JOIN cur e ON e.dst_id = v.lo_id AND e.edge_type = 'teaches'"
+
+    @query("q11_visuals", visuals)
+    def _(t):
+        return visual_rows(t)
+
+    @query("q11_visuals_of_los", f"{visuals} WHERE v.lo_id IN (SELECT lo_id FROM lo_keys WHERE k % 3 = 0)")
+    def _(t):
+        return visual_rows(t, lo_ids=t.lo_keys.filter("k % 3 = 0"))
+
+    @query("q11_visuals_by_id", f"{visuals} WHERE v.id IN (SELECT DISTINCT 'v:' || (event_id % 1000) FROM events)")
+    def _(t):
+        return visual_rows(t, ids=t.raw("events").selectExpr("concat('v:', event_id % 1000) AS id"))
