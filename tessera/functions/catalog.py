@@ -45,6 +45,10 @@ SQL = {
     "number_prefix": ("s STRING", "DOUBLE", f"try_cast(regexp_extract(s, r'{N.NUMBER_PREFIX}', 1) AS DOUBLE)"),
     "mcq_match": ("k STRING, s STRING", "BOOLEAN", "coalesce(trim(k) != '' AND trim(s) != '' AND lower(substring(trim(k), 1, 1)) = lower(substring(trim(s), 1, 1)), FALSE)"),
     "slot_compare": ("a STRING, b STRING", "STRING", f"CASE WHEN size(array_except({_WORDS.format('a')}, {_WORDS.format('b')})) = 0 AND size(array_except({_WORDS.format('b')}, {_WORDS.format('a')})) = 0 THEN 'match' WHEN size(array_except({_WORDS.format('a')}, {_WORDS.format('b')})) = 0 OR size(array_except({_WORDS.format('b')}, {_WORDS.format('a')})) = 0 THEN 'variant' ELSE 'conflict' END"),
+    "seal_text": ("units ARRAY<STRING>", "STRING", r"sha2(array_join(units, '\n'), 256)"),
+    "marker_phrases": ("s STRING, phrases ARRAY<STRING>", "ARRAY<STRING>", f"filter(phrases, p -> contains({_squeezed(_loose('s', ''))}, p))"),
+    "first_phrase": ("s STRING, phrases ARRAY<STRUCT<phrase: STRING, value: STRING>>", "STRING", "get(filter(phrases, p -> contains(s, p.phrase)), 0).value"),
+    "pick_id": ("raw STRING, known ARRAY<BIGINT>", "BIGINT", "CASE WHEN trim(raw) RLIKE '^[0-9]{1,12}$' AND array_contains(known, try_cast(trim(raw) AS BIGINT)) THEN try_cast(trim(raw) AS BIGINT) WHEN array_contains(known, 1L) THEN 1L ELSE coalesce(array_min(known), 1L) END"),
     "tier_for": ("x DOUBLE", "STRING", "CASE WHEN x < 0.4 THEN 'basic' WHEN x < 0.7 THEN 'standard' ELSE 'advanced' END"),
     "mastery_step": ("old DOUBLE, outcome DOUBLE", "DOUBLE", _STEP.format(old="old", outcome="outcome")),
     "mastery_fold": ("outcomes ARRAY<DOUBLE>", "DOUBLE", f"aggregate(outcomes, {temporal.PRIOR}D, (old, outcome) -> {_STEP.format(old='old', outcome='outcome')})"),
