@@ -1,24 +1,30 @@
 """Reachability, layers, cycles, lineage and adjacency over edge tables (src_id, dst_id, edge_type).
 
 Iterative operators run a driver loop over DataFrames. Only row counts come to the driver; each
-round is checkpointed to ``spark.checkpoint.dir`` (if one is set), so lineage stays short and
+round is written to ``spark.checkpoint.dir`` (if one is set), so lineage stays short and
 survives lost executors. Loops end on cyclic data, since known pairs are never added.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the shared checkpoint folder; without one (small local runs) keep the rows in memory and on disk."""
+    """End the lineage in the shared checkpoint folder; without one (small local runs) keep the rows in memory and on disk.
+
+    The rows are a Parquet table there, of which Spark knows the size. A checkpoint keeps the estimate of the plan that it
+    ends: joins multiply estimates, so in a loop their digits double every round until the driver does nothing else.
+    """
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(folder)
-        return df.checkpoint()
+        path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     return df.persist()
 
 

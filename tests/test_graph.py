@@ -1,5 +1,9 @@
 """Graphs deeper than any fixed bound."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from tessera.operators import graph
@@ -65,3 +69,24 @@ def test_layers_of_cycles_are_null(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("a", "e"), ("e", "f"), ("a", "f")], "src_id string, dst_id string")
     got = {r.id: r.layer for r in graph.layers(spark.createDataFrame([("z",)], "id string"), e).collect()}
     assert got == {"z": 0, "a": 0, "b": None, "c": None, "d": None, "e": 1, "f": 2}
+
+
+ROUNDS = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", f"file://{sys.argv[1]}").getOrCreate()
+from tessera.operators import graph
+steps = spark.createDataFrame([(i, i + 1) for i in range(8)], "src_id long, dst_id long")
+rows = graph.cut(steps)
+for _ in range(6):
+    rows = graph.cut(rows.join(rows.selectExpr("src_id AS dst_id", "dst_id AS end"), "dst_id", "left").select("src_id", "dst_id"))
+assert sorted((r.src_id, r.dst_id) for r in rows.collect()) == [(i, i + 1) for i in range(8)]
+print("size", rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+"""
+
+
+def test_estimates_do_not_grow_with_the_rounds(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", ROUNDS, str(tmp_path)], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("size")[1]) < 1 << 20
