@@ -52,12 +52,20 @@ def read_bundles(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(Window.orderBy(F.col("_o").asc_nulls_last(), "file"))).withColumn("listed", F.col("_o").isNotNull()).drop("_o")  # one row for each file
 
 
+def unfolded(bundles: DataFrame, name: str) -> DataFrame:
+    """All elements of one array of the bundles with file and load order."""
+    return bundles.select("file", "ord", F.posexplode(name).alias("pos", "x")).select("file", "ord", "pos", "x.*")
+
+
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """The first of equal ids, in load order."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("ord", "pos"))).filter("_n = 1").drop("_n")
+
+
 def part(bundles: DataFrame, name: str) -> DataFrame:
     """Elements of one array of the bundles with file and load order; the first of equal ids wins."""
-    rows = bundles.select("file", "ord", F.posexplode(name).alias("pos", "x")).select("file", "ord", "pos", "x.*")
-    if "id" not in rows.columns:
-        return rows
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("ord", "pos"))).filter("_n = 1").drop("_n")
+    rows = unfolded(bundles, name)
+    return first_of_each(rows) if "id" in rows.columns else rows
 
 
 def bundles_for_root(bundles: DataFrame, root: str, superseded: list[str] | None = None) -> DataFrame:

@@ -75,27 +75,31 @@ class Batch:
         at = F.current_timestamp().cast("timestamp_ntz") if options.loaded_at is None else options.loaded_at
         last = current["runs"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
         known = current["source_documents"].filter("file_path IS NOT NULL").groupBy(F.col("file_path").alias("path")).agg(F.min("sha256").alias("sha256"))
-        listed = bundles.withColumn("sha256", F.col("source_document.sha256")).withColumn("_all", F.lit(1))
+        # each part is put together and unfolded once; the gates and the plan read what is written here
+        heads = graph.cut(bundles.select("ord", "file", "source_document", "source_file", "extraction_run", "syllabus_version", "external_node_refs"))
+        unfolded = {n: graph.cut(B.unfolded(bundles, n)) for n in ("nodes", "edges", "questions", "visuals", "text_passages")}
+        listed = heads.withColumn("sha256", F.col("source_document.sha256")).withColumn("_all", F.lit(1))
         resolved = gates.resolve_sources(listed, known, "_all", "ord").select("ord", "resolved")  # one row for each file
-        self.bundles = bundles
-        runs = bundles.join(resolved, "ord").crossJoin(last)  # one row
+        self.heads = heads
+        self.defined = unfolded["nodes"].select("ord", F.col("id").alias("ref")).unionByName(heads.select("ord", F.explode("external_node_refs").alias("ref"))).distinct()
+        runs = heads.join(resolved, "ord").crossJoin(last)  # one row
         self.runs = graph.cut(runs.select("ord", (F.col("_last") + F.col("ord")).alias("id"), "file", F.col("resolved").alias("source_sha256"), "extraction_run.*", "syllabus_version"))
         run = F.broadcast(self.runs.select("ord", F.col("id").alias("run_id"), "source_sha256", "syllabus_version"))
         subject = F.create_map(*[F.lit(x) for kv in options.subjects.items() for x in kv])[F.col("id")] if options.subjects else F.lit(None)
-        self.nodes = B.part(bundles, "nodes").join(run, "ord").withColumn("subject", F.when(F.col("kind") == "course", subject))
-        edges = B.part(bundles, "edges").join(run, "ord")
+        self.nodes = B.first_of_each(unfolded["nodes"]).join(run, "ord").withColumn("subject", F.when(F.col("kind") == "course", subject))
+        edges = unfolded["edges"].join(run, "ord")
         self.edges = edges.select("ord", F.col("src").alias("src_id"), F.col("dst").alias("dst_id"), F.col("type").alias("edge_type"), "syllabus_version", at.alias("system_from"), "run_id")
-        raw = bundles.select("ord", F.posexplode("questions").alias("pos", "q")).select("ord", "pos", "q.*")
-        self.passages = B.part(bundles, "text_passages")
+        raw = unfolded["questions"].drop("file")
+        self.passages = B.first_of_each(unfolded["text_passages"])
         fit = self.passages.select("id", (F.col("sensitivity_class") == "sealed").alias("sacred"), F.when(F.col("approved_sha256") == F.col("text_sha256"), F.col("approved_by")).alias("approved_by"))
         self.held = gates.held_back(raw.withColumnRenamed("sensitivity_class", "sensitivity"), fit)
         q = raw.join(self.held.select("id", F.lit(True).alias("_held")).distinct(), "id", "left").withColumn("_held", F.coalesce("_held", F.lit(False))).withColumn("_verified", F.coalesce(F.col("status") == "verified", F.lit(False))).join(run, "ord")
         live = (F.lit(options.approve_all) | F.col("_verified")) & ~F.col("_held")
         reviewer = F.when(live, options.bulk_reviewer if options.approve_all else options.verified_reviewer)
         self.questions = q.withColumn("status", F.when(live, "live").otherwise("review")).withColumn("reviewed_by", reviewer).withColumnRenamed("type", "question_type")
-        self.visuals = bundles.select("ord", F.explode("visuals").alias("v")).select("ord", "v.*").join(run, "ord")
-        self.external = bundles.select(F.explode("external_node_refs").alias("id")).distinct()
-        declared = bundles.filter("source_document IS NOT NULL").select("ord", "source_document.*")
+        self.visuals = unfolded["visuals"].drop("file", "pos").join(run, "ord")
+        self.external = heads.select(F.explode("external_node_refs").alias("id")).distinct()
+        declared = heads.filter("source_document IS NOT NULL").select("ord", "source_document.*")
         self.documents = declared.groupBy("sha256").agg(F.min_by(F.struct("title", "file_path"), "ord").alias("_d")).select("sha256", "_d.*")
 
 
@@ -121,7 +125,7 @@ def problems(current: dict[str, DataFrame], batch: Batch, inside: DataFrame | No
         survivors = current["nodes"].select("id").join(inside, "id", "left_anti")
     known = nodes.unionByName(survivors)
     found = [
-        gates.one_source(batch.bundles.select(F.col("file").alias("id"), "source_document", "source_file")),
+        gates.one_source(batch.heads.select(F.col("file").alias("id"), "source_document", "source_file")),
         gates.broken(batch.runs, "V21", F.col("source_sha256").isNull(), "file", F.lit("no source")),
         *_strays(batch),
         gates.acyclic(batch.edges.filter("edge_type = 'prerequisite'").select("src_id", "dst_id")),
@@ -139,9 +143,8 @@ def problems(current: dict[str, DataFrame], batch: Batch, inside: DataFrame | No
 
 def _strays(batch: Batch) -> list[DataFrame]:
     """References of a bundle to what it neither defines nor names as external."""
-    own = batch.bundles.select("ord", F.explode(F.array_union(F.coalesce("nodes.id", F.expr("CAST(array() AS array<string>)")), F.coalesce("external_node_refs", F.expr("CAST(array() AS array<string>)")))).alias("ref")).distinct()
     refs = [("V1", batch.edges, F.concat_ws(">", "src_id", "dst_id"), "src_id"), ("V1", batch.edges, F.concat_ws(">", "src_id", "dst_id"), "dst_id"), ("V2", batch.questions, F.col("id"), "lo_id"), ("V2", batch.visuals, F.col("id"), "lo_id")]
-    lost = [rows.select("ord", name.alias("id"), F.col(c).alias("ref")).filter("ref IS NOT NULL").join(own, ["ord", "ref"], "left_anti").select(F.lit(rule).alias("rule"), "id", F.col("ref").alias("detail")) for rule, rows, name, c in refs]
+    lost = [rows.select("ord", name.alias("id"), F.col(c).alias("ref")).filter("ref IS NOT NULL").join(batch.defined, ["ord", "ref"], "left_anti").select(F.lit(rule).alias("rule"), "id", F.col("ref").alias("detail")) for rule, rows, name, c in refs]
     asked = batch.visuals.filter("question_id IS NOT NULL").join(batch.questions.select(F.col("id").alias("question_id")), "question_id", "left_anti")
     return [*lost, asked.select(F.lit("V2").alias("rule"), "id", F.col("question_id").alias("detail"))]
 

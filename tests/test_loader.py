@@ -4,6 +4,7 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.sources import bundles, loader, versions
 
@@ -116,3 +117,18 @@ def test_one_of_two_loads_wins(spark, base):
     with pytest.raises(versions.Conflict):
         versions.commit(spark, base, last, one)
     assert versions.numbers(spark, base) == [1, 2, 3] and versions.latest(spark, base).table("edges").count() == last.table("edges").count()
+
+
+def test_bundles_are_put_together_once(spark, tmp_path):
+    """However many gates look at the questions, whoever makes the bundles makes them once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def stem(s):
+        made.add(1)
+        return s
+
+    rows = read(spark, tmp_path / "one", {"a.json": bundle("c:a", "m:a", ["lo:a1", "lo:a2"])})
+    asked = rows.select("ord", F.explode("questions").alias("q")).select("ord", "q", stem("q.id").alias("_s")).groupBy("ord").agg(F.collect_list(F.col("q").withField("stem", F.col("_s"))).alias("questions"))
+    loader.load(spark, f"file://{tmp_path}/tables", rows.drop("questions").join(asked, "ord"))
+    assert made.value == 2
