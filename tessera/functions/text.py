@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ CONTROL_GAPS = "\t\n\x0b\x0c\r\ufeff"
 GAP = r"[\t\n\x0B\f\r\p{Z}\uFEFF]+"
 FOLD_FROM, FOLD_TO = "أإآٱىةؤئ", "اااايهوي"
 FOLD6_FROM, FOLD6_TO = FOLD_FROM[:6], FOLD_TO[:6]
+#: Characters of a piece of an Arrow batch.
+SLICE_CHARS = 1 << 20
 
 
 @F.pandas_udf(StringType())
@@ -123,17 +126,15 @@ def source_address(sha: Column, known: Column, title: Column, path: Column) -> C
     return F.coalesce(sha, known, F.concat(F.lit("unavailable:"), F.substring(F.sha2(F.concat_ws("|", title, path), 256), 1, 32)))
 
 
-def _folded_with_places(text: str) -> tuple[str, list[int]]:
-    drop = {chr(i) for a, b in ((0x64B, 0x65F), (0x670, 0x670), (0x640, 0x640)) for i in range(a, b + 1)}
-    letters = dict(zip(FOLD6_FROM, FOLD6_TO, strict=True))
-    out, at = [], []
-    for i, ch in enumerate(text):
-        if ch in drop:
-            continue
-        for low in letters.get(ch, ch).lower():
-            out.append(low)
-            at.append(i)
-    return "".join(out), at
+_FOLDS = {**{i: None for a, b in ((0x64B, 0x65F), (0x670, 0x670), (0x640, 0x640)) for i in range(a, b + 1)}, **str.maketrans(FOLD6_FROM, FOLD6_TO), ord("Σ"): "σ"}
+_GONE = np.array([i for i, to in _FOLDS.items() if to is None], "<u4")
+
+
+def _folded_with_places(text: str) -> tuple[str, np.ndarray]:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    at = np.flatnonzero(~np.isin(points, _GONE)).astype("int32")
+    # by itself each sign lowers to one, but for the capital i with a dot; a capital sigma at a word's end would depend on what is before it
+    return text.translate(_FOLDS).lower(), np.repeat(at, np.where(points[at] == 0x130, 2, 1))
 
 
 def _locate(text: str | None, find: str | None, nth: int, whole: bool) -> tuple[int, int] | None:
@@ -150,10 +151,10 @@ def _locate(text: str | None, find: str | None, nth: int, whole: bool) -> tuple[
         if alone:
             seen += 1
             if seen == nth:
-                last = at[end - 1] + 1
+                last = int(at[end - 1]) + 1
                 while last < len(text) and (0x64B <= ord(text[last]) <= 0x65F or ord(text[last]) == 0x670):
                     last += 1
-                return at[i], last
+                return int(at[i]), last
         start = i + 1
     return None
 
@@ -295,6 +296,13 @@ def truncate(c: Column, n: int) -> Column:
     return F.substring(c, 1, n)
 
 
+def slices(texts: pd.Series, chars: int = SLICE_CHARS) -> Iterator[pd.Series]:
+    """A batch in pieces of about ``chars`` characters (and one text): what a function makes of a batch may be many times larger than the batch."""
+    piece = np.cumsum([0 if s is None else len(s) for s in texts]) // chars
+    for _, some in texts.groupby(piece, sort=False):
+        yield some
+
+
 def tokenize_words(text: str) -> list[tuple[str, int, int]]:
     """Words with their half-open places."""
     out, at = [], 0
@@ -307,7 +315,7 @@ def tokenize_words(text: str) -> list[tuple[str, int, int]]:
 
 @F.pandas_udf(ArrayType(StructType().add("word", StringType()).add("start", IntegerType()).add("end", IntegerType())))
 def words_with_places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
+    for texts in (some for batch in batches for some in slices(batch)):
         yield texts.map(lambda s: None if s is None else [dict(zip(("word", "start", "end"), w, strict=True)) for w in tokenize_words(s)])
 
 
@@ -325,10 +333,11 @@ def stage_vowelled(texts: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StructType().add("folded", StringType()).add("places", ArrayType(IntegerType())))
-def fold_for_match(texts: pd.Series) -> pd.DataFrame:
+def fold_for_match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The folded text, and for each of its characters the place in the original."""
-    got = [(None, None) if s is None else _folded_with_places(s) for s in texts]
-    return pd.DataFrame(got, columns=["folded", "places"])
+    for texts in batches:
+        for some in slices(texts):
+            yield pd.DataFrame([(None, None) if s is None else _folded_with_places(s) for s in some], columns=["folded", "places"])
 
 
 def strip_marks(c: Column) -> Column:

@@ -1,5 +1,6 @@
 """Golden rows of functions that SQL can't express, and histories in chunks."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,17 @@ def test_as_of_join(spark):
     facts = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (3, 1, "c")], "k int, f int, v string")
     got = {(r.k, r.t): r.v for r in temporal.as_of_join(probes, facts, ["k"], "t", "f", ["v"]).collect()}
     assert got == {(1, 5): "b", (1, 1): None, (2, 9): None}
+
+
+def test_batches_are_folded_in_pieces():
+    texts = ["كَتَـبَ ΑΣ İa" * 5000, None, "", "Ab" * 40_000, "ة"] * 20
+    got = list(T.fold_for_match.func(iter([pd.Series(texts)])))
+    assert len(got) > 1
+    marks = {*map(chr, range(0x64B, 0x660)), "ٰ", "ـ"}
+    for s, folded, places in zip(texts, *(pd.concat(got)[c] for c in ("folded", "places")), strict=True):
+        if s is None:
+            assert folded is None and places is None
+            continue
+        letters = dict(zip(T.FOLD6_FROM, T.FOLD6_TO, strict=True))
+        want = [(low, i) for i, ch in enumerate(s) if ch not in marks for low in letters.get(ch, ch).lower()]
+        assert folded == "".join(low for low, _ in want) and list(places) == [i for _, i in want]
