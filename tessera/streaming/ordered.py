@@ -1,9 +1,10 @@
 """Mastery in event order: attempts wait until the watermark has passed them, so the order of arrival doesn't matter.
 
-Each key buffers its attempts and has a timer at the earliest of them. When the watermark comes to it, all
-that it has passed are folded in the order of (time, id) and the rest stay. An attempt that comes when
+State is kept by student, since each key costs a frame and several calls a batch, however few rows it has. A student
+buffers attempts and has a timer at the earliest of them. When the watermark comes to it, all
+that it has passed are folded in the order of (time, id), each for its LO, and the rest stay. An attempt that comes when
 its time has been passed isn't folded: it goes out marked ``late``, for a side table, as long as it isn't
-older than ``kept`` besides. The buffer of a key holds what falls into ``delay``.
+older than ``kept`` besides. The buffer of a student holds what falls into ``delay``.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ class OrderedMastery(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, id long, is_correct boolean")
-        self.folded = handle.getValueState("folded", "n long, score double")
+        self.waiting = handle.getListState("waiting", "at long, id long, is_correct boolean, lo_id string")
+        self.folded = handle.getMapState("folded", "lo_id string", "n long, score double")
 
     def _passed(self, timers) -> int:
         """Microseconds up to which the watermark has come."""
@@ -58,24 +59,28 @@ class OrderedMastery(StatefulProcessor):
         come = pd.concat(list(rows))
         late = come[come["at"] <= passed]
         if len(late):
-            yield _rows(key, [(None, None, at, i, True) for at, i in zip(late["at"], late["id"], strict=True)])
+            yield _rows(key, [(lo, None, None, at, i, True) for lo, at, i in zip(late["lo_id"], late["at"], late["id"], strict=True)])
         come = come[come["at"] > passed]
         if len(come):
             rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-            rows += [(int(a), int(i), bool(c)) for a, i, c in zip(come["at"], come["id"], come["is_correct"], strict=True)]
+            rows += [(int(a), int(i), bool(c), lo) for a, i, c, lo in zip(come["at"], come["id"], come["is_correct"], come["lo_id"], strict=True)]
             self.waiting.put(rows)
             self._wake(rows)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = self._passed(timerValues)
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
         ready, rest = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
-        n, score = self.folded.get() if self.folded.exists() else (0, PRIOR)
+        folded: dict[str, tuple[int, float]] = {}
         out = []
-        for at, i, right in ready:
-            n, score = n + 1, min(HIGH, max(LOW, score + RATE * (float(right) - score)))
-            out.append((n, score, at, i, False))
-        self.folded.update((n, score))
+        for at, i, right, lo in ready:
+            if lo not in folded:
+                folded[lo] = self.folded.getValue((lo,)) if self.folded.containsKey((lo,)) else (0, PRIOR)
+            n, score = folded[lo]
+            n, score = folded[lo] = n + 1, min(HIGH, max(LOW, score + RATE * (float(right) - score)))
+            out.append((lo, n, score, at, i, False))
+        for lo, state in folded.items():
+            self.folded.updateValue((lo,), state)
         self.waiting.put(rest) if rest else self.waiting.clear()
         self._wake(rest)
         if out:
@@ -96,5 +101,5 @@ def ordered_mastery(attempts: DataFrame, delay: str = "1 hour", kept_days: int =
     at = F.unix_micros(F.col("attempted_at").cast("timestamp"))
     seen = attempts.select("student_id", "lo_id", "id", "is_correct", at.alias("at"), F.col("attempted_at").cast("timestamp").alias("_seen")).withWatermark("_seen", f"{delay} {kept_days} days")
     schema = "student_id long, lo_id string, n long, score double, at long, id long, late boolean"
-    out = seen.groupBy("student_id", "lo_id").transformWithStateInPandas(OrderedMastery(kept_days * DAY_MS), schema, "Append", "EventTime")
+    out = seen.groupBy("student_id").transformWithStateInPandas(OrderedMastery(kept_days * DAY_MS), schema, "Append", "EventTime")
     return out.select("student_id", "lo_id", "n", "score", F.timestamp_micros("at").cast("timestamp_ntz").alias("system_from"), "id", "late")

@@ -4,6 +4,7 @@ import datetime
 import json
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -86,3 +87,47 @@ def test_snapshots_are_replayed_rebuilt_and_evicted(spark, tmp_path):
         got = run(spark, session_cache.snapshot_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), most=4), tmp_path)
     want = session_cache.snapshot_batch(spark.createDataFrame(rows, schema), most=4).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and 0 < sum(r.built for r in want) < 200
+
+
+class _Lists:
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+
+class _Maps(dict):
+    containsKey, getValue, updateValue = dict.__contains__, dict.__getitem__, dict.__setitem__
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+        self.getListState, self.getMapState = lambda *_: _Lists(), lambda *_: _Maps()
+        self.listTimers, self.registerTimer, self.deleteTimer = lambda: iter(self.timers), self.timers.add, self.timers.discard
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_one_key_of_state_holds_all_los_of_a_student():
+    processor, handle = ordered.OrderedMastery(0), _Handle()
+    processor.init(handle)
+    come = pd.DataFrame([(1, lo, i, True, 1000 * (10 - i)) for i, lo in enumerate(["a", "b", "a"])], columns=["student_id", "lo_id", "id", "is_correct", "at"])
+    assert list(processor.handleInputRows((1,), iter([come]), _Watermark(-1))) == [] and handle.timers == {8}
+    rows = pd.concat(processor.handleExpiredTimer((1,), _Watermark(9), None))
+    assert [(r.lo_id, r.n, r.id) for r in rows.itertuples()] == [("a", 1, 2), ("b", 1, 1)] and handle.timers == {10}
+    rows = pd.concat(processor.handleExpiredTimer((1,), _Watermark(10), None))
+    assert [(r.lo_id, r.n, r.id) for r in rows.itertuples()] == [("a", 2, 0)] and handle.timers == set()
