@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from tessera.functions import protocol
-
+from tessera.functions.text import slices
 
 
 def turn_cap(turns: DataFrame, caps: dict[str, int]) -> DataFrame:
@@ -74,8 +74,9 @@ def revealed_tokens(text: str | None) -> list[tuple[int, str]]:
 
 
 @F.pandas_udf(ArrayType(StructType().add("end", IntegerType()).add("token", StringType())))
-def _tokens(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: [{"end": e, "token": t} for e, t in revealed_tokens(s)])
+def _tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in (some for batch in batches for some in slices(batch)):
+        yield texts.map(lambda s: [{"end": e, "token": t} for e, t in revealed_tokens(s)])
 
 
 def reveal_schedule(messages: DataFrame, key: list[str], text: str = "text", ended_ms: str | None = None) -> DataFrame:

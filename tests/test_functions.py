@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import protocol as P
 from tessera.functions import text as T
 from tessera.operators import graph, temporal
+from tessera.streaming import stateful
 
 
 def values(spark, rows, schema, *cols):
@@ -117,3 +118,9 @@ def test_batches_are_folded_in_pieces():
         letters = dict(zip(T.FOLD6_FROM, T.FOLD6_TO, strict=True))
         want = [(low, i) for i, ch in enumerate(s) if ch not in marks for low in letters.get(ch, ch).lower()]
         assert folded == "".join(low for low, _ in want) and list(places) == [i for _, i in want]
+
+
+def test_messages_are_cut_to_tokens_in_pieces():
+    texts = pd.Series(["one two. {{beat}} " * 5000] * 30)
+    got = list(stateful._tokens.func(iter([texts])))
+    assert len(got) > 1 and [len(x) for x in pd.concat(got)] == [15_000] * 30
