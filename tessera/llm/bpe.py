@@ -30,6 +30,7 @@ CACHE_WORDS = 1_000_000  # about 40 bytes each
 CACHE_LETTERS = 64  # longer pieces are not kept
 BLOCK_BYTES = 1 << 20
 MERGE_WORDS = 8192  # words in one flat array
+CLASS_STEP = 1 << 14  # code points whose classes are asked for at once
 
 
 def default_tokenizer() -> str:
@@ -51,19 +52,18 @@ def library_classes() -> np.ndarray:
     from tokenizers.pre_tokenizers import ByteLevel
 
     split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-    high = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
-    # neighbours that it keeps together are of one class, so one of each run is asked for
-    runs = np.array([place[0] for _, place in split(high)])
-    asked = "".join(map(chr, range(0x80))) + "".join(high[i] for i in runs)
-    kind = np.full(len(asked), Pieces.SPACE)
-    for beside, is_ in (("a", Pieces.LETTER), ("1", Pieces.NUMBER), ("!", Pieces.OTHER)):
-        # beside + sign + line break: no piece begins at the sign if it is of that class
-        begins = {place[0] for _, place in split("".join(f"{beside}{c}\n" for c in asked))}
-        kind[[3 * i + 1 not in begins for i in range(len(asked))]] = is_
     classes = np.zeros(0x110000, np.uint8)
-    classes[:0x80] = kind[:0x80]
-    code = np.frombuffer(high.encode("utf-32-le"), "<u4")
-    classes[code] = np.repeat(kind[0x80:], np.diff(np.r_[runs, len(high)]))
+    # in stretches: the pieces of all code points at once would be 400 MB of a worker while it starts
+    for lo, hi in ((a, min(a + CLASS_STEP, end)) for begin, end in ((0, 0x80), (0x80, 0xD800), (0xE000, 0x110000)) for a in range(begin, end, CLASS_STEP)):
+        signs = "".join(map(chr, range(lo, hi)))
+        # neighbours that it keeps together are of one class, so one of each run is asked for
+        runs = np.array([place[0] for _, place in split(signs)]) if lo >= 0x80 else np.arange(hi - lo)
+        kind = np.full(len(runs), Pieces.SPACE)
+        for beside, is_ in (("a", Pieces.LETTER), ("1", Pieces.NUMBER), ("!", Pieces.OTHER)):
+            # beside + sign + line break: no piece begins at the sign if it is of that class
+            begins = {place[0] for _, place in split("".join(f"{beside}{signs[i]}\n" for i in runs))}
+            kind[[3 * i + 1 not in begins for i in range(len(runs))]] = is_
+        classes[lo:hi] = np.repeat(kind, np.diff(np.r_[runs, hi - lo]))
     return classes
 
 
