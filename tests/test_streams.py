@@ -36,6 +36,28 @@ def test_lines_cut_anywhere(lines, cuts, ended):
     assert [line for _, line in got] == whole[:-1] and tail == whole[-1] and all(data[p : p + len(x)] == x for p, x in got)
 
 
+@given(st.lists(st.binary(max_size=6).map(lambda b: b.replace(b"\n", b"")), max_size=12), st.integers(1, 5), st.integers(1, 9), st.integers(1, 4), st.booleans())
+def test_only_the_ends_of_stretches_are_open(lines, chunk, stretch, batch, ended):
+    data = b"\n".join(lines) + (b"\n" if ended else b"")
+    inner, pieces = [], []
+    for a in range(0, len(data), stretch):
+        chunks = [("s", at, data[at : min(at + chunk, a + stretch)]) for at in range(a, min(a + stretch, len(data)), chunk)]
+        parts = list(jsonl.cut_runs(chunks[i : i + batch] for i in range(0, len(chunks), batch)))
+        mine = [x[1:] for _, some in parts for x in some]
+        assert len(mine) <= 2
+        inner += [x[1:] for some, _ in parts for x in some]
+        pieces += mine
+    found, tail, at = jsonl.stitch(b"", 0, pieces[::-1])
+    whole = data.split(b"\n")
+    assert [x for _, x in sorted(inner + found)] == whole[:-1] and tail == whole[-1] and at == len(data) and all(data[p : p + len(x)] == x for p, x in inner + found)
+
+
+def test_whole_lines_do_not_pass_through_the_state_of_their_stream():
+    lines = [("s", i * 10, b"123456789\n") for i in range(1000)]
+    parts = list(jsonl.cut_runs([lines]))
+    assert sum(len(x[3]) for _, some in parts for x in some) == 10 and sum(len(some) for some, _ in parts) == 999
+
+
 def test_missing_bytes_are_an_error():
     with pytest.raises(ValueError):
         jsonl.split_lines(b"", 3, [(5, b"x\n")])
