@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,18 +34,25 @@ def _lookup(words: Column, values: dict[str, str]) -> Column:
     return F.try_element_at(table, F.get(F.filter(words, lambda w: w.isin(*values)), F.lit(0)))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_phrase(phrase: Column) -> Column:
     """Struct (state, position, sign, sign_kind) of a phrase; what is not recognised stays null. Longer phrases are taken before single words."""
-    whole = T.fold_compare(phrase)
     listed = lambda c, values: F.coalesce(*[F.when(F.contains(c, F.lit(k)), F.lit(v)) for k, v in values.items()])
     without = lambda c, values: F.regexp_replace(c, "|".join(values), " ")
-    kind, rest = listed(whole, KIND_PHRASES), without(whole, KIND_PHRASES)
-    sign, rest = listed(rest, SIGN_PHRASES), without(rest, SIGN_PHRASES)
     place = rf"محل\s+({'|'.join(POSITIONS)})"
-    position = F.nullif(F.regexp_extract(rest, place, 1), F.lit(""))
-    words = F.transform(F.filter(F.split(F.regexp_replace(rest, place, " "), r"\s+"), lambda w: w != ""), T.bare_word)
-    state = F.get(F.filter(words, lambda w: w.isin(*STATES)), F.lit(0))
-    return F.struct(state.alias("state"), F.concat(F.lit("في محل "), position).alias("position"), F.coalesce(sign, _lookup(words, SIGN_WORDS)).alias("sign"), F.coalesce(kind, _lookup(words, KIND_WORDS)).alias("sign_kind"))
+
+    def slots(kind: Column, sign: Column, rest: Column, words: Column) -> Column:
+        position = F.nullif(F.regexp_extract(rest, place, 1), F.lit(""))
+        state = F.get(F.filter(words, lambda w: w.isin(*STATES)), F.lit(0))
+        return F.struct(state.alias("state"), F.concat(F.lit("في محل "), position).alias("position"), F.coalesce(sign, _lookup(words, SIGN_WORDS)).alias("sign"), F.coalesce(kind, _lookup(words, KIND_WORDS)).alias("sign_kind"))
+
+    words = lambda rest: F.transform(F.filter(F.split(F.regexp_replace(rest, place, " "), r"\s+"), lambda w: w != ""), T.bare_word)
+    signed = lambda kind, rest: _once(without(rest, SIGN_PHRASES), lambda left: _once(words(left), lambda w: slots(kind, listed(rest, SIGN_PHRASES), left, w)))
+    return _once(T.fold_compare(phrase), lambda whole: _once(without(whole, KIND_PHRASES), lambda rest: signed(listed(whole, KIND_PHRASES), rest)))
 
 
 def sign_class(sign: Column) -> Column:

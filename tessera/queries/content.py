@@ -113,7 +113,8 @@ STATES, SIGNS, KINDS = ("منصوب", "مرفوع", "مجرور", "مجزوم"),
 @query("n6_parse_phrase", f"SELECT p_partkey, {nth(1, 4, *STATES)} AS state, CASE WHEN p_partkey % 5 = 0 THEN 'في محل نصب' END AS position, {nth(4, 4, *SIGNS)} AS sign, {nth(16, 4, *KINDS)} AS sign_kind FROM part", prelude=False)
 def _(t):
     words = [spark_nth(1, 4, *STATES), F.lit("وعلامته"), F.concat(spark_nth(4, 4, *SIGNS), F.lit("،")), spark_nth(16, 4, "الظاهرة", "المقدّرة", "نيابة عن الفتحة", None), F.when(F.col("p_partkey") % 5 == 0, "في محلّ نصب")]
-    return t.raw("part").select("p_partkey", G.parse_phrase(F.concat_ws(" ", *words)).alias("p")).select("p_partkey", "p.*")
+    keys = t.raw("part").select("p_partkey").repartition(t.spark.sparkContext.defaultParallelism)  # a phrase costs far more than its key, and a file of keys is few tasks
+    return keys.select("p_partkey", G.parse_phrase(F.concat_ws(" ", *words)).alias("p")).select("p_partkey", "p.*")
 
 
 NOUNS = ("مفرد", "جمع مؤنث سالم", "مثنى", "جمع مذكر سالم")

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import parsing
 from tessera.functions import protocol as P
 from tessera.functions import text as T
 from tessera.operators import graph, temporal
@@ -124,3 +125,8 @@ def test_messages_are_cut_to_tokens_in_pieces():
     texts = pd.Series(["one two. {{beat}} " * 5000] * 30)
     got = list(stateful._tokens.func(iter([texts])))
     assert len(got) > 1 and [len(x) for x in pd.concat(got)] == [15_000] * 30
+
+
+def test_a_phrase_is_folded_once(spark):
+    plan = spark.range(1).select(parsing.parse_phrase(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("translate(") <= 3  # of the phrase and of its words
