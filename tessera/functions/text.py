@@ -7,7 +7,7 @@ separates words. Unicode composition (NFC) needs Python; all else is column expr
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -186,10 +186,20 @@ def longest_shared_run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x, y) for x, y in zip(a, b, strict=True)], columns=["length", "run"]).astype({"length": "int32"})
 
 
+def _runs(words: Column, n: int, of: Callable[[list[Column]], Column]) -> Column:
+    """``of`` of every ``n`` neighbouring words; null where there are fewer.
+
+    A filter by size, or one that Spark derives from ``explode``, would go below the column of words and fold every text a second time:
+    the nulls go through ``explode_outer`` and are filtered behind it.
+    """
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: of([F.get(words, i + k) for k in range(n)])))
+
+
 def word_shingles(df: DataFrame, words: Column, keep: list[str], n: int = 4) -> DataFrame:
-    """One row for each distinct n-word shingle of each row (as a 64-bit hash and its words)."""
-    w = df.select(*keep, words.alias("_w")).filter(F.size("_w") >= n)
-    return w.select(*keep, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.array_join(F.slice("_w", i + 1, n), " ")))).alias("shingle"))
+    """One row for each distinct n-word shingle of each row (as its words)."""
+    w = df.select(*keep, words.alias("_w"))
+    joined = _runs(F.col("_w"), n, lambda run: F.concat_ws(" ", *run))
+    return w.select(*keep, F.explode_outer(F.array_distinct(joined)).alias("shingle")).filter("shingle IS NOT NULL")
 
 
 def shared_runs(docs: DataFrame, corpus: DataFrame, doc_id: str, item_id: str, text: str = "text", n: int = 4) -> DataFrame:
@@ -198,7 +208,8 @@ def shared_runs(docs: DataFrame, corpus: DataFrame, doc_id: str, item_id: str, t
     Shingles with their places meet by equi join. Matches that follow each other in both texts lie on one diagonal (place minus place) next
     to each other: islands along a diagonal are the runs, so no pair of texts is ever aligned.
     """
-    placed = lambda df, key, at: df.select(key, fold_words(F.col(text)).alias("_w")).filter(F.size("_w") >= n).select(key, F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).alias(at, "_s"))
+    joined = _runs(F.col("_w"), n, lambda run: F.concat_ws(" ", *run))
+    placed = lambda df, key, at: df.select(key, fold_words(F.col(text)).alias("_w")).select(key, F.posexplode_outer(joined).alias(at, "_s")).filter("_s IS NOT NULL")
     met = placed(docs, doc_id, "_i").join(placed(corpus, item_id, "_j"), "_s").select(doc_id, item_id, "_i", (F.col("_i") - F.col("_j")).alias("_d"))
     along = Window.partitionBy(doc_id, item_id, "_d").orderBy("_i")
     islands = met.withColumn("_g", F.col("_i") - F.row_number().over(along)).groupBy(doc_id, item_id, "_d", "_g").agg(F.min("_i").alias("_from"), F.count(F.lit(1)).alias("_n"))
@@ -216,8 +227,8 @@ def contaminated(docs: DataFrame, corpus: DataFrame, doc_id: str, text: str, cor
     held = graph.cut(word_shingles(corpus, fold_words(F.col(corpus_text)), [], n).distinct())
     short = held.count() <= broadcast_rows
     near = lambda df: F.broadcast(df) if short else df
-    words = docs.select(doc_id, fold_words(F.col(text)).alias("_w")).filter(F.size("_w") >= n)
-    hashes = words.select(doc_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.slice("_w", i, n))))).alias("_h"))
+    words = docs.select(doc_id, fold_words(F.col(text)).alias("_w"))
+    hashes = words.select(doc_id, F.explode_outer(F.array_distinct(_runs(F.col("_w"), n, lambda run: F.xxhash64(*run)))).alias("_h")).filter("_h IS NOT NULL")
     suspects = hashes.join(near(held.select(F.xxhash64(F.split("shingle", " ")).alias("_h")).distinct()), "_h", "left_semi").select(doc_id).distinct()
     mine = word_shingles(docs.join(suspects, doc_id, "left_semi"), fold_words(F.col(text)), [doc_id], n)
     return mine.join(near(held), "shingle", "left_semi").select(doc_id).distinct()

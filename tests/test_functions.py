@@ -130,3 +130,12 @@ def test_messages_are_cut_to_tokens_in_pieces():
 def test_a_phrase_is_folded_once(spark):
     plan = spark.range(1).select(parsing.parse_phrase(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
     assert plan.count("translate(") <= 3  # of the phrase and of its words
+
+
+def test_texts_are_folded_once_for_their_shingles(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e"), (2, "a b"), (3, None), (4, "x a b c d")], "id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    shingles = T.word_shingles(docs, T.fold_words(F.col("text")), ["id"])
+    plan = shingles._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+    assert sorted(tuple(r) for r in shingles.collect()) == [(1, "a b c d"), (1, "b c d e"), (4, "a b c d"), (4, "x a b c")]
