@@ -78,3 +78,27 @@ def test_pruned_plans_are_those_over_everything(spark):
                      "questions": [{"id": q, "tier": tier, "recent": seen.get((s, q), 0)} for q, of, tier in questions if of == lo]} for lo, o in los]
             want += list(choose(pd.DataFrame(full)).itertuples(index=False, name=None))
         assert sorted(map(tuple, got)) == sorted(want) and len(want) > 30
+
+
+def test_plans_of_many_students_meet_short_lists(spark):
+    """Students that have touched little, over many LOs: what is joined by place holds what they can reach, not all LOs; heads of banks are made once for each LO."""
+    n, pupils = 400, 60
+    los = spark.range(n).selectExpr("concat('l', lpad(id, 3, '0')) AS lo_id", "CAST(id AS INT) AS order_in_parent")
+    pre = spark.range(n // 2, n).selectExpr("concat('l', lpad(id - 200, 3, '0')) AS src_id", "concat('l', lpad(id, 3, '0')) AS dst_id")
+    scores = spark.range(pupils).selectExpr("id AS student_id", "'l000' AS lo_id", "CAST(0.9 AS DOUBLE) AS score")
+    questions = spark.range(n * 9).selectExpr("concat('q', lpad(id, 4, '0')) AS id", "concat('l', lpad(id % 400, 3, '0')) AS lo_id", "element_at(array('basic', 'standard', 'advanced'), CAST(id % 3 AS INT) + 1) AS tier")
+    recent = spark.range(pupils).filter("id % 2 = 0").selectExpr("id AS student_id", "'q0001' AS question_id", "2L AS recent")
+    students = spark.range(pupils)
+    met, cut = [], study_plan.graph.cut
+    try:
+        study_plan.graph.cut = lambda df: met.append(df) or cut(df)
+        got = study_plan.study_plan(los, pre, scores, questions, recent, students).collect()
+    finally:
+        study_plan.graph.cut = cut
+    lists = [df for df in met if "place" in df.columns]
+    assert len(lists) == 3 and all(df.count() <= 2 + 2 * study_plan.ITEMS for df in lists)
+    heads = [df for df in met if "_head" in df.columns]
+    assert len(heads) == 1 and heads[0].count() < 40
+    by = {s: [tuple(r)[2:] for r in sorted(got) if r.student_id == s] for s in range(pupils)}
+    assert by[1] == [("l001", "q0801", "basic", "weakest"), ("l002", "q1200", "basic", "weakest"), ("l003", "q0003", "basic", "weakest"), ("l000", "q0800", "advanced", "review"), ("l201", "q0201", "basic", "stretch")]
+    assert all(by[s] == by[1] for s in range(1, pupils, 2)) and all(len(x) == study_plan.ITEMS for x in by.values())
