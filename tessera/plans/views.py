@@ -31,8 +31,9 @@ def scores_of(t, student_id: int) -> DataFrame:
 
 def plan_of(t, students: DataFrame, los: DataFrame) -> DataFrame:
     """Study plans of the students over the given LOs (lo_id)."""
-    info = t.nodes.select(F.col("id").alias("lo_id"), "order_in_parent").join(los.select("lo_id"), "lo_id")
-    live = t.questions.filter("status = 'live'").join(los.select("lo_id"), "lo_id", "left_semi").select("id", "lo_id", "tier")
+    los = graph.cut(los.select("lo_id"))
+    info = t.nodes.select(F.col("id").alias("lo_id"), "order_in_parent").join(los, "lo_id")
+    live = t.questions.filter("status = 'live'").join(los, "lo_id", "left_semi").select("id", "lo_id", "tier")
     pre = t.current.filter("edge_type = 'prerequisite'").select("src_id", "dst_id")
     recent = rollup.counts_by(t.attempts, ["student_id", "question_id"], "recent")
     return study_plan.study_plan(info, pre, temporal.current(t.mastery).select("student_id", "lo_id", "score"), live, recent, students)
