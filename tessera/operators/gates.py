@@ -34,7 +34,13 @@ def question_refs(questions: DataFrame, visuals: DataFrame, known: DataFrame) ->
     return all_of(unknown_refs(questions, "V2", "lo_id", known), unknown_refs(visuals, "V2", "lo_id", known))
 
 
-def acyclic(prerequisites: DataFrame) -> DataFrame:
+def acyclic(prerequisites: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Members of cycles. ``listed`` is (id, ord, pos), the order in which nodes are listed: where each edge leads forward in it there is no cycle, and edges needn't be followed."""
+    if listed is not None:
+        place = lambda c: listed.select(F.col("id").alias(c), F.struct("ord", "pos").alias(f"_{c}"))
+        placed = prerequisites.join(place("src_id"), "src_id", "left").join(place("dst_id"), "dst_id", "left")
+        if placed.filter(~F.coalesce(F.col("_src_id") < F.col("_dst_id"), F.lit(False))).isEmpty():
+            return prerequisites.sparkSession.createDataFrame([], "rule string, id string, detail string")
     return graph.cycle_members(prerequisites).select(F.lit("V3").alias("rule"), F.col("id").cast("string").alias("id"), F.lit("cycle").alias("detail"))
 
 

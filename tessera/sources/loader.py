@@ -128,7 +128,7 @@ def problems(current: dict[str, DataFrame], batch: Batch, inside: DataFrame | No
         gates.one_source(batch.heads.select(F.col("file").alias("id"), "source_document", "source_file")),
         gates.broken(batch.runs, "V21", F.col("source_sha256").isNull(), "file", F.lit("no source")),
         *_strays(batch),
-        gates.acyclic(batch.edges.filter("edge_type = 'prerequisite'").select("src_id", "dst_id")),
+        gates.acyclic(batch.edges.filter("edge_type = 'prerequisite'").select("src_id", "dst_id"), batch.nodes.select("id", "ord", "pos")),
         gates.unknown_refs(batch.external.withColumn("ref", F.col("id")), "V22", "ref", known),
         _repeated(batch.questions, "question"), _repeated(batch.visuals, "visual"),
     ]

@@ -132,3 +132,33 @@ def test_bundles_are_put_together_once(spark, tmp_path):
     asked = rows.select("ord", F.explode("questions").alias("q")).select("ord", "q", stem("q.id").alias("_s")).groupBy("ord").agg(F.collect_list(F.col("q").withField("stem", F.col("_s"))).alias("questions"))
     loader.load(spark, f"file://{tmp_path}/tables", rows.drop("questions").join(asked, "ord"))
     assert made.value == 2
+
+
+def test_listed_order_proves_that_there_is_no_cycle(spark, monkeypatch):
+    from tessera.operators import gates, graph
+
+    listed = spark.createDataFrame([("z", 1, 0), ("b", 1, 1), ("a", 2, 0)], "id string, ord int, pos int")
+    edges = lambda *e: spark.createDataFrame(e, "src_id string, dst_id string")
+    assert {r.id for r in gates.acyclic(edges(("z", "b"), ("a", "z"), ("b", "a")), listed).collect()} == {"a", "b", "z"}
+    assert {r.id for r in gates.acyclic(edges(("x", "y"), ("y", "x")), listed).collect()} == {"x", "y"}  # not listed
+    assert {r.id for r in gates.acyclic(edges(("z", "z")), listed).collect()} == {"z"}
+    assert gates.acyclic(edges(("a", "z"), ("z", "b")), listed).isEmpty()  # backward, and yet no cycle
+    monkeypatch.setattr(graph, "cycle_members", None)  # not followed
+    assert gates.acyclic(edges(("z", "b"), ("b", "a"), ("z", "a")), listed).collect() == []
+
+
+def test_bundles_are_numbered_without_bringing_them_together(spark, tmp_path, monkeypatch):
+    from tessera.operators import graph
+    from tessera.queries import loading
+    from tessera.sources.domain import Tables
+
+    def cut(df):
+        df.write.parquet(f"{tmp_path}/files")
+        return spark.read.parquet(f"{tmp_path}/files")
+
+    monkeypatch.setattr(graph, "cut", cut)
+    got = loading.course_bundles(Tables(spark, "/root/testdata/sf0.001"))
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(spark.read.parquet(f"{tmp_path}/files").columns) == ["a", "b", "ord"]
+    rows = sorted((r.ord, r.file) for r in got.select("ord", "file").collect())
+    assert [n for n, _ in rows] == list(range(1, len(rows) + 1)) and rows[0][1] == "course.json" and len(rows) > 2
