@@ -162,3 +162,23 @@ def test_bundles_are_numbered_without_bringing_them_together(spark, tmp_path, mo
     assert sorted(spark.read.parquet(f"{tmp_path}/files").columns) == ["a", "b", "ord"]
     rows = sorted((r.ord, r.file) for r in got.select("ord", "file").collect())
     assert [n for n, _ in rows] == list(range(1, len(rows) + 1)) and rows[0][1] == "course.json" and len(rows) > 2
+
+
+def test_tables_of_a_version_are_written_side_by_side(spark, tmp_path):
+    import threading
+
+    from tessera.sources import versions
+
+    met = threading.Barrier(2, timeout=60)  # broken if one write waits for the other
+
+    class Table:
+        def __init__(self, df):
+            self.df, self.schema = df, df.schema
+
+        @property
+        def write(self):
+            met.wait()
+            return self.df.write
+
+    written = versions.write(spark, str(tmp_path), {n: Table(spark.range(k)) for n, k in (("a", 3), ("b", 5))})
+    assert [spark.read.parquet(written[n][0]).count() for n in "ab"] == [3, 5]
