@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 TTL_MS, MAX_SESSIONS = 3 * 60 * 60 * 1000, 200
 SCHEMA = "cache string, id long, session string, at_ms long, context string, built boolean"
+#: A micro-batch's requests of one cache wait for their order as Arrow columns (some 50 bytes a request, not 500 as objects); so many at a time are answered.
+REQUEST, ROWS = pa.schema([("id", pa.int64()), ("session", pa.large_string()), ("at_ms", pa.int64()), ("context", pa.large_string())]), 10_000
 
 
 class Snapshots:
@@ -62,10 +65,12 @@ class SessionCache(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self._read()
         cache = Snapshots(before, self.ttl_ms, self.most)
-        come = pd.concat(list(rows)).sort_values(["at_ms", "id"])
-        out = [(key[0], r.id, r.session, r.at_ms, *cache.request(r.session, int(r.at_ms), r.context)) for r in come.itertuples()]
+        come = pa.Table.from_batches((pa.RecordBatch.from_pandas(r[list(REQUEST.names)], REQUEST, preserve_index=False) for r in rows), REQUEST).combine_chunks()
+        order = pc.sort_indices(come, [("at_ms", "ascending"), ("id", "ascending")])
+        for at in range(0, len(order), ROWS):
+            out = [(key[0], r["id"], r["session"], r["at_ms"], *cache.request(r["session"], r["at_ms"], r["context"])) for r in come.take(order[at : at + ROWS]).to_pylist()]
+            yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
         self._write(before, cache.held)
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         before, now = self._read(), timerValues.getCurrentWatermarkInMs()

@@ -153,3 +153,29 @@ def test_one_key_of_state_holds_all_los_of_a_student():
     assert [(r.lo_id, r.n, r.id) for r in rows.itertuples()] == [("a", 1, 2), ("b", 1, 1)] and handle.timers == {10}
     rows = pd.concat(processor.handleExpiredTimer((1,), _Watermark(10), None))
     assert [(r.lo_id, r.n, r.id) for r in rows.itertuples()] == [("a", 2, 0)] and handle.timers == set()
+
+
+def test_requests_of_a_batch_wait_as_columns_and_are_answered_in_parts():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    held, n = {}, 200_000
+    one = session_cache.SessionCache(3_600_000, 50)
+    one.sessions = SimpleNamespace(exists=lambda: False, removeKey=held.pop, updateValue=held.__setitem__)
+    one.handle = SimpleNamespace(listTimers=lambda: iter(()), deleteTimer=None, registerTimer=lambda t: None)
+    frame = lambda a: pd.DataFrame({"id": range(a, a + 10_000)}).assign(session=lambda d: "s" + (d["id"] * 7919 % 97).astype(str), at_ms=lambda d: (n - d["id"]) // 3 * 1000, context=lambda d: "c" + d["id"].astype(str))
+    got, largest = [], 0
+    tracemalloc.start()
+    for out in one.handleInputRows(("x",), (frame(a) for a in range(0, n, 10_000)), None):
+        largest = max(largest, len(out))
+        got.append((len(out), int(out["id"].iloc[0]), int(out["id"].iloc[-1]), int(out["built"].sum())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = sorted((r.at_ms, r.id, r.session, r.context) for a in range(0, n, 10_000) for r in frame(a).itertuples())
+    cache = session_cache.Snapshots({}, 3_600_000, 50)
+    built = [cache.request(s, at, c)[1] for at, _, s, c in rows]
+    assert largest <= session_cache.ROWS and sum(k for k, *_ in got) == n and got[0][1] == rows[0][1] and got[-1][2] == rows[-1][1]
+    assert sum(b for *_, b in got) == sum(built) and held == {(s,): v for s, v in cache.held.items()}
+    assert peak < 30e6, peak
