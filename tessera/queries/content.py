@@ -289,6 +289,7 @@ def _(t):
 def arrive(t, df, name: str, parts: int, order: str, sink) -> str:
     """``df`` comes to ``sink(batch, batch_id, path)`` in ``parts`` micro-batches, by ranges of a column: each part arrives, and the query starts again where it stopped."""
     path = f"{sinks.shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    df = graph.cut(df)  # read for the cuts and for each part
     at = F.col(order) if df.schema[order].dataType.typeName() in ("long", "integer") else F.unix_micros(F.col(order).cast("timestamp"))
     cuts = df.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)])).first()[0] or []  # the stand-in for arrival
     part = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
@@ -318,6 +319,7 @@ def record_all(t) -> str:
     """All attempts through the transactional sink, in three micro-batches."""
     step = lambda i, text: F.struct(F.lit(i).alias("step"), text.alias("text_md"))
     questions = t.questions.withColumn("canonical_solution", F.array(step(1, F.concat(F.lit("look at "), "id")), step(2, F.lit("compare"))))
+    questions = graph.cut(questions.filter("status = 'live'"))  # every micro-batch reads them
     return arrive(t, t.attempts.select("id", "student_id", "question_id", "given_answer", "attempted_at"), "snk6", 3, "attempted_at", lambda batch, n, path: sinks.record_attempts(batch, n, questions, path))
 
 

@@ -80,3 +80,21 @@ def test_batches_read_their_own_buckets(spark, tmp_path):
     every = sorted((r.student_id, r.n, round(r.score, 9), r.system_to is None) for r in sinks.read_mastery(spark, path).collect())
     assert [e[1] for e in every] == [*range(1, 9)] * 2 and [e[3] for e in every] == [*[False] * 7, True] * 2
     assert sorted((r.student_id, r.n, round(r.score, 9), True) for r in sinks.read_open_mastery(spark, path).collect()) == [e for e in every if e[3]]
+
+
+def test_arrivals_and_questions_are_derived_once(monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera.queries import content
+
+    made, sent = [], {}
+    monkeypatch.setattr(content.graph, "cut", lambda df: made.append(df) or ("cut", df))
+    monkeypatch.setattr(content, "arrive", lambda t, df, name, parts, order, sink: sink("batch", 0, "path"))
+    monkeypatch.setattr(content.sinks, "record_attempts", lambda batch, n, questions, path: sent.update(questions=questions))
+    monkeypatch.setattr(content.F, "array", lambda *a: None)
+    monkeypatch.setattr(content.F, "struct", lambda *a: SimpleNamespace(alias=lambda n: None))
+    monkeypatch.setattr(content.F, "lit", lambda x: SimpleNamespace(alias=lambda n: None))
+    monkeypatch.setattr(content.F, "concat", lambda *a: SimpleNamespace(alias=lambda n: None))
+    bank = SimpleNamespace(withColumn=lambda *a: SimpleNamespace(filter=lambda cond: f"bank where {cond}"))
+    content.record_all(SimpleNamespace(questions=bank, attempts=SimpleNamespace(select=lambda *a: "attempts")))
+    assert made == ["bank where status = 'live'"] and sent["questions"] == ("cut", made[0])
