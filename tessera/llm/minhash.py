@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, binary_array, drop_scratch, gather, materialize, mix, pair_hash, table, text_blocks
+from .common import BATCH_BYTES, Words, arrow_batches, binary_array, drop_scratch, gather, materialize, mix, pair_hash, table, text_blocks
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -54,7 +54,7 @@ LEAST_EQUAL = 43
 RARE, CHUNK = 0.01, 1000
 REST_BLOCK, REST_SHINGLES = 1024, 1 << 19  # members and shingles of a block of a bucket
 REST_PAIRS = 1 << 17  # pairs looked at at once
-PORTION_BYTES = 4 << 20  # text of small blocks taken at once
+PORTION_BYTES = 1 << 20  # text taken at once: a text's shingles take some thirty times its bytes while they are made
 BROADCAST_NODES = 100_000  # 32 bytes each
 SALTS = 8  # tasks for the rows of one class or of one text
 STEPS = 8  # weights are rounded to whole steps of 1/8 in their logarithm
@@ -101,7 +101,7 @@ def _chunk_counts(named: np.ndarray | None):
     def run(batches):
         parts, n, size = [], 0, 0
         for batch in batches:
-            for _, data, offsets in text_blocks(batch.column(0)):
+            for _, data, offsets in text_blocks(batch.column(0), PORTION_BYTES):
                 value = shingles(data, offsets)[1]
                 if named is not None and len(value):
                     value = value[named[np.minimum(np.searchsorted(named, value), len(named) - 1)] == value]
@@ -195,7 +195,7 @@ def _signatures(weights: Weights):
             _SAMPLER.append(Sampler())
         for batch in batches:
             nodes = batch.column(0)
-            for at, data, offsets in text_blocks(batch.column(1), 1 << 20):
+            for at, data, offsets in text_blocks(batch.column(1), PORTION_BYTES):
                 row, value, count = shingles(data, offsets)
                 if not len(row):
                     continue
@@ -288,7 +288,7 @@ def _rest_links(weights: Weights, threshold: float):
 
     def run(batches):
         for t, tile in _portions(batches, PORTION_BYTES):
-            got = [(row + at, value, count) for at, data, offsets in text_blocks(t.column("text")) for row, value, count in [shingles(data, offsets, True)]]
+            got = [(row + at, value, count) for at, data, offsets in text_blocks(t.column("text"), PORTION_BYTES) for row, value, count in [shingles(data, offsets, True)]]
             row, value, count = (np.concatenate([g[k] for g in got], -1) for k in range(3))
             w = weights.exact(value[0], count)
             order = np.lexsort(value[::-1])
@@ -386,7 +386,12 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(node, comp) of the nodes that have near-duplicates among other texts, and verified links (a, b) between different texts that make those components."""
+    """(node, comp) of the nodes that have near-duplicates among other texts, and verified links (a, b) between different texts that make those components: materialized."""
+    with arrow_batches(docs.sparkSession, most_bytes=BATCH_BYTES):  # a pair's row holds two texts
+        return _near_duplicates(docs, text, threshold)
+
+
+def _near_duplicates(docs: DataFrame, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows = docs.select(node_of(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     weights = weigh(rows)
@@ -397,8 +402,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", threshold: float = THRE
     crowded = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     buckets = materialize(members.join(crowded, "band"), "buckets")
     sketch = signed.select("node", "sketch")
-    labels = spark.createDataFrame([], "node binary, comp binary")
-    links = spark.createDataFrame([], "a binary, b binary")
+    # empty ones, which an empty list would make in Python workers of their own
+    labels = sketch.filter(F.lit(False)).select("node", F.col("node").alias("comp"))
+    links = labels.select(F.col("node").alias("a"), F.col("comp").alias("b"))
 
     def starred() -> DataFrame:
         """(centre, node, equal) of the pairs of members with their buckets' ends whose sketches are near enough."""

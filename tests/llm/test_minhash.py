@@ -166,3 +166,33 @@ def test_crafted_words_are_told_apart(spark):
     a, b = CRAFTED
     rows = [(1, " ".join([a] * 9)), (2, " ".join([b] * 9)), (3, a), (4, b)]
     assert {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {i: i for i in range(1, 5)}
+
+
+def test_workers_get_small_batches(spark, monkeypatch):
+    """Pairs of whole texts come to a Python worker some megabytes at a time, however many a task has."""
+    verify, most = minhash._verify, 12 << 20
+
+    def watched(weights, threshold):
+        run = verify(weights, threshold)
+
+        def held(batches):
+            for batch in batches:
+                if batch.nbytes > most:
+                    raise MemoryError(f"{batch.nbytes} bytes at once")
+                yield batch
+
+        return lambda batches: run(held(batches))
+
+    monkeypatch.setattr(minhash, "_verify", watched)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(900):  # pairs of 20 KB
+        words = [f"w{x}" for x in rng.integers(0, 30000, 1600)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {d: d - d % 2 for d, _ in rows}
