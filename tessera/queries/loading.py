@@ -148,5 +148,5 @@ def _(t):
 def _(t):
     """The assembled book through all gates of the loader; questions that are bound to a passage that nobody has approved are held."""
     root = f"{sinks.shared_folder(t.spark)}/book-{uuid.uuid4().hex}"
-    _, change = loader.load(t.spark, root, assembly.assemble(**drafts(t), course=BOOK[0], source=BOOK[1]))
+    _, change = loader.load(t.spark, root, assembly.parts(**drafts(t), course=BOOK[0], source=BOOK[1]))
     return change.filter("name NOT IN ('bridges', 'review')").select("name", F.col("after").alias("n"))

@@ -3,7 +3,8 @@
 A draft lesson has subtopics, questions with answers as they were typed, visuals and passages. Assembly gives every part its
 id, resolves answers to keys, lets questions inherit what their passages are, seals passages in their stored form and
 draws the edges: module in course, LO in module, and each LO after the one before it, across lessons too.
-All of it is joins and groups by lesson; a bundle is as large as its lesson.
+``parts`` gives all of it as rows, none of which is longer for what else its lesson holds; the loader takes these. ``assemble``
+gathers them to bundles, each of which is one row, as large as its lesson.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numbers as N
 from tessera.functions import text as T
-from tessera.operators import gates
+from tessera.operators import gates, graph
 from tessera.sources import bundles as B
 
 
@@ -46,9 +47,11 @@ def assembled_questions(drafts: DataFrame, subs: DataFrame, passages: DataFrame,
         q = gates.drop_claims(q, bad_claims)
     key, again = resolved(F.col("type"), F.col("answer"), F.col("choices")), resolved(F.col("type"), F.col("reading"), F.col("choices"))
     q = q.withColumn("correct_answer", key).withColumn("status", F.when(key.isNotNull() & (F.col("reading").isNull() | (key == again)), "verified").otherwise("draft"))
+    q = graph.cut(q)  # answers are resolved once, for the check of quotes and for the rows
     sacred = passages.filter("sacred")
-    quoting = T.contaminated(q.select("id", "stem"), sacred.select(F.array_join("units", "\n").alias("text")), "id", "stem", "text", n).withColumn("_quotes", F.lit(True))
-    bound = sacred.select(F.col("id").alias("passage_id"), F.lit(True).alias("_bound")).distinct()
+    # few or none; as tables of known size they don't make all questions move to meet them
+    quoting = graph.cut(T.contaminated(q.select("id", "stem"), sacred.select(F.array_join("units", "\n").alias("text")), "id", "stem", "text", n).withColumn("_quotes", F.lit(True)))
+    bound = graph.cut(sacred.select(F.col("id").alias("passage_id"), F.lit(True).alias("_bound")).distinct())
     q = q.join(quoting, "id", "left").join(bound, "passage_id", "left")
     return q.withColumn("sensitivity_class", F.when(F.coalesce("_quotes", "_bound", F.lit(False)), "sealed").otherwise("open"))
 
@@ -63,46 +66,56 @@ def sealed_passages(passages: DataFrame) -> DataFrame:
     return out.select("lesson", "id", "kind", F.when(F.col("sacred"), "sealed").otherwise("open").alias("sensitivity_class"), units.alias("units"), F.when(F.col("_fine"), T.seal(F.col("units"))).alias("text_sha256"))
 
 
-def _fields(kind: str, has: list[str]) -> Column:
-    """A struct of a bundle's type from the columns that there are; the others are null."""
-    return F.struct(*[(F.col(n) if n in has else F.lit(None)).cast(t).alias(n) for n, t in B.fields_of(kind)])
+def _fields(kind: str, has: list[str]) -> list[Column]:
+    """The fields of a bundle's type from the columns that there are; the others are null."""
+    return [(F.col(n) if n in has else F.lit(None)).cast(t).alias(n) for n, t in B.fields_of(kind)]
 
 
-def _gathered(rows: DataFrame, kind: str, name: str, order: list[str]) -> DataFrame:
-    """(lesson, name): the rows of each lesson as an array in order."""
-    return rows.groupBy("lesson").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, _fields(kind, rows.columns).alias("_x")))), lambda r: r["_x"]).alias(name))
-
-
-def assemble(lessons: DataFrame, questions: DataFrame, visuals: DataFrame, passages: DataFrame, course: tuple[str, str], source: tuple[str, str, str], bad_claims: DataFrame | None = None) -> DataFrame:
-    """Bundles (as ``bundles.read_bundles`` gives them), one for each lesson (lesson, module_id, module_title, ord, subtopics: array<struct<key, title>>).
+def parts(lessons: DataFrame, questions: DataFrame, visuals: DataFrame, passages: DataFrame, course: tuple[str, str], source: tuple[str, str, str], bad_claims: DataFrame | None = None) -> B.Parts:
+    """Parts of bundles, one for each lesson (lesson, module_id, module_title, ord, subtopics: array<struct<key, title>>) that has subtopics.
 
     ``visuals`` is (lesson, key, kind, spec, caption), ``course`` is (id, label), ``source`` is (sha256, title, file path). The first lesson declares the course and the source.
     """
-    subs = numbered_subtopics(lessons)
+    subs = graph.cut(numbered_subtopics(lessons))
     by_course, by_module = Window.orderBy("ord", "lesson"), Window.partitionBy("module_id").orderBy("ord", "lesson")
-    heads = lessons.select("lesson", "module_id", "module_title", F.row_number().over(by_course).alias("ord"), (F.row_number().over(by_module) == 1).alias("_opens"))  # one row for each lesson
+    listed = lessons.select("lesson", "module_id", "module_title", F.row_number().over(by_course).alias("ord"), (F.row_number().over(by_module) == 1).alias("_opens"))  # one row for each lesson
     first = F.col("ord") == 1
-    node = lambda id_, kind, label, at: F.struct(id_.alias("id"), F.lit(kind).alias("kind"), label.alias("label"), at.alias("order_in_parent"))
-    none = F.expr("CAST(array() AS array<struct<id:string,kind:string,label:string,order_in_parent:int>>)")
-    top = F.concat(F.when(first, F.array(node(F.lit(course[0]), "course", F.lit(course[1]), F.lit(1)))).otherwise(none), F.when(F.col("_opens"), F.array(node(F.col("module_id"), "module", F.col("module_title"), F.col("ord")))).otherwise(none))
-    edge = lambda src, dst, kind: F.struct(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))
-    los = subs.groupBy("lesson").agg(
-        F.array_sort(F.collect_list(F.struct("i", "lo_id", "title", "before"))).alias("_l"),
-    )
-    chain = F.transform(F.filter("_l", lambda x: x["before"].isNotNull()), lambda x: edge(x["before"], x["lo_id"], "prerequisite"))
-    body = heads.join(los, "lesson").select(
-        "lesson", "ord", F.concat(F.col("lesson"), F.lit(".json")).alias("file"),
-        F.concat(top, F.transform("_l", lambda x: node(x["lo_id"], "learning_objective", x["title"], x["i"]))).alias("nodes"),
-        F.concat(F.when(F.col("_opens"), F.array(edge(F.col("module_id"), F.lit(course[0]), "part_of"))).otherwise(F.expr("CAST(array() AS array<struct<src:string,dst:string,type:string>>)")), F.transform("_l", lambda x: edge(F.col("module_id"), x["lo_id"], "teaches")), chain).alias("edges"),
-        F.array_compact(F.array(F.when(~first, F.lit(course[0])), F.when(~F.col("_opens"), F.col("module_id")), F.get("_l", F.lit(0))["before"])).alias("external_node_refs"),
+    heads = graph.cut(listed.join(subs.filter("i = 1").select("lesson", "before"), "lesson").select(
+        "lesson", "module_id", "module_title", "_opens", F.concat(F.col("lesson"), F.lit(".json")).alias("file"), "ord",
         F.when(first, F.struct(*[F.lit(x).alias(n) for x, n in zip(source, ("sha256", "title", "file_path"), strict=True)])).alias("source_document"), F.when(~first, F.lit(source[2])).alias("source_file"),
+        F.expr("named_struct('extractor', 'assembly', 'extractor_version', '1', 'schema_version', '1')").alias("extraction_run"), F.lit("v1").alias("syllabus_version"),
+        F.array_compact(F.array(F.when(~first, F.lit(course[0])), F.when(~F.col("_opens"), F.col("module_id")), F.col("before"))).alias("external_node_refs"),
+    ))
+
+    def placed(rows: DataFrame, kind: str, *pos: str | Column) -> DataFrame:
+        rows = rows.drop("ord").join(heads.select("lesson", "file", "ord"), "lesson")
+        return rows.select("file", "ord", F.struct(*pos).alias("pos"), *_fields(kind, rows.columns))
+
+    # (rank, n) orders what several tables give: the course, modules, LOs; what a module is part of, what it teaches, what comes before
+    node = lambda rows, rank, n, id_, kind, label, at: rows.select("lesson", F.lit(rank).alias("_rank"), n.alias("_n"), id_.alias("id"), F.lit(kind).alias("kind"), label.alias("label"), at.alias("order_in_parent"))
+    edge = lambda rows, rank, n, src, dst, kind: rows.select("lesson", F.lit(rank).alias("_rank"), n.alias("_n"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"))
+    opening, one, i, lo, module = heads.filter("_opens"), F.lit(1), F.col("i"), F.col("lo_id"), F.col("module_id")
+    nodes = gates.all_of(
+        node(heads.filter(first), 0, one, F.lit(course[0]), "course", F.lit(course[1]), one),
+        node(opening, 1, one, module, "module", F.col("module_title"), F.col("ord")),
+        node(subs, 2, i, lo, "learning_objective", F.col("title"), i),
+    )
+    edges = gates.all_of(
+        edge(opening, 0, one, module, F.lit(course[0]), "part_of"),
+        edge(subs, 1, i, module, lo, "teaches"),
+        edge(subs.filter("before IS NOT NULL"), 2, i, F.col("before"), lo, "prerequisite"),
     )
     q = assembled_questions(questions, subs, passages, bad_claims)
     v = visuals.join(subs.select("lesson", "key", "i", "lo_id"), ["lesson", "key"]).withColumn("_n", F.row_number().over(Window.partitionBy("lesson", "i").orderBy("kind", "caption", "spec")))
     v = v.withColumn("id", F.concat(F.lit("v:"), "lesson", F.lit("-"), F.col("i").cast("string"), F.lit(":"), F.format_string("%03d", "_n")))
-    parts = [_gathered(q, B.QUESTION, "questions", ["i", "pos"]), _gathered(v, B.VISUAL, "visuals", ["i", "_n"]), _gathered(sealed_passages(passages), B.PASSAGE, "text_passages", ["id"])]
-    for part in parts:
-        body = body.join(part, "lesson", "left")
-    empty = lambda name, kind: F.coalesce(name, F.expr(f"CAST(array() AS array<{kind}>)")).alias(name)
-    typed = [B.widened(body, n, k).alias(n) for n, k in (("nodes", B.NODE), ("edges", B.EDGE))]
-    return body.select("file", "ord", "source_document", "source_file", F.expr("named_struct('extractor', 'assembly', 'extractor_version', '1', 'schema_version', '1')").alias("extraction_run"), F.lit("v1").alias("syllabus_version"), *typed, empty("questions", B.QUESTION), empty("visuals", B.VISUAL), empty("text_passages", B.PASSAGE), "external_node_refs")
+    p = sealed_passages(passages)
+    p = p.withColumn("_n", F.row_number().over(Window.partitionBy("lesson", "id").orderBy(*_fields(B.PASSAGE, p.columns))))
+    return B.Parts(
+        heads.select(*B.HEAD, "external_node_refs"), placed(nodes, B.NODE, "_rank", "_n"), placed(edges, B.EDGE, "_rank", "_n"),
+        placed(q, B.QUESTION, "i", F.col("pos").alias("n")), placed(v, B.VISUAL, "i", "_n"), placed(p, B.PASSAGE, "id", "_n"),
+    )
+
+
+def assemble(lessons: DataFrame, questions: DataFrame, visuals: DataFrame, passages: DataFrame, course: tuple[str, str], source: tuple[str, str, str], bad_claims: DataFrame | None = None) -> DataFrame:
+    """Bundles (as ``bundles.read_bundles`` gives them) of the parts of lessons, one row for each lesson."""
+    return B.gathered(parts(lessons, questions, visuals, passages, course, source, bad_claims))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ LESSON = (
     "passages array<struct<id:string,kind:string,title_ar:string,sacred:boolean,units:array<string>>>, out_of_scope array<struct<text:string,reason:string>>, _corrupt_record string"
 )
 SLUG = "^[a-z0-9]{1,12}-[0-9]{1,3}$"
+#: Of a bundle: the lists of content with the type of an element, and the rest.
+LISTS = {"nodes": NODE, "edges": EDGE, "questions": QUESTION, "visuals": VISUAL, "text_passages": PASSAGE}
+HEAD = ["file", "ord", "source_document", "source_file", "extraction_run", "syllabus_version"]
 
 
 def fields_of(kind: str) -> list[tuple[str, str]]:
@@ -57,6 +62,32 @@ def unfolded(bundles: DataFrame, name: str) -> DataFrame:
     return bundles.select("file", "ord", F.posexplode(name).alias("pos", "x")).select("file", "ord", "pos", "x.*")
 
 
+@dataclass(frozen=True)
+class Parts:
+    """Bundles as rows, none of which is longer for what else its file holds: ``heads`` (``HEAD`` and external_node_refs) has one for each file, the others (file, ord, pos, fields) one for each element; ``pos`` orders those of a file."""
+
+    heads: DataFrame
+    nodes: DataFrame
+    edges: DataFrame
+    questions: DataFrame
+    visuals: DataFrame
+    text_passages: DataFrame
+
+
+def parts(bundles: DataFrame) -> Parts:
+    return Parts(bundles.select(*HEAD, "external_node_refs"), **{name: unfolded(bundles, name) for name in LISTS})
+
+
+def gathered(p: Parts) -> DataFrame:
+    """Bundles of their parts, one row for each file."""
+    out = p.heads
+    for name, kind in LISTS.items():
+        fields = F.struct(*[n for n, _ in fields_of(kind)])
+        lists = getattr(p, name).groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", fields.alias("_x")))), lambda r: r["_x"]).alias(name))
+        out = out.join(lists, "ord", "left").withColumn(name, F.coalesce(name, F.expr(f"CAST(array() AS array<{kind}>)")))
+    return out.select(*HEAD, *LISTS, "external_node_refs")
+
+
 def first_of_each(rows: DataFrame) -> DataFrame:
     """The first of equal ids, in load order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("ord", "pos"))).filter("_n = 1").drop("_n")

@@ -69,15 +69,16 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 class Batch:
-    """The content of some bundles as rows for the tables."""
+    """The content of some bundles, or of their parts, as rows for the tables."""
 
-    def __init__(self, bundles: DataFrame, current: dict[str, DataFrame], options: Options):
+    def __init__(self, bundles: DataFrame | B.Parts, current: dict[str, DataFrame], options: Options):
         at = F.current_timestamp().cast("timestamp_ntz") if options.loaded_at is None else options.loaded_at
         last = current["runs"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
         known = current["source_documents"].filter("file_path IS NOT NULL").groupBy(F.col("file_path").alias("path")).agg(F.min("sha256").alias("sha256"))
         # each part is put together and unfolded once; the gates and the plan read what is written here
-        heads = graph.cut(bundles.select("ord", "file", "source_document", "source_file", "extraction_run", "syllabus_version", "external_node_refs"))
-        unfolded = {n: graph.cut(B.unfolded(bundles, n)) for n in ("nodes", "edges", "questions", "visuals", "text_passages")}
+        parts = bundles if isinstance(bundles, B.Parts) else B.parts(bundles)
+        heads = graph.cut(parts.heads)
+        unfolded = {n: graph.cut(getattr(parts, n)) for n in B.LISTS}
         listed = heads.withColumn("sha256", F.col("source_document.sha256")).withColumn("_all", F.lit(1))
         resolved = gates.resolve_sources(listed, known, "_all", "ord").select("ord", "resolved")  # one row for each file
         self.heads = heads
@@ -214,7 +215,7 @@ def delta(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFram
     return counts(before).withColumnRenamed("n", "before").join(counts(after).withColumnRenamed("n", "after"), "name").select("name", "before", "after", (F.col("after") - F.col("before")).alias("delta"))
 
 
-def prepare(current: dict[str, DataFrame], bundles: DataFrame, options: Options) -> dict[str, DataFrame]:
+def prepare(current: dict[str, DataFrame], bundles: DataFrame | B.Parts, options: Options) -> dict[str, DataFrame]:
     """The checked plan of a load; ``Refused`` if a gate doesn't let it through."""
     batch = Batch(bundles, current, options)
     inside = subtree(current, options.scope) if options.scope else None
@@ -224,8 +225,8 @@ def prepare(current: dict[str, DataFrame], bundles: DataFrame, options: Options)
     return plan_load(current, batch, inside)
 
 
-def load(spark: SparkSession, root: str, bundles: DataFrame, options: Options = Options(), dry_run: bool = False) -> tuple[versions.Version | None, DataFrame]:
-    """Load bundles (as ``bundles.read_bundles`` gives them) into the tables at ``root``: the new version, and what changed.
+def load(spark: SparkSession, root: str, bundles: DataFrame | B.Parts, options: Options = Options(), dry_run: bool = False) -> tuple[versions.Version | None, DataFrame]:
+    """Load bundles (as ``bundles.read_bundles`` gives them, or as parts) into the tables at ``root``: the new version, and what changed.
 
     A dry run gives (None, what would change). Nothing is visible before the version is published, and all of it is then.
     """
